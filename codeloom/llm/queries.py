@@ -4,26 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from codeloom.llm.decontaminate import contamination
 from codeloom.llm.exact_dedup import exact_duplicates
+from codeloom.llm.html_text import extract_main_text
 from codeloom.llm.near_dedup import near_duplicates
+from codeloom.llm.packing import packed
+from codeloom.llm.sstable import read_summaries, write_shards
+from codeloom.llm.subword import tokenizer_path
+from codeloom.llm.token_counts import length_histogram, suffix_sums
 from codeloom.sources.tables import table
 from pyspark.sql import DataFrame, SparkSession
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
 
+def op4_sstable_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return read_summaries(write_shards(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
+
+
+def op5_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_token_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_sums(length_histogram(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_sstable_shards": op4_sstable_shards,
+    "op5_cost_packing": op5_cost_packing,
+    "op7_decontamination": op7_decontamination,
+    "op8_token_histogram": op8_token_histogram,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": f"""
@@ -31,5 +63,45 @@ WITH folded AS (SELECT doc_id, {_FOLD} AS body FROM documents),
 grouped AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM folded GROUP BY body)
 SELECT f.doc_id, g.keep_id, g.group_size, f.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(f.body) AS text_sha256
 FROM folded f JOIN grouped g ON f.body = g.body
+""",
+    "op7_decontamination": f"""
+WITH items AS (SELECT item_id, regexp_extract_all({_FOLD}, {_WORD}) AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)
+),
+docs AS (SELECT doc_id, regexp_extract_all({_FOLD}, {_WORD}) AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, i, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)
+),
+found AS (SELECT p.doc_id, p.i, p.n, v.item_id FROM places p JOIN windows v ON p.n = v.n AND p.phrase = v.phrase),
+hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM found) GROUP BY doc_id),
+owned AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(o.n_items, 0) AS n_items,
+       sha256(coalesce(o.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN owned o ON d.doc_id = o.doc_id
+""",
+    "op9_minhash_near_dedup": rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.c >= 75 * (x.n + y.n - c.c)
+),
+links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT doc_id, doc_id AS other FROM words UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+parts AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT p.doc_id, coalesce(s.n, 0) AS n_shingles, p.component_id, p.doc_id = p.component_id AS kept
+FROM parts p LEFT JOIN sizes s ON s.doc_id = p.doc_id
 """,
 }
