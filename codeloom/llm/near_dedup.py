@@ -2,22 +2,23 @@
 
 Plan (every table between steps is written to the shared folder):
 
-1. One pass over the texts gives each document the digest of its shingle set,
-   a sketch and the band keys.  Documents of equal sets form a class; only the
+1. One pass over the texts gives each document the digest of its shingle set
+   and a sketch, whose bands are its bucket keys.  Documents of equal sets form a class; only the
    class representative (smallest id) goes on, so copies never meet in pairs.
-2. Band keys are grouped.  Each bucket elects one centre, the member that
-   shares most with others, by a map-side combined maximum: a star of
-   candidate links instead of all pairs.  Each document verifies its best star link.
-3. Components of the verified links.  A bucket whose members have one label is
-   done, whatever its size.  Elsewhere all pairs of *different* labels are
-   compared by their sketches, in blocks of bounded size, and the survivors are verified
-   on full sets: first the best pair of every two labels, then what still lies
-   between two components.  No link between candidate documents is lost.
-4. Components again; labels go back to the copies.
+2. Every bucket elects one centre, the member that shares most with others, by
+   map-side combined aggregates: a star of candidate links instead of all pairs.
+   Each document's best star link is verified on full sets.
+3. A bucket whose members all hang on one centre is done, whatever its size.
+   In the others, members of *different* centres are compared by their sketches in blocks of
+   bounded size.  Those with a partner that agrees often enough meet again, with
+   their full sets: each candidate pair is checked in the first bucket it
+   shares, unless it is connected by then, and only links found are put out.
+   No pair is ever a row, and no link between documents of different components is lost.
+4. Components of all links; labels go back to the copies.
 
 With 32 bands of 4 rows a pair of similarity 0.75 misses all buckets with
-probability 5e-6; the sketch filter (agreement below 0.5 of 128 coordinates) drops such a
-pair with probability below 1e-9.
+probability 5e-6; the sketch filter (agreement in less than 72 of 128
+coordinates) drops such a pair with probability 1e-6.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from codeloom.llm.bytewords import U64, VISIBLE, shingles, slices, text_buffers, words
+from codeloom.llm.bytewords import U64, VISIBLE, mix, seeds, shingles, slices, text_buffers, words
 from codeloom.llm.components import components
-from codeloom.llm.sketch import band_keys, sketches
+from codeloom.llm.sketch import sketches
 from codeloom.storage import materialize, remove
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,9 @@ COORDINATES = 128
 BAND_ROWS = 4
 LEAST_PERCENT = 75
 #: Least share of agreeing coordinates of a pair that is verified.
-LEAST_AGREEMENT = 0.5
-#: Members of a block when the labels of a bucket are compared.
-BLOCK = 1024
+LEAST_AGREEMENT = 0.5625
+#: Members of a block when a bucket is compared.
+BLOCK = 512
 #: Salts for joins on the digest of a class.
 SALTS = 16
 
@@ -53,7 +54,6 @@ def _sketch_batches(k: int):
             for i, j in slices(offs):
                 values, bounds = shingles(words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], VISIBLE), k)
                 sk = sketches(values, bounds, COORDINATES)
-                keys = band_keys(sk, BAND_ROWS).view(np.int64)
                 short = (sk & U64(0xFFFF)).astype("<u2")
                 sizes = np.diff(bounds)
                 digest = [hashlib.blake2b(values[bounds[d] : bounds[d + 1]].tobytes(), digest_size=16).digest() if sizes[d] else None for d in range(j - i)]
@@ -62,24 +62,32 @@ def _sketch_batches(k: int):
                         batch.column(0).slice(i, j - i),
                         pa.array(sizes, pa.int64()),
                         pa.array(digest, pa.binary()),
-                        pa.array([keys[d].tobytes() if sizes[d] else None for d in range(j - i)], pa.binary()),
                         pa.array([short[d].tobytes() if sizes[d] else None for d in range(j - i)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                    names=["doc_id", "n_shingles", "digest", "sketch"],
                 )
 
     return run
 
 
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """Bucket keys of sketches of 16-bit coordinates: a band of four is one 64-bit word."""
+    bands = np.ascontiguousarray(sketch).view("<u8").astype(U64)
+    return mix(mix(bands) + seeds(COORDINATES // BAND_ROWS, 31)[None, :]).view(np.int64)
+
+
+def _sketch_array(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
+
+
 def _bucket_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, bands) to one row per band: key, rep."""
-    bands = COORDINATES // BAND_ROWS
+    """(rep, sketch) to one row per band: key, rep."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 2048):
             part = batch.slice(lo, 2048)
-            keys = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.int64)
-            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(reps)], names=["key", "rep"])
+            keys = band_keys(_sketch_array(part.column(1)))
+            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(reps)], names=["key", "rep"])
 
 
 def _set_batches(k: int):
@@ -97,9 +105,7 @@ def _set_batches(k: int):
 def _agreement_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, sketch_a, sketch_b) to (a, b, agree) for pairs that agree often enough."""
     for batch in batches:
-        a = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
-        b = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
-        agree = (a == b).sum(axis=1)
+        agree = (_sketch_array(batch.column(2)) == _sketch_array(batch.column(3))).sum(axis=1)
         keep = np.flatnonzero(agree >= LEAST_AGREEMENT * COORDINATES)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(agree[keep], pa.int32())], names=["a", "b", "agree"])
 
@@ -109,47 +115,113 @@ def _verify_batches(percent: int):
         for batch in batches:
             keep = []
             for row, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                s, t = np.frombuffer(x.as_buffer(), dtype=U64), np.frombuffer(y.as_buffer(), dtype=U64)
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    continue
-                both = np.sort(np.concatenate([s, t]))
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
+                if _similar(np.frombuffer(x.as_buffer(), dtype=U64), np.frombuffer(y.as_buffer(), dtype=U64), percent):
                     keep.append(row)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _cross_label_pairs(left: dict, right: dict, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of two blocks with different labels and enough agreement."""
-    out_a, out_b, out_n = [], [], []
-    for i in range(len(left["rep"])):
-        lo = i + 1 if same else 0
-        other = np.flatnonzero(right["label"][lo:] != left["label"][i]) + lo
-        if not len(other):
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have ``percent`` per cent in common."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = np.sort(np.concatenate([s, t]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal first three columns, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        agree = (right["sketch"][other] == left["sketch"][i]).sum(axis=1)
-        ok = agree >= LEAST_AGREEMENT * COORDINATES
-        if ok.any():
-            out_a.append(np.full(int(ok.sum()), left["rep"][i]))
-            out_b.append(right["rep"][other[ok]])
-            out_n.append(agree[ok])
-    if not out_a:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_n)
-
-
-def _block_pairs(table: pa.Table) -> pa.Table:
-    """One task of a bucket: the members of block ``x`` against those of block ``y``."""
-    block = table.column("block").to_numpy()
-    task_x, task_y = int(table.column("x")[0].as_py()), int(table.column("y")[0].as_py())
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(-1, COORDINATES)
-    whole = {"rep": table.column("rep").to_numpy(), "label": table.column("label").to_numpy(), "sketch": sketch}
-    side = [{k: v[block == t] for k, v in whole.items()} for t in (task_x, task_y)]
-    a, b, n = _cross_label_pairs(side[0], side[1], task_x == task_y)
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "agree": pa.array(n, pa.int32())})
+        ids = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1)
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            this = tuple(ids[lo])
+            if this != last and held:
+                yield from _joined(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = this
+    if held:
+        yield from _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if len(parts) == 1:
+        yield parts[0]
+    else:
+        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+
+class _Task:
+    """The members of blocks ``x`` and ``y`` of a bucket: key, x, y, rep, label, block, sketch[, set]."""
+
+    def __init__(self, rows: pa.RecordBatch) -> None:
+        self.key, self.x, self.y = (rows.column(c)[0].as_py() for c in range(3))
+        self.rep, self.label, self.block = (rows.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5))
+        self.sketch = _sketch_array(rows.column(6))
+        self.bands = self.sketch.view("<u8")
+        self.keys = band_keys(self.sketch)
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member with its partners: other centre, enough agreement, and no bucket shared before this one."""
+        one = self.x == self.y
+        left = np.flatnonzero(self.block == self.x)
+        right = np.flatnonzero(self.block == self.y)
+        for n, i in enumerate(left.tolist()):
+            other = right[n + 1 :] if one else right
+            other = other[self.label[other] != self.label[i]]
+            if not len(other):
+                continue
+            other = other[(self.sketch[other] == self.sketch[i]).sum(axis=1) >= LEAST_AGREEMENT * COORDINATES]
+            if len(other):
+                first = (self.bands[other] == self.bands[i]).argmax(axis=1)
+                other = other[self.keys[i][first] == self.key]
+                if len(other):
+                    yield i, other
+
+
+def _involved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of members that are in a candidate pair."""
+    for rows in _groups(batches):
+        if rows.num_rows > 1:
+            seen = np.zeros(rows.num_rows, dtype=bool)
+            for i, other in _Task(rows).candidates():
+                seen[i] = seen[other] = True
+            if seen.any():
+                yield rows.filter(pa.array(seen))
+
+
+def _block_links(percent: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            task = _Task(rows)
+            sets = [np.frombuffer(x.as_buffer(), dtype=U64) for x in rows.column(7)]
+            above = {x: x for x in task.label.tolist()}
+
+            def root(x: int, above: dict = above) -> int:
+                while above[x] != x:
+                    above[x] = above[above[x]]
+                    x = above[x]
+                return x
+
+            a, b = [], []
+            for i, other in task.candidates():
+                for j in other.tolist():
+                    r, t = root(task.label[i]), root(task.label[j])
+                    if r != t and _similar(sets[i], sets[j], percent):
+                        above[r] = t
+                        a.append(task.rep[i])
+                        b.append(task.rep[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 class _Job:
@@ -164,19 +236,19 @@ class _Job:
         return materialize(df, label)[0]
 
     def sketched(self) -> DataFrame:
-        """Every document with its class: doc_id, n_shingles, bands, sketch, rep."""
-        sk, path = materialize(self.docs.mapInArrow(_sketch_batches(self.k), "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"), "sketches")
+        """Every document with its class: doc_id, n_shingles, sketch, rep."""
+        sk, path = materialize(self.docs.mapInArrow(_sketch_batches(self.k), "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
         classes = sk.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
         spread = classes.select(F.col("digest").alias("c_digest"), "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("c_salt"))
         joined = sk.join(spread, (F.col("digest") == F.col("c_digest")) & (salt == F.col("c_salt")), "left")
-        out = self.keep(joined.select("doc_id", "n_shingles", "bands", "sketch", F.coalesce("first", "doc_id").alias("rep")), "classes")
+        out = self.keep(joined.select("doc_id", "n_shingles", "sketch", F.coalesce("first", "doc_id").alias("rep")), "classes")
         remove(self.spark, path)
         return out
 
     def buckets(self, reps: DataFrame) -> DataFrame:
         """key, rep of every bucket with two or more representatives, and its centre."""
-        rows = reps.select("rep", "bands").mapInArrow(_bucket_rows, "key long, rep long")
+        rows = reps.select("rep", "sketch").mapInArrow(_bucket_rows, "key long, rep long")
         rows, rows_path = materialize(rows, "bands")
         shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         full, full_path = materialize(rows.join(shared, "key"), "shared-bands")
@@ -194,11 +266,14 @@ class _Job:
         right = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreement_batches, "a long, b long, agree int")
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """The full shingle sets of the documents ``ids(id)``: id, set."""
+        texts = self.docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+        return texts.mapInArrow(_set_batches(self.k), "id long, set binary").dropDuplicates(["id"])
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` whose full shingle sets are similar enough."""
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = self.docs.withColumnRenamed("doc_id", "id").join(ends, "id", "left_semi")
-        sets, path = materialize(texts.mapInArrow(_set_batches(self.k), "id long, set binary").dropDuplicates(["id"]), "sets")
+        sets, path = materialize(self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
         left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
         right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
@@ -206,50 +281,44 @@ class _Job:
         remove(self.spark, path)
         return out
 
-    def open_pairs(self, buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-        """All agreeing pairs with different labels that share a bucket: a, b, agree."""
-        marked = buckets.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        marked, path = materialize(marked, "marked")
-        mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"), F.first("n").alias("size")).filter("lo <> hi")
-        # buckets of the same members in several bands: one of them is enough
-        mixed = mixed.groupBy("mark", "size").agg(F.min("key").alias("key"))
-        rows = marked.join(mixed.select("key"), "key", "left_semi").join(reps.select("rep", "sketch"), "rep")
+    def rest(self, buckets: DataFrame, star: DataFrame, reps: DataFrame) -> DataFrame:
+        """Links between documents that share a bucket and hang on different centres: a, b."""
+        up = star.select(F.col("a").alias("rep"), F.col("b").alias("label"))
+        upper = star.select(F.col("a").alias("label"), F.col("b").alias("top"))
+        label = up.join(upper, "label", "left").select("rep", F.coalesce("top", "label").alias("label"))
+        marked, path = materialize(buckets.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "marked")
+        mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
-        rows = rows.withColumn("blocks", blocks).withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("long"))
+        rows = marked.join(mixed, "key", "left_semi").withColumn("blocks", blocks)
+        rows = rows.withColumn("block", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("long"))
         task = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y"))))
-        tasks = rows.select("key", "rep", "label", "sketch", "block", task.alias("task")).select("key", "rep", "label", "sketch", "block", "task.x", "task.y")
-        pairs = tasks.groupBy("key", "x", "y").applyInArrow(_block_pairs, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-        out = self.keep(pairs, "open-pairs")
-        remove(self.spark, path)
+        tasks = rows.join(reps.select("rep", "sketch"), "rep").select("key", "rep", "label", "block", "sketch", task.alias("task"))
+        tasks = self.by_task(tasks.select("key", "task.x", "task.y", "rep", "label", "block", "sketch"))
+        schema = "key long, x long, y long, rep long, label long, block long, sketch binary"
+        involved, involved_path = materialize(tasks.mapInArrow(_involved, schema), "involved")
+        sets = self.sets(involved.select(F.col("rep").alias("id")).distinct())
+        full = involved.join(sets.withColumnRenamed("id", "rep"), "rep").select("key", "x", "y", "rep", "label", "block", "sketch", "set")
+        out = self.keep(self.by_task(full).mapInArrow(_block_links(self.percent), "a long, b long"), "links")
+        remove(self.spark, path, involved_path)
         return out
 
+    def by_task(self, rows: DataFrame) -> DataFrame:
+        """Rows of a task together; tasks are of bounded size, so no partition gets a hot key."""
+        return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
     def run(self) -> DataFrame:
         docs = self.sketched()
-        reps = docs.filter("doc_id = rep and n_shingles > 0").select("rep", "bands", "sketch").dropDuplicates(["rep"])
+        reps = docs.filter("doc_id = rep and n_shingles > 0").select("rep", "sketch").dropDuplicates(["rep"])
         buckets = self.buckets(reps)
-        star = buckets.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-        best = self.agreeing(star, reps).groupBy("a").agg(F.max(F.struct("agree", "b"))["b"].alias("b"))
-        links = self.verified(self.keep(best, "star"))
-        labels = components(links)
-        open_pairs = self.open_pairs(buckets, labels, reps)
-        first = self.between(open_pairs, labels).groupBy("la", "lb").agg(F.max(F.struct("agree", "a", "b")).alias("top")).select("top.a", "top.b")
-        more = self.verified(self.keep(first, "top-pairs"))
-        labels = components(links.union(more))
-        rest = self.verified(self.keep(self.between(open_pairs, labels).select("a", "b"), "rest-pairs"))
-        labels = components(links.union(more).union(rest))
+        near = buckets.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+        best = self.agreeing(near, reps).groupBy("a").agg(F.max(F.struct("agree", "b"))["b"].alias("b"))
+        star = self.verified(self.keep(best, "star"))
+        labels = components(star.union(self.rest(buckets, star, reps)))
         moved = labels.filter("label <> v").select(F.col("v").alias("rep"), "label")
         joined = docs.select("doc_id", "n_shingles", "rep").join(moved, "rep", "left")
         component = F.coalesce("label", "rep")
         return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
-    @staticmethod
-    def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """``pairs`` whose ends have different labels: a, b, agree, la < lb."""
-        la = labels.select(F.col("v").alias("a"), F.col("label").alias("label_a"))
-        lb = labels.select(F.col("v").alias("b"), F.col("label").alias("label_b"))
-        marked = pairs.join(la, "a", "left").join(lb, "b", "left").select("a", "b", "agree", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y"))
-        return marked.filter("x <> y").select("a", "b", "agree", F.least("x", "y").alias("la"), F.greatest("x", "y").alias("lb"))
-
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = LEAST_PERCENT) -> DataFrame:
     """Every document's near-duplicate class: ``doc_id, n_shingles, component_id, kept``.

@@ -47,16 +47,6 @@ def sketches(values: np.ndarray, bounds: np.ndarray, t: int = 128) -> np.ndarray
     return out.reshape(n, t)
 
 
-def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key per band of ``rows`` coordinates: shape (sets, t / rows)."""
-    n, t = sketch.shape
-    parts = sketch.reshape(n, t // rows, rows)
-    acc = np.zeros((n, t // rows), dtype=U64)
-    for c, k in zip(seeds(rows, 29), range(rows), strict=True):
-        acc += parts[:, :, k] * c
-    return mix(acc + seeds(t // rows, 31)[None, :])
-
-
 def miss_probability(similarity: float, bands: int, rows: int) -> float:
     """Chance that two sets of this similarity share no band."""
     return (1 - similarity**rows) ** bands
