@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from codeloom.llm import nbsvm, toxicity
 from codeloom.llm.decontaminate import contamination
 from codeloom.llm.exact_dedup import exact_duplicates
 from codeloom.llm.html_text import extract_main_text
+from codeloom.llm.license_scan import scan_licenses
 from codeloom.llm.near_dedup import near_duplicates
 from codeloom.llm.packing import packed
 from codeloom.llm.sstable import read_summaries, write_shards
@@ -14,12 +16,17 @@ from codeloom.llm.subword import tokenizer_path
 from codeloom.llm.token_counts import length_histogram, suffix_sums
 from codeloom.sources.tables import table
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(table(spark, folder, "pages"))
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
@@ -32,6 +39,13 @@ def op5_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = toxicity.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, labels.filter(~held_out), "toxic")
+    return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -44,14 +58,24 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_nbsvm_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = toxicity.fold(F.col("doc_id"), 3) == 1
+    model = nbsvm.fit(docs, labels.filter(~held_out), "quality")
+    return nbsvm.quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_license_scan": op2_license_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sstable_shards": op4_sstable_shards,
     "op5_cost_packing": op5_cost_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_token_histogram": op8_token_histogram,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_nbsvm_quality": op10_nbsvm_quality,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
