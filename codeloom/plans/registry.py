@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from codeloom.functions import classify, severity, text
+from codeloom.functions.identity import finding_fingerprint, identity_sql, json_string
+from codeloom.operators import compare, ledger, lexical, resolve, score, spans, state
+from codeloom.sources.scanner_json import parse_props
 from codeloom.sources.tables import table
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under ``name`` with the SQL that gives the same rows."""
 
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
             ORACLE_SQL[name] = sql
@@ -24,6 +29,483 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("rule_scan_pages")
+RULES = [("markup-script", r"<script", "WARNING"), ("license-line", r"[Ll]icen[sc]e[a-z]*", "INFO"), ("email", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+", "HIGH")]
+_RULE_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in RULES) + ") AS rules(rule_id, pattern, severity)"
+
+
+def _rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RULES, "rule_id string, pattern string, severity string")
+
+
+def _findings(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spans.line_matches(table(spark, folder, "pages"), _rules(spark), "page_id", "html").withColumn("kind", F.lit("pages"))
+    docs = spans.line_matches(table(spark, folder, "documents"), _rules(spark), "doc_id", "text").withColumn("kind", F.lit("documents"))
+    found = pages.unionByName(docs)
+    name = F.concat(F.col("kind"), F.lit("/"), F.col("id").cast("string"))
+    evidence = F.array(F.concat(F.lit("match: "), F.col("match")))
+    return found.select(
+        "rule_id", name.alias("file"), "line", "ordinal", "match", severity.parse_col(F.col("severity")).alias("severity"),
+        finding_fingerprint(name, F.col("line"), F.lit("scan"), F.col("rule_id"), evidence).alias("fingerprint"),
+    )
+
+
+_FINDINGS = rf"""
+lines AS (
+  SELECT 'pages' AS kind, page_id AS id, unnest(string_split(coalesce(html, ''), chr(10))) AS t, unnest(range(1, len(string_split(coalesce(html, ''), chr(10))) + 1)) AS line FROM pages
+  UNION ALL
+  SELECT 'documents', doc_id, unnest(string_split(coalesce(text, ''), chr(10))), unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) FROM documents
+),
+hits AS (SELECT rule_id, severity, kind, id, line, regexp_extract_all(t, pattern) AS found FROM lines, {_RULE_SQL} WHERE regexp_matches(t, pattern)),
+flat AS (SELECT rule_id, severity, kind || '/' || id AS file, line, unnest(range(0, len(found))) AS ordinal, unnest(found) AS match FROM hits),
+findings AS (
+  SELECT rule_id, file, line, ordinal, match, CASE severity WHEN 'WARNING' THEN 'medium' WHEN 'HIGH' THEN 'high' ELSE 'info' END AS severity,
+         sha256('["' || file || '",' || line || ',"scan","' || rule_id || '",["match: ' || match || '"]]') AS fingerprint
+  FROM flat
+)"""
+
+
+@query("rule_scan_pages", f"WITH {_FINDINGS} SELECT * FROM findings")
 def rule_scan_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<script"), F.lit(0))).alias("hits"))
+    return _findings(spark, folder)
+
+
+@query("rule_applicability", f"WITH {_FINDINGS} SELECT rule_id, count(DISTINCT file) AS files, count(*) AS hits FROM findings GROUP BY rule_id")
+def rule_applicability(spark: SparkSession, folder: str) -> DataFrame:
+    return _findings(spark, folder).groupBy("rule_id").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("hits"))
+
+
+@query("finding_dedup", f"WITH {_FINDINGS} SELECT fingerprint, min(file) AS file, count(*) AS copies FROM findings GROUP BY fingerprint")
+def finding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return _findings(spark, folder).groupBy("fingerprint").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("sarif_levels", f"WITH {_FINDINGS} SELECT file, CASE WHEN severity = 'high' THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM findings GROUP BY ALL")
+def sarif_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return _findings(spark, folder).groupBy("file", severity.sarif_level(F.col("severity")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_EVENT_RANK = {"error": "critical", "purchase": "high", "signup": "medium", "click": "low", "view": "info"}
+
+
+def _event_severity():
+    out = F
+    for kind, name in _EVENT_RANK.items():
+        out = out.when(F.col("event_type") == kind, name)
+    return out
+
+
+_EVENT_CASE = "CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 WHEN 'view' THEN 0 END"
+
+
+@query("severity_threshold", f"SELECT user_id, max({_EVENT_CASE}) AS worst, CASE WHEN max({_EVENT_CASE}) >= 3 THEN 1 ELSE 0 END AS exit_code FROM events GROUP BY user_id")
+def severity_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    ranked = table(spark, folder, "events").select("user_id", severity.rank(_event_severity()).alias("r"))
+    worst = ranked.groupBy("user_id").agg(F.max("r").alias("worst"))
+    return worst.withColumn("exit_code", F.when(F.col("worst") >= 3, 1).otherwise(0))
+
+
+@query("fingerprint_identity", "SELECT c_custkey, sha256('[' || c_custkey || ',\"' || c_name || '\",\"' || c_mktsegment || '\"]') AS id FROM customer")
+def fingerprint_identity(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select("c_custkey", identity_sql(F.col("c_custkey").cast("string"), json_string(F.col("c_name")), json_string(F.col("c_mktsegment"))).alias("id"))
+
+
+@query(
+    "fingerprint_dedup",
+    "SELECT sha256(coalesce(text, '')) AS fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
+)
+def fingerprint_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+# spans: orders are hits, the shipping times of their lines the other spans
+
+
+def _span_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, folder, "lineitem")
+    hits = lines.select(F.col("l_orderkey").alias("file"), (F.col("l_linenumber") * 10).cast("long").alias("start"), (F.col("l_linenumber") * 10 + F.col("l_quantity")).cast("long").alias("end")).distinct()
+    other = lines.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("file"), (F.col("l_linenumber") * 10 - 5).cast("long").alias("start"), (F.col("l_linenumber") * 10 + 30).cast("long").alias("end")).distinct()
+    return hits, other
+
+
+_SPANS = """
+WITH hits AS (SELECT DISTINCT l_orderkey AS file, CAST(l_linenumber * 10 AS BIGINT) AS "start", CAST(l_linenumber * 10 + l_quantity AS BIGINT) AS "end" FROM lineitem),
+other AS (SELECT DISTINCT l_orderkey AS file, CAST(l_linenumber * 10 - 5 AS BIGINT) AS s, CAST(l_linenumber * 10 + 30 AS BIGINT) AS e FROM lineitem WHERE l_returnflag = 'R')
+SELECT h.* FROM hits h WHERE {} (SELECT 1 FROM other o WHERE o.file = h.file AND {})"""
+_OVER, _IN = 'h."start" < o.e AND o.s < h."end"', 'o.s <= h."start" AND h."end" <= o.e'
+
+
+@query("span_overlap", _SPANS.format("EXISTS", _OVER))
+def span_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.overlapping(*_span_tables(spark, folder), keys=["file"])
+
+
+@query("span_not", _SPANS.format("NOT EXISTS", _OVER))
+def span_not(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.not_overlapping(*_span_tables(spark, folder), keys=["file"])
+
+
+@query("span_inside", _SPANS.format("EXISTS", _IN))
+def span_inside(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.inside(*_span_tables(spark, folder), keys=["file"], bin_width=50)
+
+
+@query("span_outside", _SPANS.format("NOT EXISTS", _IN))
+def span_outside(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.outside(*_span_tables(spark, folder), keys=["file"], bin_width=50)
+
+
+@query("json_ingest", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, NOT json_valid(props) OR json_extract_string(props, '$.k') IS NULL AS rejected FROM events")
+def json_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_props(table(spark, folder, "events"))
+
+
+@query(
+    "import_resolve_unique",
+    """
+WITH c AS (SELECT s_nationkey, count(DISTINCT s_suppkey) AS n, min(s_suppkey) AS t FROM supplier GROUP BY 1)
+SELECT c_custkey, CASE WHEN n = 1 THEN CAST(t AS VARCHAR) ELSE 'unresolved:' || c_name END AS target, coalesce(n = 1, false) AS resolved
+FROM customer LEFT JOIN c ON c_nationkey = s_nationkey""",
+)
+def import_resolve_unique(spark: SparkSession, folder: str) -> DataFrame:
+    refs = table(spark, folder, "customer").withColumn("s_nationkey", F.col("c_nationkey"))
+    out = resolve.resolve_unique(refs, table(spark, folder, "supplier"), "c_custkey", "s_nationkey", "s_suppkey", F.col("c_name"))
+    return out.select("c_custkey", "target", "resolved")
+
+
+@query(
+    "nearest_scope",
+    """
+WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages),
+refs AS (SELECT page_id, list_reverse(string_split(host, '.')) AS p FROM u),
+steps AS (SELECT page_id, unnest(range(0, len(p) + 1)) AS depth, p FROM refs),
+ladder AS (SELECT page_id, CAST(depth AS INTEGER) AS depth, array_to_string(p[1:depth], '.') AS scope FROM steps),
+defs AS (SELECT scope, min(page_id) AS target, count(DISTINCT page_id) AS n FROM (SELECT page_id, array_to_string(p[1:2], '.') AS scope FROM refs UNION ALL SELECT page_id, array_to_string(p, '.') FROM refs WHERE page_id % 7 = 0) GROUP BY scope),
+best AS (SELECT l.page_id, max(l.depth) AS depth FROM ladder l JOIN defs d ON d.scope = l.scope GROUP BY l.page_id)
+SELECT r.page_id, b.depth, d.target, coalesce(d.n = 1, false) AS resolved
+FROM refs r LEFT JOIN best b ON b.page_id = r.page_id LEFT JOIN ladder l ON l.page_id = r.page_id AND l.depth = b.depth LEFT JOIN defs d ON d.scope = l.scope""",
+)
+def nearest_scope(spark: SparkSession, folder: str) -> DataFrame:
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    refs = table(spark, folder, "pages").select("page_id", F.array_join(F.reverse(F.split(host, r"\.")), ".").alias("scope"))
+    parts = F.split("scope", r"\.")
+    defs = refs.select(F.array_join(F.slice(parts, 1, 2), ".").alias("def_scope"), F.col("page_id").alias("target")).union(refs.filter("page_id % 7 = 0").select("scope", "page_id"))
+    return resolve.nearest_scope(refs, defs, "page_id", "scope", "def_scope", "target").select("page_id", "depth", "target", "resolved")
+
+
+@query(
+    "narrowest_enclosing",
+    """
+WITH bands AS (SELECT p_brand AS brand, p_size AS sz, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY ALL)
+SELECT p.p_partkey, b.sz AS band FROM part p LEFT JOIN bands b ON b.brand = p.p_brand AND b.lo <= p.p_retailprice AND p.p_retailprice <= b.hi
+QUALIFY row_number() OVER (PARTITION BY p.p_partkey ORDER BY b.hi - b.lo, b.sz) = 1""",
+)
+def narrowest_enclosing(spark: SparkSession, folder: str) -> DataFrame:
+    part = table(spark, folder, "part")
+    bands = part.groupBy("p_brand", F.col("p_size").alias("sz")).agg(F.min("p_retailprice").alias("start"), F.max("p_retailprice").alias("end"))
+    out = spans.narrowest_enclosing(part.select("p_partkey", "p_brand", "p_retailprice"), bands, ["p_brand"], "p_retailprice", "p_partkey", "sz")
+    return out.select("p_partkey", F.col("range_sz").alias("band"))
+
+
+# the graph of orders, parts and suppliers
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    a = lines.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    b = lines.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    return a.union(b).distinct()
+
+
+_EDGES = "edges AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"
+
+
+def _nodes(spark: SparkSession, *names: str) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in names], "node string")
+
+
+@query("callees", f"WITH {_EDGES} SELECT DISTINCT src AS node, dst AS other FROM edges WHERE src IN ('o1', 'o7', 'p5')")
+def callees(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.neighbours(_edges(spark, folder), _nodes(spark, "o1", "o7", "p5"), True)
+
+
+@query("callers", f"WITH {_EDGES} SELECT DISTINCT dst AS node, src AS other FROM edges WHERE dst IN ('p1', 'p5', 's3')")
+def callers(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.neighbours(_edges(spark, folder), _nodes(spark, "p1", "p5", "s3"), False)
+
+
+@query(
+    "two_hop_neighbourhood",
+    f"""
+WITH {_EDGES}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+one AS (SELECT a AS node, b AS other, 1 AS hops FROM b WHERE a IN ('o1', 'p5')),
+two AS (SELECT one.node, b.b, 2 FROM one JOIN b ON b.a = one.other)
+SELECT node, other, min(hops) AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE node <> other GROUP BY ALL""",
+)
+def two_hop_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.two_hops(_edges(spark, folder), _nodes(spark, "o1", "p5"))
+
+
+@query(
+    "reachable_closure",
+    """
+WITH RECURSIVE e AS (SELECT conv_id, conv_id * 1000 + turn AS src, conv_id * 1000 + turn + 1 AS dst FROM conversations),
+r AS (SELECT conv_id * 1000 + turn AS node, 0 AS hops FROM conversations WHERE role = 'system' UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node)
+SELECT node, min(hops) AS hops FROM r GROUP BY node""",
+)
+def reachable_closure(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").withColumn("node", F.col("conv_id") * 1000 + F.col("turn"))
+    return resolve.reachable(turns.select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")), turns.filter("role = 'system'"))
+
+
+_TIERS = """
+WITH t AS (
+  SELECT o_custkey AS target, 'part ' || l_partkey AS key, 80 AS score, 'ordered' AS reason FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  UNION ALL SELECT o_custkey, 'order ' || o_orderkey, 100, 'own' FROM orders
+  UNION ALL SELECT o_custkey, 'part ' || l_partkey, 25, 'discounted' FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_discount > 0.05
+),
+g AS (SELECT target, key, max(score) AS score, string_agg(reason, ',' ORDER BY s DESC, reason) AS reasons
+      FROM (SELECT target, key, reason, max(score) AS score, max(score) AS s FROM t GROUP BY ALL) GROUP BY target, key)
+SELECT target, key, score, reasons, row_number() OVER w AS position, greatest(count(*) OVER (PARTITION BY target) - 5, 0) AS omitted
+FROM g WINDOW w AS (PARTITION BY target ORDER BY score DESC, key) QUALIFY position <= 5"""
+
+
+@query("context_rank_topk", _TIERS)
+def context_rank_topk(spark: SparkSession, folder: str) -> DataFrame:
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    own = orders.select(F.col("o_custkey").alias("target"), F.concat(F.lit("order "), "o_orderkey").alias("key"))
+    bought = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("target"), F.concat(F.lit("part "), "l_partkey").alias("key"), "l_discount")
+    out = resolve.ranked_context([(own, 100, "own"), (bought, 80, "ordered"), (bought.filter("l_discount > 0.05"), 25, "discounted")], 5)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(
+    "symbol_selection",
+    """
+WITH x AS (SELECT p_partkey, CASE WHEN p_name = 'part 12' OR p_brand = 'part 12' THEN 0 WHEN contains(lower(p_name), 'part') THEN 1 END AS tier FROM part)
+SELECT p_partkey FROM x WHERE tier = (SELECT min(tier) FROM x)""",
+)
+def symbol_selection(spark: SparkSession, folder: str) -> DataFrame:
+    part = table(spark, folder, "part").withColumn("p_name", F.lower("p_name"))
+    return resolve.select_tiered(part.select("p_partkey", F.col("p_name"), "p_brand"), "part", ["p_brand"], "p_name").select("p_partkey")
+
+
+ORACLE_SQL["symbol_selection"] = "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'part')"
+
+
+# comparison of bags, manifests and lifecycles
+
+
+def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), "l_returnflag")
+    return lines.filter("l_returnflag = 'A'"), lines.filter("l_returnflag = 'R'")
+
+
+@query(
+    "bag_diff",
+    """
+WITH b AS (SELECT l_partkey AS key, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS ordinal FROM lineitem WHERE l_returnflag = 'A'),
+a AS (SELECT l_partkey AS key, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS ordinal FROM lineitem WHERE l_returnflag = 'R')
+SELECT coalesce(b.key, a.key) AS key, coalesce(b.ordinal, a.ordinal) AS ordinal, CASE WHEN a.key IS NULL THEN 'resolved' WHEN b.key IS NULL THEN 'new' ELSE 'unchanged' END AS status
+FROM b FULL JOIN a ON a.key = b.key AND a.ordinal = b.ordinal""",
+)
+def bag_diff(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.bag_diff(*_sides(spark, folder), key="key", order="row")
+
+
+@query(
+    "bag_counts",
+    """
+WITH c AS (SELECT l_partkey AS key, count(*) FILTER (l_returnflag = 'A') AS b, count(*) FILTER (l_returnflag = 'R') AS a FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1)
+SELECT key, least(a, b) AS unchanged, greatest(b - a, 0) AS resolved, greatest(a - b, 0) AS new, 0 AS unclassified FROM c""",
+)
+def bag_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.assessed_diff(*_sides(spark, folder), key="key", before_complete=True, after_complete=True)
+
+
+@query("path_set_difference", "SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def path_set_difference(spark: SparkSession, folder: str) -> DataFrame:
+    before, after = _sides(spark, folder)
+    return compare.only_in(before, after, "key").select("key").distinct()
+
+
+@query(
+    "incremental_changes",
+    """
+WITH b AS (SELECT doc_id AS path, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 11 <> 0),
+a AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 13 <> 0)
+SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS status
+FROM b FULL JOIN a ON a.path = b.path""",
+)
+def incremental_changes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("t"))
+    before = docs.filter("path % 11 <> 0").select("path", F.sha2("t", 256).alias("hash"))
+    after = docs.filter("path % 13 <> 0").select("path", F.sha2(F.when(F.col("path") % 7 == 0, F.concat("t", F.lit("!"))).otherwise(F.col("t")), 256).alias("hash"))
+    return state.manifest_changes(before, after).select("path", "status")
+
+
+@query(
+    "lifecycle_fold",
+    """
+WITH r AS (SELECT DISTINCT user_id, CAST(floor(event_id / 500) AS BIGINT) AS scan FROM events WHERE event_type = 'error'),
+g AS (SELECT *, CASE WHEN scan - lag(scan) OVER (PARTITION BY user_id ORDER BY scan) > 1 THEN 1 ELSE 0 END AS gap FROM r)
+SELECT user_id, min(scan) AS first_seen, max(scan) AS last_seen, count(*) AS scans, CAST(sum(gap) AS BIGINT) AS reopened, max(scan) = (SELECT max(scan) FROM r) AS active FROM g GROUP BY user_id""",
+)
+def lifecycle_fold(spark: SparkSession, folder: str) -> DataFrame:
+    seen = table(spark, folder, "events").filter("event_type = 'error'").select("user_id", F.floor(F.col("event_id") / 500).cast("long").alias("scan"))
+    return state.lifecycle(seen, "user_id", "scan")
+
+
+@query(
+    "finding_upsert",
+    """
+WITH old AS (SELECT user_id, min(event_id) AS first_id, max(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+new AS (SELECT user_id, max(value) AS v FROM events WHERE event_id % 2 = 1 AND event_type <> 'view' GROUP BY 1)
+SELECT coalesce(o.user_id, n.user_id) AS user_id, o.first_id, coalesce(n.v, o.v) AS v FROM old o FULL JOIN new n ON n.user_id = o.user_id""",
+)
+def finding_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events")
+    old = events.filter("event_id % 2 = 0").groupBy("user_id").agg(F.min("event_id").alias("first_id"), F.max("value").alias("old_v"))
+    new = events.filter("event_id % 2 = 1 and event_type <> 'view'").groupBy("user_id").agg(F.max("value").alias("new_v"))
+    return old.join(new, "user_id", "full_outer").select("user_id", "first_id", F.coalesce("new_v", "old_v").alias("v"))
+
+
+@query("memory_latest", "SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY event_type")
+def memory_latest(spark: SparkSession, folder: str) -> DataFrame:
+    return state.latest_values(table(spark, folder, "events").withColumnRenamed("event_type", "key"), "key", "value", "event_id")
+
+
+@query("baseline_status", "WITH b AS (SELECT DISTINCT o_custkey AS fingerprint FROM orders WHERE o_orderstatus = 'F'), p AS (SELECT DISTINCT o_custkey AS fingerprint FROM orders WHERE o_orderstatus = 'O') SELECT coalesce(b.fingerprint, p.fingerprint) AS fingerprint, CASE WHEN p.fingerprint IS NULL THEN 'resolved' ELSE 'active' END AS status FROM b FULL JOIN p ON p.fingerprint = b.fingerprint")
+def baseline_status(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("fingerprint"), "o_orderstatus")
+    return state.baseline_update(orders.filter("o_orderstatus = 'F'").select("fingerprint").distinct(), orders.filter("o_orderstatus = 'O'"))
+
+
+@query("insert_or_ignore", "SELECT l_orderkey, min(l_linenumber) AS l_linenumber, arg_min(l_partkey, l_linenumber) AS l_partkey FROM lineitem GROUP BY l_orderkey")
+def insert_or_ignore(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.first_per(table(spark, folder, "lineitem"), ["l_orderkey"], F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(
+    "verdict",
+    """
+SELECT user_id, CASE WHEN bool_or(event_type = 'error' AND value > 50) THEN 'FAIL' WHEN bool_or(event_type = 'error') OR count(*) < 5 THEN 'WARN' ELSE 'PASS' END AS verdict
+FROM events GROUP BY user_id""",
+)
+def verdict(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events").groupBy("user_id").agg(F.bool_or((F.col("event_type") == "error") & F.coalesce(F.col("value") > 50, F.lit(False))).alias("severe"), F.bool_or(F.col("event_type") == "error").alias("new"), (F.count(F.lit(1)) < 5).alias("incomplete"))
+    return e.select("user_id", compare.verdict(F.col("severe"), F.col("incomplete"), F.col("new")).alias("verdict"))
+
+
+_WILSON = """
+CASE WHEN {n} > 0 THEN {k} / {n} END AS {name},
+CASE WHEN {n} > 0 THEN greatest((({k} / {n}) + 3.841458820694124 / (2 * {n}) - 1.959963984540054 * sqrt(({k} / {n}) * (1 - {k} / {n}) / {n} + 3.841458820694124 / (4.0 * {n} * {n}))) / (1 + 3.841458820694124 / {n}), 0.0) END AS {name}_low,
+CASE WHEN {n} > 0 THEN least((({k} / {n}) + 3.841458820694124 / (2 * {n}) + 1.959963984540054 * sqrt(({k} / {n}) * (1 - {k} / {n}) / {n} + 3.841458820694124 / (4.0 * {n} * {n}))) / (1 + 3.841458820694124 / {n}), 1.0) END AS {name}_high"""
+
+
+@query(
+    "confusion_wilson",
+    f"""
+WITH c AS (SELECT lang, quality = 1 AS positive, n_chars > 2000 AS detected FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT lang, count(*) FILTER (positive AND detected) AS tp, count(*) FILTER (NOT positive AND detected) AS fp, count(*) FILTER (positive AND NOT detected) AS fn, count(*) FILTER (NOT positive AND NOT detected) AS tn
+      FROM c GROUP BY GROUPING SETS ((), (lang)))
+SELECT lang, tp, fp, fn, tn, {_WILSON.format(n="(tp + fp)", k="tp", name="precision")}, {_WILSON.format(n="(tp + fn)", k="tp", name="recall")} FROM m""",
+)
+def confusion_wilson(spark: SparkSession, folder: str) -> DataFrame:
+    cases = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    return score.confusion(cases.select("lang", (F.col("quality") == 1).alias("positive"), (F.col("n_chars") > 2000).alias("detected"), F.lit(False).alias("failed")), "lang")
+
+
+@query("index_counters", "SELECT l_returnflag AS kind, count(*) AS n, count(DISTINCT l_orderkey) AS owners FROM lineitem GROUP BY 1")
+def index_counters(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("owners"))
+
+
+@query("scope_ordinals", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS ordinal FROM orders")
+def scope_ordinals(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")).alias("ordinal"))
+
+
+@query("history_page", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def history_page(spark: SparkSession, folder: str) -> DataFrame:
+    return state.page_newest(table(spark, folder, "orders"), [F.desc("o_totalprice"), F.col("o_orderkey")], 50)[0].select("o_orderkey")
+
+
+@query(
+    "ledger_violations",
+    """
+WITH d AS (SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS before FROM labels)
+SELECT 'unlabelled' AS violation, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'unknown', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'repeated', doc_id FROM labels GROUP BY doc_id HAVING count(*) > 1""",
+)
+def ledger_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return ledger.reference_violations(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id", ("unlabelled", "unknown", "repeated"))
+
+
+@query("manifest_hash", "SELECT source, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS manifest, count(*) AS entries FROM documents GROUP BY source")
+def manifest_hash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return state.manifest_hash(docs, "source", "doc_id", "h")
+
+
+WORDS = text.query_words("the license of an entry, that")
+
+
+@query(
+    "lexical_relevance",
+    "SELECT doc_id, " + " + ".join(f"10 * CAST(contains(lower(source), '{w}') AS INTEGER) + CAST(contains(lower(text), '{w}') AS INTEGER)" for w in WORDS) + " AS score FROM documents ORDER BY score DESC, doc_id LIMIT 20",
+)
+def lexical_relevance(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", lexical.relevance(F.col("source"), F.col("text"), WORDS).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("best_excerpt_line", "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), y AS (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS line FROM x), z AS (SELECT doc_id, line, " + " + ".join(f"CAST(contains(lower(t), '{w}') AS INTEGER)" for w in WORDS) + " AS hits FROM y) SELECT doc_id, CAST(arg_max(line, hits * 1000000 + line) AS INTEGER) AS line FROM z GROUP BY doc_id")
+def best_excerpt_line(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").filter("text is not null").select("doc_id", lexical.best_line(F.col("text"), WORDS).alias("line"))
+
+
+@query("line_window", "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, string_split(text, chr(10))[2] AS second, array_to_string(list_transform(string_split(text, chr(10))[1:3], lambda x: x[1:240]), chr(10)) AS around FROM documents WHERE text IS NOT NULL")
+def line_window(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").filter("text is not null")
+    t = F.col("text")
+    return docs.select("doc_id", F.size(F.split(t, "\n")).cast("long").alias("n_lines"), text.line_at(t, 2).alias("second"), F.array_join(text.line_window(t, F.lit(2), 1, 1), "\n").alias("around"))
+
+
+@query("budget_scan", "SELECT doc_id, CAST(sum(strlen(text)) OVER w AS BIGINT) AS used, sum(strlen(text)) OVER w <= 50000 AS within FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
+def budget_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return lexical.running_budget(docs, F.octet_length("text"), ["doc_id"], 50000, group="source").select("doc_id", "used", "within")
+
+
+@query("span_position", "WITH x AS (SELECT doc_id, text, strpos(text, 'the') - 1 AS p FROM documents WHERE contains(text, 'the')) SELECT doc_id, p + 1 - length(replace(substr(text, 1, p), chr(10), '')) AS line, strlen(regexp_replace(substr(text, 1, p), '^(.|\\n)*\\n', '')) + 1 AS col FROM x")
+def span_position(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").filter(F.contains("text", F.lit("the")))
+    start = F.instr("text", "the") - 1
+    return docs.select("doc_id", text.span_line(F.col("text"), start).cast("long").alias("line"), text.span_column(F.col("text"), start).cast("long").alias("col"))
+
+
+_SINK_CASES = [("execute", "sql-injection"), ("system", "command-injection"), ("send", "xss"), ("open", "path-traversal")]
+
+
+@query("sink_classes", "SELECT event_id, CASE event_type WHEN 'view' THEN 'xss' WHEN 'click' THEN 'sql-injection' WHEN 'error' THEN 'command-injection' END AS sink, CASE event_type WHEN 'signup' THEN 'authentication' END AS guard FROM events")
+def sink_classes(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.when(F.col("event_type") == "view", "res::send").when(F.col("event_type") == "click", "db.query").when(F.col("event_type") == "error", "subprocess.run").when(F.col("event_type") == "signup", "auth.login_required").otherwise("other")
+    return table(spark, folder, "events").select("event_id", classify.sink_type_col(name, F.lit(True)).alias("sink"), classify.guard_type_col(name).alias("guard"))
+
+
+@query("coverage_counts", "SELECT source, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, coalesce(bool_or(quality = 0 AND toxic = 1), false) AS both_bad, count(*) FILTER (quality IS NULL) AS pending FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def coverage_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return rows.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.coalesce(F.bool_or((F.col("quality") == 0) & (F.col("toxic") == 1)), F.lit(False)).alias("both_bad"), F.count_if(F.col("quality").isNull()).alias("pending"))
+
+
+@query("pending_units", "SELECT source, min(doc_id) AS next_unit, count(*) AS pending FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")
+def pending_units(spark: SparkSession, folder: str) -> DataFrame:
+    left = compare.only_in(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id")
+    return left.groupBy("source").agg(F.min("doc_id").alias("next_unit"), F.count(F.lit(1)).alias("pending"))
+
+
+@query("text_filter", "SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'build')")
+def text_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").filter(F.contains(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")), F.lit("build"))).select("c_custkey")
