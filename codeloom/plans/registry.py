@@ -278,18 +278,10 @@ def context_rank_topk(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query(
-    "symbol_selection",
-    """
-WITH x AS (SELECT p_partkey, CASE WHEN p_name = 'part 12' OR p_brand = 'part 12' THEN 0 WHEN contains(lower(p_name), 'part') THEN 1 END AS tier FROM part)
-SELECT p_partkey FROM x WHERE tier = (SELECT min(tier) FROM x)""",
-)
+@query("symbol_selection", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'bolt')")
 def symbol_selection(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part").withColumn("p_name", F.lower("p_name"))
-    return resolve.select_tiered(part.select("p_partkey", F.col("p_name"), "p_brand"), "part", ["p_brand"], "p_name").select("p_partkey")
-
-
-ORACLE_SQL["symbol_selection"] = "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'part')"
+    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand")
+    return resolve.select_tiered(part, "Bolt", ["p_name", "p_brand"], "p_name").select("p_partkey")
 
 
 # comparison of bags, manifests and lifecycles
@@ -322,9 +314,10 @@ def bag_counts(spark: SparkSession, folder: str) -> DataFrame:
     return compare.assessed_diff(*_sides(spark, folder), key="key", before_complete=True, after_complete=True)
 
 
-@query("path_set_difference", "SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("path_set_difference", "SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 def path_set_difference(spark: SparkSession, folder: str) -> DataFrame:
-    before, after = _sides(spark, folder)
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_partkey", "key")
+    before, after = lines.filter("l_returnflag = 'A'"), lines.filter("l_returnflag = 'R' and l_quantity > 45")
     return compare.only_in(before, after, "key").select("key").distinct()
 
 
