@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from codeloom.functions import classify, severity, text
 from codeloom.functions.identity import finding_fingerprint, identity_sql, json_string
-from codeloom.operators import compare, ledger, lexical, resolve, score, spans, state
+from codeloom.operators import code_index, compare, ledger, lexical, resolve, rule_scan, score, spans, state, taint
+from codeloom.sources.samples import sample_tree
 from codeloom.sources.scanner_json import parse_props
 from codeloom.sources.tables import table
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -502,3 +503,27 @@ def pending_units(spark: SparkSession, folder: str) -> DataFrame:
 @query("text_filter", "SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'build')")
 def text_filter(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").filter(F.contains(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")), F.lit("build"))).select("c_custkey")
+
+
+# source trees: the supplied tables hold no code, so these run over a generated tree
+
+
+@query("code_rule_scan")
+def code_rule_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return rule_scan.scan(sample_tree(spark))[0].select("file", "line", "column", "rule_id", "severity", "fingerprint")
+
+
+@query("code_index_status")
+def code_index_status(spark: SparkSession, folder: str) -> DataFrame:
+    return code_index.status(code_index.index_files(sample_tree(spark)))
+
+
+@query("code_calls")
+def code_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return code_index.edges(code_index.index_files(sample_tree(spark))).filter("kind = 'CALLS'").select("path", "line", "name", "resolved")
+
+
+@query("code_taint_trace")
+def code_taint_trace(spark: SparkSession, folder: str) -> DataFrame:
+    flows, _ = taint.trace(code_index.index_files(sample_tree(spark)))
+    return flows.select("id", "source_path", "source_line", "source", "sink_path", "sink_line", "sink", "category", "confidence")
