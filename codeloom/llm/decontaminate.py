@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from codeloom.llm.bytewords import ALNUM, Words, slices, text_buffers, words
 from codeloom.llm.fm_index import FMIndex
+from codeloom.llm.worker import release, small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,9 +144,10 @@ def removal_spans(w: Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _report(blocks: list):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             buf, offs = text_buffers(batch.column(1))
-            for i, j in slices(offs, 16 << 20):
+            for i, j in slices(offs, 8 << 20):
                 w = words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
                 hit, items = _search_all(w, [b.value for b in blocks])
                 count = np.concatenate([[0], np.cumsum(hit)])
@@ -184,9 +186,10 @@ def _cut(text: bytes, blocks: list[Phrases]) -> bytes:
 
 def _remove(blocks: list, column: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             buf, offs = text_buffers(batch.column(column))
-            for i, j in slices(offs, 16 << 20):
+            for i, j in slices(offs, 8 << 20):
                 part = batch.slice(i, j - i)
                 w = words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
                 loaded = [b.value for b in blocks]
@@ -211,6 +214,7 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-total // block_bytes)
+    small_batches(benchmark.sparkSession)
     sc = benchmark.sparkSession.sparkContext
     out = []
     for b in range(n):

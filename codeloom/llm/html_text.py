@@ -28,6 +28,7 @@ from html import unescape
 from math import e, log
 
 import pyarrow as pa
+from codeloom.llm.worker import small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,6 +268,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     and 0.  Null ids and urls are passed on; repeated rows give their row each.  Other columns are not read.
     An empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(_batches, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from codeloom.llm.bytewords import ALNUM, hash_words, slices, text_buffers, words
+from codeloom.llm.worker import small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,6 +204,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple] = TEMPLATES, phras
     id is passed on.  Other columns are not read.  An empty table gives no rows.
     Templates have at most ``STRIDE`` words.
     """
+    small_batches(docs.sparkSession)
     terms = vocabulary([*templates, *phrases])
     plan = make_plan(templates, phrases, threshold, token_frequency(docs, terms))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from codeloom.llm.bytewords import U64, VISIBLE, Words, mix, seeds, slices, text_buffers, words
 from codeloom.llm.toxicity import fit_logistic, labelled_sample
+from codeloom.llm.worker import small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     Rows with a null id or label are left out; of labels of one id one counts.
     If the sample lacks a class, every text gets the score of the other one, 0 if it lacks both.
     """
+    small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, label, sample_rows).mapInArrow(_bucket_batches, "buckets binary, label int")
     parts, y = [], []
     for r in rows.toLocalIterator():
@@ -220,6 +222,7 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
     rows give their row each; a null id is passed on.  Other columns are not
     read.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, score double")

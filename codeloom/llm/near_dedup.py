@@ -31,6 +31,7 @@ import pyarrow as pa
 from codeloom.llm.bytewords import U64, VISIBLE, mix, seeds, shingles, slices, text_buffers, words
 from codeloom.llm.components import components
 from codeloom.llm.sketch import sketches
+from codeloom.llm.worker import release, small_batches
 from codeloom.storage import materialize, remove
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ SALTS = 16
 
 def _sketch_batches(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             buf, offs = text_buffers(batch.column(1))
             for i, j in slices(offs):
@@ -231,6 +233,7 @@ class _Job:
         self.docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
         self.k, self.percent = k, percent
         self.spark = docs.sparkSession
+        small_batches(self.spark)
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         return materialize(df, label)[0]

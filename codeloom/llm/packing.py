@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from codeloom.llm.bytewords import slices, text_buffers
 from codeloom.llm.subword import encoder
+from codeloom.llm.worker import small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,5 +179,6 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     rows are packed each.  Other columns are not read.  An empty table gives no
     rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_pack_batches(tokenizer, end_id, capacity, group), ", ".join(f"{n} long" for n in _NAMES))

@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from codeloom.llm.bytewords import U64, mix, slices, text_buffers
 from codeloom.llm.subword import encoder
+from codeloom.llm.worker import small_batches
 from codeloom.storage import materialize, new_path
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
@@ -262,6 +263,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     are all kept.  Other columns are not read.  An empty table gives no shard.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_path(spark, "shards")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from codeloom.llm.bytewords import _POW, U64, mix, seeds, slices
+from codeloom.llm.worker import resource
 from tokenizers import Tokenizer
 
 _SLOTS = 1 << 20
@@ -196,15 +197,9 @@ class ChunkEncoder:
         return mix(out)
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a tokenizer file; one is kept per path."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for a tokenizer file."""
+    return resource(("encoder", path), lambda: ChunkEncoder(path))
 
 
 def tokenizer_path(name: str) -> str:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from codeloom.llm.bytewords import slices, text_buffers
 from codeloom.llm.subword import encoder
+from codeloom.llm.worker import small_batches
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     A null or empty text has length 0.  Repeated rows count each.  Other columns
     are not read.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_length_batches(tokenizer), "length long, docs long")
     return parts.groupBy("length").agg(F.sum("docs").alias("docs"))
 

@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from codeloom.llm.bytewords import ALNUM, U64, slices, text_buffers, words
+from codeloom.llm.worker import resource, small_batches
 from codeloom.storage import materialize, remove
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +99,7 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and its distance, the first in order on ties; None beyond the allowed one."""
-        if len(self.moves) > 1 << 18:
+        if len(self.moves) > 1 << 16:
             self._reset()
         state, moves = self.start, self.moves
         for ch in word:
@@ -286,14 +287,8 @@ def _form_batches(model):
     return run
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = Scorer(model)
-    return _SCORERS[id(model)]
+    return resource(("scorer", id(model)), lambda: Scorer(model))  # the scorer holds the model, so its id stays its own
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -327,6 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     counts.  If the sample lacks either class, the model scores every text 0.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sample, sample_path = materialize(labelled_sample(docs, labels, label, sample_rows), "toxic-sample")
     sizes = {bool(r.label): r.n for r in sample.groupBy((F.col("label") > 0).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
@@ -373,6 +369,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     Repeated rows give their row each; a null id is passed on.  Other
     columns are not read.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(_score_batches(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, score double")
@@ -393,6 +390,7 @@ def _clean_batches(model, column: int):
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all columns."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_clean_batches(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")), docs.schema)
 
 
