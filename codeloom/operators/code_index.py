@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from codeloom.functions.identity import identity, json_string
 from codeloom.functions.python_frontend import extract
+from codeloom.functions.script_frontend import extract_script
 from codeloom.functions.text import language
 from codeloom.operators.resolve import scope_ladder
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Changes when extraction gives other facts, so that stored ones are made anew.
-REVISION = 1
+REVISION = 2
 MAX_FILE_BYTES = 1 << 20
 
 _S, _I = T.StringType(), T.IntegerType()
@@ -48,8 +49,8 @@ def _extract_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         rows = []
         for project, path, content, lang in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
             row = {"project": project, "path": path, "language": lang, "content_hash": identity(content or ""), "revision": REVISION}
-            if lang == "python":
-                facts = extract(project, path, content or "")
+            if lang in ("python", "javascript", "typescript", "rust"):
+                facts = extract(project, path, content or "") if lang == "python" else extract_script(project, path, content or "", lang)
                 row |= {k: getattr(facts, k) for k in ("symbols", "imports", "calls", "annotations", "hops", "notes")}
             else:
                 row |= {"symbols": [], "imports": [], "calls": [], "annotations": [], "hops": [], "notes": [f"{path}: no extraction for {lang or 'this kind of file'}"]}
@@ -85,21 +86,32 @@ def call_uid(path: Column, call: Column) -> Column:
 
 def import_candidates(imports: DataFrame) -> DataFrame:
     """Imports with every path that they may mean: ``candidate, symbol``."""
-    up = F.length(F.regexp_extract("module", r"^(\.*)", 1))
+    script, rust = F.col("path").rlike(r"\.(?:js|jsx|ts|tsx)$"), F.col("path").endswith(".rs")
+    near = script & F.col("module").rlike(r"^\.\.?(?:/|$)")
+    # steps up from the file's folder: dots of Python, ../ of scripts
+    up = F.when(near, F.size(F.filter(F.split("module", "/"), lambda x: x == "..")) + 1).when(script | rust, 0).otherwise(F.length(F.regexp_extract("module", r"^(\.*)", 1)))
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     parts = F.filter(F.split(folder, "/"), lambda x: x != "")
     base = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up + 1, F.lit(0))), "/")
-    name = F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/"))
+    dotted = F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/"))
+    name = F.when(near, F.regexp_replace("module", r"^(?:\.\.?/)+", "")).when(rust, F.replace(F.regexp_replace("module", "^(?:crate|self)(?:::)?", ""), F.lit("::"), F.lit("/"))).when(script, F.col("module")).otherwise(dotted)
 
     def joined(*x: Column) -> Column:
         return F.array_join(F.filter(F.array(*x), lambda p: p != ""), "/")
 
-    roots = F.when(up > 0, F.array(base)).otherwise(F.array(F.lit(""), F.lit("src"), folder, F.lit("app")))
-    tails = F.array(F.lit(".py"), F.lit("/__init__.py"))
-    whole = F.transform(roots, lambda r: joined(r, name))
-    nested = F.transform(roots, lambda r: joined(r, name, F.col("imported")))
-    as_module = F.flatten(F.transform(whole, lambda s: F.transform(tails, lambda t: F.struct(F.concat(s, t).alias("candidate"), F.col("imported").alias("symbol")))))
-    as_member = F.when(F.col("imported").isNotNull(), F.flatten(F.transform(nested, lambda s: F.transform(tails, lambda t: F.struct(F.concat(s, t).alias("candidate"), F.lit(None).cast("string").alias("symbol")))))).otherwise(F.array().cast(as_module_type()))
+    roots = F.when(up > 0, F.array(base)).when(rust, F.array(F.lit("src"), folder)).otherwise(F.array(F.lit(""), F.lit("src"), folder, F.lit("app")))
+    kinds = [(script, (".ts", ".tsx", ".js", ".jsx", "", "/index.ts", "/index.js")), (rust, (".rs", "/mod.rs"))]
+    tails = F
+    for when, ends in kinds:
+        tails = tails.when(when, F.array(*map(F.lit, ends)))
+    tails = tails.otherwise(F.array(F.lit(".py"), F.lit("/__init__.py")))
+
+    def paths(root_name: Column, symbol: Column) -> Column:
+        return F.flatten(F.transform(root_name, lambda s: F.transform(tails, lambda t: F.struct(F.concat(s, t).alias("candidate"), symbol.alias("symbol")))))
+
+    as_module = paths(F.transform(roots, lambda r: joined(r, name)), F.col("imported"))
+    nested = paths(F.transform(roots, lambda r: joined(r, name, F.col("imported"))), F.lit(None).cast("string"))
+    as_member = F.when(F.col("imported").isNotNull() & ~script, nested).otherwise(F.array().cast(as_module_type()))
     exploded = imports.withColumn("c", F.explode(F.array_distinct(F.concat(as_module, as_member))))
     return exploded.select(*imports.columns, "c.candidate", "c.symbol")
 

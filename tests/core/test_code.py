@@ -128,3 +128,42 @@ def test_identity_ignores_moved_lines(spark):
     found = taint.flow_findings(a).collect()
     assert {f.severity for f in found} == {"high"} and {f.confidence for f in found} == {0.65}
     assert taint.of_target(a, "store.py").count() == 1
+
+
+SERVER = """
+import { find as look } from './lib/store';
+const cp = require('child_process');
+const app = express();
+app.get('/x', (r, res) => {
+  const name = r.query.name;
+  look(name);
+  const { a, b } = req.body;
+  res.send(`hi ${escapeHtml(a)}`);
+  res.send(`hi ${b}`);
+});
+class Box { put(x) { this.go(x); } go(x) { cp.exec(x); } }
+new Box().put('fixed');
+"""
+LIB = """
+export function build(v) { let q = 'a'; if (v) { q = "select " + v; } return q; }
+export const find = (v) => { db.query(build(v)); };
+export function safe(v) { db.query("select ?", [v]); }
+"""
+RUST = """
+use crate::util::read;
+fn main() { let p = std::env::args(); read(p); /* open(p) */ }
+"""
+
+
+def test_scripts(spark):
+    rows = [("p", "app/server.ts", SERVER), ("p", "app/lib/store.js", LIB), ("p", "src/main.rs", RUST), ("p", "src/util.rs", "pub fn read(p: String) { std::fs::read_to_string(p); }"), ("p", "broken.js", "f((")]
+    index = code_index.index_files(spark.createDataFrame(rows, "project string, path string, content string"))
+    notes = [n for r in index.collect() for n in r.notes]
+    assert len(notes) == 1 and notes[0].startswith("broken.js")
+    resolved = {(r.path, r.name): r.resolved for r in code_index.resolve_calls(index).collect()}
+    assert resolved["app/server.ts", "look"] and resolved["app/lib/store.js", "build"] and resolved["app/server.ts", "self.go"] and resolved["src/main.rs", "read"]
+    symbols = {(r.qualified, r.kind) for r in code_index.facts(index, "symbols").collect()}
+    assert {("Box", "class"), ("Box.put", "method"), ("find", "function"), ("read", "function"), ("main", "function")} <= symbols
+    found, complete = taint.trace(index)
+    assert complete
+    assert sorted((r.source, r.sink_path, r.category) for r in found.collect()) == [("req.body", "app/server.ts", "xss"), ("req.query.name", "app/lib/store.js", "sql-injection")]
