@@ -9,7 +9,8 @@ tags below it, the composite text density is
 with ``LCb / Cb`` the share of link characters in the body, and 1 in place of a 0.  A node's density
 sum adds up its children's densities.  The node of the largest sum starts the main text;
 the smallest density on its path to the body is the threshold.  Wherever a subtree
-reaches the threshold, its own node of the largest sum belongs to the text too.
+reaches the threshold, its own node of the largest sum belongs to the text too, and
+so does an article element round the best node.
 
 Inline formatting is not markup of the page's layout: such elements count as no
 tags, and their children as children of what they stand in.
@@ -46,7 +47,8 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _INLINE = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: Words in a class or id that mark an element as something other than article text.
-_NEVER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments reply replies respond disqus cookie cookies consent gdpr".split())
+_NEVER = frozenset("ad ads adbox adslot adunit adsense reply replies respond responses disqus discussion reactions consent gdpr".split())
+_NEVER_STARTS = ("advert", "sponsor", "comment", "cookie")
 _RARELY = frozenset("banner notice notices alert popup modal overlay promo promotion newsletter subscribe signup login share sharing social related recommended sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead header footer copyright disclaimer search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
@@ -113,7 +115,9 @@ class _Tree:
                     rarely = rarely or value.lower() in _ROLES
                 elif name in ("class", "id"):
                     words = {w.lower() for w in _HINT.findall(value)}
-                    never = never or not words.isdisjoint(_NEVER)
+                    never = never or not words.isdisjoint(_NEVER) or any(w.startswith(_NEVER_STARTS) for w in words)
+                    if self.open["article"] or self.open["main"]:
+                        words.discard("header")  # the article's own
                     rarely = rarely or not words.isdisjoint(_RARELY)
         return never, rarely
 
@@ -228,8 +232,12 @@ def main_text(html: str | None) -> str:
     while at != body and at > 0:
         threshold, at = min(threshold, density[at]), tree.parent[at]
     threshold = min(threshold, density[body])
-    # a node without counted children has no sum; its own text stands for it
     marked = [False] * n
+    named = top  # the article element round the best node holds its headings too
+    while named > 0 and tree.tag[named] not in ("article", "main"):
+        named = tree.parent[named]
+    if named > 0 and inside[named]:
+        marked[named] = True
     for i in range(n):
         if inside[i]:
             if density[i] >= threshold > 0 or i == body:

@@ -30,6 +30,8 @@ def page(body: str) -> str:
         (page(f"<div id='cookie-bar'><p>We use cookies, and say so at length, here and there.</p></div><div class=main><p>{A}</p><p>{A}</p></div><div class='comments'><p>I liked it a lot, this text is great.</p></div>"), f"{A}\n{A}"),
         (page(f"<div class='sidebar'><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div><div><section><p>{A}</p></section><section><p>{A}</p><ul><li>x one<li>y two</ul></section></div><form>Name <input></form>"), f"{A}\n{A}\nx one\ny two"),
         (page(f"<article><p><b>{A}<br><p>{A}</p></article><aside>{A}</aside>"), f"{A}\n{A}"),
+        (page(f"<header><h1>Site</h1></header><div class='siteHeader'>x</div><main><div class='article-header'><h1>Head</h1></div><div class='text'><p>{A}</p><p>{A}</p></div></main><div role='complementary'><p>{A}</p></div><section id='commentlist'><p>{A}</p></section><div class='newsletter-signup'>Join us</div><ul><li><a href=a>More</a></li><li><a href=b>Even more</a></li></ul>"), f"Head\n{A}\n{A}"),
+        (page(f"<div><a href=a>Home</a> <a href=b>News</a> <a href=c>About us</a></div><div><div><p>{A}</p><p>{A}</p><table><tr><td>cell one</td><td>cell two</td></tr></table></div></div>"), f"{A}\n{A}\ncell one\ncell two"),
         ("<div>" * 20000 + "deep", "deep"), ("a < b and c", "a < b and c"), ("<!-- never closed", ""), ("<p title='a>b'>in</p>", "in"), ("<script>x", ""),
     ],
 )
