@@ -33,7 +33,7 @@ from codeloom.llm.components import components
 from codeloom.llm.sketch import sketches
 from codeloom.llm.worker import release, small_batches
 from codeloom.storage import materialize, remove
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
@@ -44,6 +44,8 @@ LEAST_PERCENT = 75
 LEAST_AGREEMENT = 0.5625
 #: Members of a block when a bucket is compared.
 BLOCK = 512
+#: Words of the bit set that keeps unneeded texts out of shuffles.
+FILTER_WORDS = 1 << 20
 #: Salts for joins on the digest of a class.
 SALTS = 16
 
@@ -226,6 +228,21 @@ def _block_links(percent: int):
     return run
 
 
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``id`` is not in ``ids``, so that they need no shuffle.
+
+    The filter is a bit set of ``FILTER_WORDS`` words of 64 bits, made by an aggregation: its size is
+    bounded whatever the number of ids, so it can be broadcast.  It lets every wanted row pass.
+    """
+
+    def place(id_col: str) -> tuple[Column, Column]:
+        return F.expr(f"pmod(xxhash64({id_col}), {FILTER_WORDS}L)"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({id_col}), 32), 64) as int))")
+
+    word, bit = place("id")
+    bits = ids.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    return rows.join(F.broadcast(bits), word == F.col("__word")).filter(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 class _Job:
     """One run over ``docs``: keeps the paths of its tables and the settings."""
 
@@ -245,7 +262,7 @@ class _Job:
         classes = sk.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
         spread = classes.select(F.col("digest").alias("c_digest"), "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("c_salt"))
         joined = sk.join(spread, (F.col("digest") == F.col("c_digest")) & (salt == F.col("c_salt")), "left")
-        out = self.keep(joined.select("doc_id", "n_shingles", "sketch", F.coalesce("first", "doc_id").alias("rep")), "classes")
+        out = self.keep(joined.select("doc_id", "n_shingles", "sketch", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("rep")), "classes")
         remove(self.spark, path)
         return out
 
@@ -271,8 +288,9 @@ class _Job:
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """The full shingle sets of the documents ``ids(id)``: id, set."""
-        texts = self.docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-        return texts.mapInArrow(_set_batches(self.k), "id long, set binary").dropDuplicates(["id"])
+        texts = likely(self.docs.withColumnRenamed("doc_id", "id"), ids)
+        # the exact join comes after the map: the optimizer would move it below the filter, and shuffle all texts
+        return texts.mapInArrow(_set_batches(self.k), "id long, set binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` whose full shingle sets are similar enough."""
