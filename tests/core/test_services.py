@@ -183,3 +183,13 @@ def test_engine(spark, tmp_path):
     assert e.verify(files("def ("))[0] == "WARN"
     shown = e.explain(found, files(bad)).first()
     assert shown.symbol == "run" and "    os.system(x)" in shown.excerpt
+
+
+def test_command_line(tmp_path, capsys):
+    from codeloom.__main__ import main, parser
+
+    assert main(["rules"]) == 0 and len(capsys.readouterr().out.splitlines()) == 22
+    args = parser().parse_args(["--state", "s", "scan", "x", "--format", "sarif"])
+    assert (args.verb, args.path, args.format, args.threshold) == ("scan", "x", "sarif", "high")
+    with pytest.raises(SystemExit):
+        parser().parse_args(["diff", "x"])
