@@ -2,8 +2,9 @@
 
 Byte-pair encoders work inside pre-tokens, and the pre-tokenisers of the
 supported files always break before a single space that follows a
-non-white-space character.  A text is therefore the concatenation of chunks
-``"word"``, ``" word"`` ... that can be encoded one by one.  Corpora repeat
+non-white-space character, before most signs after a letter or digit, and after a single
+line break.  A text is therefore the concatenation of chunks ``"word"``,
+``" word"``, ``","`` ... that can be encoded one by one.  Corpora repeat
 their chunks, so each Python worker keeps a bounded table of chunks it has
 seen; only new chunks reach the tokenizer.  A hit needs equal hash, length,
 first eight and last eight bytes: up to 16 bytes that is the whole chunk.
@@ -25,6 +26,10 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14), *range(28, 32)]] = True
 _VISIBLE_ASCII = np.zeros(256, dtype=bool)
 _VISIBLE_ASCII[33:127] = True
+_WORDLIKE = np.zeros(256, dtype=bool)
+_WORDLIKE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_SIGN = _VISIBLE_ASCII & ~_WORDLIKE
+_SIGN[[39, 124]] = False  # apostrophes begin contractions, bars stand in special tokens
 _VALUE = seeds(256, 3)
 _LONGEST = 64  # longer chunks are not kept
 
@@ -48,10 +53,17 @@ def chunk_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     after_ascii = _VISIBLE_ASCII[prev]
     after_letter = (prev >= 128) & (_VISIBLE_ASCII[nxt] | ((lead >= 0xC3) & (lead <= 0xDF)))
     cut[at[after_ascii | after_letter]] = True
-    # a document's edge is no neighbour: a space at its start or end stays in its chunk
+    # a sign after an ASCII letter or digit begins a pre-token
+    cut[1:] |= _SIGN[buf[1:]] & _WORDLIKE[buf[:-1]]
+    # so does what follows a single line break
+    at = np.flatnonzero(buf[1:-1] == 10) + 2 if len(buf) > 2 else at[:0]
+    nxt = buf[at]
+    cut[at[_VISIBLE_ASCII[buf[at - 2]] & (_VISIBLE_ASCII[nxt] | ((nxt >= 0xC3) & (nxt <= 0xDF)))]] = True
+    # a document's edge is no neighbour: what is next to it stays in its chunk
     edge = offs[(offs < len(buf))]
-    cut[edge[edge + 1 < len(buf)] + 1] = False
-    cut[edge[edge > 0] - 1] = False
+    for near in (1, 2, -1):
+        side = edge + near
+        cut[side[(side > 0) & (side < len(buf))]] = False
     cut[edge] = True
     return np.flatnonzero(cut)
 
