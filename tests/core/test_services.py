@@ -193,3 +193,20 @@ def test_command_line(tmp_path, capsys):
     assert (args.verb, args.path, args.format, args.threshold) == ("scan", "x", "sarif", "high")
     with pytest.raises(SystemExit):
         parser().parse_args(["diff", "x"])
+
+
+def test_audit_runs(spark, tmp_path):
+    from codeloom.sources import audit
+
+    docs = audit.new_run(f"{tmp_path}/r", "r1", "p", "snap")
+    with pytest.raises(FileExistsError):
+        audit.new_run(f"{tmp_path}/r", "r1", "p", "snap")
+    docs["coverage"] = [{"unit": "u1", "position": 1, "status": "complete", "attempts": [{"attempt": 1, "source_snapshot": "snap", "result": "success"}]}]
+    docs["findings"] = [{"fingerprint": "f", "title": "t"}]
+    audit.write_new(f"{tmp_path}/s", docs)
+    t = audit.tables(spark, audit.read_documents(f"{tmp_path}/s"))
+    assert t["coverage"].select(F.explode("attempts.result")).first()[0] == "success" and t["reviews"].count() == 0
+    assert records.validate(t["findings"]).count() >= 2
+    (tmp_path / "s/run.json").write_text('{"run": "r", "source_snapshot": "x", "odd": 1}')
+    with pytest.raises(ValueError, match="odd"):
+        audit.read_documents(f"{tmp_path}/s")
