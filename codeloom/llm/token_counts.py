@@ -14,6 +14,7 @@ import pyarrow as pa
 from codeloom.llm.bytewords import slices, text_buffers
 from codeloom.llm.subword import encoder
 from codeloom.llm.worker import small_batches
+from codeloom.storage import materialize
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     ``docs_truncated, tokens_lost``: documents that such a limit cuts, and ids it cuts off.
     ``rank``: share of documents of at most this length, so quantile q is the smallest length with ``rank >= q``.
     """
+    # read twice below, so it is written once: the texts are encoded a single time
+    histogram, _ = materialize(histogram.select("length", "docs"), "lengths")
     h = histogram.select("length", "docs", (F.col("length") * F.col("docs")).alias("tokens"), F.floor(F.col("length") / SPAN).cast("long").alias("block"))
     blocks = h.groupBy("block").agg(F.sum("docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
