@@ -1,23 +1,26 @@
 """Main text of HTML pages by composite text density.
 
 Every page is parsed into a tree (no recursion, so depth is no limit).  For each
-node with ``C`` characters, ``LC`` of them in links, ``T`` tags and ``LT`` link
+node with ``C`` characters, ``NC`` of them noise, ``T`` tags and ``NT`` noise
 tags below it, the composite text density is
 
-    C / T * log(C / LC * T / LT)  to the base  ln(C / (C - LC) * LC + LCb / Cb * C + e)
+    C / T * log(C / NC * T / NT)  to the base  ln(C / (C - NC) * NC + NCb / Cb * C + e)
 
-with ``LCb / Cb`` the share of link characters in the body, and 1 in place of a 0.  A node's density
+with ``NCb / Cb`` the share of noise in the body, and 1 in place of a 0.  Noise is what stands in links, so a
+menu has hardly any density however its element is called.  A node's density
 sum adds up its children's densities.  The node of the largest sum starts the main text;
 the smallest density on its path to the body is the threshold.  Wherever a subtree
-reaches the threshold, its own node of the largest sum belongs to the text too, and
-so does an article element round the best node.
+reaches the threshold, its own node of the largest sum belongs to the text too, and so do the
+article element round the best node, and headings beside what belongs to it.  Within the
+text, an element of mostly noise that stays below the threshold goes: lists of links, and hinted elements.
 
 Inline formatting is not markup of the page's layout: such elements count as no
 tags, and their children as children of what they stand in.
 
-Elements that are never article text (scripts, menus, forms, page headers and
-footers, and what its class, id or role calls a notice, advert, sidebar or
-comment) are taken out first, so that plain sentences in them don't count.
+Plain sentences of an advert or a footer are as dense as the article's.  So an element's name, role, class or
+id may *hint* that it is no article text; its characters and tags then count as noise, and the same densities decide.
+Hints that are ambiguous (a reply may be the article of a forum) are dropped where the densest
+subtree lies inside them.  Nothing but what is never displayed (scripts, styles, form controls, hidden elements) is removed by name alone.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html import unescape
 from math import e, log
 
@@ -42,22 +46,27 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE) for t in
 _HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset("script style noscript template nav aside footer form button select option textarea input iframe object svg canvas audio video map dialog menu head title math xmp noembed noframes".split())
+#: Elements without displayed text, and form controls.
+_DROP = frozenset("script style noscript template button select option textarea input iframe object svg canvas audio video map head title xmp noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _INLINE = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-#: Words in a class or id that mark an element as something other than article text.
-_NEVER = frozenset("ad ads adbox adslot adunit adsense reply replies respond responses disqus discussion reactions consent gdpr".split())
-_NEVER_STARTS = ("advert", "sponsor", "comment", "cookie")
-_RARELY = frozenset("banner notice notices alert popup modal overlay promo promotion newsletter subscribe signup login share sharing social related recommended sidebar widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar masthead header footer copyright disclaimer search".split())
+#: Names, roles, and words of a class or id, that hint at something other than article text.
+_CERTAIN_TAGS = frozenset("nav aside footer menu dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+_COMMENTS = frozenset("comment comments commenter commentlist commentform disqus replies respond".split())
+_CERTAIN = _COMMENTS | frozenset("ad ads adbox adslot adunit adsense advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored cookie cookies cookiebar cookiebanner consent gdpr notice notices alert banner masthead sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer header login signup subscribe newsletter".split())
+_UNCERTAIN = frozenset("reply responses reactions discussion popup modal overlay promo promotion share sharing social related recommended widget widgets toolbar copyright disclaimer search".split())
+#: Words beside which another word of a class names a layout.
+_LAYOUT = frozenset("has with no without wrap wrapper layout".split())
 
 
 class _Tree:
     """Nodes in document order as parallel lists; a parent comes before its children."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.drop, self.soft = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.drop, self.hint = ["#root"], [-1], [False], [0]
         self.events: list[tuple[int, str]] = []  # (node, text), or (node, "") at a block boundary
         self.stack = [0]
         self.open: Counter = Counter()
@@ -96,30 +105,33 @@ class _Tree:
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(self.stack[-1])
-        never, rarely = self._hints(tag, attrs)
+        never, hint = self._hints(tag, attrs)
         self.drop.append(never)
-        self.soft.append(rarely)
+        self.hint.append(hint)
+        if tag in ("p", "article", "main", "h1") and self.open["form"]:
+            for outer in self.stack:  # a form round prose is the page's frame
+                if self.tag[outer] == "form":
+                    self.hint[outer] = min(self.hint[outer], 1)
         if tag not in _VOID:
             self.stack.append(node)
             self.open[tag] += 1
 
-    def _hints(self, tag: str, attrs: str) -> tuple[bool, bool]:
+    def _hints(self, tag: str, attrs: str) -> tuple[bool, int]:
+        """Whether an element is never displayed, and 2 or 1 for a certain or ambiguous hint."""
         never = tag in _DROP
-        rarely = tag == "header" and not (self.open["article"] or self.open["main"])
-        if attrs and tag not in ("html", "body", "article", "main"):
+        inner = self.open["article"] or self.open["main"]
+        hint = 2 if tag in _CERTAIN_TAGS or tag == "form" or tag == "header" and not inner else 0
+        if attrs and tag not in ("html", "body", "main"):
             for m in _ATTR.finditer(attrs):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                     never = True
                 elif name == "role":
-                    rarely = rarely or value.lower() in _ROLES
+                    hint = 2 if value.lower() in _ROLES else hint
                 elif name in ("class", "id"):
-                    words = {w.lower() for w in _HINT.findall(value)}
-                    never = never or not words.isdisjoint(_NEVER) or any(w.startswith(_NEVER_STARTS) for w in words)
-                    if self.open["article"] or self.open["main"]:
-                        words.discard("header")  # the article's own
-                    rarely = rarely or not words.isdisjoint(_RARELY)
-        return never, rarely
+                    for token in value.split():
+                        hint = max(hint, _token_hint(token, tag == "article", bool(inner)))
+        return never, hint
 
     def _parse(self, html: str) -> None:
         at, n = 0, len(html)
@@ -154,38 +166,115 @@ class _Tree:
                 self._pop_to(tag)
 
 
-def _densities(tree: _Tree, gone: list[bool], texts: list[tuple[int, str]]) -> tuple[list[float], list[float], list[int]]:
-    """Density, density sum and characters of every node that is not gone."""
-    n = len(tree.tag)
-    chars, link_chars, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
-    for i in range(1, n):
-        in_link[i] = in_link[tree.parent[i]] or tree.tag[i] == "a"
-    for node, text in texts:
-        size = len(text) - text.count(" ")
-        chars[node] += size
-        if in_link[node]:
-            link_chars[node] += size
-    for i in range(n - 1, 0, -1):
-        if not gone[i]:
+@lru_cache(maxsize=4096)
+def _token_hint(token: str, article: bool, inner: bool) -> int:
+    """Hint of one class or id on an element that is, or stands in, an article."""
+    words = {w.lower() for w in _HINT.findall(token)}
+    if article:  # its class names parts of it; but reader comments are articles, too
+        words &= _COMMENTS
+    if inner:
+        words.discard("header")  # the article's own
+    if words & _CERTAIN:
+        return 1 if words & _LAYOUT else 2
+    return 1 if words & _UNCERTAIN else 0
+
+
+class _Counts:
+    """Characters and tags below each node of a tree, without what is gone."""
+
+    def __init__(self, tree: _Tree, gone: list[bool], texts: list[tuple[int, str]]) -> None:
+        n = len(tree.tag)
+        self.tree, self.gone = tree, gone
+        self.own = [0] * n
+        for node, text in texts:
+            self.own[node] += len(text) - text.count(" ")
+        self.chars, self.tags, self.links = self.own[:], [0] * n, [0] * n
+        for i in range(n - 1, 0, -1):
+            if not gone[i]:
+                p = tree.parent[i]
+                self.chars[p] += self.chars[i]
+                self.tags[p] += self.tags[i] + (tree.tag[i] not in _INLINE)
+                self.links[p] += self.links[i] + (tree.tag[i] == "a")
+
+
+class _Densities:
+    """Density and density sum of every node, for the given hints."""
+
+    def __init__(self, counts: _Counts, hints: set[int]) -> None:
+        tree, gone = counts.tree, counts.gone
+        n = len(tree.tag)
+        hinted, noisy = [False] * n, [False] * n
+        for i in range(1, n):
             p = tree.parent[i]
-            chars[p] += chars[i]
-            link_chars[p] += link_chars[i]
-            tags[p] += tags[i] + (tree.tag[i] not in _INLINE)
-            link_tags[p] += link_tags[i] + (tree.tag[i] == "a")
-    share = link_chars[0] / max(1, chars[0])
-    density, total = [0.0] * n, [0.0] * n
-    for i in range(n - 1, -1, -1):
-        c, lc, t, lt = chars[i], link_chars[i], max(1, tags[i]), max(1, link_tags[i])
-        if i and tree.tag[i] in _INLINE:
-            total[tree.parent[i]] += total[i]
-            total[i] = 0.0
-        elif c and not gone[i]:
-            base = log(c / max(1, c - lc) * lc + share * c + e)
-            density[i] = max(0.0, c / t * log(max(c / max(1, lc) * t / lt, 1.0)) / base)
-            if i:
-                total[tree.parent[i]] += density[i]
-    return density, total, chars
+            hinted[i] = hinted[p] or i in hints
+            noisy[i] = noisy[p] or hinted[i] or tree.tag[i] == "a"
+        noise = [c if x else 0 for c, x in zip(counts.own, noisy, strict=True)]
+        noise_tags = [0] * n
+        for i in range(n - 1, 0, -1):
+            if not gone[i]:
+                p = tree.parent[i]
+                noise[p] += noise[i]
+                noise_tags[p] += noise_tags[i] + (tree.tag[i] == "a" or hinted[i] and tree.tag[i] not in _INLINE)
+        self.noise = noise
+        share = noise[0] / max(1, counts.chars[0])
+        self.density, self.total = density, total = [0.0] * n, [0.0] * n
+        for i in range(n - 1, -1, -1):
+            if i and tree.tag[i] in _INLINE:
+                total[tree.parent[i]] += total[i]
+                total[i] = 0.0
+            elif counts.chars[i] and not gone[i]:
+                density[i] = composite_density(counts.chars[i], noise[i], counts.tags[i], noise_tags[i], share)
+                if i:
+                    total[tree.parent[i]] += density[i]
+        # the node of the largest sum in every subtree, the first on ties
+        self.best = best = list(range(n))
+        for i in range(n - 1, 0, -1):
+            if not gone[i]:
+                p = tree.parent[i]
+                if total[best[i]] > total[best[p]] or total[best[i]] == total[best[p]] and best[p] != p and best[i] < best[p]:
+                    best[p] = best[i]
+
+
+def composite_density(chars: int, noise: int, tags: int, noise_tags: int, share: float) -> float:
+    """The formula of the module's docstring; 0 where the logarithm is not positive."""
+    some, t = max(1, noise), max(1, tags)
+    inner = chars / some * t / max(1, noise_tags)
+    if not chars or inner <= 1:
+        return 0.0
+    return chars / t * log(inner) / log(log(chars / max(1, chars - noise) * some + share * chars + e))
+
+
+def _way_up(tree: _Tree, node: int) -> set[int]:
+    out = set()
+    while node >= 0:
+        out.add(node)
+        node = tree.parent[node]
+    return out
+
+
+def _measure(counts: _Counts, body: int) -> tuple[_Densities, set[int]]:
+    """Densities, and the hints that hold."""
+    tree = counts.tree
+    shown = [i for i in range(1, len(tree.tag)) if tree.hint[i] and not counts.gone[i] and counts.chars[i]]
+    hints = {i for i in shown if tree.hint[i] == 2}
+    got = _Densities(counts, hints)
+    if len(hints) < len(shown):
+        # an ambiguous hint does not hold where the densest subtree lies inside
+        way = _way_up(tree, got.best[body])
+        more = {i for i in shown if tree.hint[i] == 1 and i not in way}
+        after = _Densities(counts, hints | more)
+        if not after.total[after.best[body]]:  # nothing is left: nor does it on the way to the densest text
+            node, way = got.best[body], set(way)
+            children: dict[int, list[int]] = {}
+            for i in range(1, len(tree.tag)):
+                children.setdefault(tree.parent[i], []).append(i)
+            while node in children:
+                node = max(children[node], key=lambda i: got.density[i])
+                way.add(node)
+            more -= way
+            after = _Densities(counts, hints | more)
+        hints, got = hints | more, after
+    return got, hints
 
 
 def main_text(html: str | None) -> str:
@@ -194,55 +283,45 @@ def main_text(html: str | None) -> str:
         return ""
     tree = _Tree(html)
     n = len(tree.tag)
-    texts = []
-    for node, raw in tree.events:
-        if raw and not raw.isspace():
-            texts.append((node, " ".join((unescape(raw) if "&" in raw else raw).split())))
-    plain = [0] * n
-    for node, text in texts:
-        plain[node] += len(text)
     gone = [False] * n
     for i in range(1, n):
         gone[i] = tree.drop[i] or gone[tree.parent[i]]
-    for i in range(n - 1, 0, -1):
-        if not gone[i]:
-            plain[tree.parent[i]] += plain[i]
-    for i in range(1, n):  # what a hint names stays if it holds most of the page
-        gone[i] = gone[i] or gone[tree.parent[i]] or tree.soft[i] and 2 * plain[i] <= plain[0]
-    texts = [(node, text) for node, text in texts if not gone[node]]
+    texts = []
+    for node, raw in tree.events:
+        if raw and not gone[node] and not raw.isspace():
+            texts.append((node, " ".join((unescape(raw) if "&" in raw else raw).split())))
     if not texts:
         return ""
-    density, total, _ = _densities(tree, gone, texts)
-    body = next((i for i in range(n) if tree.tag[i] == "body" and not gone[i]), 0)
-    inside = [False] * n
-    inside[body] = True
-    for i in range(body + 1, n):
-        inside[i] = inside[tree.parent[i]] and not gone[i]
-    if not any(inside[node] for node, _ in texts):
-        body, inside = 0, [not g for g in gone]
-    # the best node of every subtree, the first on ties
-    best = list(range(n))
-    for i in range(n - 1, 0, -1):
-        if inside[i]:
-            p = tree.parent[i]
-            if total[best[i]] > total[best[p]] or total[best[i]] == total[best[p]] and best[p] != p and best[i] < best[p]:
-                best[p] = best[i]
+    counts = _Counts(tree, gone, texts)
+    body = next((i for i in range(n) if tree.tag[i] == "body" and counts.chars[i]), 0)
+    got, hints = _measure(counts, body)
+    density, best = got.density, got.best
     top = best[body]
-    threshold, at = density[top], top
-    while at != body and at > 0:
-        threshold, at = min(threshold, density[at]), tree.parent[at]
-    threshold = min(threshold, density[body])
-    marked = [False] * n
-    named = top  # the article element round the best node holds its headings too
-    while named > 0 and tree.tag[named] not in ("article", "main"):
-        named = tree.parent[named]
-    if named > 0 and inside[named]:
-        marked[named] = True
-    for i in range(n):
+    threshold = min(density[i] for i in _way_up(tree, top) if i >= body)
+    inside, marked, cut, above = [False] * n, [False] * n, [False] * n, [False] * n
+    inside[body] = True
+    frame = next((i for i in sorted(_way_up(tree, top), reverse=True) if i > body and tree.tag[i] in ("article", "main")), top)
+    marked[frame] = True
+    for i in range(body, n):
+        p = tree.parent[i]
+        if i > body:
+            inside[i] = inside[p] and not gone[i]
         if inside[i]:
-            if density[i] >= threshold > 0 or i == body:
+            if i == body or density[i] >= threshold > 0:
                 marked[best[i]] = True  # itself if nothing below it has a sum
-            marked[i] = marked[i] or i > 0 and marked[tree.parent[i]]
+            marked[i] = marked[i] or i > 0 and marked[p]
+            low = density[i] < threshold or not density[i]
+            links = counts.links[i] > 1 and 2 * got.noise[i] > counts.chars[i] and tree.tag[i] not in _HEADINGS and tree.tag[i] not in _INLINE
+            cut[i] = i > body and (cut[p] or low and (i in hints or links))
+    for i in range(n - 1, body, -1):
+        above[tree.parent[i]] = above[tree.parent[i]] or above[i] or marked[i]
+    for i in range(body + 1, n):  # headings of what is marked, wherever they stand round it
+        marked[i] = marked[i] or inside[i] and (marked[tree.parent[i]] or tree.tag[i] in _HEADINGS and above[tree.parent[i]])
+    show = [m and not c for m, c in zip(marked, cut, strict=True)]
+    if not any(show[node] for node, _ in texts):  # no prose: what no hint names
+        show = [False] * n
+        for i in range(n):
+            show[i] = not gone[i] and i not in hints and (i == 0 or show[tree.parent[i]])
     lines: list[str] = []
     line: list[str] = []
 
@@ -255,7 +334,7 @@ def main_text(html: str | None) -> str:
     for node, raw in tree.events:
         if raw == "":
             flush()
-        elif marked[node]:
+        elif show[node]:
             line.append(unescape(raw) if "&" in raw else raw)
     flush()
     return "\n".join(lines)

@@ -12,14 +12,18 @@ from pyspark.sql import SparkSession
 #: Rows of an Arrow batch at most; texts are long, and both sides hold a batch in memory.
 BATCH_ROWS = 1024
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch at most, unless one row has more.
+BATCH_BYTES = 32 << 20
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _HELD: dict[Hashable, Any] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS``, if it is larger."""
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` and ``BATCH_BYTES``, if it is larger."""
     now = int(spark.conf.get(_BATCH_SETTING))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+    spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
 
 
 def release() -> None:
