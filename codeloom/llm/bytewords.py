@@ -150,8 +150,40 @@ def _pieces(buf: np.ndarray, offs: np.ndarray, member: np.ndarray) -> Iterator[t
         lo = hi
 
 
-def words(buf: np.ndarray, offs: np.ndarray, spec: WordSpec) -> Words:
-    """Words of the documents in ``buf`` between consecutive ``offs``."""
+#: Lead bytes of characters that ``written_words`` looks at: 1 two bytes, 2 punctuation, 3 unspaced, 4 partly, 5 four bytes.
+_LEAD = np.zeros(256, dtype=np.uint8)
+_LEAD[0xC2], _LEAD[0xE2], _LEAD[0xE3:0xEA], _LEAD[[0xE0, 0xE1, 0xEF]], _LEAD[0xF0] = 1, 2, 3, 4, 5
+
+
+def written_words(buf: np.ndarray, offs: np.ndarray) -> Words:
+    """Words as ``ALNUM`` has them, but parted by punctuation beyond ASCII, and by script.
+
+    Quotation marks, dashes and spaces of the Latin-1, general, CJK and fullwidth blocks part words.
+    In scripts that put no spaces between words (Han, Kana, Thai, Lao, Burmese, Khmer), each character is a word.
+    """
+    n = len(buf)
+    at = np.flatnonzero(_LEAD[buf])
+    at = at[at + 1 < n]
+    if not len(at):
+        return words(buf, offs, ALNUM)
+    kind, second = _LEAD[buf[at]], buf[at + 1]
+    third = buf[np.minimum(at + 2, n - 1)]
+    latin = (kind == 1) & ~np.isin(second, (0xAA, 0xB5, 0xBA))
+    wide = (buf[at] == 0xEF) & ((second == 0xBC) & ((third < 0x90) | (third >= 0x9A) & (third < 0xA1) | (third >= 0xBB)) | (second == 0xBD) & ((third == 0x80) | (third >= 0x9B) & (third < 0xA6)))
+    marks = (kind == 2) & (second < 0x82) | (buf[at] == 0xE3) & (second == 0x80) | wide
+    lone = (kind == 3) & ~marks | (buf[at] == 0xE0) & (second >= 0xB8) & (second < 0xBC) | (buf[at] == 0xE1) & ((second < 0x83) | (second == 0x9E) | (second == 0x9F))
+    lone4 = (kind == 5) & (second >= 0xA0) & (second < 0xB0)
+    if latin.any() or marks.any():
+        buf = buf.copy()
+        for places, size in ((at[latin], 2), (at[marks], 3)):
+            for k in range(size):
+                buf[np.minimum(places + k, n - 1)] = 32
+    breaks = np.unique(np.concatenate([at[lone], at[lone] + 3, at[lone4], at[lone4] + 4]))
+    return words(buf, offs, ALNUM, breaks[breaks < n])
+
+
+def words(buf: np.ndarray, offs: np.ndarray, spec: WordSpec, breaks: np.ndarray | None = None) -> Words:
+    """Words of the documents in ``buf`` between consecutive ``offs``; also cut before the bytes ``breaks``, if given."""
     starts, ends, hashes = [], [], []
     cuts = offs[1:-1]
     for lo, hi in _pieces(buf, offs, spec.member):
@@ -167,6 +199,11 @@ def words(buf: np.ndarray, offs: np.ndarray, spec: WordSpec) -> Words:
         inner = cuts[a:b] - lo
         before[inner] = False
         after[inner[inner > 0] - 1] = False
+        if breaks is not None:
+            a, b = np.searchsorted(breaks, [lo, hi])
+            inner = breaks[a:b] - lo
+            before[inner] = False
+            after[inner[inner > 0] - 1] = False
         s = np.flatnonzero(m & ~before)
         if not len(s):
             continue

@@ -7,9 +7,12 @@ is made deterministic state by state as texts need it.  A word that it accepts i
 an exact, a misspelled or an inflected form of a term and weighs the log-odds
 of its own counts, or else of its kind.
 
+Words are parted by script and by all punctuation, so that a term stands out of text
+without spaces and between typographic quotation marks.  No word is too long or too rare to be looked up.
+
 Each match is looked at in a window of words: quotation marks round it and words of
 reporting make it a quotation, else it is abuse.  A logistic model over
-the sums of both gives the score.
+the sums of both gives the score.  The size of the lexicon is bounded by the labelled sample only.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from codeloom.llm.bytewords import ALNUM, U64, slices, text_buffers, words
+from codeloom.llm.bytewords import U64, slices, text_buffers, written_words
 from codeloom.llm.worker import resource, small_batches
 from codeloom.storage import materialize, remove
 from pyspark.sql import Column, DataFrame
@@ -28,8 +31,6 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that are learned from at most; the ones of smallest hash of their id.
 SAMPLE_ROWS = 20000
-#: Terms of the lexicon at most; the ones of most evidence.
-LEXICON_TERMS = 4000
 #: Log-odds and toxic documents that a term needs.
 LEAST_LOG_ODDS, LEAST_DOCS = 2.0, 3
 #: Terms of fewer characters must match exactly.
@@ -118,11 +119,12 @@ def log_odds(pos: float, neg: float, n_pos: int, n_neg: int) -> float:
 
 @dataclass
 class Model:
-    """Lexicon with weights, weights of single forms, and the logistic model."""
+    """Lexicon with weights, weights of single forms and of each term's rare misspellings, and the logistic model."""
 
     terms: dict[str, float]
     stems: dict[str, float]
     forms: dict[str, float] = field(default_factory=dict)
+    fuzzy: dict[str, float] = field(default_factory=dict)
     fuzzy_weight: float = 1.0
     stem_share: float = 0.75
     coef: np.ndarray | None = None
@@ -151,7 +153,7 @@ class Scorer:
                 break
         near = self.automaton.match(word)
         if near is not None:
-            base = max(base, min(self.model.terms[near[0]], self.model.fuzzy_weight))
+            base = max(base, min(self.model.terms[near[0]], self.model.fuzzy.get(near[0], self.model.fuzzy_weight)))
         return self.model.forms.get(word, base) if base else 0.0
 
     def codes(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -165,18 +167,17 @@ class Scorer:
             raw = buf.tobytes()
             new = np.zeros(len(at), dtype=np.int32)
             for n, (s, e) in enumerate(zip(start[at].tolist(), end[at].tolist(), strict=True)):
-                if e - s <= 256:
-                    w = self.weight(_fold(raw[s:e]))
-                    if w:
-                        new[n] = len(self.weights)
-                        self.weights.append(w)
+                w = self.weight(_fold(raw[s:e]))
+                if w:
+                    new[n] = len(self.weights)
+                    self.weights.append(w)
             code[miss] = new[inverse]
             self.key[slot[at]], self.code[slot[at]] = h[at], new
         return code
 
     def features(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """One row of features per document."""
-        w = words(buf, offs, ALNUM)
+        w = written_words(buf, offs)
         code = self.codes(buf, w.start, w.end, w.hash)
         out = np.zeros((len(offs) - 1, 6))
         n_words = np.diff(w.first)
@@ -191,7 +192,7 @@ class Scorer:
             abuse = quoted = 0.0
             for p in at.tolist():
                 weight = self.weights[code[p]]
-                q = quotation(raw, w.start, w.end, p, int(w.first[d]), int(w.first[d + 1]))
+                q = quotation(raw, w.start, w.end, p, int(w.first[d]), int(w.first[d + 1]), int(offs[d]), int(offs[d + 1]))
                 word = _fold(raw[w.start[p] : w.end[p]])
                 before = seen.get(word)
                 seen[word] = max(before or -1e9, weight)
@@ -199,7 +200,7 @@ class Scorer:
                 quoted += weight * q
             values = list(seen.values())
             out[d] = (
-                max(-20.0, min(abuse, 60.0)), max(-20.0, min(quoted, 60.0)), max(values),
+                math.asinh(abuse), math.asinh(quoted), max(values),
                 math.log1p(sum(v > LEAST_LOG_ODDS for v in values)), abuse / len(at),
                 abuse / math.sqrt(n_words[d]),
             )
@@ -219,28 +220,39 @@ def _fold(word: bytes) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def quotation(raw: bytes, start: np.ndarray, end: np.ndarray, p: int, lo: int, hi: int) -> float:
-    """How much the window round word ``p`` of the words ``lo .. hi`` is a quotation, from 0 to 1."""
+def quotation(raw: bytes, start: np.ndarray, end: np.ndarray, p: int, lo: int, hi: int, begin: int, stop: int) -> float:
+    """How much the window round word ``p`` of the document with words ``lo .. hi`` and bytes ``begin .. stop`` is a quotation, from 0 to 1."""
     a, b = max(lo, p - WINDOW), min(hi, p + WINDOW + 1)
-    before = raw[start[a] if a > lo else max(0, start[a] - 4) : start[p]].decode("utf-8", "ignore")
-    after = raw[end[p] : end[b - 1] + 4].decode("utf-8", "ignore")
+    before = raw[start[a] if a > lo else max(begin, start[a] - 4) : start[p]].decode("utf-8", "ignore")
+    after = raw[end[p] : min(stop, end[b - 1] + 4)].decode("utf-8", "ignore")
     opened = sum(before.count(c) for c in _QUOTES) % 2 == 1
     closed = any(c in after for c in _QUOTES)
     said = any(_fold(raw[start[i] : end[i]]) in REPORTING for i in range(a, b) if i != p)
     return (0.7 if opened and closed else 0.0) + (0.3 if said and opened else 0.15 if said else 0.0)
 
 
+#: Distinct words and beginnings a task holds before it puts out their counts.
+_HELD_COUNTS = 1 << 20
+
+
 def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label) to documents per word and word beginning: feature, pos, neg."""
+    counts: dict[str, list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        pos, neg = zip(*counts.values(), strict=True)
+        made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(pos, pa.int64()), pa.array(neg, pa.int64())], names=["feature", "pos", "neg"])
+        counts.clear()
+        return made
+
     for batch in batches:
         labels = batch.column(1).to_pylist()
         buf, offs = text_buffers(batch.column(0))
         for i, j in slices(offs, 8 << 20):
-            w = words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
+            w = written_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
             raw = buf[offs[i] : offs[j]].tobytes()
             names = [_fold(raw[s:e]) for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-            counts: dict[str, list[int]] = {}
             for d in range(j - i):
                 mine = {names[x] for x in np.unique(inverse[w.first[d] : w.first[d + 1]]).tolist()}
                 mine |= {f"{x[:n]}*" for x in mine for n in STEMS if len(x) > n}
@@ -250,9 +262,10 @@ def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     if got is None:
                         got = counts[x] = [0, 0]
                     got[side] += 1
-            if counts:
-                pos, neg = zip(*counts.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(pos, pa.int64()), pa.array(neg, pa.int64())], names=["feature", "pos", "neg"])
+            if len(counts) > _HELD_COUNTS:
+                yield out()
+    if counts:
+        yield out()
 
 
 def _feature_batches(model):
@@ -268,21 +281,22 @@ def _feature_batches(model):
 
 
 def _form_batches(model):
-    """Counted words that only match inexactly: feature, pos, neg, kind."""
+    """Counted words that only match inexactly: feature, pos, neg, and the term next to those that begin with no stem."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         automaton = LexiconAutomaton(m.terms)
         for batch in batches:
-            keep, kinds = [], []
+            keep, terms = [], []
             for n, x in enumerate(batch.column(0).to_pylist()):
                 if x not in m.terms:
                     stem = any(len(x) > k and x[:k] in m.stems for k in STEMS)
-                    if stem or automaton.match(x) is not None:
+                    near = None if stem else automaton.match(x)
+                    if stem or near is not None:
                         keep.append(n)
-                        kinds.append("stem" if stem else "fuzzy")
+                        terms.append(near and near[0])
             part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kinds, pa.string())], names=["feature", "pos", "neg", "kind"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(terms, pa.string())], names=["feature", "pos", "neg", "term"])
 
     return run
 
@@ -331,17 +345,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     binary = sample.select("text", (F.col("label") > 0).cast("int").alias("label"))
     counts, counts_path = materialize(binary.mapInArrow(_count_batches, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-words")
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    top = counts.filter(F.col("pos") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "feature").limit(LEXICON_TERMS).collect()
+    # terms are in at least LEAST_DOCS of the sample's documents, so the sample bounds what is collected here
+    top = counts.filter(F.col("pos") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_LOG_ODDS).collect()
     model = Model({r.feature: r.odds for r in top if not r.feature.endswith("*")}, {r.feature[:-1]: r.odds for r in top if r.feature.endswith("*") and r.pos >= 3 * LEAST_DOCS and r.odds >= 1.5 * LEAST_LOG_ODDS})
     sc = spark.sparkContext
     shared = sc.broadcast(model)
-    forms = counts.filter(~F.col("feature").endswith("*")).mapInArrow(_form_batches(shared), "feature string, pos long, neg long, kind string")
-    rows = forms.groupBy("kind", F.when(F.col("pos") + F.col("neg") >= LEAST_DOCS, F.col("feature")).alias("feature")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    for r in rows.orderBy(F.desc(F.col("pos") + F.col("neg")), "kind", "feature").limit(5 * LEXICON_TERMS).collect():
+    forms = counts.filter(~F.col("feature").endswith("*")).mapInArrow(_form_batches(shared), "feature string, pos long, neg long, term string")
+    rare = F.col("pos") + F.col("neg") < LEAST_DOCS  # too rare for a weight of their own: together, by term
+    rows = forms.groupBy(F.when(rare, F.col("term")).alias("term"), F.when(~rare, F.col("feature")).alias("feature")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+    for r in rows:
         if r.feature is not None:
             model.forms[r.feature] = log_odds(r.pos, r.neg, n_pos, n_neg)
-        elif r.kind == "fuzzy":
-            model.fuzzy_weight = max(0.5, log_odds(r.pos, r.neg, n_pos, n_neg))
+        elif r.term is not None and r.pos + r.neg >= LEAST_DOCS:
+            model.fuzzy[r.term] = log_odds(r.pos, r.neg, n_pos, n_neg)
+    few = [r for r in rows if r.feature is None and r.term is not None]
+    if few:
+        model.fuzzy_weight = max(0.5, log_odds(sum(r.pos for r in few), sum(r.neg for r in few), n_pos, n_neg))
     shared = sc.broadcast(model)
     points = binary.mapInArrow(_feature_batches(shared), "x array<double>, label int").toLocalIterator()
     x, y = zip(*((r.x, r.label) for r in points), strict=True)

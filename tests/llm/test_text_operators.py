@@ -196,7 +196,7 @@ def test_quotation_window():
         raw = text.encode()
         w = words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), SPEC)
         p = [raw[s:e] for s, e in zip(w.start, w.end, strict=True)].index(word.encode())
-        return toxicity.quotation(raw, w.start, w.end, p, 0, len(w.start))
+        return toxicity.quotation(raw, w.start, w.end, p, 0, len(w.start), 0, len(raw))
 
     assert share('she said "you moron" to him', "moron") == 1.0
     assert share("you are a moron and that is it", "moron") == 0
