@@ -1,9 +1,9 @@
 """Quality scores by Naive Bayes support vectors (Wang and Manning, 2012).
 
-A document is the set of its n-grams: words and word pairs, and one to three
-*shapes* in a row.  A shape says how a word is written: case, digits, length
+A document is the set of its n-grams: words and word pairs.  Additions to the
+method, which ``additions=False`` leaves out: one to three *shapes* in a row.  A shape says how a word is written: case, digits, length
 class, the sign it ends in, whether it repeats the word before; shapes also
-count in classes of their share of the text.  N-grams are hashed into a fixed number of
+count in classes of their share of the text, and the text's length is a class.  N-grams are hashed into a fixed number of
 buckets; an indicator per bucket is scaled by the bucket's log-count ratio
 between the classes, and a linear hinge-loss model over them is fitted by dual
 coordinate descent (Hsieh et al., 2008).  Ratio and weight fold into one number
@@ -63,21 +63,14 @@ def _coarse(code: np.ndarray) -> np.ndarray:
     return (rest // 8) * 18 + code % 18
 
 
-def ngram_buckets(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct buckets of each document, and their bounds."""
-    w = words(buf, offs, VISIBLE)
-    n_docs = len(offs) - 1
-    if not len(w.hash):
-        return np.zeros(0, dtype=np.int32), np.zeros(n_docs + 1, dtype=np.int64)
+def _shape_grams(buf: np.ndarray, w: Words, c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Documents and hashes of one to three shapes in a row, of shares of shapes, and of lengths."""
     shape, repeat = _shapes(buf, w)
-    doc = w.doc
+    doc, n_docs = w.doc, len(w.first) - 1
+    same = doc[1:] == doc[:-1]
     fine = mix(shape.astype(U64) + U64(1))
     coarse = mix(_coarse(shape).astype(U64) + U64(1 << 40))
-    c = seeds(8, 41)
-    grams = [(doc, mix(w.hash * c[0])), (doc, mix(fine * c[1]))]
-    same = doc[1:] == doc[:-1]
-    grams.append((doc[1:][same], mix(w.hash[1:] * c[2] + w.hash[:-1] * c[3])[same]))
-    grams.append((doc[1:][same], mix(coarse[1:] * c[4] + coarse[:-1] * c[5])[same]))
+    grams = [(doc, mix(fine * c[1])), (doc[1:][same], mix(coarse[1:] * c[4] + coarse[:-1] * c[5])[same])]
     if len(doc) > 2:
         three = doc[2:] == doc[:-2]
         grams.append((doc[2:][three], mix(coarse[2:] * c[4] + coarse[1:-1] * c[6] + coarse[:-2] * c[7])[three]))
@@ -91,6 +84,21 @@ def ngram_buckets(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
         level = np.floor(2 * np.log2(count / total[of])).astype(np.int64)
         grams.append((of, mix((unique & U64((1 << 40) - 1)) * c[3] + (level + 64).astype(U64) * c[6])))
     grams.append((np.arange(n_docs), mix(np.log2(np.diff(w.first) + 1).astype(U64) * c[7] + U64(99))))
+    return grams
+
+
+def ngram_buckets(buf: np.ndarray, offs: np.ndarray, additions: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct buckets of each document, and their bounds."""
+    w = words(buf, offs, VISIBLE)
+    n_docs = len(offs) - 1
+    if not len(w.hash):
+        return np.zeros(0, dtype=np.int32), np.zeros(n_docs + 1, dtype=np.int64)
+    doc = w.doc
+    c = seeds(8, 41)
+    same = doc[1:] == doc[:-1]
+    grams = [(doc, mix(w.hash * c[0])), (doc[1:][same], mix(w.hash[1:] * c[2] + w.hash[:-1] * c[3])[same])]
+    if additions:
+        grams += _shape_grams(buf, w, c)
     key = np.concatenate([(d.astype(U64) << U64(20)) | (g >> U64(44)) for d, g in grams])
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]
@@ -106,6 +114,7 @@ class Model:
     bias: float
     slope: float
     offset: float
+    additions: bool = True
 
     def scores(self, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0.0], np.cumsum(self.weight[buckets], dtype=np.float64)])
@@ -123,8 +132,9 @@ def log_count_ratio(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray, alph
 
 
 def dual_coordinate_descent(buckets: np.ndarray, bounds: np.ndarray, value: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = 40, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of the squared-hinge-loss support vector machine; ``y`` is -1 or 1.
+    """Weights and bias of the hinge-loss support vector machine; ``y`` is -1 or 1.
 
+    Minimises ``(|w|^2 + bias^2) / 2 + cost * sum(max(0, 1 - margin))`` over its dual, whose variables lie in [0, cost].
     ``value`` gives each bucket's value; rows are scaled by the root of their number of buckets.
     """
     n = len(y)
@@ -132,18 +142,17 @@ def dual_coordinate_descent(buckets: np.ndarray, bounds: np.ndarray, value: np.n
     alpha = np.zeros(n)
     rows = [buckets[bounds[i] : bounds[i + 1]] for i in range(n)]
     vals = [value[r] / np.sqrt(max(1, len(r))) for r in rows]
-    diag = 0.5 / cost
-    norm = np.array([v @ v + 1.0 + diag for v in vals])
+    norm = np.array([v @ v + 1.0 for v in vals])
     order = np.random.default_rng(0)
     for _ in range(rounds):
         worst = 0.0
         for i in order.permutation(n):
-            g = y[i] * (w[rows[i]] @ vals[i] + bias) - 1 + diag * alpha[i]
-            projected = min(g, 0.0) if alpha[i] == 0 else g
+            g = y[i] * (w[rows[i]] @ vals[i] + bias) - 1
+            projected = min(g, 0.0) if alpha[i] == 0 else max(g, 0.0) if alpha[i] == cost else g
             if abs(projected) > 1e-12:
                 worst = max(worst, abs(projected))
                 old = alpha[i]
-                alpha[i] = max(old - g / norm[i], 0.0)
+                alpha[i] = min(max(old - g / norm[i], 0.0), cost)
                 step = (alpha[i] - old) * y[i]
                 w[rows[i]] += step * vals[i]
                 bias += step
@@ -179,28 +188,33 @@ def train(buckets: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> Model:
     return Model(weight, bias, slope, float(offset))
 
 
-def _bucket_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offs = text_buffers(batch.column(0))
-        for i, j in slices(offs, 2 << 20):
-            b, at = ngram_buckets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            yield pa.RecordBatch.from_arrays([pa.array([b[at[d] : at[d + 1]].tobytes() for d in range(j - i)], pa.binary()), batch.column(1).slice(i, j - i)], names=["buckets", "label"])
+def _bucket_batches(additions: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = text_buffers(batch.column(0))
+            for i, j in slices(offs, 2 << 20):
+                b, at = ngram_buckets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], additions)
+                yield pa.RecordBatch.from_arrays([pa.array([b[at[d] : at[d + 1]].tobytes() for d in range(j - i)], pa.binary()), batch.column(1).slice(i, j - i)], names=["buckets", "label"])
+
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, additions: bool = True) -> Model:
     """Learn from at most ``sample_rows`` rows of ``labels(doc_id, label)``.
 
     Rows with a null id or label are left out; of labels of one id one counts.
     If the sample lacks a class, every text gets the score of the other one, 0 if it lacks both.
     """
     small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, label, sample_rows).mapInArrow(_bucket_batches, "buckets binary, label int")
+    rows = labelled_sample(docs, labels, label, sample_rows).mapInArrow(_bucket_batches(additions), "buckets binary, label int")
     parts, y = [], []
     for r in rows.toLocalIterator():
         parts.append(np.frombuffer(r.buckets, dtype=np.int32))
         y.append(r.label)
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return train(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), bounds, np.array(y))
+    model = train(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), bounds, np.array(y))
+    model.additions = additions
+    return model
 
 
 def _score_batches(model):
@@ -209,7 +223,7 @@ def _score_batches(model):
         for batch in batches:
             buf, offs = text_buffers(batch.column(1))
             for i, j in slices(offs, 1 << 20):
-                s = m.scores(*ngram_buckets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+                s = m.scores(*ngram_buckets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], m.additions))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     return run
