@@ -10,8 +10,9 @@ at least the template's threshold of its distinct tokens.  The join is exact and
 * the positional filter: tokens before the first common one are missing, those after it bound the overlap.
 
 The templates are few and fixed, so the vocabulary goes to the workers and no
-text is shuffled; only token counts are.  A phrase is a template that needs all its
-tokens; a check of its places in the block follows.
+text is shuffled; only token counts are.  An exact check of places follows: each template names a
+key, the words that tell its license from others, which must stand in the block one after
+another.  A phrase is a template that needs all its tokens and is its own key.
 """
 
 from __future__ import annotations
@@ -31,21 +32,25 @@ BLOCK, STRIDE = 64, 32
 THRESHOLD = 0.8
 #: Phrases whose consecutive places are counted, and their labels.
 PHRASES = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
-#: Labels and opening words of licenses in common use, at most ``STRIDE`` words, and the threshold where it is not the common one.
+#: Labels and words of licenses in common use, at most ``STRIDE`` of them; the key; the threshold where it is not the common one.
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", 1.0),
-    ("cc-by-sa", "licensed under cc by sa 4 0", 1.0),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "associated documentation files"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser general public license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0", 1.0),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "cc by nc nd 4 0", 1.0),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "cc by nc sa 4 0", 1.0),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd 4 0", 1.0),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4 0", 1.0),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 
 
@@ -58,8 +63,9 @@ class Plan:
     labels: list[str]
     tokens: list[list[int]]  # distinct tokens of each template, rarest first
     need: list[int]
-    sequence: list[list[int] | None]  # of phrases, the tokens as they stand
+    key: list[list[int]]  # the tokens that must stand as they do here
     prefix: dict[int, list[tuple[int, int]]]  # token -> (template, its place in the template)
+    phrases: int  # so many of the templates are phrases
 
     def number_of(self, h: np.ndarray) -> np.ndarray:
         """Token number of each word hash, -1 outside the vocabulary."""
@@ -68,7 +74,7 @@ class Plan:
 
 
 def vocabulary(templates: Sequence[tuple]) -> list[str]:
-    return sorted({t for x in templates for t in x[1].split()})
+    return sorted({t for x in templates for part in x[1:3] if isinstance(part, str) for t in part.split()})
 
 
 def make_plan(templates: Sequence[tuple], phrases: Sequence[tuple[str, str]], threshold: float, frequency: dict[str, int]) -> Plan:
@@ -77,17 +83,17 @@ def make_plan(templates: Sequence[tuple], phrases: Sequence[tuple[str, str]], th
     order = {t: n for n, t in enumerate(sorted(terms, key=lambda t: (frequency.get(t, 0), t)))}
     h = hash_words(terms, ALNUM)
     by_hash = np.argsort(h)
-    plan = Plan(h[by_hash], np.array([order[terms[i]] for i in by_hash]), [], [], [], [], {})
-    for k, (label, text, *own) in enumerate(every):
+    plan = Plan(h[by_hash], np.array([order[terms[i]] for i in by_hash]), [], [], [], [], {}, len(phrases))
+    for k, (label, text, *rest) in enumerate(every):
+        key, *own = rest or [text, 1.0]
         if len(text.split()) > STRIDE:
             raise ValueError(f"a template has more than {STRIDE} words: {text}")
         tokens = sorted({order[t] for t in text.split()})
-        phrase = k < len(phrases)
-        need = len(tokens) if phrase else math.ceil((own[0] if own else threshold) * len(tokens) - 1e-9)
+        need = math.ceil((own[0] if own else threshold) * len(tokens) - 1e-9)
         plan.labels.append(label)
         plan.tokens.append(tokens)
         plan.need.append(need)
-        plan.sequence.append([order[t] for t in text.split()] if phrase else None)
+        plan.key.append([order[t] for t in key.split()])
         for place, t in enumerate(tokens[: len(tokens) - need + 1]):
             plan.prefix.setdefault(t, []).append((k, place))
     return plan
@@ -179,10 +185,10 @@ def _summary(plan: Plan, number: np.ndarray, lo: int, hi: int) -> tuple:
     blocks: set[int] = set()
     score = 0.0
     for k, a, b, share in matches(plan, number, lo, hi):
-        if plan.sequence[k] is not None:
-            found = places(plan.sequence[k], number, a, b)
-            if not found:
-                continue
+        found = places(plan.key[k], number, a, b)
+        if not found:
+            continue
+        if k < plan.phrases:
             base.update((k, p - lo) for p in found)
         labels.add(plan.labels[k])
         blocks.add(a)

@@ -8,7 +8,7 @@ from codeloom.llm import nbsvm, toxicity
 from codeloom.llm.decontaminate import contamination
 from codeloom.llm.exact_dedup import exact_duplicates
 from codeloom.llm.html_text import extract_main_text
-from codeloom.llm.license_scan import scan_licenses
+from codeloom.llm.license_scan import BLOCK, PHRASES, STRIDE, TEMPLATES, THRESHOLD, scan_licenses
 from codeloom.llm.near_dedup import near_duplicates
 from codeloom.llm.packing import packed
 from codeloom.llm.sstable import read_summaries, write_shards
@@ -81,7 +81,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+
+
+def _license_rows() -> str:
+    """Phrases and templates as SQL rows: label, tokens, key, least share."""
+    every = [(label, text, text, 1.0) for label, text in PHRASES] + [(label, text, key, *(own or [THRESHOLD])) for label, text, key, *own in TEMPLATES]
+    return ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')), '{key}', {share})" for label, text, key, share in every)
+
+
+_PLACES = " UNION ALL ".join(
+    f"SELECT doc_id, '{label}' AS label, i FROM (SELECT doc_id, w, unnest(range(0, len(w) - {len(text.split()) - 1})) AS i FROM words) WHERE " + " AND ".join(f"w[i + {n + 1}] = '{t}'" for n, t in enumerate(text.split()))
+    for label, text in PHRASES
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": f"""
+WITH words AS (SELECT doc_id, regexp_extract_all({_FOLD}, {_WORD}) AS w FROM documents),
+places AS ({_PLACES}),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY doc_id
+),
+templates(label, tokens, key, least) AS (VALUES {_license_rows()}),
+blocks AS (
+  SELECT doc_id, s, w[s + 1:s + {BLOCK}] AS b
+  FROM (SELECT doc_id, w, unnest(range(0, len(w), {STRIDE})) AS s FROM words) WHERE s = 0 OR s + {STRIDE} < len(w)
+),
+shares AS (
+  SELECT doc_id, s, label, least, len(list_intersect(b, tokens)) / len(tokens) AS share
+  FROM blocks, templates WHERE contains(' ' || array_to_string(b, ' ') || ' ', ' ' || key || ' ')
+),
+found AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score, count(DISTINCT s) AS n_blocks
+  FROM shares WHERE share >= least - 1e-9 GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(b.n_base, 0) AS n_base, b.first_word, b.last_word, coalesce(b.base_labels, '') AS base_labels,
+       coalesce(f.labels, '') AS labels, coalesce(f.score, 0.0) AS score, coalesce(f.n_blocks, 0) AS n_blocks
+FROM words w LEFT JOIN base b ON b.doc_id = w.doc_id LEFT JOIN found f ON f.doc_id = w.doc_id
+""",
     "op3_exact_dedup": f"""
 WITH folded AS (SELECT doc_id, {_FOLD} AS body FROM documents),
 grouped AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM folded GROUP BY body)

@@ -61,10 +61,10 @@ def test_license_scan(spark, odd_docs, odd_rows, no_docs):
         w = ALNUM.findall(fold(t))
         at = [(k, label) for label, p in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         labels, score = {x for _, x in at}, 1.0 if at else 0.0
-        blocks = [set(w[s : s + 64]) for s in range(0, max(1, len(w)), 32) if s == 0 or s + 32 < len(w)]
-        for label, text, *own in license_scan.TEMPLATES:
-            tokens = set(text.split())
-            best = max(len(tokens & b) / len(tokens) for b in blocks)
+        blocks = [w[s : s + 64] for s in range(0, max(1, len(w)), 32) if s == 0 or s + 32 < len(w)]
+        for label, text, key, *own in license_scan.TEMPLATES:
+            tokens, k = set(text.split()), key.split()
+            best = max((len(tokens & set(b)) / len(tokens) for b in blocks if any(b[n : n + len(k)] == k for n in range(len(b)))), default=0)
             if best >= (own[0] if own else 0.8) - 1e-9:
                 labels.add(label)
                 score = max(score, best)
@@ -74,6 +74,39 @@ def test_license_scan(spark, odd_docs, odd_rows, no_docs):
     assert license_scan.scan_licenses(no_docs).collect() == []
 
 
+def labels_of(spark, texts: list[str]) -> list[str]:
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    return [r.labels for r in license_scan.scan_licenses(rows).orderBy("doc_id").collect()]
+
+
+def test_licenses_are_told_apart(spark):
+    probes = {
+        "The album was released under the label after the driver's license": "",
+        "released under the Apache license": "",
+        "She studied at MIT under the dean, and got a license": "",
+        "GNU General Public License version 2": "gpl",
+        "licensed under the GNU General Public License, version 2": "gpl,gpl-2.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "gpl,lgpl",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
+        "Licensed under CC BY 4.0": "cc-by",
+        "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation": "",
+        "licensed under the Apache License, Version 2.0": "apache-2.0",
+        "is made available under the MIT license": "mit",
+        "was released under the terms of the MIT license": "mit",
+    }
+    assert labels_of(spark, list(probes)) == list(probes.values())
+    texts = [t for _, t, *_ in license_scan.TEMPLATES]
+    for (label, text, *_), got in zip(license_scan.TEMPLATES, labels_of(spark, texts), strict=True):
+        base = {x for x, p in license_scan.PHRASES if f" {p} " in f" {text} "}
+        assert set(got.split(",")) == {label} | base, text
+    # each license with one word put in place of each word of its key
+    changed = [(label, " ".join("other" if x == w else x for x in t.split())) for label, t, key, *_ in license_scan.TEMPLATES for w in key.split()]
+    for (label, text), got in zip(changed, labels_of(spark, [t for _, t in changed]), strict=True):
+        assert label not in set(got.split(",")) - {x for x, p in license_scan.PHRASES if f" {p} " in f" {text} "}, text
+
+
 def test_fm_index():
     rng = np.random.default_rng(1)
     for trial in range(40):
