@@ -9,8 +9,8 @@ has as many sequences as its tokens fill, so every one ends up full; what is
 over moves to the next group.  The last group of a task ends in sequences whose
 lengths are powers of two, which need no padding.
 
-Groups are formed within a task, from its documents as they come: no shuffle, and
-memory for one group and one document.
+Groups are formed within a task, from its documents as they come: no shuffle.  What waits for its
+group is a copy of a document's last tokens, less than a sequence, so a task needs memory for one group and one document.
 """
 
 from __future__ import annotations
@@ -92,8 +92,12 @@ def _powers_of_two(n: int) -> list[int]:
 @dataclass
 class _Doc:
     doc_id: int | None
-    ids: np.ndarray
-    start: int  # tokens that lie in earlier pieces
+    tail: np.ndarray  # the tokens that lie in no piece yet
+    tokens: int  # of the whole document
+
+    @property
+    def start(self) -> int:
+        return self.tokens - len(self.tail)
 
 
 class _Packer:
@@ -104,19 +108,14 @@ class _Packer:
         self.waiting: list[_Doc] = []
         self.tokens = 0
 
-    def _row(self, d: _Doc, start: int, length: int, sequence: int, offset: int) -> tuple:
-        crc = zlib.crc32(np.ascontiguousarray(d.ids[start : start + length], dtype="<u4").tobytes())
-        return d.doc_id, start, length, crc, len(d.ids), sequence, offset
-
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
-        d = _Doc(doc_id, ids, 0)
-        while len(ids) - d.start >= self.capacity:
-            yield self._row(d, d.start, self.capacity, self.next, 0)
+        whole = len(ids) - len(ids) % self.capacity
+        for start in range(0, whole, self.capacity):
+            yield doc_id, start, self.capacity, _crc(ids[start : start + self.capacity]), len(ids), self.next, 0
             self.next += 1
-            d.start += self.capacity
-        if len(ids) > d.start:
-            self.waiting.append(d)
-            self.tokens += len(ids) - d.start
+        if len(ids) > whole:
+            self.waiting.append(_Doc(doc_id, ids[whole:].copy(), len(ids)))
+            self.tokens += len(ids) - whole
             if self.tokens >= self.group * self.capacity:
                 yield from self._group(last=False)
 
@@ -128,13 +127,17 @@ class _Packer:
         capacities = [self.capacity] * (self.tokens // self.capacity)
         if last:
             capacities += _powers_of_two(self.tokens % self.capacity)
-        pieces, left = pack([len(d.ids) - d.start for d in self.waiting], capacities)
+        pieces, left = pack([len(d.tail) for d in self.waiting], capacities)
         for p in pieces:
             d = self.waiting[p.item]
-            yield self._row(d, d.start + p.start, p.length, self.next + p.sequence, p.offset)
+            yield d.doc_id, d.start + p.start, p.length, _crc(d.tail[p.start : p.start + p.length]), d.tokens, self.next + p.sequence, p.offset
         self.next += len(capacities)
-        self.waiting = [_Doc(self.waiting[i].doc_id, self.waiting[i].ids, self.waiting[i].start + done) for i, done in sorted(left.items())]
-        self.tokens = sum(len(d.ids) - d.start for d in self.waiting)
+        self.waiting = [_Doc(self.waiting[i].doc_id, self.waiting[i].tail[done:].copy(), self.waiting[i].tokens) for i, done in sorted(left.items())]
+        self.tokens = sum(len(d.tail) for d in self.waiting)
+
+
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -91,6 +91,19 @@ def test_packing(spark, odd_docs, odd_rows, no_docs):
     assert packing.packed(no_docs, path, 1).collect() == []
 
 
+def test_waiting_documents_hold_their_tails_only():
+    import tracemalloc
+
+    packer, pieces = packing._Packer(0, 2048, 256), 0
+    tracemalloc.start()
+    for i in range(400):
+        pieces += sum(1 for _ in packer.add(i, np.full(1_020_000 + i, i, dtype=np.uint32)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pieces += sum(1 for _ in packer.finish())
+    assert peak < 40 << 20 and pieces > 400 * 498
+
+
 def test_pack_balances_cost():
     rng = random.Random(2)
     lengths = [rng.choice([5, 60, 300, 900, 1500]) for _ in range(4000)]
