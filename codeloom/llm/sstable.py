@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 MAGIC = b"LOOMSST1"
 BLOCK = 64 << 10
 SHARD_BYTES = 64 << 20
+#: Text of an id range, which one task encodes, and ranges at most.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 14
 BITS_PER_KEY = 10
 PROBES = 7
 _FOOTER = struct.Struct("<QQQQQQQ8s")
@@ -266,7 +268,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     small_batches(spark)
     folder = folder or new_path(spark, "shards")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, 1 + size // RANGE_BYTES)
+    dealt = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
     schema = "part int, seq int, path string, n_docs long, n_tokens long, first_id long, last_id long"
     manifest, _ = materialize(dealt.mapInArrow(_write_batches(folder, tokenizer, end_id, shard_bytes), schema), "manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -293,7 +297,7 @@ def _summary(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_summaries(manifest: DataFrame) -> DataFrame:
     """One row per document, read back from the shards: ``doc_id, start, n_tokens, ids_crc32``."""
-    shards = manifest.select("path", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = manifest.select("path", "start").repartition(max(1, min(MOST_RANGES, manifest.count())))
     return shards.mapInArrow(_read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
