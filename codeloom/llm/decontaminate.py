@@ -6,26 +6,35 @@ phrase can lie across it, and runs of words shorter than every phrase are left o
 index of that text answers all test phrases by backward search; occurrences are
 located through sampled suffix positions and merged into removal spans.
 
-Nothing is shuffled.  The benchmark goes to the workers in blocks of at most
-``BLOCK_BYTES`` of text, and every shard is searched for each block.
+No document is shuffled.  A benchmark of at most ``BLOCK_BYTES`` of text is broadcast.
+A larger one is dealt into blocks of about that size, whose phrases tasks write to the
+shared folder; a worker reads them one after another for every ``SHARD_BYTES`` of documents, so that
+neither the driver nor a worker ever holds more than one block.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from codeloom.llm.bytewords import ALNUM, Words, slices, text_buffers, words
 from codeloom.llm.fm_index import FMIndex
 from codeloom.llm.worker import release, small_batches
+from codeloom.storage import materialize, new_path
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+#: Text of documents that is searched at a time where blocks are read from the shared folder.
+SHARD_BYTES = 32 << 20
 #: Words of an index at most, unless one document has more.
 SHARD_WORDS = 1 << 20
 
@@ -121,7 +130,42 @@ def _search(w: Words, ph: Phrases) -> tuple[np.ndarray, np.ndarray]:
     return hit, np.unique(np.concatenate(found), axis=0)
 
 
-def _search_all(w: Words, blocks: list[Phrases]) -> tuple[np.ndarray, dict[int, list[str]]]:
+@dataclass
+class Blocks:
+    """The benchmark's phrases: one broadcast block, or files that are read one at a time."""
+
+    one: Broadcast | None
+    files: list[str]
+
+    def __iter__(self) -> Iterator[Phrases]:
+        if self.one is not None:
+            yield self.one.value
+        for uri in self.files:
+            files, path = fs.FileSystem.from_uri(uri)
+            with files.open_input_stream(path) as stream:
+                yield pickle.loads(stream.read())
+
+    def shards(self, batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Rows to search at a time, with the buffer and offsets of their texts."""
+        for batch in gathered(batches, SHARD_BYTES) if self.files else batches:
+            buf, offs = text_buffers(batch.column(column))
+            for i, j in slices(offs, SHARD_BYTES if self.files else 8 << 20):
+                yield batch.slice(i, j - i), buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+
+
+def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _search_all(w: Words, blocks: Blocks) -> tuple[np.ndarray, dict[int, list[str]]]:
     """Hit words over all blocks, and the sorted names of the items of each document that has any."""
     hit = np.zeros(len(w.hash), dtype=bool)
     items: dict[int, set[str]] = {}
@@ -130,6 +174,7 @@ def _search_all(w: Words, blocks: list[Phrases]) -> tuple[np.ndarray, dict[int,
         hit |= more
         for d, o in pairs.tolist():
             items.setdefault(d, set()).add(ph.items[o])
+        del ph  # before the next one is read
     return hit, {d: sorted(x) for d, x in items.items()}
 
 
@@ -142,85 +187,101 @@ def removal_spans(w: Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[begin], w.start[begin], w.end[stop]
 
 
-def _report(blocks: list):
+def _report(blocks: Blocks):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
-            buf, offs = text_buffers(batch.column(1))
-            for i, j in slices(offs, 8 << 20):
-                w = words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
-                hit, items = _search_all(w, [b.value for b in blocks])
-                count = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = count[w.first[1:]] - count[w.first[:-1]]
-                owned = [items.get(d, []) for d in range(j - i)]
-                nothing = hashlib.sha256(b"").hexdigest()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i),
-                        pa.array(np.diff(w.first), pa.int64()),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([len(x) for x in owned], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else nothing for x in owned], pa.string()),
-                        pa.array(n_hit > 0, pa.bool_()),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
+        nothing = hashlib.sha256(b"").hexdigest()
+        for part, buf, offs in blocks.shards(batches, 1):
+            w = words(buf, offs, ALNUM)
+            hit, items = _search_all(w, blocks)
+            count = np.concatenate([[0], np.cumsum(hit)])
+            n_hit = count[w.first[1:]] - count[w.first[:-1]]
+            owned = [items.get(d, []) for d in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array(np.diff(w.first), pa.int64()),
+                    pa.array(n_hit, pa.int64()),
+                    pa.array([len(x) for x in owned], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else nothing for x in owned], pa.string()),
+                    pa.array(n_hit > 0, pa.bool_()),
+                ],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            )
 
     return run
 
 
-def _cut(text: bytes, blocks: list[Phrases]) -> bytes:
-    """``text`` without its hit words, again until none is left."""
-    while True:
-        w = words(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)], dtype=np.int64), ALNUM)
-        hit, _ = _search_all(w, blocks)
-        if not hit.any():
-            return text
-        _, begin, end = removal_spans(w, hit)
-        keep, at = [], 0
-        for b, e in zip(begin.tolist(), end.tolist(), strict=True):
-            keep.append(text[at:b])
-            at = e
-        text = b"".join([*keep, text[at:]])
+def _cut(texts: list[bytes], blocks: Blocks) -> list[bytes]:
+    """``texts`` without their hit words, again until none is left."""
+    texts, todo = list(texts), list(range(len(texts)))
+    while todo:
+        offs = np.concatenate([[0], np.cumsum([len(texts[d]) for d in todo])]).astype(np.int64)
+        w = words(np.frombuffer(b"".join(texts[d] for d in todo), dtype=np.uint8), offs, ALNUM)
+        doc, begin, end = removal_spans(w, _search_all(w, blocks)[0])
+        bounds = np.searchsorted(doc, np.arange(len(todo) + 1))
+        left = []
+        for n, d in enumerate(todo):
+            keep, at = [], 0
+            for k in range(bounds[n], bounds[n + 1]):
+                keep.append(texts[d][at : begin[k] - offs[n]])
+                at = end[k] - offs[n]
+            if keep:
+                texts[d] = b"".join([*keep, texts[d][at:]])
+                left.append(d)
+        todo = left
+    return texts
+
+
+def _remove(blocks: Blocks, column: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for part, buf, offs in blocks.shards(batches, column):
+            w = words(buf, offs, ALNUM)
+            hit, _ = _search_all(w, blocks)
+            count = np.concatenate([[0], np.cumsum(hit)])
+            bad = np.flatnonzero(count[w.first[1:]] > count[w.first[:-1]]).tolist()
+            if not bad:
+                yield part
+                continue
+            texts = part.column(column).to_pylist()
+            for d, text in zip(bad, _cut([texts[d].encode() for d in bad], blocks), strict=True):
+                texts[d] = text.decode()
+            columns = list(part.columns)
+            columns[column] = pa.array(texts, part.schema.field(column).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return run
+
 
+def _block_files(folder: str, window: int):
+    """(item_id, text) of a block to a file of its phrases: path."""
 
-def _remove(blocks: list, column: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            buf, offs = text_buffers(batch.column(column))
-            for i, j in slices(offs, 8 << 20):
-                part = batch.slice(i, j - i)
-                w = words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ALNUM)
-                loaded = [b.value for b in blocks]
-                hit, _ = _search_all(w, loaded)
-                count = np.concatenate([[0], np.cumsum(hit)])
-                bad = set(np.flatnonzero(count[w.first[1:]] > count[w.first[:-1]]).tolist())
-                if not bad:
-                    yield part
-                    continue
-                texts = part.column(column).to_pylist()
-                for d in bad:
-                    texts[d] = _cut(texts[d].encode(), loaded).decode()
-                columns = list(part.columns)
-                columns[column] = pa.array(texts, part.schema.field(column).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        items = [x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        if items:
+            files, root = fs.FileSystem.from_uri(folder)
+            files.create_dir(root, recursive=True)
+            name = f"{uuid.uuid4().hex}.phrases"  # each attempt has its own; the table of paths says which counts
+            with files.open_output_stream(f"{root}/{name}") as out:
+                out.write(pickle.dumps(phrases(items, window), protocol=5))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """The benchmark as broadcasts of bounded size; an empty one gives none."""
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Blocks:
+    """The benchmark as one broadcast of bounded size, or as files of blocks of about that size; an empty one gives none."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-total // block_bytes)
-    small_batches(benchmark.sparkSession)
-    sc = benchmark.sparkSession.sparkContext
-    out = []
-    for b in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        out.append(sc.broadcast(phrases([(r.item_id, r.text) for r in part.toLocalIterator()], window)))
-    return out
+    spark = benchmark.sparkSession
+    small_batches(spark)
+    if total <= block_bytes:
+        items = [(r.item_id, r.text) for r in rows.collect()]
+        return Blocks(spark.sparkContext.broadcast(phrases(items, window)) if items else None, [])
+    dealt = rows.repartition(-(-total // block_bytes), F.xxhash64("item_id", "text"))
+    paths, _ = materialize(dealt.mapInArrow(_block_files(new_path(spark, "benchmark-blocks"), window), "path string"), "benchmark-paths")
+    return Blocks(None, sorted(r.path for r in paths.collect()))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

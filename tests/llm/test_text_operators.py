@@ -145,7 +145,7 @@ def odd_column():
     return F.lit("x")
 
 
-def test_contamination(spark, odd_rows, no_docs):
+def test_contamination(spark, odd_rows, odd_docs, no_docs):
     items, docs, table, benchmark = leak_tables(spark, odd_rows)
     found = windows([(n, t) for n, t in items if n is not None])
     expected = []
@@ -155,15 +155,36 @@ def test_contamination(spark, odd_rows, no_docs):
     for block in (1 << 20, 200):  # also in several blocks of items
         assert sorted(map(tuple, decontaminate.contamination(table, benchmark, block_bytes=block).collect()), key=str) == sorted(expected, key=str)
     assert any(e[5] for e in expected) and not all(e[5] for e in expected)
-    clean = decontaminate.remove_contamination(table, benchmark)
-    assert clean.columns == table.columns
-    texts = {(r.doc_id, r.text) for r in clean.collect()}
-    assert all(not hits(t, found)[1] for _, t in texts)
-    assert {(i, t) for (i, t), e in zip(docs, expected, strict=True) if not e[5]} <= texts
+    for block in (1 << 20, 200):
+        clean = decontaminate.remove_contamination(table, benchmark, block_bytes=block)
+        assert clean.columns == table.columns
+        texts = {(r.doc_id, r.text) for r in clean.collect()}
+        assert all(not hits(t, found)[1] for _, t in texts)
+        assert {(i, t) for (i, t), e in zip(docs, expected, strict=True) if not e[5]} <= texts
     assert decontaminate.contamination(no_docs, benchmark).collect() == []
+    assert len(decontaminate.contamination(odd_docs, benchmark).collect()) == odd_docs.count()
+    assert decontaminate.remove_contamination(odd_docs, benchmark).columns == odd_docs.columns
     assert {r.n_hit for r in decontaminate.contamination(table, benchmark.limit(0)).collect()} == {0}
 
 
+def test_one_block_at_a_time(spark, monkeypatch):
+    """Phrases of a benchmark in several blocks lie in files; a worker drops each before it reads the next."""
+    import gc
+    import weakref
+
+    items = [(f"i{i}", prose(5000 + i, 60)) for i in range(30)]
+    blocks = decontaminate._blocks(spark.createDataFrame(items, "item_id string, text string"), 10, 2000)
+    assert blocks.one is None and len(blocks.files) > 3
+    alive = []
+    for ph in blocks:
+        gc.collect()
+        assert not [r for r in alive if r() is not None]
+        alive.append(weakref.ref(ph))
+        names = ph.items
+        del ph
+    assert len(alive) == len(blocks.files) and names
+
+
 def distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
