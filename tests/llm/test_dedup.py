@@ -41,6 +41,42 @@ def test_hot_group_joins_by_broadcast(spark):
     assert {r.doc_id: r.group_size for r in got} == {i: sizes[t] for i, t in rows}
 
 
+def test_equal_digests_do_not_merge_texts(spark, monkeypatch):
+    """With digests that say nothing, the texts alone tell groups apart."""
+    from codeloom.llm import exact_dedup
+    from pyspark.sql import functions as F
+
+    class Blind:
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        def sha2(self, col, bits):
+            return F.when(F.length(col) > 3, F.lit("a")).otherwise(F.lit("b"))
+
+        def xxhash64(self, *cols):
+            return F.lit(7).cast("long")
+
+    rows = [(i, t) for i, t in enumerate(["same", "SAME", "other", "other", "third", "x", "X", None, ""] * 3)] + [(50, "alone")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(exact_dedup, "F", Blind())
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_duplicates(table, salts=2).collect()}
+    kept = sorted(r.doc_id for r in keep_one_per_text(table, salts=2).collect())
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[fold(t)].append(i)
+    assert got == {i: (max(groups[fold(t)]), len(groups[fold(t)])) for i, t in rows}
+    assert kept == sorted(max(v) for v in groups.values())
+
+
+def test_keep_one_keeps_columns_that_clash(spark):
+    rows = [(1, "a", "x", 1), (2, "a", "y", 2), (2, "a", "z", 3), (3, "b", None, 4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __keep string, __sha int")
+    kept = keep_one_per_text(table)
+    assert kept.columns == table.columns
+    got = sorted(map(tuple, kept.collect()))
+    assert len(got) == 2 and got[0] in rows[1:3] and got[1] == rows[3]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
