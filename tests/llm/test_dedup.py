@@ -7,6 +7,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
+from codeloom.llm import near_dedup, skew
 from codeloom.llm.components import components
 from codeloom.llm.exact_dedup import exact_duplicates, keep_one_per_text
 from codeloom.llm.near_dedup import keep_one_per_class, near_duplicates
@@ -131,8 +133,8 @@ def test_near_classes(spark, odd_docs, odd_rows, no_docs):
     assert near_duplicates(no_docs).collect() == []
 
 
-def test_near_classes_of_chains_and_large_groups(spark):
-    """Edits that drift away from a base: many members are not similar to the centre, blocks are split."""
+def drifting_rows():
+    """Edits that drift away from a base: many members are not similar to the centre."""
     rng = random.Random(11)
     rows, base = [], prose(4, 120).split()
     for i in range(260):
@@ -144,11 +146,74 @@ def test_near_classes_of_chains_and_large_groups(spark):
     for i in range(30):
         chain = chain[2:] + [f"c{i}", f"d{i}"]
         rows.append((1000 - i, " ".join(chain)))
-    from codeloom.llm import near_dedup
+    return rows
 
-    block, near_dedup.BLOCK = near_dedup.BLOCK, 64
-    try:
-        got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    finally:
-        near_dedup.BLOCK = block
+
+@pytest.mark.parametrize(("block", "most_rows", "least_hot"), [(64, near_dedup.MOST_ROWS, skew.LEAST_HOT), (64, 0, skew.LEAST_HOT), (16, near_dedup.MOST_ROWS, 4)])
+def test_near_classes_of_chains_and_large_groups(spark, monkeypatch, block, most_rows, least_hot):
+    """Whole, split and hot buckets give the same classes."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "MOST_ROWS", most_rows)
+    monkeypatch.setattr(skew, "LEAST_HOT", least_hot)
+    rows = drifting_rows()
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == near_classes(rows)
+
+
+def test_rows_that_share_an_id_are_classed_by_their_text(spark):
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, a), (1, b), (2, f"{a} tail"), (3, f"{b} tail"), (5, f"{a} end"), (5, c), (7, c), (8, a)]
+    table = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, digest int").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(table).collect())
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 1, False), (5, 5, True), (7, 5, False), (8, 1, False)])
+    kept = keep_one_per_class(table)
+    assert kept.columns == table.columns
+    assert sorted(r.digest for r in kept.collect()) == [0, 1, 5]
+
+
+def test_large_buckets_make_linear_rows(spark):
+    """A hundred thousand members, most on one centre; and members of as many centres, which are split."""
+    job = near_dedup._Job(spark.createDataFrame([], "doc_id long, text string"), 5, 75)
+    n = 100_000
+    rows = spark.range(n).selectExpr("1L as key", "id as rep", "100L as size", "if(id % 500 = 3, id, -1L) as label")
+    plan = job.mixed(rows).first()
+    assert (plan.n, plan.others, plan.minors, plan.majors) == (n, 200, 1, 195)
+    assert plan.cost <= 2 * n
+    reps = spark.range(n).selectExpr("id as rep", "cast('' as binary) as sketch")
+    dealt = job.tasks(rows.join(job.mixed(rows), "key").selectExpr("*", "key as band", "-1 as coord", "cast(null as binary) as mask"), reps)
+    assert dealt.count() == plan.cost
+    most = dealt.groupBy("key", "x", "y").count().agg({"count": "max"}).first()[0]
+    assert most < 3 * near_dedup.BLOCK
+    spread = job.mixed(rows.withColumn("label", rows["rep"])).first()
+    assert spread.cost > near_dedup.MOST_ROWS * n  # so it is split into PREFIX rows a member
+    # memory is bounded by shingles, too
+    long = job.mixed(rows.filter("rep < 600").selectExpr("key", "rep", "1000000L as size", "rep as label")).first()
+    assert long.minors >= 600 / 3
+
+
+def test_prefixes_meet():
+    """Two sketches that agree often enough share a coordinate of their prefixes, whatever the centre."""
+    rng = np.random.default_rng(8)
+    for trial in range(200):
+        centre = rng.integers(0, 4, (1, 128)).astype("<u2")
+        x, y = (np.where(rng.random((1, 128)) < rng.random(), centre, rng.integers(0, 1 << 16, (1, 128))).astype("<u2") for _ in range(2))
+        same = rng.permutation(128)[: near_dedup.LEAST_AGREEMENT]
+        y[0, same] = x[0, same]
+        p, q = near_dedup.prefixes(x, centre)[0], near_dedup.prefixes(y, centre)[0]
+        assert p.sum() == q.sum() == near_dedup.PREFIX
+        assert (p & q & (x[0] == y[0])).any()
+
+
+def test_skew_join_agrees(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(400)] + [(3, i) for i in range(300)], "k long, i int")
+    table = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "k long, t string")
+    for how in ("inner", "left", "left_semi"):
+        plain = sorted(map(str, rows.join(table, "k", how).collect()))
+        assert sorted(map(str, skew.skew_join(rows, table, "k", [3, 6], how).collect())) == plain
+
+
+def test_hot_components(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_HOT", 3)
+    links = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(50, 120) if i != 100] + [(300, 301)]
+    got = {r.v: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {v: 300 if v >= 300 else 0 for pair in links for v in pair}
