@@ -4,6 +4,9 @@
 is unset, and only on a local master (one machine, as in tests), a temporary
 folder is made; on a cluster an unset folder is an error, because a folder on
 one machine's disk is invisible to the others.
+
+Results are lazy, so an operator cannot delete the tables its result reads.  ``scratch`` deletes what
+was written inside it once the result is, and ``clean_up`` what is left of the application's.
 """
 
 from __future__ import annotations
@@ -12,10 +15,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/codeloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/codeloom/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -54,3 +62,20 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[str], None]]:
+    """Delete what is written in the shared folder inside the block, but for the paths that the given function gets."""
+    before, kept = set(_MADE), set()
+    try:
+        yield kept.add
+    finally:
+        remove(spark, *[p for p in _MADE if p not in before and p not in kept])
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results not yet written are lost."""
+    remove(spark, *list(_MADE))
