@@ -233,7 +233,7 @@ def _cut(texts: list[bytes], blocks: Blocks) -> list[bytes]:
     return texts
 
 
-def _remove(blocks: Blocks, column: int):
+def _remove(blocks: Blocks, column: int, drop_emptied: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for part, buf, offs in blocks.shards(batches, column):
@@ -249,7 +249,13 @@ def _remove(blocks: Blocks, column: int):
                 texts[d] = text.decode()
             columns = list(part.columns)
             columns[column] = pa.array(texts, part.schema.field(column).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+            cut = pa.RecordBatch.from_arrays(columns, schema=part.schema)
+            if drop_emptied:
+                stay = np.ones(part.num_rows, dtype=bool)
+                after, ends = text_buffers(columns[column])
+                stay[bad] = np.diff(words(after, ends, ALNUM).first)[bad] > 0
+                cut = cut.filter(pa.array(stay))
+            yield cut
 
     return run
 
@@ -303,12 +309,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return rows.mapInArrow(_report(blocks), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with all its rows and columns, without the hit words of ``contamination``.
 
     Each removal span reaches from the first to the last of consecutive hit words;
     what lies round it stays, and the rest of the text is searched again until
-    nothing is hit, as words may come together that were apart.
+    nothing is hit, as words may come together that were apart.  ``drop_emptied`` drops rows that lost their last word.
+    Null and empty texts, repeated rows, empty tables and odd items are as in ``contamination``; all columns are passed on.
     """
     blocks = _blocks(benchmark, window, block_bytes)
-    return docs.mapInArrow(_remove(blocks, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(_remove(blocks, docs.columns.index("text"), drop_emptied), docs.schema)

@@ -335,3 +335,31 @@ def test_pipeline(spark, tmp_path):
     for i in after:
         assert sum(p.length for p in pieces if p.doc_id == i) == {p.doc_tokens for p in pieces if p.doc_id == i}.pop()
     assert sum(p.length for p in pieces) == sum(r.length for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path, odd_docs, no_docs):
+    """Null and repeated ids, null texts and clashing columns pass every stage; an empty table gives nothing."""
+    import corpus_pipeline
+    from codeloom import storage
+    from pyspark.sql import functions as F
+
+    clash = odd_docs.withColumns({"__before": F.col("doc_id") * 10, "__keep": F.lit("k"), "maybe": F.lit(True), "c0": F.lit(1)})
+    for name, table in (("some", clash), ("none", no_docs)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, prose(2, 20)), (2, None), (None, "word")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, now, f"{tmp_path}/some")
+        assert out.columns == clash.columns
+        out.write.parquet(f"{tmp_path}/stage{n}")
+        now = spark.read.parquet(f"{tmp_path}/stage{n}")
+        assert all(r["__before"] == (None if r.doc_id is None else 10 * r.doc_id) for r in now.collect())
+    rows = now.collect()
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids)) and {3, 9, 10, 11, 12, 14, -5} <= set(ids)
+    assert not {None, 1, 2, 4} & set(ids)  # equal to 3, but for 4, which is near it
+    before = set(storage._MADE)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()} == set(ids)
+    assert len(set(storage._MADE) - before) <= 1  # the table that the last stage reads
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
