@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from codeloom.llm.bytewords import U64, slices, text_buffers, written_words
-from codeloom.llm.worker import resource, small_batches
+from codeloom.llm.worker import release, resource, small_batches
 from codeloom.storage import materialize, remove
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +42,8 @@ WINDOW = 8
 REPORTING = frozenset("said says wrote writes quote quoted quoting called calls word term slur insult dit disait écrit cité mot insulte sagte sagt schrieb zitat wort dijo dice escribió cita palabra insulto".split())
 _QUOTES = '"“”„«»‹›'
 _SLOTS = 1 << 20
+#: Members of the automaton's states that are held before it starts anew, and words and beginnings counted before they are put out.
+_HELD_ITEMS, _HELD_COUNTS = 1 << 19, 1 << 17
 
 
 class LexiconAutomaton:
@@ -60,22 +62,24 @@ class LexiconAutomaton:
                     self.term.append(None)
                 node = nxt
             self.term[node] = t
+        self.edited = [[2 * c + 1 for c in x.values()] for x in self.children]
         self._reset()
 
     def _reset(self) -> None:
         self.number: dict[frozenset, int] = {}
-        self.states: list[frozenset] = []
+        self.states: list[frozenset] = []  # members are 2 * node + edits
+        self.held = 0
         self.accept: list[tuple[str, int] | None] = []
         self.moves: dict[tuple[int, str], int] = {}
-        self.start = self._state({(0, 0)})
+        self.start = self._state({0})
 
-    def _state(self, items: set[tuple[int, int]]) -> int:
-        """Number of a set of (node, edits); -1 for the empty set."""
+    def _state(self, items: set[int]) -> int:
+        """Number of a set of nodes with edits; -1 for the empty set."""
         full = set(items)
-        for node, edits in items:
-            if edits == 0:  # a character of the term is missing
-                full.update((c, 1) for c in self.children[node].values())
-        full -= {(n, 1) for n, e in full if e == 0}
+        for x in items:
+            if not x & 1:  # a character of the term is missing
+                full.update(self.edited[x >> 1])
+        full.difference_update([x + 1 for x in full if not x & 1])
         if not full:
             return -1
         key = frozenset(full)
@@ -83,24 +87,25 @@ class LexiconAutomaton:
         if got is None:
             got = self.number[key] = len(self.states)
             self.states.append(key)
-            ends = [(e, self.term[n]) for n, e in key if self.term[n] is not None and (e == 0 or len(self.term[n]) >= FUZZY_LENGTH)]
+            self.held += len(key)
+            ends = [(x & 1, self.term[x >> 1]) for x in key if self.term[x >> 1] is not None and (not x & 1 or len(self.term[x >> 1]) >= FUZZY_LENGTH)]
             self.accept.append(min(ends)[::-1] if ends else None)
         return got
 
     def _move(self, state: int, ch: str) -> int:
-        out: set[tuple[int, int]] = set()
-        for node, edits in self.states[state]:
-            child = self.children[node].get(ch)
+        out: set[int] = set()
+        for x in self.states[state]:
+            child = self.children[x >> 1].get(ch)
             if child is not None:
-                out.add((child, edits))
-            if edits == 0:
-                out.add((node, 1))
-                out.update((c, 1) for c in self.children[node].values())
+                out.add(2 * child + (x & 1))
+            if not x & 1:
+                out.add(x + 1)
+                out.update(self.edited[x >> 1])
         return self._state(out)
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and its distance, the first in order on ties; None beyond the allowed one."""
-        if len(self.moves) > 1 << 16:
+        if len(self.moves) > 1 << 16 or self.held > _HELD_ITEMS:
             self._reset()
         state, moves = self.start, self.moves
         for ch in word:
@@ -231,12 +236,9 @@ def quotation(raw: bytes, start: np.ndarray, end: np.ndarray, p: int, lo: int, h
     return (0.7 if opened and closed else 0.0) + (0.3 if said and opened else 0.15 if said else 0.0)
 
 
-#: Distinct words and beginnings a task holds before it puts out their counts.
-_HELD_COUNTS = 1 << 20
-
-
 def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label) to documents per word and word beginning: feature, pos, neg."""
+    release()
     counts: dict[str, list[int]] = {}
 
     def out() -> pa.RecordBatch:
@@ -284,6 +286,7 @@ def _form_batches(model):
     """Counted words that only match inexactly: feature, pos, neg, and the term next to those that begin with no stem."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = model.value
         automaton = LexiconAutomaton(m.terms)
         for batch in batches:

@@ -7,6 +7,7 @@ import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Rows of an Arrow batch at most; texts are long, and both sides hold a batch in memory.
@@ -30,6 +31,7 @@ def release() -> None:
     """Drop what an earlier task left, and give free memory back to the system."""
     _HELD.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library: nothing to trim
