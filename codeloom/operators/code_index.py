@@ -176,7 +176,19 @@ def edges(index: DataFrame) -> DataFrame:
 
 
 def status(index: DataFrame) -> DataFrame:
-    """Counters of an index, one row: files, symbols, calls, imports, annotations by kind, notes, complete."""
-    per_file = index.select(F.lit(1).alias("file"), *[F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("symbols", "calls", "imports", "annotations", "notes")])
-    total = per_file.agg(F.count(F.lit(1)).alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("symbols", "calls", "imports", "annotations", "notes")])
+    """Counters of an index, one row: files, symbols, calls, imports, annotations in all and by kind, notes, complete."""
+    kinds = {"sources": "source", "sinks": "security_sink", "sanitizers": "sanitizer", "guards": "security_guard"}
+    sizes = {c: F.size(c) for c in ("symbols", "calls", "imports", "annotations", "notes")}
+
+    def of_kind(kind: str) -> Column:
+        return F.size(F.filter("annotations", lambda a: a["kind"] == kind))
+
+    sizes |= {c: of_kind(kind) for c, kind in kinds.items()}
+    per_file = index.select(F.lit(1).alias("file"), *[F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).alias(c) for c, n in sizes.items()])
+    total = per_file.agg(F.count(F.lit(1)).alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sizes])
     return total.withColumn("complete", F.col("notes") == 0)
+
+
+def call_status(index: DataFrame) -> DataFrame:
+    """``calls, resolved_calls`` of an index, one row."""
+    return resolve_calls(index).agg(F.count(F.lit(1)).alias("calls"), F.count_if("resolved").alias("resolved_calls"))

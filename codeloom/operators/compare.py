@@ -39,9 +39,15 @@ def only_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key).distinct(), key, "left_anti")
 
 
-def verdict(severe: Column, incomplete: Column, any_new: Column) -> Column:
-    """FAIL on a severe new finding, else WARN if incomplete or anything is new, else PASS."""
-    return F.when(severe, "FAIL").when(incomplete | any_new, "WARN").otherwise("PASS")
+def verdict(severe: Column, incomplete: Column, any_new: Column, changed_path: Column | None = None, detector_changed: Column | None = None) -> Column:
+    """FAIL, WARN or PASS of a state against another.
+
+    FAIL on a severe new finding, or where both sides are complete on a changed path of more than low confidence; else
+    WARN if incomplete, if the detector changed or if anything is new; else PASS.
+    """
+    path = F.lit(False) if changed_path is None else changed_path
+    detector = F.lit(False) if detector_changed is None else detector_changed
+    return F.when(severe | path & ~incomplete, "FAIL").when(incomplete | detector | any_new, "WARN").otherwise("PASS")
 
 
 def logical_key(file: Column, title: Column, category: Column, line_text: Column, flow_id: Column) -> Column:

@@ -25,3 +25,25 @@ def failing(rows: DataFrame, id_col: str, rules: dict[str, Column]) -> DataFrame
     """``violation, id`` for each rule that a row breaks; a rule that is null counts as broken."""
     marks = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
     return rows.select(F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("violation"), F.col(id_col).alias("id"))
+
+
+def coverage_counts(units: DataFrame, records: DataFrame, key: str, group: str, states: dict[str, Column]) -> DataFrame:
+    """Per ``group`` of units: how many records are in each state, and ``pending`` units without a record."""
+    rows = units.join(records.withColumn("__there", F.lit(True)), key, "left")
+    return rows.groupBy(group).agg(*[F.count_if(c).alias(name) for name, c in states.items()], F.count_if(F.col("__there").isNull()).alias("pending"))
+
+
+def next_pending(units: DataFrame, records: DataFrame, key: str, group: str) -> DataFrame:
+    """Per ``group``: the smallest unit without a record, and how many there are."""
+    left = units.join(records.select(key).distinct(), key, "left_anti")
+    return left.groupBy(group).agg(F.min(key).alias("next_unit"), F.count(F.lit(1)).alias("pending"))
+
+
+def ordinals(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``rows`` with ``ordinal``, their number from 1 among those of equal ``keys``."""
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def counters(rows: DataFrame, kind: str, owner: str) -> DataFrame:
+    """``kind, n, owners``: rows and distinct owners of each kind."""
+    return rows.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(owner).alias("owners"))

@@ -44,9 +44,11 @@ def neighbours(edges: DataFrame, nodes: DataFrame, forward: bool) -> DataFrame:
 
 def two_hops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes within two undirected steps, with the smaller number of steps."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
-    one = nodes.join(both.withColumnRenamed("a", "node"), "node").select("node", F.col("b").alias("other"), F.lit(1).alias("hops"))
-    two = one.join(both.withColumnRenamed("a", "other"), "other").select("node", F.col("b").alias("other"), F.lit(2).alias("hops"))
+    # edges are read for the nodes at hand, and what repeats goes after each step: no pass makes all edges distinct
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src"))
+    one = nodes.distinct().join(both.withColumnRenamed("a", "node"), "node").select("node", F.col("b").alias("other")).distinct()
+    one, _ = materialize(one.withColumn("hops", F.lit(1)), "near")
+    two = one.join(both.withColumnRenamed("a", "other"), "other").select("node", F.col("b").alias("other"), F.lit(2).alias("hops")).distinct()
     return one.union(two).filter("node <> other").groupBy("node", "other").agg(F.min("hops").alias("hops"))
 
 
@@ -56,6 +58,7 @@ def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> Dat
     Each round joins only the new frontier; rounds are cut by written tables.
     """
     spark = edges.sparkSession
+    edges, _ = materialize(edges.select("src", "dst").distinct(), "reach-edges")  # rounds read them again and again
     seen, path = materialize(start.select("node").distinct().withColumn("hops", F.lit(0)), "reach")
     frontier, paths = seen, [path]
     for hop in range(1, max_rounds + 1):

@@ -9,6 +9,7 @@ import pyarrow as pa
 from codeloom.functions.identity import finding_fingerprint
 from codeloom.functions.rules import BUNDLED, load, scan_text
 from codeloom.functions.text import language
+from codeloom.operators.spans import first_per
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,17 @@ def _scan_batches(rules: list[dict[str, Any]]):
     return run
 
 
+def distinct_findings(found: DataFrame) -> DataFrame:
+    """Findings with each fingerprint once: of several the first by file, line and column, whichever of these there are."""
+    order = [F.col(c) for c in ("file", "line", "column") if c in found.columns]
+    return first_per(found, ["fingerprint"], *order)
+
+
+def rule_reach(found: DataFrame) -> DataFrame:
+    """Per rule the files it has findings in, and the findings: ``rule_id, files, hits``."""
+    return found.groupBy("rule_id").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("hits"))
+
+
 def scan(files: DataFrame, rules: list[dict[str, Any]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings, each fingerprint once, and notes of ``files(path, content)``."""
     rules = BUNDLED if rules is None else rules
@@ -40,4 +52,4 @@ def scan(files: DataFrame, rules: list[dict[str, Any]] | None = None) -> tuple[D
     evidence = F.array(F.concat_ws(":", "line", "column"), F.col("match"))
     found = out.filter("note is null").drop("note").withColumn("title", F.col("rule_id")).withColumn("evidence", evidence)
     marked = found.withColumn("fingerprint", finding_fingerprint(F.col("file"), F.col("line"), F.col("category"), F.col("title"), F.col("evidence")))
-    return marked.dropDuplicates(["fingerprint"]), out.filter("note is not null").select("file", "note")
+    return distinct_findings(marked), out.filter("note is not null").select("file", "note")

@@ -89,10 +89,20 @@ def first_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 def line_matches(docs: DataFrame, rules: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All matches of every regular expression in every line: rule_id, id, line, ordinal, match.
 
-    ``rules(rule_id, pattern, severity)`` is a small table of checked size and goes to all tasks; each text is read once.
+    ``rules(rule_id, pattern, severity)`` is a small table, whose rows become expressions over each line: nothing is joined, and each text is read once.
     """
+    known = [(r.rule_id, r.pattern, r.severity) for r in rules.select("rule_id", "pattern", "severity").distinct().collect()]
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line_text"))
-    small = rules if rules.count() > 10000 else F.broadcast(rules)
-    hits = lines.join(small, F.expr("line_text rlike pattern"))
-    found = hits.select("rule_id", "severity", "id", (F.col("pos") + 1).alias("line"), F.posexplode(F.expr("regexp_extract_all(line_text, pattern, 0)")).alias("ordinal", "match"))
-    return found.select("rule_id", "severity", "id", F.col("line").cast("long"), F.col("ordinal").cast("long"), "match")
+    if not known:
+        return lines.filter(F.lit(False)).select(F.lit("").alias("rule_id"), F.lit("").alias("severity"), "id", F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("ordinal"), F.lit("").alias("match"))
+    line = F.col("line_text")
+
+    def found_by(name: str, pattern: str, severity: str | None) -> Column:
+        def hit(match: Column, ordinal: Column) -> Column:
+            return F.struct(F.lit(name).alias("rule_id"), F.lit(severity).cast("string").alias("severity"), ordinal.cast("long").alias("ordinal"), match.alias("match"))
+
+        return F.when(line.rlike(pattern), F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), hit))
+
+    found = [found_by(*rule) for rule in known]
+    hits = lines.select("id", (F.col("pos") + 1).cast("long").alias("line"), F.explode(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))).alias("hit"))
+    return hits.select("hit.rule_id", "hit.severity", "id", "line", "hit.ordinal", "hit.match")

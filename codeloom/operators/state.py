@@ -25,16 +25,35 @@ def replace_rows(state: DataFrame, fresh: DataFrame, gone: DataFrame, key: str)
 
 
 def manifest_hash(rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
-    """One hash per group over its ordered (key, value) lines."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))), lambda x: F.concat_ws(":", x["k"].cast("string"), x["v"]))
-    return rows.groupBy(group).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("manifest"), F.count(F.lit(1)).alias("entries"))
+    """One hash per group of (key, value) lines, whatever their order: no task gets a whole group.
+
+    Each line's SHA-256 is eight 32-bit numbers; their sums over the group merge partially, and the hash is of those sums.
+    """
+    line = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col(value)), 256)
+    sums = [F.sum(F.conv(F.substring(line, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(8)]
+    entries = F.count(F.lit(1))
+    return rows.groupBy(group).agg(F.sha2(F.concat_ws(":", entries.cast("string"), *sums), 256).alias("manifest"), entries.alias("entries"))
+
+
+def text_filter(rows: DataFrame, columns: list[str], needle: str) -> DataFrame:
+    """Rows of which the given columns, joined by spaces, contain ``needle`` in any case; an empty needle finds all."""
+    return rows.filter(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(needle.lower())))
+
+
+def upsert(state: DataFrame, batch: DataFrame, key: str, changing: list[str]) -> DataFrame:
+    """``state`` with the rows of ``batch``: known keys take its non-null ``changing`` columns and keep the others, new keys are added."""
+    fresh = batch.select(key, *[F.col(c).alias(f"__{c}") for c in changing])
+    joined = state.join(fresh, key, "full_outer")
+    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in changing else F.col(c) for c in state.columns])
 
 
-def apply_scan(state: DataFrame, batch: DataFrame, scanned: DataFrame, scan_id: str, now: Column, complete: bool = True) -> DataFrame:
+def apply_scan(state: DataFrame, batch: DataFrame, scanned: DataFrame, scan_id: str, now: Column, complete: bool = True, existing: DataFrame | None = None, target: str = "") -> DataFrame:
     """Findings after a scan.
 
     A finding of the batch is new, or keeps its id and ``created_at`` and is active again.
-    Others are resolved only by a complete scan that read their file.
+    Others are resolved only by a complete scan that read their file, or by a complete full scan of ``target``
+    (a file or folder; empty: everything) below which their file is no longer among the ``existing(file)``.
+    Without ``existing`` the scan is not a full one.
     """
     duplicates = batch.groupBy("fingerprint").count().filter("count > 1")
     if not duplicates.isEmpty():
@@ -42,7 +61,13 @@ def apply_scan(state: DataFrame, batch: DataFrame, scanned: DataFrame, scan_id:
     old = state.select(*[F.col(c).alias(f"old_{c}") if c != "fingerprint" else F.col(c) for c in state.columns])
     new = batch.select("fingerprint", F.col("file").alias("new_file"), F.col("severity").alias("new_severity"), F.lit(True).alias("seen"))
     joined = old.join(new, "fingerprint", "full_outer").join(scanned.select(F.col("file").alias("old_file"), F.lit(True).alias("was_scanned")).distinct(), "old_file", "left")
-    gone = F.lit(complete) & F.col("seen").isNull() & F.coalesce("was_scanned", F.lit(False)) & F.col("old_resolved_at").isNull()
+    read = F.coalesce("was_scanned", F.lit(False))
+    if existing is not None:
+        joined = joined.join(existing.select(F.col("file").alias("old_file"), F.lit(True).alias("exists")).distinct(), "old_file", "left")
+        below = target.strip("/")
+        under = F.lit(True) if below in ("", ".") else (F.col("old_file") == below) | F.col("old_file").startswith(below + "/")
+        read = read | under & F.col("exists").isNull()
+    gone = F.lit(complete) & F.col("seen").isNull() & read & F.col("old_resolved_at").isNull()
     return joined.select(
         "fingerprint",
         F.coalesce("new_file", "old_file").alias("file"),

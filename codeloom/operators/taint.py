@@ -42,12 +42,20 @@ def _first_paths(rows: DataFrame) -> DataFrame:
     return best.filter(~F.col("low")).unionByName(best.filter("low").join(certain, ["owner", "origin", "target", "mask"], "left_anti"))
 
 
+def _facts(rows: DataFrame) -> tuple[int, int]:
+    """Number of facts and a hash of all of them, whatever their order: equal if no round added any."""
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*_KEY)), F.lit(0)).alias("h")).first()
+    return r.n, r.h
+
+
 def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
     """All flows, and whether the rounds ended by themselves.
 
     ``id, source_symbol, source_path, source_line, source, sink_symbol, sink_path, sink_line, sink, category, confidence, steps``
     """
     spark = index.sparkSession
+    # rounds read these again and again, so files are extracted once
+    index, index_path = materialize(index.select("project", "path", "symbols", "imports", "calls", "hops"), "index")
     symbols = facts(index, "symbols").select(F.col("id").alias("sid"), F.col("path").alias("spath"), "qualified", "parameters")
     calls, calls_path = materialize(resolve_calls(index).select("uid", "owner", "callee", "sanitizer", "sink", "name"), "calls")
     hops = facts(index, "hops")
@@ -62,7 +70,7 @@ def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
     step = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"))
     base = hops.select("owner", origin.alias("origin"), target.alias("target"), F.lit(0).alias("mask"), F.lit(False).alias("low"), F.array(step).alias("steps"))
     known, path = materialize(_first_paths(base), "flows")
-    complete = False
+    facts_of, complete = _facts(known), False
     for _ in range(max_rounds):
         arg = F.split("target", r"\|")
         into = known.filter("target like 'A|%'").select("owner", "origin", "mask", "low", "steps", arg[1].alias("uid"), arg[2].alias("slot")).join(calls.drop("owner", "name"), "uid")
@@ -86,13 +94,13 @@ def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
         given = known.filter("origin like 'S|%' and target = 'RET'").select(F.col("owner").alias("callee"), "origin", "mask", "low", "steps").join(calls.select("uid", "callee", F.col("owner").alias("caller")), "callee").join(out.drop("o2"), "uid").withColumn("owner", F.col("caller"))
         fresh = fresh.unionByName(then(given, F.col("mask").bitwiseOR(F.col("m2")), F.col("low") | F.col("l2"), F.concat("steps", "s2")))
         new, new_path = materialize(_first_paths(known.unionByName(fresh)), "flows")
-        grown = new.select(*_KEY).join(known.select(*_KEY), _KEY, "left_anti").limit(1).count()
         remove(spark, path)
         known, path = new, new_path
-        if not grown:
+        before, facts_of = facts_of, _facts(known)
+        if facts_of == before:
             complete = True
             break
-    remove(spark, calls_path)
+    remove(spark, calls_path, index_path)
     o, k = F.split("origin", r"\|", 5), F.split("target", r"\|", 7)
     flows = known.filter("origin like 'S|%' and target like 'K|%'").withColumn("category", k[4]).filter(F.col("mask").bitwiseAND(_bit(F.col("category"))) == 0)
     flows = flows.select(o[1].alias("source_symbol"), o[2].alias("source_path"), o[3].cast("int").alias("source_line"), o[4].alias("source"), k[1].alias("sink_symbol"), k[2].alias("sink_path"), k[3].cast("int").alias("sink_line"), k[5].alias("sink"), k[6].alias("snippet"), "category", F.when(F.col("low"), "low").otherwise("medium").alias("confidence"), "steps")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from codeloom.functions.identity import identity
+from codeloom.functions.rules import BUNDLED
 from codeloom.functions.text import line_window
 from codeloom.operators import code_index, compare, resolve, rule_scan, spans, taint
 from codeloom.operators.state import VersionedTable
@@ -21,6 +23,11 @@ def _limit(n: int, most: int) -> int:
     return n
 
 
+def detector() -> str:
+    """What finds: a hash of the rules and the extraction's revision."""
+    return identity([BUNDLED, code_index.REVISION])
+
+
 @dataclass
 class Assessment:
     """Findings of one state of a tree."""
@@ -109,32 +116,34 @@ class Engine:
 
     def create_baseline(self, files: DataFrame) -> DataFrame:
         state = self.assess(files)
-        rows = state.findings.withColumn("status", F.lit("active")).withColumn("complete", F.lit(state.complete))
+        rows = state.findings.withColumn("status", F.lit("active")).withColumn("complete", F.lit(state.complete)).withColumn("detector", F.lit(detector()))
         self.baselines.replace(rows, self.baselines.version())
         return self.baselines.read()
 
     def verify(self, files: DataFrame) -> tuple[str, DataFrame]:
         """PASS, WARN or FAIL of a state against the baseline, and the findings with their status.
 
-        FAIL: a new or returned finding of high severity and at least half confidence.
-        WARN: either side is incomplete, or anything is new.  Only complete states change the baseline.
+        FAIL: a new or returned finding of high severity and at least half confidence, or between complete states a new path of more than low confidence.
+        WARN: either side is incomplete, the detector is not the baseline's, or anything is new.  Only complete states change the baseline.
         """
         seen = self.baselines.version()
         base = self.baselines.read()
         if base is None:
             raise LookupError("the project has no baseline yet")
-        head = base.select("complete").first()
+        head = base.select("complete", "detector").first()
         before_complete = True if head is None else head.complete
+        same_detector = head is None or head.detector == detector()
         now = self.assess(files)
         known = base.select("key", F.col("status").alias("old")).groupBy("key").agg(F.min("old").alias("old"))
         found = now.findings.join(known, "key", "left")
         status = F.when(F.col("old") == "resolved", "regressed").when(F.col("old") == "active", "unchanged").otherwise("new" if before_complete else "unclassified")
         marked = found.withColumn("finding_status", status).drop("old")
-        flags = marked.agg(F.bool_or(F.col("finding_status").isin("new", "regressed") & F.col("severity").isin("high", "critical") & (F.col("confidence") >= 0.5)).alias("severe"), F.bool_or(F.col("finding_status") != "unchanged").alias("added")).first()
-        verdict = "FAIL" if flags.severe else "WARN" if flags.added or not (now.complete and before_complete) else "PASS"
+        flags = marked.agg(F.bool_or(F.col("finding_status").isin("new", "regressed") & F.col("severity").isin("high", "critical") & (F.col("confidence") >= 0.5)).alias("severe"), F.bool_or(F.col("finding_status") != "unchanged").alias("added"), F.bool_or((F.col("finding_status") != "unchanged") & F.col("flow_id").isNotNull() & (F.col("confidence") > taint.CONFIDENCE["low"])).alias("path")).first()
+        both = now.complete and before_complete
+        verdict = "FAIL" if flags.severe or both and flags.path else "WARN" if flags.added or not both or not same_detector else "PASS"
         if now.complete and before_complete:
             kept = base.drop("status").join(marked.select("key").distinct(), "key", "left_anti").withColumn("status", F.lit("resolved"))
-            active = marked.drop("finding_status").withColumn("status", F.lit("active")).withColumn("complete", F.lit(True))
+            active = marked.drop("finding_status").withColumn("status", F.lit("active")).withColumn("complete", F.lit(True)).withColumn("detector", F.lit(detector()))
             self.baselines.replace(active.unionByName(kept.select(*active.columns)), seen)
         return verdict, marked
 

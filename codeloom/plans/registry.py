@@ -7,10 +7,10 @@ from collections.abc import Callable
 from codeloom.functions import classify, severity, text
 from codeloom.functions.identity import finding_fingerprint, identity_sql, json_string
 from codeloom.operators import code_index, compare, ledger, lexical, resolve, rule_scan, score, spans, state, taint
-from codeloom.sources.samples import sample_tree
+from codeloom.sources.samples import RULE_CASES, rule_tree, sample_tree
 from codeloom.sources.scanner_json import parse_props
 from codeloom.sources.tables import table
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,12 +72,12 @@ def rule_scan_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("rule_applicability", f"WITH {_FINDINGS} SELECT rule_id, count(DISTINCT file) AS files, count(*) AS hits FROM findings GROUP BY rule_id")
 def rule_applicability(spark: SparkSession, folder: str) -> DataFrame:
-    return _findings(spark, folder).groupBy("rule_id").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("hits"))
+    return rule_scan.rule_reach(_findings(spark, folder))
 
 
-@query("finding_dedup", f"WITH {_FINDINGS} SELECT fingerprint, min(file) AS file, count(*) AS copies FROM findings GROUP BY fingerprint")
+@query("finding_dedup", f"WITH {_FINDINGS} SELECT fingerprint, any_value(rule_id) AS rule_id, min(file) AS file, min(line) AS line, any_value(match) AS match FROM findings GROUP BY fingerprint")
 def finding_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return _findings(spark, folder).groupBy("fingerprint").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("copies"))
+    return rule_scan.distinct_findings(_findings(spark, folder)).select("fingerprint", "rule_id", "file", "line", "match")
 
 
 @query("sarif_levels", f"WITH {_FINDINGS} SELECT file, CASE WHEN severity = 'high' THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM findings GROUP BY ALL")
@@ -112,10 +112,11 @@ def fingerprint_identity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "fingerprint_dedup",
-    "SELECT sha256(coalesce(text, '')) AS fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
+    "SELECT sha256(coalesce(text, '')) AS fingerprint, min(doc_id) AS doc_id FROM documents GROUP BY 1",
 )
 def fingerprint_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    docs = table(spark, folder, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"), "doc_id")
+    return spans.first_per(docs, ["fingerprint"], F.col("doc_id"))
 
 
 # spans: orders are hits, the shipping times of their lines the other spans
@@ -358,9 +359,29 @@ SELECT coalesce(o.user_id, n.user_id) AS user_id, o.first_id, coalesce(n.v, o.v)
 )
 def finding_upsert(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
-    old = events.filter("event_id % 2 = 0").groupBy("user_id").agg(F.min("event_id").alias("first_id"), F.max("value").alias("old_v"))
-    new = events.filter("event_id % 2 = 1 and event_type <> 'view'").groupBy("user_id").agg(F.max("value").alias("new_v"))
-    return old.join(new, "user_id", "full_outer").select("user_id", "first_id", F.coalesce("new_v", "old_v").alias("v"))
+    old = events.filter("event_id % 2 = 0").groupBy("user_id").agg(F.min("event_id").alias("first_id"), F.max("value").alias("v"))
+    new = events.filter("event_id % 2 = 1 and event_type <> 'view'").groupBy("user_id").agg(F.max("value").alias("v"))
+    return state.upsert(old, new, "user_id", ["v"])
+
+
+@query(
+    "scan_persist",
+    """
+WITH old AS (SELECT user_id AS fingerprint, min(CAST(event_type AS VARCHAR)) AS file FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+new AS (SELECT user_id AS fingerprint, min(CAST(event_type AS VARCHAR)) AS file FROM events WHERE event_id % 2 = 1 AND event_type <> 'view' GROUP BY 1)
+SELECT coalesce(o.fingerprint, n.fingerprint) AS fingerprint, coalesce(n.file, o.file) AS file, CASE WHEN n.fingerprint IS NULL THEN 's1' ELSE 's2' END AS scan_id,
+       CASE WHEN o.fingerprint IS NULL THEN 't2' ELSE 't1' END AS created_at, CASE WHEN n.fingerprint IS NULL AND o.file IN ('click', 'error') THEN 't2' END AS resolved_at
+FROM old o FULL JOIN new n ON n.fingerprint = o.fingerprint""",
+)
+def scan_persist(spark: SparkSession, folder: str) -> DataFrame:
+    """A second scan of everything: clicks were read again, the file of errors is gone, the others exist and were not read."""
+    events = table(spark, folder, "events")
+    first = F.min("event_type").alias("file")
+    old = events.filter("event_id % 2 = 0").groupBy(F.col("user_id").alias("fingerprint")).agg(first)
+    known = old.select("fingerprint", "file", F.lit("low").alias("severity"), F.lit("s1").alias("scan_id"), F.lit("t1").alias("created_at"), F.lit(None).cast("string").alias("resolved_at"))
+    new = events.filter("event_id % 2 = 1 and event_type <> 'view'").groupBy(F.col("user_id").alias("fingerprint")).agg(first).withColumn("severity", F.lit("low"))
+    there = spark.createDataFrame([("view",), ("click",), ("signup",), ("purchase",)], "file string")
+    return state.apply_scan(known, new, there.filter("file = 'click'"), "s2", F.lit("t2"), existing=there).drop("severity")
 
 
 @query("memory_latest", "SELECT event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY event_type")
@@ -411,12 +432,12 @@ def confusion_wilson(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("index_counters", "SELECT l_returnflag AS kind, count(*) AS n, count(DISTINCT l_orderkey) AS owners FROM lineitem GROUP BY 1")
 def index_counters(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").groupBy(F.col("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("owners"))
+    return ledger.counters(table(spark, folder, "lineitem"), "l_returnflag", "l_orderkey")
 
 
 @query("scope_ordinals", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS ordinal FROM orders")
 def scope_ordinals(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")).alias("ordinal"))
+    return ledger.ordinals(table(spark, folder, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey").select("o_orderkey", "ordinal")
 
 
 @query("history_page", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
@@ -436,7 +457,10 @@ def ledger_violations(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.reference_violations(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id", ("unlabelled", "unknown", "repeated"))
 
 
-@query("manifest_hash", "SELECT source, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS manifest, count(*) AS entries FROM documents GROUP BY source")
+_LINE_SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query("manifest_hash", f"WITH l AS (SELECT source, sha256(doc_id || ':' || sha256(coalesce(text, ''))) AS h FROM documents) SELECT source, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_LINE_SUMS})) AS manifest, count(*) AS entries FROM l GROUP BY source")
 def manifest_hash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     return state.manifest_hash(docs, "source", "doc_id", "h")
@@ -488,42 +512,64 @@ def sink_classes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", classify.sink_type_col(name, F.lit(True)).alias("sink"), classify.guard_type_col(name).alias("guard"))
 
 
-@query("coverage_counts", "SELECT source, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, coalesce(bool_or(quality = 0 AND toxic = 1), false) AS both_bad, count(*) FILTER (quality IS NULL) AS pending FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+@query("coverage_counts", "SELECT source, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality = 0 AND toxic = 1) AS both_bad, count(*) FILTER (quality IS NULL) AS pending FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def coverage_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
-    return rows.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.coalesce(F.bool_or((F.col("quality") == 0) & (F.col("toxic") == 1)), F.lit(False)).alias("both_bad"), F.count_if(F.col("quality").isNull()).alias("pending"))
+    states = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1, "both_bad": (F.col("quality") == 0) & (F.col("toxic") == 1)}
+    return ledger.coverage_counts(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id", "source", states)
 
 
 @query("pending_units", "SELECT source, min(doc_id) AS next_unit, count(*) AS pending FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")
 def pending_units(spark: SparkSession, folder: str) -> DataFrame:
-    left = compare.only_in(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id")
-    return left.groupBy("source").agg(F.min("doc_id").alias("next_unit"), F.count(F.lit(1)).alias("pending"))
+    return ledger.next_pending(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id", "source")
 
 
 @query("text_filter", "SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'build')")
 def text_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").filter(F.contains(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")), F.lit("build"))).select("c_custkey")
+    return state.text_filter(table(spark, folder, "customer"), ["c_name", "c_mktsegment"], "BUILD").select("c_custkey")
 
 
-# source trees: the supplied tables hold no code, so these run over a generated tree
+# source trees: the supplied tables hold no code, so these run over generated trees, of which SQL can tell what is in them
 
+#: What else the files of some rules hold: a second rule fires on the same line of the bad or the good file.
+_ALSO = [("taint-process-env-to-spawn", "bad", "js-expose-process-env"), ("taint-process-env-to-spawn", "good", "js-expose-process-env"), ("taint-user-input-to-json-parse", "bad", "js-unsafe-json-parse"), ("js-unsafe-json-parse", "bad", "taint-user-input-to-json-parse")]
+_HIGH = ("python-debug-server", "python-unverified-ssl-context")
+_INFO = ("js-insecure-websocket-server", "rust-args", "rust-args-os", "rust-current-exe", "rust-temp-dir", "rust-unsafe-usage")
+_FIRES = ", ".join(f"('{rule}/{kind}.{RULE_CASES[rule][0].rsplit('.', 1)[1]}', '{fires}', '{'high' if fires in _HIGH else 'info' if fires in _INFO else 'medium'}')" for rule, kind, fires in [(r, "bad", r) for r in RULE_CASES] + _ALSO)
+_COPIES, _MODULES = 20, 120
 
-@query("code_rule_scan")
+
+@query("code_rule_scan", f"SELECT 'copy_' || i || '/' || name AS file, CAST(1 + i % 5 AS INTEGER) AS line, rule_id, severity FROM range({_COPIES}) AS c(i), (VALUES {_FIRES}) AS f(name, rule_id, severity)")
 def code_rule_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return rule_scan.scan(sample_tree(spark))[0].select("file", "line", "column", "rule_id", "severity", "fingerprint")
+    return rule_scan.scan(rule_tree(spark, _COPIES))[0].select("file", "line", "rule_id", "severity")
 
 
-@query("code_index_status")
+@query("code_index_status", f"SELECT CAST(n + 2 AS BIGINT) AS files, CAST(5 * n + 5 AS BIGINT) AS symbols, CAST(4 * n + 7 AS BIGINT) AS calls, CAST(n + 4 AS BIGINT) AS imports, CAST(2 AS BIGINT) AS annotations, CAST(0 AS BIGINT) AS notes, CAST(1 AS BIGINT) AS sources, CAST(1 AS BIGINT) AS sinks, CAST(0 AS BIGINT) AS sanitizers, CAST(0 AS BIGINT) AS guards, true AS complete FROM (VALUES ({_MODULES})) AS m(n)")
 def code_index_status(spark: SparkSession, folder: str) -> DataFrame:
-    return code_index.status(code_index.index_files(sample_tree(spark)))
+    return code_index.status(code_index.index_files(sample_tree(spark, _MODULES)))
+
 
+_CALLS = "('service.py', 7, 'cursor', false), ('service.py', 7, 'sqlite3.connect', false), ('service.py', 8, 'build', true), ('service.py', 8, 'cursor.execute', false), ('routes.py', 4, 'Flask', false), ('routes.py', 8, 'find', true), ('routes.py', 10, 'app.run', false)"
+_MODULE_CALLS = "(4, 'second', true), (10, 'first', true), (13, 'third', true), (13, 'other', true)"
 
-@query("code_calls")
+
+@query("code_calls", f"SELECT 'mod_' || i || '.py' AS path, line, name, resolved FROM range({_MODULES}) AS m(i), (VALUES {_MODULE_CALLS}) AS c(line, name, resolved) UNION ALL FROM (VALUES {_CALLS}) AS c(path, line, name, resolved)")
 def code_calls(spark: SparkSession, folder: str) -> DataFrame:
-    return code_index.edges(code_index.index_files(sample_tree(spark))).filter("kind = 'CALLS'").select("path", "line", "name", "resolved")
+    index = state.snapshot(code_index.index_files(sample_tree(spark, _MODULES)), "index")
+    return code_index.edges(index).filter("kind = 'CALLS'").select("path", "line", "name", "resolved")
+
+
+@query("code_imports", f"SELECT 'mod_' || i || '.py' AS path, 1 AS line, 'other' AS name, true AS resolved FROM range({_MODULES}) AS m(i) UNION ALL FROM (VALUES ('routes.py', 1, 'Flask', false), ('routes.py', 1, 'request', false), ('routes.py', 2, 'find', true), ('service.py', 1, 'sqlite3', false)) AS c(path, line, name, resolved)")
+def code_imports(spark: SparkSession, folder: str) -> DataFrame:
+    index = state.snapshot(code_index.index_files(sample_tree(spark, _MODULES)), "index")
+    return code_index.edges(index).filter("kind = 'IMPORTS'").select("path", "line", "name", "resolved")
+
+
+@query("code_call_status", f"SELECT CAST(4 * {_MODULES} + 7 AS BIGINT) AS calls, CAST(4 * {_MODULES} + 2 AS BIGINT) AS resolved_calls")
+def code_call_status(spark: SparkSession, folder: str) -> DataFrame:
+    return code_index.call_status(state.snapshot(code_index.index_files(sample_tree(spark, _MODULES)), "index"))
 
 
-@query("code_taint_trace")
+@query("code_taint_trace", "SELECT 'routes.py' AS source_path, 8 AS source_line, 'request.args' AS source, 'service.py' AS sink_path, 8 AS sink_line, 'cursor.execute' AS sink, 'sql-injection' AS category, 'medium' AS confidence")
 def code_taint_trace(spark: SparkSession, folder: str) -> DataFrame:
-    flows, _ = taint.trace(code_index.index_files(sample_tree(spark)))
-    return flows.select("id", "source_path", "source_line", "source", "sink_path", "sink_line", "sink", "category", "confidence")
+    flows, _ = taint.trace(code_index.index_files(sample_tree(spark, _MODULES)))
+    return flows.select("source_path", "source_line", "source", "sink_path", "sink_line", "sink", "category", "confidence")

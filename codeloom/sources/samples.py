@@ -1,4 +1,4 @@
-"""A generated source tree of any size, made by the tasks themselves.
+"""Generated source trees of any size, made by the tasks themselves.
 
 ``modules`` Python modules of four functions each, a service that builds a query
 from its argument, and routes that hand it outside input: one flow over two files.
@@ -20,3 +20,38 @@ def sample_tree(spark: SparkSession, modules: int = 120) -> DataFrame:
     body = F.concat(F.lit("from mod_"), after, F.lit(" import second as other\n\ndef first(a):\n    return second(a)\n\ndef second(a):\n    return a + "), n, F.lit("\n\ndef third(a, b=None):\n    return first(b)\n\ndef fourth(a):\n    return other(third(a))\n"))
     mods = spark.range(modules).select(F.lit("sample").alias("project"), F.concat(F.lit("mod_"), n, F.lit(".py")).alias("path"), body.alias("content"))
     return mods.unionByName(spark.createDataFrame([("sample", "service.py", _SERVICE), ("sample", "routes.py", _ROUTES)], mods.schema))
+
+
+#: Per bundled rule a file name, a text it finds and one it does not.
+RULE_CASES = {
+    "javascript-detect-child-process": ("a.js", "function f(cmd) { const x = cmd; exec(x); }", "function f(cmd) { exec('ls'); }"),
+    "javascript-detect-eval-with-expression": ("a.js", "const h = location.hash; eval(h);", "eval('1 + 1');"),
+    "javascript-detect-insecure-websocket": ("a.txt", "open ws://remote.example/x", "open ws://localhost:80/x "),
+    "js-expose-process-env": ("a.ts", "const e = process.env.KEY;", "// process.env\nconst s = 'process.env';"),
+    "js-insecure-websocket-server": ("a.js", "const w = new WebSocketServer({port: 1});", "const w = 'new WebSocketServer(';"),
+    "javascript-jwt-decode-unverified": ("a.js", "const c = jwt.decode(token, {a: 1});", "const c = jwt.verify(token, key);"),
+    "javascript-permissive-cors": ("a.js", "app.use(cors({ credentials: true, origin: true }));", "app.use(cors({ origin: 'https://a' }));"),
+    "taint-process-env-to-spawn": ("a.js", "const p = process.env.P; spawn(p);", "const p = process.env.P; spawn('ls');"),
+    "taint-user-input-to-json-parse": ("a.js", "let b = req.body; JSON.parse(b);", "JSON.parse('{}');"),
+    "js-unsafe-json-parse": ("a.js", "JSON.parse(raw.toString());", "JSON.parse(fixed);"),
+    "python-debug-server": ("a.py", "app.run(host='x', debug=True)", "app.run(debug=False)"),
+    "python-insecure-hash-function": ("a.py", "hashlib.md5(x)", "hashlib.md5(x, usedforsecurity=False)"),
+    "python-unverified-ssl-context": ("a.py", "c = ssl._create_unverified_context(1)", "c = ssl.create_default_context()"),
+    "rust-args": ("a.rs", "fn main() { let a = std::env::args(); }", "fn main() { /* std::env::args() */ }"),
+    "rust-args-os": ("a.rs", "fn main() { let a = std::env::args_os(); }", "fn main() { }"),
+    "rust-current-exe": ("a.rs", "fn main() { let a = std::env::current_exe(); }", "fn main() { }"),
+    "rust-temp-dir": ("a.rs", "fn main() { let a = std::env::temp_dir(); }", 'fn main() { let a = "std::env::temp_dir()"; }'),
+    "rust-insecure-hashes": ("a.rs", "fn main() { let h = md5::Md5::new(); }", "fn main() { let h = sha2::Sha256::new(); }"),
+    "rust-reqwest-accept-invalid": ("a.rs", "fn main() { let c = reqwest::Client::builder().user_agent(\"x\").danger_accept_invalid_certs(true); }", "fn main() { let c = reqwest::Client::builder().danger_accept_invalid_certs(false); }"),
+    "rust-rustls-dangerous": ("a.rs", "fn main() { c.dangerous().set_certificate_verifier(v); }", "fn main() { c.set(v); }"),
+    "rust-ssl-verify-none": ("a.rs", "fn main() { b.set_verify(openssl::ssl::SSL_VERIFY_NONE); }", "fn main() { b.set_verify(openssl::ssl::SSL_VERIFY_PEER); }"),
+    "rust-unsafe-usage": ("a.rs", "fn main() { unsafe { *p } }", "fn main() { safe(); }"),
+}
+
+
+def rule_tree(spark: SparkSession, copies: int = 20) -> DataFrame:
+    """``path, content``: in every copy a file that each rule finds, below some empty lines, and one that it does not."""
+    rows = [(f"{rule}/{kind}.{name.rsplit('.', 1)[1]}", text) for rule, (name, *texts) in RULE_CASES.items() for kind, text in zip(("bad", "good"), texts, strict=True)]
+    kinds = F.broadcast(spark.createDataFrame(rows, "name string, text string"))
+    lines = F.repeat(F.lit("\n"), (F.col("id") % 5).cast("int"))
+    return spark.range(copies).join(kinds).select(F.concat(F.lit("copy_"), F.col("id").cast("string"), F.lit("/"), "name").alias("path"), F.concat(lines, "text").alias("content"))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders and kinds of files that hold no source code.
-SKIPPED_FOLDERS = (".git", "node_modules", "target", "dist", "build", "__pycache__", ".venv", "venv")
-SKIPPED_KINDS = ("png", "jpg", "jpeg", "gif", "ico", "svg", "webp", "pdf", "zip", "gz", "tar", "exe", "dll", "so", "dylib", "bin", "wasm", "woff", "woff2", "ttf", "eot", "mp3", "mp4", "lock", "db", "sqlite", "pyc", "class", "jar")
+SKIPPED_FOLDERS = ("target", ".git", "node_modules", "dist", "build", "__pycache__")
+SKIPPED_KINDS = ("o", "d", "rmeta", "rlib", "bin", "exe", "lock", "a", "dll", "so", "dylib", "timestamp", "png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "7z", "db", "sqlite", "sqlite3", "woff", "woff2", "ttf", "otf")
 FILE_BYTES, TOTAL_BYTES, FILES = 1 << 20, 16 << 20, 2000
 
 
