@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codeloom", description=__doc__)
     p.add_argument("--state", default=".codeloom", help="folder of indexes and baselines")
     sub = p.add_subparsers(dest="verb", required=True)
-    for verb in ("scan", "index", "status", "symbols", "callers", "callees", "trace", "context", "baseline", "verify", "diff", "changes", "rules"):
+    for verb in ("scan", "index", "status", "symbols", "callers", "callees", "trace", "context", "baseline", "verify", "diff", "changes", "rules", "score"):
         s = sub.add_parser(verb)
         if verb != "rules":
             s.add_argument("path")
@@ -67,6 +67,14 @@ def main(argv: list[str] | None = None) -> int:
     from codeloom.sinks import report
     from codeloom.sources import git, tree
 
+    if args.verb == "score":
+        from codeloom.operators.case_run import detections
+        from codeloom.operators.score import confusion
+        from codeloom.sources.cases import load
+
+        with open(args.path, encoding="utf-8") as f:
+            _show(confusion(detections(load(spark, f.read())).cache(), "class").orderBy(F.col("class").asc_nulls_first()))
+        return 0
     engine = Engine(spark, os.path.abspath(args.path), _uri(args.state))
     if args.verb == "changes":
         _show(git.changes(spark, args.path, args.base))

@@ -324,8 +324,7 @@ class _Function:
                 front.annotate(sid, "security_guard", guard_type(name), name, s.lineno)
             if name and isinstance(d, ast.Call) and "." in name:
                 base, verb = name.rsplit(".", 1)
-                made = front.apps.get(base, "").rsplit(".", 1)[-1]
-                framework = next((f for f, names in _APPS.items() if made in names and self.imported(f, made)), None)
+                framework = self.framework(front.apps.get(base, ""))
                 if framework and verb in _ROUTES:
                     for a in args:
                         plain = a.annotation is None if framework == "flask" else a.annotation is not None and dotted(a.annotation) == "str"
@@ -333,8 +332,15 @@ class _Function:
                             inner.env[a.arg] = inner.source(f"route parameter {a.arg}", s.lineno)
         inner.body(s.body)
 
-    def imported(self, framework: str, name: str) -> bool:
-        return any(i["module"].split(".")[0] == framework and i["imported"] in (name, None) for i in self.front.facts.imports)
+    def framework(self, made: str) -> str | None:
+        """The framework whose application the call of ``made`` gives, by the file's imports, renamed or not."""
+        first, _, rest = made.partition(".")
+        for i in self.front.facts.imports:
+            name = i["imported"] or rest.rsplit(".", 1)[-1]
+            root = i["module"].split(".")[0]
+            if name in _APPS.get(root, ()) and first in (i["local"], i["module"].split(".")[0] if i["imported"] is None else i["local"]):
+                return root
+        return None
 
 
 def extract(project: str, path: str, source: str) -> Facts:

@@ -21,8 +21,11 @@ _ASSIGN = re.compile(rf"(?<![\w$.])(?:(const|let|var)\s+(?:mut\s+)?)?({_NAME}(?:
 _UNPACK = re.compile(r"(?:const|let|var)\s*[{\[]([^{}\[\]]*)[}\]]\s*=(?![=>])")
 _EACH = re.compile(rf"\bfor\s*\(?\s*(?:(?:const|let|var)\s+)?({_NAME})\s+(?:of|in)\s+")
 _RETURN = re.compile(r"(?<![\w$.])return\b")
-_ROUTE = re.compile(rf"({_NAME})\s*\.\s*(?:get|post|put|delete|patch|all|use|route)\s*\Z")
-_APP = re.compile(rf"(?:const|let|var)\s+({_NAME})\s*=\s*(?:express\s*(?:\.\s*Router)?|Router|[Ff]astify|new\s+Router)\s*\(")
+_ROUTE = re.compile(rf"(?<![\w$.])({_NAME})\s*\.\s*(get|post|put|delete|patch|head|options|all|use|register)\s*\(")
+_BOUND = re.compile(rf"(?:const|let|var)\s+({_NAME})\s*(?::[^=;]+)?=\s*")
+_INLINE_FACTORY = re.compile(r"""require\(\s*['"](?:express|fastify)['"]\s*\)\s*(?:\.\s*Router\s*)?\(""")
+_ARROW = re.compile(rf"(?:async\s*)?(?:\(([^()]*)\)|({_NAME}))\s*(?::[^=]+)?=>\s*")
+_FUNCTION = re.compile(rf"(?:async\s+)?function\s*\*?\s*(?:{_NAME})?\s*\(([^()]*)\)\s*(?::[^{{]+)?(?={{)")
 _NAMED = (
     ("function", re.compile(rf"\bfunction\s*\*?\s*({_NAME})\s*\(")),
     ("function", re.compile(rf"(?:const|let|var)\s+({_NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\(?[^=;{{}}]*\)?\s*=>\s*\Z)")),
@@ -149,9 +152,9 @@ class _Frontend:
 
     def _walk(self) -> None:
         module = self._symbol(MODULE, MODULE, "module", 0, len(self.source), [])
-        self.apps = {m[1] for m in _APP.finditer(self.plain)}
-        # end, owner, scope, names, whether a named function begins here, alias of the request
-        self.stack: list[dict] = [{"end": len(self.plain) + 1, "owner": module, "scope": "", "vars": {}, "function": True, "alias": set(), "class": False}]
+        self._routes()
+        # end, owner, scope, names, whether a named function begins here
+        self.stack: list[dict] = [{"end": len(self.plain) + 1, "owner": module, "scope": "", "vars": {}, "function": True, "class": False}]
         self.seen: set[tuple] = set()
         events = {m.start(): ("set", m) for m in _ASSIGN.finditer(self.plain)}
         events |= {m.start(): ("unpack", m) for m in _UNPACK.finditer(self.plain)}
@@ -183,9 +186,82 @@ class _Frontend:
             if at in self.calls and kind not in ("call", "open"):
                 self.value(at, self.calls[at])
 
+    # routes of web frameworks: what a handler's first parameter holds is outside input
+
+    def _routes(self) -> None:
+        """Ranges of handlers of proven Express and Fastify objects, with the name of the request in each."""
+        self.requests: list[tuple[int, int, str]] = []
+        if self.language == "rust":
+            return
+        made = {"express": {"default", None}, "fastify": {"default", None, "fastify", "Fastify"}}
+        factories = {i["local"] for i in self.facts.imports if i["imported"] in made.get(i["module"], ())}
+        routers = {i["local"] for i in self.facts.imports if i["module"] == "express" and i["imported"] == "Router"}
+        members = {i["local"] for i in self.facts.imports if i["module"] == "express" and i["imported"] in ("default", None)}
+        self.bound = {m[1]: m.end() for m in _BOUND.finditer(self.plain)}
+        whole = (0, len(self.plain))
+        apps: list[tuple[str, int, int]] = []
+        for name, at in self.bound.items():
+            m = re.compile(rf"(?:new\s+)?({_NAME})\s*(\.\s*Router\s*)?\(").match(self.plain, at)
+            if _INLINE_FACTORY.match(self.source, at) or m and (m[1] in members if m[2] else m[1] in factories | routers):
+                apps.append((name, *whole))
+        done: set[tuple] = set()
+        while len(apps) > len(done):
+            for app in [a for a in apps if a not in done]:
+                done.add(app)
+                name, lo, hi = app
+                apps += [(other, *whole) for other, at in self.bound.items() if re.compile(rf"{re.escape(name)}\s*(?:;|\n|\Z)").match(self.plain, at) and (other, *whole) not in apps]
+                for m in _ROUTE.finditer(self.plain, lo, hi):
+                    if m[1] == name:
+                        for a, b in self._arguments(m.end() - 1):
+                            got = self._function_at(a, b)
+                            if got and m[2] == "register":
+                                plugin = (got[2], got[0], got[1])
+                                apps += [plugin] if plugin not in apps else []
+                            elif got:
+                                self.requests.append(got)
+
+    def is_request(self, name: str, at: int) -> bool:
+        """Whether ``name`` is a handler's request there, and no block within the handler has a variable of that name."""
+        ends = [b for a, b, n in self.requests if n == name and a <= at < b]
+        return bool(ends) and not any(name in f["vars"] and f["end"] < min(ends) for f in self.stack)
+
+    def _arguments(self, opened: int) -> list[tuple[int, int]]:
+        """Ranges of the arguments of a call, given its opening bracket."""
+        out, depth, start = [], 0, opened + 1
+        for i in range(opened, len(self.plain)):
+            c = self.plain[i]
+            depth += (c in "([{") - (c in ")]}")
+            if depth == 0 or depth == 1 and c == ",":
+                out.append((start, i))
+                start = i + 1
+            if depth == 0:
+                break
+        return out
+
+    def _function_at(self, lo: int, hi: int, steps: int = 8) -> tuple[int, int, str] | None:
+        """Body and first parameter of the function that an expression is, or names, over at most ``steps`` aliases."""
+        while lo < hi and self.plain[lo].isspace():
+            lo += 1
+        if m := _ARROW.match(self.plain, lo, hi):
+            params, body = m[1] if m[1] is not None else m[2], m.end()
+            end = self.ends.get(body, hi)
+        elif m := _FUNCTION.match(self.plain, lo, hi):
+            params, body = m[1], m.end()
+            end = self.ends.get(body, hi)
+        elif (m := re.compile(rf"({_NAME})\s*\Z").match(self.plain[lo:hi])) and steps:
+            if m[1] in self.bound:
+                at = self.bound[m[1]]
+                return self._function_at(at, self._stop(at), steps - 1)
+            named = re.search(rf"(?:async\s+)?function\s*\*?\s*{re.escape(m[1])}\s*\(", self.plain)
+            return self._function_at(named.start(), len(self.plain), 0) if named else None
+        else:
+            return None
+        first = re.match(rf"\s*({_NAME})", params)
+        return (body, end, first[1]) if first else None
+
     def _enter(self, at: int) -> None:
         top, named = self.stack[-1], self._name_of(at)
-        frame = {"end": self.ends[at], "owner": top["owner"], "scope": top["scope"], "vars": {}, "function": False, "alias": set(top["alias"]), "class": False}
+        frame = {"end": self.ends[at], "owner": top["owner"], "scope": top["scope"], "vars": {}, "function": False, "class": False}
         params = self.params.get(at, [])
         if named:
             name, kind, start = named
@@ -201,11 +277,6 @@ class _Frontend:
                 frame |= {"owner": sid, "function": True, "vars": {p: frozenset([f"param:{i}"]) for i, p in enumerate(plain)}}
         elif params:
             frame["vars"] = {p: NONE for p in params}
-            outer = [a for a, b in self.calls.items() if a < at and self.ends[at] <= b]
-            callee = self.plain[max(outer) : self.plain.index("(", max(outer))] if outer else ""
-            m = _ROUTE.search(callee)
-            if m and m[1] in self.apps:
-                frame["alias"] = {params[0]}
         self.stack.append(frame)
 
     def _set(self, m: re.Match, got: frozenset[Origin], at: int) -> None:
@@ -222,10 +293,26 @@ class _Frontend:
         for k in [k for k in frame["vars"] if k.startswith(name + ".")]:
             del frame["vars"][k]
         frame["vars"][name] = got
+        self._fields(frame, name, m.end())
         if name.rsplit(".", 1)[-1] in ("innerHTML", "outerHTML"):
             line = self.line(at)
             self.hop(got, f"sink:xss:{line}:{name}", at, category="xss", name=name, snippet=name)
 
+    def _fields(self, frame: dict, name: str, at: int) -> None:
+        """What each field holds, where ``name`` is set to an object that lists all of them."""
+        while at < len(self.plain) and self.plain[at].isspace():
+            at += 1
+        if self.language == "rust" or self.plain[at : at + 1] != "{":
+            return
+        fields = {}
+        for a, b in self._arguments(at):
+            m = re.compile(rf"\s*({_NAME})\s*:(?!:)").match(self.plain, a, b)
+            if m:
+                fields[f"{name}.{m[1]}"] = self.value(m.end(), b)
+            elif self.plain[a:b].strip():
+                return  # spread, computed or short: the object as a whole tells
+        frame["vars"] |= fields
+
     def _stop(self, at: int) -> int:
         depth = 0
         for i in range(at, len(self.plain)):
@@ -261,7 +348,7 @@ class _Frontend:
 
     def name_value(self, name: str, at: int) -> frozenset[Origin]:
         first, _, rest = name.partition(".")
-        if first in self.stack[-1]["alias"] and rest and is_source(f"req.{rest}"):
+        if rest and is_source(f"req.{rest}") and self.is_request(first, at):
             return self.source_of(f"req.{rest}", at)
         return self.source_of(name, at) if is_source(name) else self.lookup(name)
 
@@ -306,7 +393,7 @@ class _Frontend:
                     args.append(self.value(start, i))
                 start = i + 1
             depth += (c in "([{") - (c in ")]}")
-        if is_source_call(name) or name.partition(".")[0] in self.stack[-1]["alias"] and is_source("req." + name.partition(".")[2]):
+        if is_source_call(name) or is_source("req." + name.partition(".")[2]) and self.is_request(name.partition(".")[0], lo):
             return self.source_of(name, lo)
         if inner is None and "." in name:
             receiver = self.name_value(name.rsplit(".", 1)[0], lo)

@@ -80,8 +80,9 @@ def facts(index: DataFrame, kind: str) -> DataFrame:
     return index.select("project", "path", F.explode(kind).alias("f")).select("project", "path", "f.*")
 
 
-def call_uid(path: Column, call: Column) -> Column:
-    return F.concat_ws("#", path, call)
+def call_uid(call: Column) -> Column:
+    """Name of a call over all projects, for rows with ``project`` and ``path``."""
+    return F.concat_ws("#", "project", "path", call)
 
 
 def import_candidates(imports: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def resolve_imports(index: DataFrame) -> DataFrame:
 
 def resolve_calls(index: DataFrame) -> DataFrame:
     """Every call with its callee: ``callee, resolved``; several or no candidates leave it unresolved."""
-    calls = facts(index, "calls").withColumn("uid", call_uid(F.col("path"), F.col("call")))
+    calls = facts(index, "calls").withColumn("uid", call_uid(F.col("call")))
     symbols = facts(index, "symbols").filter("kind in ('function', 'method', 'class')").select(F.col("project").alias("sp"), F.col("path").alias("spath"), F.col("qualified").alias("sq"), F.col("id").alias("callee"), F.col("kind").alias("skind"))
     first = F.regexp_extract("name", r"^([^.]+)", 1)
     rest = F.regexp_replace("name", r"^[^.]+\.?", "")

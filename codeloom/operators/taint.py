@@ -60,12 +60,12 @@ def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
     calls, calls_path = materialize(resolve_calls(index).select("uid", "owner", "callee", "sanitizer", "sink", "name"), "calls")
     hops = facts(index, "hops")
     kind, rest = F.regexp_extract("origin", "^([a-z]+)", 1), F.regexp_replace("origin", "^[a-z]+:", "")
-    origin = F.when(kind == "result", F.concat(F.lit("R|"), call_uid(F.col("path"), rest))).when(kind == "source", F.concat_ws("|", F.lit("S"), "owner", "path", F.replace(rest, F.lit(":"), F.lit("|")))).otherwise(F.concat(F.lit("P|"), rest))
+    origin = F.when(kind == "result", F.concat(F.lit("R|"), call_uid(rest))).when(kind == "source", F.concat_ws("|", F.lit("S"), "owner", "path", F.replace(rest, F.lit(":"), F.lit("|")))).otherwise(F.concat(F.lit("P|"), rest))
     call_no = F.regexp_extract("target", r"^arg:(\d+):", 1)
     target = (
         F.when(F.col("target") == "return", "RET")
         .when(F.col("target").startswith("sink:"), F.concat_ws("|", F.lit("K"), "owner", "path", F.col("line").cast("string"), "category", "name", "snippet"))
-        .otherwise(F.concat_ws("|", F.lit("A"), call_uid(F.col("path"), call_no), F.regexp_replace("target", r"^arg:\d+:", "")))
+        .otherwise(F.concat_ws("|", F.lit("A"), call_uid(call_no), F.regexp_replace("target", r"^arg:\d+:", "")))
     )
     step = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"))
     base = hops.select("owner", origin.alias("origin"), target.alias("target"), F.lit(0).alias("mask"), F.lit(False).alias("low"), F.array(step).alias("steps"))

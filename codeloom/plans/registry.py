@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from codeloom.functions import classify, severity, text
 from codeloom.functions.identity import finding_fingerprint, identity_sql, json_string
-from codeloom.operators import code_index, compare, ledger, lexical, resolve, rule_scan, score, spans, state, taint
-from codeloom.sources.samples import RULE_CASES, rule_tree, sample_tree
+from codeloom.operators import case_run, code_index, compare, ledger, lexical, resolve, rule_scan, score, spans, state, taint
+from codeloom.sources.samples import RULE_CASES, rule_tree, sample_cases, sample_tree
 from codeloom.sources.scanner_json import parse_props
 from codeloom.sources.tables import table
 from pyspark.sql import DataFrame, SparkSession
@@ -573,3 +573,8 @@ def code_call_status(spark: SparkSession, folder: str) -> DataFrame:
 def code_taint_trace(spark: SparkSession, folder: str) -> DataFrame:
     flows, _ = taint.trace(code_index.index_files(sample_tree(spark, _MODULES)))
     return flows.select("source_path", "source_line", "source", "sink_path", "sink_line", "sink", "category", "confidence")
+
+
+@query("code_case_scores", f"SELECT engine, CAST(3 * n AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(3 * n AS BIGINT) AS tn FROM (VALUES (NULL, {len(RULE_CASES) + 1}), ('rules', {len(RULE_CASES)}), ('graph', 1)) AS c(engine, n)")
+def code_case_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score.confusion(state.snapshot(case_run.detections(sample_cases(spark)), "cases"), "engine").select("engine", "tp", "fp", "fn", "tn")

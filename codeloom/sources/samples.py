@@ -6,6 +6,7 @@ from its argument, and routes that hand it outside input: one flow over two file
 
 from __future__ import annotations
 
+from codeloom.sources.cases import SCHEMA as CASES
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +56,12 @@ def rule_tree(spark: SparkSession, copies: int = 20) -> DataFrame:
     kinds = F.broadcast(spark.createDataFrame(rows, "name string, text string"))
     lines = F.repeat(F.lit("\n"), (F.col("id") % 5).cast("int"))
     return spark.range(copies).join(kinds).select(F.concat(F.lit("copy_"), F.col("id").cast("string"), F.lit("/"), "name").alias("path"), F.concat(lines, "text").alias("content"))
+
+
+def sample_cases(spark: SparkSession, copies: int = 3) -> DataFrame:
+    """Labelled cases, as ``sources.cases`` loads them: what each bundled rule finds and what not, and projects with and without a flow."""
+    spans = [(f"{rule}.{kind}", "rules", kind == "bad", rule, {name: text}) for rule, (name, *texts) in RULE_CASES.items() for kind, text in zip(("bad", "good"), texts, strict=True)]
+    flow = {"service.py": _SERVICE, "routes.py": _ROUTES}
+    spans += [("flow.bad", "graph", True, "interproc-sql-injection", flow), ("flow.good", "graph", False, "interproc-sql-injection", flow | {"routes.py": _ROUTES.replace("request.args['name']", "'name'")})]
+    rows = [(f"{name}.{n}", name, "development", rule, positive, [rule], engine, next(iter(files)), files, "") for n in range(copies) for name, engine, positive, rule, files in spans]
+    return spark.createDataFrame(rows, CASES)

@@ -132,6 +132,7 @@ def test_identity_ignores_moved_lines(spark):
 
 SERVER = """
 import { find as look } from './lib/store';
+import express from 'express';
 const cp = require('child_process');
 const app = express();
 app.get('/x', (r, res) => {
@@ -167,3 +168,32 @@ def test_scripts(spark):
     found, complete = taint.trace(index)
     assert complete
     assert sorted((r.source, r.sink_path, r.category) for r in found.collect()) == [("req.body", "app/server.ts", "xss"), ("req.query.name", "app/lib/store.js", "sql-injection")]
+
+
+ROUTES = {
+    "inline": ("import make from 'express'; const app = make(); app.get('/x', asked => db.query(asked.query.q));", True),
+    "router": ("import { Router as make } from 'express'; const r = make();\nr.post('/x', (asked, out) => { db.query(asked.body.q); });", True),
+    "member": ("const e = require('express'); const r = e.Router(); function handle(asked) { db.query(asked.params.q); } r.put('/x', guard, handle);", True),
+    "renamed": ("const app = require('fastify')(); const first = asked => db.query(asked.query.q); const second = first; app.get('/x', second);", True),
+    "plugin": ("import make from 'fastify'; const app = make(); async function outer(inner) { inner.register(deep => { deep.get('/x', asked => db.query(asked.query.q)); }); }\napp.register(outer);", True),
+    "alias": ("const app = require('express')(); const same = app;\nsame.get('/x', asked => db.query(asked.query.q));", True),
+    "unproven": ("const app = express(); app.get('/x', asked => db.query(asked.query.q));", False),
+    "other module": ("import make from 'expresso'; const app = make(); app.get('/x', asked => db.query(asked.query.q));", False),
+    "no route": ("import make from 'express'; const app = make(); app.listen(asked => db.query(asked.query.q));", False),
+    "outside": ("import make from 'express'; const app = make(); app.get('/x', asked => 1); function f(asked) { db.query(asked.query.q); }", False),
+    "second parameter": ("import make from 'express'; const app = make(); app.get('/x', (a, asked) => db.query(asked.query.q));", False),
+    "shadowed": ("import make from 'express'; const app = make(); app.get('/x', asked => { { const asked = {query: {q: 'a'}}; db.query(asked.query.q); } });", False),
+    "other field": ("function f(req) { const box = {raw: req.query.q, safe: 'a'}; db.query(box.safe); }", False),
+    "field": ("function f(req) { const box = {raw: req.query.q, safe: 'a'}; db.query(box.raw); }", True),
+}
+
+
+def test_routes(spark):
+    rows = [(name, "a.js", text) for name, (text, _) in ROUTES.items()]
+    rows.append(("python", "a.py", "from fastapi import FastAPI as Web\napp = Web()\n@app.get('/x')\nasync def route(q: str):\n    cursor.execute('select ' + q)\n"))
+    rows.append(("python safe", "a.py", "from web import FastAPI as Web\napp = Web()\n@app.get('/x')\nasync def route(q: str):\n    cursor.execute('select ' + q)\n"))
+    index = code_index.index_files(spark.createDataFrame(rows, "project string, path string, content string"))
+    found, complete = taint.trace(index)
+    owner = {r.id: r.project for r in code_index.facts(index, "symbols").collect()}
+    assert complete
+    assert {owner[r.sink_symbol] for r in found.collect()} == {n for n, (_, flows) in ROUTES.items() if flows} | {"python"}
