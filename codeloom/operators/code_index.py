@@ -193,3 +193,18 @@ def status(index: DataFrame) -> DataFrame:
 def call_status(index: DataFrame) -> DataFrame:
     """``calls, resolved_calls`` of an index, one row."""
     return resolve_calls(index).agg(F.count(F.lit(1)).alias("calls"), F.count_if("resolved").alias("resolved_calls"))
+
+
+def affected_files(changed: DataFrame, *indexes: DataFrame) -> DataFrame:
+    """``path`` of the ``changed(path)`` files, and of those whose symbols call or are called by symbols of theirs.
+
+    Calls count in every given index, before and after a change, so that removed and introduced ones are covered.
+    """
+    out = changed.select("path")
+    for index in indexes:
+        home = facts(index, "symbols").select("id", F.col("path").alias("home"))
+        calls = resolve_calls(index).filter("resolved").select("owner", "callee")
+        files = calls.join(home.withColumnRenamed("id", "owner"), "owner").withColumnRenamed("home", "a").join(home.withColumnRenamed("id", "callee"), "callee").select("a", F.col("home").alias("b")).filter("a <> b").distinct()
+        both = files.union(files.select("b", "a"))
+        out = out.union(both.join(changed.select(F.col("path").alias("a")).distinct(), "a", "left_semi").select("b"))
+    return out.distinct()

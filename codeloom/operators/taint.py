@@ -73,7 +73,7 @@ def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
     facts_of, complete = _facts(known), False
     for _ in range(max_rounds):
         arg = F.split("target", r"\|")
-        into = known.filter("target like 'A|%'").select("owner", "origin", "mask", "low", "steps", arg[1].alias("uid"), arg[2].alias("slot")).join(calls.drop("owner", "name"), "uid")
+        into = known.filter("target like 'A|%'").select("owner", "origin", "mask", "low", "steps", F.get(arg, F.lit(1)).alias("uid"), F.get(arg, F.lit(2)).alias("slot")).join(calls.drop("owner", "name"), "uid")
         out = known.filter("origin like 'R|%'").select(F.col("owner").alias("o2"), F.substring("origin", 3, 1 << 20).alias("uid"), F.col("target").alias("then"), F.col("mask").alias("m2"), F.col("low").alias("l2"), F.col("steps").alias("s2"))
 
         def then(rows: DataFrame, mask: Column, low: Column, steps: Column) -> DataFrame:
@@ -102,8 +102,8 @@ def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
             break
     remove(spark, calls_path, index_path)
     o, k = F.split("origin", r"\|", 5), F.split("target", r"\|", 7)
-    flows = known.filter("origin like 'S|%' and target like 'K|%'").withColumn("category", k[4]).filter(F.col("mask").bitwiseAND(_bit(F.col("category"))) == 0)
-    flows = flows.select(o[1].alias("source_symbol"), o[2].alias("source_path"), o[3].cast("int").alias("source_line"), o[4].alias("source"), k[1].alias("sink_symbol"), k[2].alias("sink_path"), k[3].cast("int").alias("sink_line"), k[5].alias("sink"), k[6].alias("snippet"), "category", F.when(F.col("low"), "low").otherwise("medium").alias("confidence"), "steps")
+    flows = known.filter("origin like 'S|%' and target like 'K|%'").withColumn("category", F.get(k, F.lit(4))).filter(F.col("mask").bitwiseAND(_bit(F.col("category"))) == 0)
+    flows = flows.select(F.get(o, F.lit(1)).alias("source_symbol"), F.get(o, F.lit(2)).alias("source_path"), F.get(o, F.lit(3)).cast("int").alias("source_line"), F.get(o, F.lit(4)).alias("source"), F.get(k, F.lit(1)).alias("sink_symbol"), F.get(k, F.lit(2)).alias("sink_path"), F.get(k, F.lit(3)).cast("int").alias("sink_line"), F.get(k, F.lit(5)).alias("sink"), F.get(k, F.lit(6)).alias("snippet"), "category", F.when(F.col("low"), "low").otherwise("medium").alias("confidence"), "steps")
     # no line numbers in the identity: moving code does not make a new flow
     key = F.sha2(json_array(json_string(F.col("source_symbol")), json_string(F.col("source")), json_string(F.col("sink_symbol")), json_string(F.col("category")), json_string(F.col("snippet")), json_strings(F.array("sink"))), 256)
     rank = F.when(F.col("confidence") == "medium", 0).otherwise(1)
@@ -124,3 +124,26 @@ def of_target(flows: DataFrame, target: str, category: str | None = None) -> Dat
     """Flows that start or end at a symbol or file, or read a source, of that name."""
     hit = (F.col("source_symbol") == target) | (F.col("sink_symbol") == target) | (F.col("source_path") == target) | (F.col("sink_path") == target) | F.contains("source", F.lit(target)) | F.exists("steps", lambda s: s.startswith(target + ":"))
     return flows.filter(hit & (F.col("category") == category if category else F.lit(True)))
+
+
+def touching(flows: DataFrame, paths: DataFrame) -> DataFrame:
+    """Flows with a step in one of the files ``paths(path)``."""
+    steps = flows.select("id", F.explode("steps").alias("step")).select("id", F.regexp_replace("step", r":\d+\z", "").alias("path"))
+    return flows.join(steps.join(paths.select("path").distinct(), "path", "left_semi").select("id").distinct(), "id", "left_semi")
+
+
+def flow_edges(flows: DataFrame, index: DataFrame) -> DataFrame:
+    """Flows as edges ``src, dst, kind, path, line, name, resolved`` of kind FLOWS_TO, as ``code_index.edges`` has the others.
+
+    They go from the annotation of the source to that of the dangerous call; a step without an annotation is its symbol.
+    """
+    notes = facts(index, "annotations").groupBy("owner", "kind", "line").agg(F.min("id").alias("note"))
+
+    def at(kind: str, name: str) -> DataFrame:
+        return notes.filter(F.col("kind") == kind).select(F.col("owner").alias(f"{name}_symbol"), F.col("line").alias(f"{name}_line"), F.col("note").alias(f"{name}_note"))
+
+    placed = flows.join(at("source", "source"), ["source_symbol", "source_line"], "left").join(at("security_sink", "sink"), ["sink_symbol", "sink_line"], "left")
+    return placed.select(
+        F.coalesce("source_note", "source_symbol").alias("src"), F.coalesce("sink_note", "sink_symbol").alias("dst"), F.lit("FLOWS_TO").alias("kind"),
+        F.col("sink_path").alias("path"), F.col("sink_line").alias("line"), F.col("id").alias("name"), (F.col("confidence") != "low").alias("resolved"),
+    )

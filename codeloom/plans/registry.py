@@ -578,3 +578,27 @@ def code_taint_trace(spark: SparkSession, folder: str) -> DataFrame:
 @query("code_case_scores", f"SELECT engine, CAST(3 * n AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(3 * n AS BIGINT) AS tn FROM (VALUES (NULL, {len(RULE_CASES) + 1}), ('rules', {len(RULE_CASES)}), ('graph', 1)) AS c(engine, n)")
 def code_case_scores(spark: SparkSession, folder: str) -> DataFrame:
     return score.confusion(state.snapshot(case_run.detections(sample_cases(spark)), "cases"), "engine").select("engine", "tp", "fp", "fn", "tn")
+
+
+@query("code_flow_edges", "SELECT 'FLOWS_TO' AS kind, 'service.py' AS path, 8 AS line, true AS resolved, true AS annotated")
+def code_flow_edges(spark: SparkSession, folder: str) -> DataFrame:
+    index = state.snapshot(code_index.index_files(sample_tree(spark, _MODULES)), "index")
+    flows, _ = taint.trace(index)
+    symbols = [F.col(c) for c in ("source_symbol", "sink_symbol")]
+    ends = flows.select(F.explode(F.array(*symbols)).alias("src")).distinct()
+    found = taint.flow_edges(flows, index)
+    named = found.join(ends, "src", "left_semi").union(found.join(ends.withColumnRenamed("src", "dst"), "dst", "left_semi").select(*found.columns)).select("name").distinct()
+    return found.join(named.withColumn("bare", F.lit(True)), "name", "left").select("kind", "path", "line", "resolved", F.col("bare").isNull().alias("annotated"))
+
+
+@query("code_affected_files", "SELECT 'mod_' || i || '.py' AS path FROM range(2, 5) AS m(i)")
+def code_affected_files(spark: SparkSession, folder: str) -> DataFrame:
+    index = state.snapshot(code_index.index_files(sample_tree(spark, _MODULES)), "index")
+    return code_index.affected_files(spark.createDataFrame([("mod_3.py",)], "path string"), index)
+
+
+@query("code_flows_touching", "SELECT unnest(['routes.py', 'service.py']) AS path, CAST(1 AS BIGINT) AS flows UNION ALL SELECT 'mod_1.py', 0")
+def code_flows_touching(spark: SparkSession, folder: str) -> DataFrame:
+    flows = state.snapshot(taint.trace(code_index.index_files(sample_tree(spark, _MODULES)))[0], "flows")
+    counts = [taint.touching(flows, spark.createDataFrame([(p,)], "path string")).agg(F.lit(p).alias("path"), F.count(F.lit(1)).alias("flows")) for p in ("routes.py", "service.py", "mod_1.py")]
+    return counts[0].union(counts[1]).union(counts[2])
