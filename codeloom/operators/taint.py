@@ -9,7 +9,8 @@ Facts are hops within functions (see the Python frontend).  Rounds compose them:
   makes the value safe for its category.
 
 Every return goes back to the call it came from, so values of one caller do not
-leak to others.  Rounds end when no new fact appears; their number follows the
+leak to others.  Each round makes only what needs a fact of the round before, and
+writes only what is new.  Rounds end when no new fact appears; their number follows the
 depth of calls, and all state is in tables.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 CATEGORIES = tuple(SINKS)
 #: Confidence of findings of certain and of uncertain flows.
 CONFIDENCE = {"medium": 0.65, "low": 0.35}
-_KEY = ["owner", "origin", "target", "mask", "low"]
+_KEY = ["owner", "origin", "target", "mask"]
 
 
 def _bit(category: Column) -> Column:
@@ -37,15 +38,51 @@ def _bit(category: Column) -> Column:
 
 def _first_paths(rows: DataFrame) -> DataFrame:
     """One shortest path per fact; a certain fact makes the same uncertain one needless."""
-    best = rows.groupBy(*_KEY).agg(F.min(F.struct(F.size("steps").alias("n"), "steps"))["steps"].alias("steps"))
-    certain = best.filter(~F.col("low")).select("owner", "origin", "target", "mask")
-    return best.filter(~F.col("low")).unionByName(best.filter("low").join(certain, ["owner", "origin", "target", "mask"], "left_anti"))
+    best = rows.groupBy(*_KEY).agg(F.min(F.struct("low", F.size("steps").alias("n"), "steps")).alias("best"))
+    return best.select(*_KEY, F.col("best.low").alias("low"), F.col("best.steps").alias("steps"))
 
 
-def _facts(rows: DataFrame) -> tuple[int, int]:
-    """Number of facts and a hash of all of them, whatever their order: equal if no round added any."""
-    r = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*_KEY)), F.lit(0)).alias("h")).first()
-    return r.n, r.h
+def _unknown(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Facts of ``rows`` that ``known`` has neither as they are nor as certain ones."""
+    there = known.select(*[F.col(c).alias(f"__{c}") for c in (*_KEY, "low")])
+    on = F.col("low") | ~F.col("__low")
+    for c in _KEY:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(there, on, "left_anti")
+
+
+def _composed(known: DataFrame, calls: DataFrame, last: int) -> DataFrame:
+    """What two or three facts make together, if one of them is of the round ``last``: others were made before."""
+
+    def part(rows: DataFrame, n: int, **names: str) -> DataFrame:
+        """Columns of a fact under the given names, the others numbered."""
+        return rows.select(*[F.col(old).alias(new) for old, new in names.items()], *[F.col(c).alias(f"{c}{n}") for c in ("mask", "low", "steps", "round")])
+
+    def made(rows: DataFrame, parts: tuple[int, ...], target: str, owner: str = "owner", safe: Column | None = None, uncertain: Column | None = None) -> DataFrame:
+        mask, low = safe if safe is not None else F.lit(0), uncertain if uncertain is not None else F.lit(False)
+        for n in parts:
+            mask, low = mask.bitwiseOR(F.col(f"mask{n}")), low | F.col(f"low{n}")
+        fresh = rows.filter(F.greatest(*[F.col(f"round{n}") for n in parts]) == last)
+        return fresh.select(F.col(owner).alias("owner"), "origin", F.col(target).alias("target"), mask.alias("mask"), low.alias("low"), F.concat(*[F.col(f"steps{n}") for n in parts]).alias("steps"))
+
+    given = F.split("target", r"\|")
+    passed = part(known.filter("target like 'A|%'").withColumn("uid", F.get(given, F.lit(1))).withColumn("slot", F.get(given, F.lit(2))), 1, owner="owner", origin="origin", uid="uid", slot="slot")
+    passed = passed.join(calls.drop("owner"), "uid")
+    after = part(known.filter("origin like 'R|%'").withColumn("uid", F.substring("origin", 3, 1 << 20)), 3, uid="uid", target="then")
+
+    through = passed.filter("callee is null").join(after, "uid")
+    safe = F.when(F.col("sanitizer").isNotNull(), _bit(F.col("sanitizer"))).otherwise(0)
+    uncertain = F.col("sanitizer").isNull() & F.col("sink").isNull()
+
+    slot = F.when(F.col("slot").rlike(r"^\d+$"), F.col("slot").cast("int")).otherwise(F.array_position("parameters", F.col("slot")).cast("int") - 1)
+    bound = passed.filter("callee is not null").withColumn("param", F.concat(F.lit("P|"), slot.cast("string")))
+    entered = bound.join(part(known.filter("origin like 'P|%' and (target = 'RET' or target like 'K|%')"), 2, owner="callee", origin="param", target="inner"), ["callee", "param"])
+
+    brought = part(known.filter("origin like 'S|%' and target = 'RET'"), 1, owner="callee", origin="origin").join(calls.select("uid", "callee", F.col("owner").alias("caller")), "callee").join(after, "uid")
+    out = made(through, (1, 3), "then", safe=safe, uncertain=uncertain)
+    out = out.unionByName(made(entered.filter("inner = 'RET'").join(after, "uid"), (1, 2, 3), "then"))
+    out = out.unionByName(made(entered.filter("inner like 'K|%'"), (1, 2), "inner"))
+    return out.unionByName(made(brought, (1, 3), "then", owner="caller"))
 
 
 def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
@@ -56,8 +93,9 @@ def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
     spark = index.sparkSession
     # rounds read these again and again, so files are extracted once
     index, index_path = materialize(index.select("project", "path", "symbols", "imports", "calls", "hops"), "index")
-    symbols = facts(index, "symbols").select(F.col("id").alias("sid"), F.col("path").alias("spath"), "qualified", "parameters")
-    calls, calls_path = materialize(resolve_calls(index).select("uid", "owner", "callee", "sanitizer", "sink", "name"), "calls")
+    symbols = facts(index, "symbols").select(F.col("id").alias("callee"), "parameters").dropDuplicates(["callee"])
+    resolved = resolve_calls(index).select("uid", "owner", "callee", "sanitizer", "sink")
+    calls, calls_path = materialize(resolved.join(symbols, "callee", "left"), "calls")
     hops = facts(index, "hops")
     kind, rest = F.regexp_extract("origin", "^([a-z]+)", 1), F.regexp_replace("origin", "^[a-z]+:", "")
     origin = F.when(kind == "result", F.concat(F.lit("R|"), call_uid(rest))).when(kind == "source", F.concat_ws("|", F.lit("S"), "owner", "path", F.replace(rest, F.lit(":"), F.lit("|")))).otherwise(F.concat(F.lit("P|"), rest))
@@ -69,38 +107,17 @@ def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
     )
     step = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"))
     base = hops.select("owner", origin.alias("origin"), target.alias("target"), F.lit(0).alias("mask"), F.lit(False).alias("low"), F.array(step).alias("steps"))
-    known, path = materialize(_first_paths(base), "flows")
-    facts_of, complete = _facts(known), False
-    for _ in range(max_rounds):
-        arg = F.split("target", r"\|")
-        into = known.filter("target like 'A|%'").select("owner", "origin", "mask", "low", "steps", F.get(arg, F.lit(1)).alias("uid"), F.get(arg, F.lit(2)).alias("slot")).join(calls.drop("owner", "name"), "uid")
-        out = known.filter("origin like 'R|%'").select(F.col("owner").alias("o2"), F.substring("origin", 3, 1 << 20).alias("uid"), F.col("target").alias("then"), F.col("mask").alias("m2"), F.col("low").alias("l2"), F.col("steps").alias("s2"))
-
-        def then(rows: DataFrame, mask: Column, low: Column, steps: Column) -> DataFrame:
-            return rows.select("owner", "origin", F.col("then").alias("target"), mask.alias("mask"), low.alias("low"), steps.alias("steps"))
-
-        through = into.filter("callee is null").join(out.drop("o2"), "uid")
-        uncertain = F.col("sanitizer").isNull() & F.col("sink").isNull()
-        safe = F.when(F.col("sanitizer").isNotNull(), _bit(F.col("sanitizer"))).otherwise(0)
-        fresh = then(through, F.col("mask").bitwiseOR(F.col("m2")).bitwiseOR(safe), F.col("low") | F.col("l2") | uncertain, F.concat("steps", "s2"))
-        slot = F.when(F.col("slot").rlike(r"^\d+$"), F.col("slot").cast("int")).otherwise(F.array_position("parameters", F.col("slot")).cast("int") - 1)
-        bound = into.filter("callee is not null").join(symbols.select(F.col("sid").alias("callee"), "parameters"), "callee").withColumn("param", F.concat(F.lit("P|"), slot.cast("string")))
-        inner = known.filter("origin like 'P|%'").select(F.col("owner").alias("callee"), F.col("origin").alias("param"), F.col("target").alias("inner"), F.col("mask").alias("m1"), F.col("low").alias("l1"), F.col("steps").alias("s1"))
-        entered = bound.join(inner, ["callee", "param"])
-        returned = entered.filter("inner = 'RET'").join(out.drop("o2"), "uid")
-        masks = F.col("mask").bitwiseOR(F.col("m1"))
-        fresh = fresh.unionByName(then(returned, masks.bitwiseOR(F.col("m2")), F.col("low") | F.col("l1") | F.col("l2"), F.concat("steps", "s1", "s2")))
-        fresh = fresh.unionByName(then(entered.filter("inner like 'K|%'").withColumn("then", F.col("inner")), masks, F.col("low") | F.col("l1"), F.concat("steps", "s1")))
-        given = known.filter("origin like 'S|%' and target = 'RET'").select(F.col("owner").alias("callee"), "origin", "mask", "low", "steps").join(calls.select("uid", "callee", F.col("owner").alias("caller")), "callee").join(out.drop("o2"), "uid").withColumn("owner", F.col("caller"))
-        fresh = fresh.unionByName(then(given, F.col("mask").bitwiseOR(F.col("m2")), F.col("low") | F.col("l2"), F.concat("steps", "s2")))
-        new, new_path = materialize(_first_paths(known.unionByName(fresh)), "flows")
-        remove(spark, path)
-        known, path = new, new_path
-        before, facts_of = facts_of, _facts(known)
-        if facts_of == before:
+    first, path = materialize(_first_paths(base).withColumn("round", F.lit(0)), "flows")
+    paths, complete = [path], False
+    for last in range(max_rounds):
+        known = spark.read.schema(first.schema).parquet(*paths)
+        new, path = materialize(_unknown(_first_paths(_composed(known, calls, last)), known).withColumn("round", F.lit(last + 1)), "flows")
+        paths.append(path)
+        if new.isEmpty():
             complete = True
             break
     remove(spark, calls_path, index_path)
+    known = spark.read.schema(first.schema).parquet(*paths)
     o, k = F.split("origin", r"\|", 5), F.split("target", r"\|", 7)
     flows = known.filter("origin like 'S|%' and target like 'K|%'").withColumn("category", F.get(k, F.lit(4))).filter(F.col("mask").bitwiseAND(_bit(F.col("category"))) == 0)
     flows = flows.select(F.get(o, F.lit(1)).alias("source_symbol"), F.get(o, F.lit(2)).alias("source_path"), F.get(o, F.lit(3)).cast("int").alias("source_line"), F.get(o, F.lit(4)).alias("source"), F.get(k, F.lit(1)).alias("sink_symbol"), F.get(k, F.lit(2)).alias("sink_path"), F.get(k, F.lit(3)).cast("int").alias("sink_line"), F.get(k, F.lit(5)).alias("sink"), F.get(k, F.lit(6)).alias("snippet"), "category", F.when(F.col("low"), "low").otherwise("medium").alias("confidence"), "steps")
