@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codeloom", description=__doc__)
     p.add_argument("--state", default=".codeloom", help="folder of indexes and baselines")
     sub = p.add_subparsers(dest="verb", required=True)
-    for verb in ("scan", "index", "status", "symbols", "callers", "callees", "trace", "context", "baseline", "verify", "diff", "changes", "rules", "score"):
+    for verb in ("scan", "index", "status", "symbols", "callers", "callees", "trace", "context", "baseline", "verify", "diff", "changes", "rules", "score", "jobs"):
         s = sub.add_parser(verb)
         if verb != "rules":
             s.add_argument("path")
@@ -79,6 +79,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.verb == "changes":
         _show(git.changes(spark, args.path, args.base))
         return 0
+    if args.verb == "jobs":
+        for job in engine.jobs.all().values():
+            print(job.job_id, job.state, job.done, job.manifest_hash, sep="\t")
+        return 0
     files = tree.read_tree(spark, _uri(args.path)).select("path", "content")
     if args.verb == "scan":
         found, notes = rule_scan.scan(files)

@@ -18,6 +18,17 @@ def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "path", "full_outer").select("path", "old_hash", "new_hash", status.alias("status"))
 
 
+def manifest_mismatches(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``path, old_hash, new_hash`` of what both manifests name with different hashes."""
+    b, a = before.select("path", F.col("hash").alias("old_hash")), after.select("path", F.col("hash").alias("new_hash"))
+    return b.join(a, "path").filter(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
+
+
+def same_map(a: Column, b: Column) -> Column:
+    """Whether two maps have equal entries, in whatever order; a null map equals a null map only."""
+    return F.array_sort(F.map_entries(a)).eqNullSafe(F.array_sort(F.map_entries(b)))
+
+
 def replace_rows(state: DataFrame, fresh: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """``state`` without the rows of changed and removed keys, and with the fresh ones."""
     stale = fresh.select(key).union(gone.select(key)).distinct()

@@ -149,6 +149,20 @@ def touching(flows: DataFrame, paths: DataFrame) -> DataFrame:
     return flows.join(steps.join(paths.select("path").distinct(), "path", "left_semi").select("id").distinct(), "id", "left_semi")
 
 
+def flow_guards(flows: DataFrame, index: DataFrame) -> DataFrame:
+    """``flows`` with ``guards``: names of the guards in the functions that a flow passes, sorted, each once; empty without any."""
+    at = r"^(.*):(\d+)$"
+    symbols = facts(index, "symbols")
+    home = symbols.select(F.col("id").alias("sink_symbol"), "project").distinct()
+    steps = flows.select("id", "sink_symbol", F.explode("steps").alias("step")).join(home, "sink_symbol")
+    steps = steps.select("id", F.col("project").alias("of"), F.regexp_extract("step", at, 1).alias("in"), F.regexp_extract("step", at, 2).cast("int").alias("at")).distinct()
+    guards = facts(index, "annotations").filter("kind = 'security_guard'").select(F.col("owner").alias("guarded"), F.col("name").alias("guard")).distinct()
+    guarded = symbols.filter("kind <> 'module'").join(guards, F.col("id") == F.col("guarded")).select("project", "path", "start_line", "end_line", "guard")
+    passed = steps.join(guarded, (F.col("of") == F.col("project")) & (F.col("in") == F.col("path")) & F.col("at").between(F.col("start_line"), F.col("end_line")))
+    named = passed.groupBy("id").agg(F.array_sort(F.collect_set("guard")).alias("guards"))
+    return flows.join(named, "id", "left").withColumn("guards", F.coalesce("guards", F.array().cast("array<string>")))
+
+
 def flow_edges(flows: DataFrame, index: DataFrame) -> DataFrame:
     """Flows as edges ``src, dst, kind, path, line, name, resolved`` of kind FLOWS_TO, as ``code_index.edges`` has the others.
 

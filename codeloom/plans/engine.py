@@ -6,17 +6,23 @@ its parameters.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from codeloom.functions.identity import identity
 from codeloom.functions.rules import BUNDLED
 from codeloom.functions.text import line_window
 from codeloom.operators import code_index, compare, resolve, rule_scan, spans, taint
+from codeloom.operators.jobs import Jobs
 from codeloom.operators.state import VersionedTable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Fixed value: where the newest context is kept.
+CONTEXT_KEY = "ai.context.latest"
+
+
 def _limit(n: int, most: int) -> int:
     if not 1 <= n <= most:
         raise ValueError(f"a limit is between 1 and {most}")
@@ -43,6 +49,8 @@ class Engine:
         self.spark, self.project, self.state = spark, project, state.rstrip("/")
         self.indexes = VersionedTable(spark, f"{self.state}/index")
         self.baselines = VersionedTable(spark, f"{self.state}/baseline")
+        self.memory = VersionedTable(spark, f"{self.state}/memory")
+        self.jobs = Jobs(spark, f"{self.state}/jobs")
 
     # index and graph
 
@@ -94,6 +102,24 @@ class Engine:
         ranked = resolve.ranked_context([(own, 100, "target"), (one, 80, "direct neighbour"), (same_file, 70, "same file"), (two, 25, "indirect neighbour")], _limit(limit, 200))
         return ranked.join(symbols.select(F.col("id").alias("key"), "qualified", "path", "start_line"), "key", "left")
 
+    def remember(self, key: str, value: str) -> None:
+        """Keep ``value`` as the newest of ``key``."""
+        seen = self.memory.version()
+        row = self.spark.createDataFrame([(key, value)], "key string, value string")
+        self.memory.replace(self.memory.read().filter(F.col("key") != key).unionByName(row) if seen else row, seen)
+
+    def recall(self, key: str) -> str | None:
+        known = self.memory.read()
+        row = known.filter(F.col("key") == key).first() if known is not None else None
+        return row.value if row else None
+
+    def save_context(self, target: str, limit: int = 40) -> DataFrame:
+        """``context`` of a symbol, kept under ``CONTEXT_KEY`` as JSON."""
+        near = self.context(target, limit)
+        rows = near.orderBy("position").select("position", "score", "reasons", "qualified", "path", "start_line").toJSON().collect()
+        self.remember(CONTEXT_KEY, json.dumps({"target": target, "context": [json.loads(r) for r in rows]}))
+        return near
+
     # scans and comparison
 
     def assess(self, files: DataFrame) -> Assessment:

@@ -338,6 +338,19 @@ def incremental_changes(spark: SparkSession, folder: str) -> DataFrame:
     return state.manifest_changes(before, after).select("path", "status")
 
 
+@query(
+    "manifest_mismatch",
+    """
+SELECT doc_id AS path FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 7 = 0""",
+)
+def manifest_mismatch(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh text is another one in the second manifest; each manifest lacks some documents."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("t"))
+    before = docs.filter("path % 11 <> 0").select("path", F.sha2("t", 256).alias("hash"))
+    after = docs.filter("path % 13 <> 0").select("path", F.sha2(F.when(F.col("path") % 7 == 0, F.concat("t", F.lit("!"))).otherwise(F.col("t")), 256).alias("hash"))
+    return state.manifest_mismatches(before, after).select("path")
+
+
 @query(
     "lifecycle_fold",
     """

@@ -197,3 +197,13 @@ def test_routes(spark):
     owner = {r.id: r.project for r in code_index.facts(index, "symbols").collect()}
     assert complete
     assert {owner[r.sink_symbol] for r in found.collect()} == {n for n, (_, flows) in ROUTES.items() if flows} | {"python"}
+
+
+def test_guards_of_flows(spark):
+    code = "import os\n\n@login_required\ndef main():\n    if check_permission(1):\n        run(input())\n    login_required()\n\ndef run(x):\n    os.system(x)\n"
+    bare = "import os\n\ndef main():\n    os.system(input())\n\n@login_required\ndef other():\n    return 1\n"
+    index = code_index.index_files(spark.createDataFrame([("p", "a.py", code), ("q", "a.py", bare)], "project string, path string, content string"))
+    notes = {(r.project, r.name) for r in code_index.facts(index, "annotations").filter("kind = 'security_guard'").collect()}
+    flows, _ = taint.trace(index)
+    guards = {r.source_line: r.guards for r in taint.flow_guards(flows, index).collect()}
+    assert guards == {6: sorted({n for p, n in notes if p == "p"}), 4: []} and guards[6]

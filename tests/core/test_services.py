@@ -6,11 +6,11 @@ import json
 import subprocess
 
 import pytest
-from codeloom.functions import classify, identity, severity, text
+from codeloom.functions import classify, identity, rules, severity, text
 from codeloom.operators import jobs, records, state
-from codeloom.plans.engine import Engine
+from codeloom.plans.engine import CONTEXT_KEY, Engine
 from codeloom.sinks import report
-from codeloom.sources import cases, git, scanner_json, tree
+from codeloom.sources import cases, git, rule_folder, scanner_json, tree
 from codeloom.streaming import lifecycle
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -210,3 +210,46 @@ def test_audit_runs(spark, tmp_path):
     (tmp_path / "s/run.json").write_text('{"run": "r", "source_snapshot": "x", "odd": 1}')
     with pytest.raises(ValueError, match="odd"):
         audit.read_documents(f"{tmp_path}/s")
+
+
+def test_nested_ignore_files(spark, tmp_path):
+    texts = {".gitignore": "*.tmp\n/top.py\n", "top.py": "1", "x.tmp": "2", "a/top.py": "3", "a/.gitignore": "made/\n!keep.tmp\nb.py\n", "a/keep.tmp": "4", "a/other.tmp": "5", "a/made/c.py": "6", "a/deep/b.py": "7", "b.py": "8", "ab/b.py": "9", "a/__init__.py": "10", "_in/x.py": "11", "_in/y.tmp": "12", "__pycache__/z.py": "13"}
+    for path, text_ in texts.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / path).write_text(text_)
+    assert {r.path for r in tree.read_tree(spark, f"file://{tmp_path}").collect()} == {"a/top.py", "a/keep.tmp", "b.py", "ab/b.py", "a/__init__.py", "_in/x.py"}
+
+
+def test_rule_folders(spark, tmp_path):
+    rule = "rules:\n  - id: {}\n    message: m\n    severity: INFO\n    languages: [regex]\n    pattern-regex: x\n"
+    for path, name in {"b.yml": "two", "a/z.yaml": "one", "c.txt": "none"}.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / path).write_text(rule.format(name))
+    found = rule_folder.read_rules(spark, f"file://{tmp_path}")
+    assert [r["id"] for r in found] == ["one", "two"] and all(n is not None for _, n in rules.load(found))
+    (tmp_path / "d.yml").write_text("- no mapping")
+    with pytest.raises(rules.RuleError, match="d.yml"):
+        rule_folder.read_rules(spark, f"file://{tmp_path}")
+    (tmp_path / "none").mkdir()
+    with pytest.raises(rules.RuleError):
+        rule_folder.read_rules(spark, f"file://{tmp_path}/none")
+
+
+def test_maps_and_manifests(spark):
+    rows = [({"a": "1", "b": "2"}, {"b": "2", "a": "1"}, True), ({"a": "1"}, {"a": "2"}, False), ({"a": None}, {"a": None}, True), ({}, {}, True), (None, None, True), (None, {}, False)]
+    df = spark.createDataFrame(rows, "a map<string, string>, b map<string, string>, want boolean")
+    assert all(r.got == r.want for r in df.select(state.same_map(F.col("a"), F.col("b")).alias("got"), "want").collect())
+    one = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("d", None)], "path string, hash string")
+    two = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4"), ("d", None), ("e", "5")], "path string, hash string")
+    assert {r.path for r in state.manifest_mismatches(one, two).collect()} == {"b", "c"}
+
+
+def test_remembered_context(spark, tmp_path):
+    e = Engine(spark, "p", f"file://{tmp_path}/s")
+    assert e.recall("k") is None
+    e.remember("k", "1")
+    e.remember("k", "2")
+    e.index(spark.createDataFrame([("a.py", "def f():\n    return g()\n\ndef g():\n    return 1\n")], "path string, content string"))
+    e.save_context("g")
+    kept = json.loads(e.recall(CONTEXT_KEY))
+    assert e.recall("k") == "2" and kept["target"] == "g" and [x["qualified"] for x in kept["context"]][:2] == ["g", "f"]
