@@ -7,6 +7,7 @@ from collections.abc import Callable
 from codeloom.llm import nbsvm, toxicity
 from codeloom.llm.decontaminate import contamination
 from codeloom.llm.exact_dedup import exact_duplicates
+from codeloom.llm.fill_middle import fill_in_middle, restored
 from codeloom.llm.html_text import extract_main_text
 from codeloom.llm.license_scan import BLOCK, PHRASES, STRIDE, TEMPLATES, THRESHOLD, scan_licenses
 from codeloom.llm.near_dedup import near_duplicates
@@ -65,6 +66,12 @@ def op10_nbsvm_quality(spark: SparkSession, folder: str) -> DataFrame:
     return nbsvm.quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle(table(spark, folder, "documents"), seed=7, fim_percent=100, spm_percent=50)
+    sums = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *sums)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_license_scan": op2_license_scan,
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_histogram": op8_token_histogram,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_nbsvm_quality": op10_nbsvm_quality,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -164,5 +172,35 @@ reach AS (SELECT doc_id, doc_id AS other FROM words UNION SELECT r.doc_id, l.b F
 parts AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT p.doc_id, coalesce(s.n, 0) AS n_shingles, p.component_id, p.doc_id = p.component_id AS kept
 FROM parts p LEFT JOIN sizes s ON s.doc_id = p.doc_id
+""",
+    "op12_fill_in_middle": r"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbered AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM base
+),
+cut AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbered
+),
+parts AS (
+  SELECT doc_id, n, form, t, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s
+  FROM cut
+),
+made AS (
+  SELECT doc_id, n, form, p, m, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output
+  FROM parts
+),
+split AS (
+  SELECT *, CASE form WHEN 'plain' THEN output WHEN 'psm' THEN substr(output, 4, strpos(output, '<S>') - 4) || substr(output, strpos(output, '<M>') + 3)
+         || substr(output, strpos(output, '<S>') + 3, strpos(output, '<M>') - strpos(output, '<S>') - 3)
+         ELSE substr(output, strpos(output, '<P>') + 3) END AS rest
+  FROM made
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'spm' THEN replace(rest, '<M>', '') || substr(output, 4, strpos(output, '<P>') - 4) ELSE rest END) AS restored_sha256
+FROM split
 """,
 }
