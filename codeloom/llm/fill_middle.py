@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from codeloom.llm import elias_fano
 from codeloom.llm.bitset import marked
-from codeloom.llm.bytewords import text_buffers
+from codeloom.llm.bytewords import slices, text_buffers
 from codeloom.llm.worker import small_batches
 from codeloom.storage import materialize
 from pyspark.sql import Column, DataFrame
@@ -47,35 +47,35 @@ def _index_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.binary())], names=["digest", "body", "rows", "ends"])
 
 
+def _cut(buf: np.ndarray, offs: np.ndarray, first: list, second: list, forms: list, lists: list) -> Iterator[tuple[int, int | None, int | None, bytes]]:
+    """Lines, characters of prefix and middle, and output of each text."""
+    prefix, suffix, middle = (sign.encode() for sign in (PREFIX, SUFFIX, MIDDLE))
+    view = memoryview(buf)
+    for i, (form, ends) in enumerate(zip(forms, lists, strict=True)):
+        a, b = int(offs[i]), int(offs[i + 1])
+        if ends is None:
+            ends = elias_fano.encode(line_ends(buf[a:b]), b - a)
+        n = elias_fano.size(ends)
+        if form == "plain":
+            yield n, None, None, bytes(view[a:b])
+            continue
+        lo, hi = sorted((first[i] % (n + 1), second[i] % (n + 1)))
+        lo, hi = (a + elias_fano.select(ends, k - 1) if k else a for k in (lo, hi))
+        p, s, m = view[a:lo], view[hi:b], view[lo:hi]
+        chars = [int(np.count_nonzero((part & 0xC0) != 0x80)) for part in (buf[a:lo], buf[lo:hi])]
+        yield n, *chars, b"".join([prefix, p, suffix, s, middle, m] if form == "psm" else [suffix, s, prefix, p, middle, m])
+
+
 def _cut_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``id, n, form, prefix_chars, middle_chars, output`` of ``id, first, second, form, body, ends``."""
-    signs = [s.encode() for s in (PREFIX, SUFFIX, MIDDLE)]
     for batch in batches:
         buf, offs = text_buffers(batch.column("body"))
-        view = memoryview(buf)
-        first, second, forms, lists = (batch.column(c).to_pylist() for c in ("first", "second", "form", "ends"))
-        counts, prefixes, middles, outputs = [], [], [], []
-        for i, (form, ends) in enumerate(zip(forms, lists, strict=True)):
-            a, b = int(offs[i]), int(offs[i + 1])
-            if ends is None:
-                ends = elias_fano.encode(line_ends(buf[a:b]), b - a)
-            n = elias_fano.size(ends)
-            counts.append(n)
-            if form == "plain":
-                prefixes.append(None)
-                middles.append(None)
-                outputs.append(bytes(view[a:b]))
-                continue
-            lo, hi = sorted((first[i] % (n + 1), second[i] % (n + 1)))
-            lo, hi = (a + elias_fano.select(ends, k - 1) if k else a for k in (lo, hi))
-            prefixes.append(int(np.count_nonzero((buf[a:lo] & 0xC0) != 0x80)))
-            middles.append(int(np.count_nonzero((buf[lo:hi] & 0xC0) != 0x80)))
-            p, s, m = view[a:lo], view[hi:b], view[lo:hi]
-            outputs.append(b"".join([signs[0], p, signs[1], s, signs[2], m] if form == "psm" else [signs[1], s, signs[0], p, signs[2], m]))
-        at = np.concatenate([[0], np.cumsum([len(x) for x in outputs])]).astype(np.int64)
-        made = pa.LargeStringArray.from_buffers(len(outputs), pa.py_buffer(at), pa.py_buffer(b"".join(outputs))).cast(pa.string())
-        columns = [batch.column("id"), pa.array(counts, pa.int64()), batch.column("form"), pa.array(prefixes, pa.int64()), pa.array(middles, pa.int64()), made]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "form", "prefix_chars", "middle_chars", "output"])
+        for i, j in slices(offs):
+            part = batch.slice(i, j - i)
+            columns = [part.column(c).to_pylist() for c in ("first", "second", "form", "ends")]
+            n, prefixes, middles, outputs = zip(*_cut(buf, offs[i : j + 1], *columns), strict=True)
+            counts = [pa.array(x, pa.int64()) for x in (n, prefixes, middles)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), counts[0], part.column("form"), *counts[1:], pa.array(outputs, pa.string())], names=["id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
 
 def _seeded(doc_id: Column, seed: int, k: int) -> Column:
@@ -144,5 +144,10 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, fim_percent: int = 100, spm_p
 def restored(output: Column, form: Column) -> Column:
     """The text that ``output`` was made of."""
     rest = F.substring(output, len(PREFIX) + 1, 2**31 - 1)
-    psm, spm = F.split(rest, f"{SUFFIX}|{MIDDLE}", -1), F.split(rest, f"{PREFIX}|{MIDDLE}", -1)
-    return F.when(form == "plain", output).when(form == "psm", F.concat(psm[0], psm[2], psm[1])).otherwise(F.concat(spm[1], spm[2], spm[0]))
+
+    def part(text: Column, sign: str, which: int) -> Column:
+        return F.substring_index(text, sign, which)
+
+    psm = F.concat(part(rest, SUFFIX, 1), part(rest, MIDDLE, -1), part(part(rest, SUFFIX, -1), MIDDLE, 1))
+    spm = F.concat(part(part(rest, PREFIX, -1), MIDDLE, 1), part(rest, MIDDLE, -1), part(rest, PREFIX, 1))
+    return F.when(form == "plain", output).when(form == "psm", psm).otherwise(spm)
