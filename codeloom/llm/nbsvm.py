@@ -202,7 +202,7 @@ def _bucket_batches(additions: bool):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, additions: bool = True) -> Model:
     """Learn from at most ``sample_rows`` rows of ``labels(doc_id, label)``.
 
-    Rows with a null id or label are left out; of labels of one id one counts.
+    Rows with a null id or label are left out; of labels of one id the largest counts, and of rows of one id one.
     If the sample lacks a class, every text gets the score of the other one, 0 if it lacks both.
     """
     small_batches(docs.sparkSession)

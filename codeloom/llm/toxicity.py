@@ -326,17 +326,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """``text, label`` of at most ``rows`` labelled documents: those whose ids have the smallest hashes."""
-    picked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).dropDuplicates(["__id"])
+    """``text, label`` of at most ``rows`` labelled documents: those whose ids have the smallest hashes.
+
+    Of several labels of an id the largest counts.  Of several rows of an id one is taken, by the hash of its text, so
+    the bound holds for rows, however often an id repeats.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    picked = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__label"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", F.col("__label").alias("label"))
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+    one = found.groupBy("__id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"), F.first("__label").alias("label"))
+    return one.select("first.text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from at most ``sample_rows`` rows of ``labels(doc_id, label)``.
 
-    Rows with a null id or label are left out; of labels of one id one
-    counts.  If the sample lacks either class, the model scores every text 0.
+    Rows with a null id or label are left out; of labels of one id the largest
+    counts, and of rows of one id one.  If the sample lacks either class, the model scores every text 0.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -344,6 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     sizes = {bool(r.label): r.n for r in sample.groupBy((F.col("label") > 0).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
     if not n_pos or not n_neg:
+        remove(spark, sample_path)
         return Model({}, {})
     binary = sample.select("text", (F.col("label") > 0).cast("int").alias("label"))
     counts, counts_path = materialize(binary.mapInArrow(_count_batches, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-words")
