@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from codeloom.llm import nbsvm, toxicity
+from codeloom.llm import isolation, nbsvm, toxicity
 from codeloom.llm.decontaminate import contamination
 from codeloom.llm.exact_dedup import exact_duplicates
 from codeloom.llm.fill_middle import fill_in_middle, restored
@@ -42,7 +42,7 @@ def op5_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    held_out = toxicity.fold(F.col("doc_id"), 5) == 0
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id"), 5) == 0, F.lit(False))
     model = toxicity.fit(docs, labels.filter(~held_out), "toxic")
     return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
@@ -61,11 +61,16 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_nbsvm_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    held_out = toxicity.fold(F.col("doc_id"), 3) == 1
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id"), 3) == 1, F.lit(False))
     model = nbsvm.fit(docs, labels.filter(~held_out), "quality")
     return nbsvm.quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_isolation_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return isolation.rule_verdicts(docs, isolation.fit(docs, table(spark, folder, "labels"), "quality"))
+
+
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     made = fill_in_middle(table(spark, folder, "documents"), seed=7, fim_percent=100, spm_percent=50)
     sums = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_histogram": op8_token_histogram,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_nbsvm_quality": op10_nbsvm_quality,
+    "op11_isolation_rules": op11_isolation_rules,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 

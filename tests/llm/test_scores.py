@@ -226,3 +226,25 @@ def test_ratio_and_score_agree_with_plain():
     for r, s in zip(rows, model.scores(buckets, bounds), strict=True):
         margin = sum(float(model.weight[f]) for f in r) / math.sqrt(len(r)) + model.bias
         assert math.isclose(s, 1 / (1 + math.exp(-(model.slope * margin + model.offset))), rel_tol=1e-6)
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """An id with ten thousand rows and clashing labels counts once, and always in the same way."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(10000)] + [(i, f"other {i}") for i in range(2, 100)] + [(None, "no id"), (50, None)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, k) for i in range(1, 100) for k in (0, i % 2)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, "toxic", 1000).collect()
+    assert len(rows) == 99
+    assert sorted(rows, key=str) == sorted(toxicity.labelled_sample(docs.repartition(3), labels.repartition(2), "toxic", 1000).collect(), key=str)
+    assert {r.label for r in rows if r.text and r.text.startswith("text")} == {1}
+    assert toxicity.labelled_sample(docs, labels, "toxic", 50).count() == 50
+
+
+def test_null_ids_are_not_held_out(spark, odd_docs, tmp_path):
+    from codeloom.llm.queries import QUERIES
+
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(15)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op6_toxicity", "op10_nbsvm_quality"):
+        rows = QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(rows) == odd_docs.count()
+        assert {r.held_out for r in rows if r.doc_id is None} == {False}
