@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from codeloom.operators.prefix import ordinals
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def bag_diff(before: DataFrame, after: DataFrame, key: str, order: str) -> DataFrame:
     """Multiset difference: ``key, ordinal, status`` of unchanged, resolved and new members.
 
-    The first k members of a key on both sides are unchanged, the rest is new or resolved.
+    The first k members of a key on both sides are unchanged, the rest is new or resolved.  Members are numbered by
+    prefix sums, so a key with very many of them is dealt over tasks; the join is by key and number.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    b = before.select(key, F.row_number().over(w).alias("ordinal"), F.lit(True).alias("__b"))
-    a = after.select(key, F.row_number().over(w).alias("ordinal"), F.lit(True).alias("__a"))
+    b = ordinals(before.select(key, order), [key], [F.col(order)]).select(key, "ordinal", F.lit(True).alias("__b"))
+    a = ordinals(after.select(key, order), [key], [F.col(order)]).select(key, "ordinal", F.lit(True).alias("__a"))
     status = F.when(F.col("__b") & F.col("__a"), "unchanged").when(F.col("__b"), "resolved").otherwise("new")
     return b.join(a, [key, "ordinal"], "full_outer").select(key, "ordinal", status.alias("status"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from codeloom.operators import prefix
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,10 +16,15 @@ def reference_violations(units: DataFrame, records: DataFrame, key: str, names:
     return lacking.unionByName(stray).unionByName(twice)
 
 
-def unsorted_rows(rows: DataFrame, group: str, position: str, key: str) -> DataFrame:
-    """Rows whose key does not come after the key before it in their group."""
-    w = Window.partitionBy(group).orderBy(position)
-    return rows.withColumn("__before", F.lag(key).over(w)).filter(F.col("__before") >= F.col(key)).drop("__before")
+def unsorted_rows(rows: DataFrame, group: str | None, position: str, key: str) -> DataFrame:
+    """Rows whose key does not come after the largest key before it in their group; without a group, in all rows."""
+    keys = [group] if group else []
+    # the largest key of the rows before, without the row itself: rows at their place come before keys at the same place
+    marks = rows.select(*keys, F.col(position).alias("__place"), F.lit(1).alias("__side"), F.col(key).alias("__key"), F.lit(None).cast(rows.select(F.struct(*rows.columns).alias("x")).schema["x"].dataType).alias("__row"))
+    asked = rows.select(*keys, F.col(position).alias("__place"), F.lit(0).alias("__side"), F.lit(None).cast(rows.schema[key].dataType).alias("__key"), F.struct(*rows.columns).alias("__row"))
+    order = [F.col("__place"), F.col("__side"), F.xxhash64("__row")]
+    found = prefix.scan(marks.unionByName(asked), keys, order, {"__before": ("max", F.col("__key"))})
+    return found.filter(F.col("__row").isNotNull() & (F.col("__before") >= F.col(f"__row.{key}"))).select("__row.*")
 
 
 def failing(rows: DataFrame, id_col: str, rules: dict[str, Column]) -> DataFrame:
@@ -41,7 +47,7 @@ def next_pending(units: DataFrame, records: DataFrame, key: str, group: str) ->
 
 def ordinals(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """``rows`` with ``ordinal``, their number from 1 among those of equal ``keys``."""
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return prefix.ordinals(rows, keys, [F.col(order)])
 
 
 def counters(rows: DataFrame, kind: str, owner: str) -> DataFrame:

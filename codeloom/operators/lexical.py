@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from codeloom.operators import prefix
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +33,9 @@ def best_line(text: Column, words: list[str]) -> Column:
 
 
 def running_budget(rows: DataFrame, size: Column, order: list[str], budget: int, group: str | None = None) -> DataFrame:
-    """Rows in order with the sum of sizes up to each, and whether it is within the budget."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).withColumn("within", F.col("used") <= budget)
+    """Rows in order with the sum of sizes up to each, and whether it is within the budget.
+
+    Sums are carried over tasks (``codeloom.operators.prefix``), so neither a large group nor the order over all rows is one task.
+    """
+    summed = prefix.scan(rows, [group] if group else [], [F.col(c) for c in order], {"used": ("sum", size)})
+    return summed.withColumn("within", F.col("used") <= budget)

@@ -151,7 +151,7 @@ def ledger_errors(units: DataFrame, attempts: DataFrame, snapshot: str) -> DataF
         "stale attempt": ~done | F.col("seen").eqNullSafe(F.lit(snapshot)),
         "no owner": F.coalesce("owner", F.lit("")) != "",
     })
-    order = unsorted_rows(units.withColumn("__all", F.lit(0)), "__all", "position", "unit").select(F.lit("not sorted").alias("violation"), F.col("unit").alias("id"))
+    order = unsorted_rows(units, None, "position", "unit").select(F.lit("not sorted").alias("violation"), F.col("unit").alias("id"))
     stray = reference_violations(units, attempts.select("unit").distinct(), "unit", ("never tried", "attempt without unit", "repeated")).filter("violation = 'attempt without unit'").select("violation", F.col("unit").alias("id"))
     return rows.unionByName(order).unionByName(stray)
 

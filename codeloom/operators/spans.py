@@ -1,61 +1,56 @@
-"""Algebra of text spans: overlap and containment as semi and anti joins.
+"""Algebra of text spans: overlap and containment as semi and anti joins, without a range join.
 
 Spans are half-open ``[start, end)`` and belong together by ``keys`` (a file, a
-rule), so every join has an equality beside its range condition.  Where one key
-may hold very many spans, ``bin_width`` adds a second equality: spans meet in the
-bins they touch, so neither a hot key nor its square lands in one task.
+rule).  A span overlaps another one if the largest end of those that start before its own end lies after its
+start, and lies in one if the largest end of those that start no later reaches its own.  So both are a running maximum over the starts and ends of a
+key in order (``codeloom.operators.prefix``): rows are never paired, and a key with very many spans is dealt over tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from codeloom.operators.intervals import best_holding
+from codeloom.operators.prefix import scan
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _binned(df: DataFrame, start: Column, end: Column, width: int | None) -> DataFrame:
-    if not width:
-        return df.withColumn("__bin", F.lit(0).cast("long"))
-    first, last = F.floor(start / width).cast("long"), F.floor(F.greatest(end - 1, start) / width).cast("long")
-    return df.withColumn("__bin", F.explode(F.sequence(first, last)))
-
-
-def _related(hits: DataFrame, others: DataFrame, keys: Sequence[str], contained: bool, keep: bool, bin_width: int | None) -> DataFrame:
-    other = others.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("start").alias("__s"), F.col("end").alias("__e"))
-    condition = (F.col("__s") <= F.col("start")) & (F.col("end") <= F.col("__e")) if contained else (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end"))
-    for i, k in enumerate(keys):
-        condition = condition & (F.col(k) == F.col(f"__k{i}"))
-    if not bin_width:
-        return hits.join(other, condition, "left_semi" if keep else "left_anti")
-    left = _binned(hits.withColumn("__row", F.struct(*hits.columns)), F.col("start"), F.col("end"), bin_width)
-    right = _binned(other, F.col("__s"), F.col("__e"), bin_width).withColumnRenamed("__bin", "__obin")
-    found = left.join(right, condition & (F.col("__bin") == F.col("__obin")), "left_semi").select(*keys, "start", "end").distinct()
-    same = found.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("start").alias("__s"), F.col("end").alias("__e"))
-    equal = (F.col("start") == F.col("__s")) & (F.col("end") == F.col("__e"))
-    for i, k in enumerate(keys):
-        equal = equal & (F.col(k) == F.col(f"__k{i}"))
-    return hits.join(same, equal, "left_semi" if keep else "left_anti")
+def _related(hits: DataFrame, others: DataFrame, keys: Sequence[str], contained: bool, keep: bool) -> DataFrame:
+    row = F.struct(*hits.columns)
+    nothing = F.lit(None).cast(hits.select(row.alias("x")).schema["x"].dataType)
+    # of equal places, a span that only touches must not count for overlap, and one that starts at the same place counts for containment
+    place, side = ("start", 1) if contained else ("end", -1)
+    asked = hits.select(*keys, F.col(place).cast("long").alias("__place"), F.lit(side).alias("__side"), F.lit(None).cast("long").alias("__end"), row.alias("__hit"))
+    known = others.filter(F.col("start").isNotNull() & F.col("end").isNotNull()).groupBy(*keys, F.col("start").cast("long").alias("__place")).agg(F.max(F.col("end").cast("long")).alias("__end"))
+    known = known.select(*keys, "__place", F.lit(0).alias("__side"), "__end", nothing.alias("__hit"))
+    order = [F.col("__place"), F.col("__side"), F.xxhash64("__hit")]
+    reached = scan(asked.unionByName(known), keys, order, {"__reach": ("max", F.col("__end"))}).filter("__hit is not null")
+    found = F.col("__reach") >= F.col("__hit.end") if contained else F.col("__reach") > F.col("__hit.start")
+    for k in keys:
+        found = found & F.col(k).isNotNull()
+    found = F.coalesce(found & F.col("__place").isNotNull(), F.lit(False))
+    return reached.filter(found if keep else ~found).select("__hit.*")
 
 
-def overlapping(hits: DataFrame, others: DataFrame, keys: Sequence[str], bin_width: int | None = None) -> DataFrame:
+def overlapping(hits: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hits that overlap some other span: all positive parts of a rule must."""
-    return _related(hits, others, keys, False, True, bin_width)
+    return _related(hits, others, keys, False, True)
 
 
-def not_overlapping(hits: DataFrame, others: DataFrame, keys: Sequence[str], bin_width: int | None = None) -> DataFrame:
+def not_overlapping(hits: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hits that overlap no excluded span."""
-    return _related(hits, others, keys, False, False, bin_width)
+    return _related(hits, others, keys, False, False)
 
 
-def inside(hits: DataFrame, contexts: DataFrame, keys: Sequence[str], bin_width: int | None = None) -> DataFrame:
+def inside(hits: DataFrame, contexts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hits that lie in some context."""
-    return _related(hits, contexts, keys, True, True, bin_width)
+    return _related(hits, contexts, keys, True, True)
 
 
-def outside(hits: DataFrame, contexts: DataFrame, keys: Sequence[str], bin_width: int | None = None) -> DataFrame:
+def outside(hits: DataFrame, contexts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hits that lie in no context."""
-    return _related(hits, contexts, keys, True, False, bin_width)
+    return _related(hits, contexts, keys, True, False)
 
 
 def any_of(*spans: DataFrame) -> DataFrame:
@@ -69,15 +64,13 @@ def any_of(*spans: DataFrame) -> DataFrame:
 def narrowest_enclosing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], point: str, row_id: str, order: str) -> DataFrame:
     """Each point with the narrowest range that holds it, the first by ``order`` on ties; null without one.
 
-    ``ranges`` has ``keys``, ``start``, ``end`` (inclusive) and ``order``; its columns come prefixed with ``range_``.
+    ``ranges`` has ``keys``, integer ``start``, ``end`` (inclusive) and ``order``; its columns come prefixed with ``range_``.  ``row_id`` tells points apart.
     """
-    r = ranges.select(*[F.col(c).alias(f"range_{c}") for c in ranges.columns])
-    on = (F.col("range_start") <= F.col(point)) & (F.col(point) <= F.col("range_end"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"range_{k}"))
-    best = Window.partitionBy(row_id).orderBy(F.col("range_end") - F.col("range_start"), F.col(f"range_{order}"))
-    joined = points.join(r, on, "left")
-    return joined.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
+    rest = [c for c in ranges.columns if c != order]
+    rank = F.struct((F.col("end") - F.col("start")).alias("width"), F.col(order).alias("order"), F.struct(*[F.col(c).alias(c) for c in rest]).alias("rest"))
+    best = best_holding(points, ranges, keys, point, row_id, rank)
+    columns = [(F.col("best.order") if c == order else F.col(f"best.rest.{c}")).alias(f"range_{c}") for c in ranges.columns]
+    return points.join(best.select(F.col(row_id), *columns), row_id, "left").select(*points.columns, *[f"range_{c}" for c in ranges.columns])
 
 
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

@@ -6,7 +6,10 @@ Parquet folders with a pointer, swapped only if nobody else swapped it first.
 
 from __future__ import annotations
 
+import uuid
+
 from codeloom.storage import materialize
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,7 +122,12 @@ def page_newest(rows: DataFrame, order: list[Column], size: int) -> tuple[DataFr
 
 
 class VersionedTable:
-    """A table in numbered folders; ``replace`` fails if the version it read is no longer the newest."""
+    """A table in numbered versions; ``replace`` fails if the version it read is no longer the newest.
+
+    Rows lie in a folder that only their writer knows.  A version is a small file that names it, and it is made under its final name in one
+    step that fails where the file is there: a hard link on a local file system, elsewhere a rename, which HDFS refuses onto a file.  So of
+    writers that read the same version one succeeds.  Object stores have no such step; keep state on a file system.
+    """
 
     SCHEMA_VERSION = 7
 
@@ -130,27 +138,65 @@ class VersionedTable:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def version(self) -> int:
+    def _versions(self) -> list[int]:
         if not self.fs.exists(self._path("")):
-            return 0
+            return []
         names = [s.getPath().getName() for s in self.fs.listStatus(self._path(""))]
-        return max((int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()), default=0)
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+    def _folder(self, version: int) -> str:
+        stream = self.fs.open(self._path(f"v{version}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def version(self) -> int:
+        return max(self._versions(), default=0)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         v = version or self.version()
-        return self.spark.read.parquet(f"{self.path}/v{v}") if v else None
+        return self.spark.read.parquet(f"{self.path}/{self._folder(v)}") if v else None
+
+    def _claim(self, version: int, folder: str) -> bool:
+        """Whether ``version`` is now the one in ``folder``: false if another writer has it."""
+        draft, target = self._path(f"_{folder}"), self._path(f"v{version}")
+        stream = self.fs.create(draft, False)
+        stream.write(bytearray(folder, "utf-8"))
+        stream.close()
+        try:
+            if self.fs.getUri().getScheme() != "file":
+                return self.fs.rename(draft, target)
+            nio = self.spark._jvm.java.nio.file
+            names = [nio.Path.of(self.fs.makeQualified(p).toUri()) for p in (target, draft)]
+            try:
+                nio.Files.createLink(*names)
+            except Py4JJavaError as e:
+                if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                    raise
+                return False
+            return True
+        finally:
+            self.fs.delete(draft, False)
 
     def replace(self, df: DataFrame, read_version: int) -> int:
-        """Write ``df`` as the next version; a rename that another writer won is an error."""
-        staged = f"{self.path}/_staged-{read_version + 1}-{id(df)}"
-        df.write.parquet(staged)
-        self.fs.mkdirs(self._path(""))
-        target = self._path(f"v{read_version + 1}")
-        if self.version() != read_version or not self.fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(staged), target):
-            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+        """Write ``df`` as the version after ``read_version``; an error, and nothing written, if another writer has made it."""
+        folder = f"rows-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        if self.version() != read_version or not self._claim(read_version + 1, folder):
+            self.fs.delete(self._path(folder), True)
             raise RuntimeError(f"version {read_version + 1} was written by somebody else")
         return read_version + 1
 
+    def forget_before(self, version: int) -> int:
+        """Delete the versions before ``version``, but never the newest; how many.  Plans that read them fail."""
+        old = [v for v in self._versions()[:-1] if v < version]
+        for v in old:
+            folder = self._folder(v)
+            self.fs.delete(self._path(f"v{v}"), False)
+            self.fs.delete(self._path(folder), True)
+        return len(old)
+
 
 def snapshot(df: DataFrame, label: str) -> DataFrame:
     """A copy in the shared folder, for state that is read more than once."""

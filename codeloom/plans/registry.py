@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from codeloom.functions import classify, severity, text
 from codeloom.functions.identity import finding_fingerprint, identity_sql, json_string
-from codeloom.operators import case_run, code_index, compare, ledger, lexical, resolve, rule_scan, score, spans, state, taint
+from codeloom.operators import case_run, code_index, compare, ledger, lexical, prefix, resolve, rule_scan, score, spans, state, taint
 from codeloom.sources.samples import RULE_CASES, rule_tree, sample_cases, sample_tree
 from codeloom.sources.scanner_json import parse_props
 from codeloom.sources.tables import table
@@ -148,12 +148,12 @@ def span_not(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("span_inside", _SPANS.format("EXISTS", _IN))
 def span_inside(spark: SparkSession, folder: str) -> DataFrame:
-    return spans.inside(*_span_tables(spark, folder), keys=["file"], bin_width=50)
+    return spans.inside(*_span_tables(spark, folder), keys=["file"])
 
 
 @query("span_outside", _SPANS.format("NOT EXISTS", _IN))
 def span_outside(spark: SparkSession, folder: str) -> DataFrame:
-    return spans.outside(*_span_tables(spark, folder), keys=["file"], bin_width=50)
+    return spans.outside(*_span_tables(spark, folder), keys=["file"])
 
 
 @query("json_ingest", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, NOT json_valid(props) OR json_extract_string(props, '$.k') IS NULL AS rejected FROM events")
@@ -203,8 +203,9 @@ QUALIFY row_number() OVER (PARTITION BY p.p_partkey ORDER BY b.hi - b.lo, b.sz)
 )
 def narrowest_enclosing(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
-    bands = part.groupBy("p_brand", F.col("p_size").alias("sz")).agg(F.min("p_retailprice").alias("start"), F.max("p_retailprice").alias("end"))
-    out = spans.narrowest_enclosing(part.select("p_partkey", "p_brand", "p_retailprice"), bands, ["p_brand"], "p_retailprice", "p_partkey", "sz")
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    bands = part.groupBy("p_brand", F.col("p_size").alias("sz")).agg(F.min(cents).alias("start"), F.max(cents).alias("end"))
+    out = spans.narrowest_enclosing(part.select("p_partkey", "p_brand", cents.alias("cents")), bands, ["p_brand"], "cents", "p_partkey", "sz")
     return out.select("p_partkey", F.col("range_sz").alias("band"))
 
 
@@ -450,7 +451,8 @@ def index_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("scope_ordinals", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS ordinal FROM orders")
 def scope_ordinals(spark: SparkSession, folder: str) -> DataFrame:
-    return ledger.ordinals(table(spark, folder, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey").select("o_orderkey", "ordinal")
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderpriority", "o_orderkey")
+    return ledger.ordinals(orders, ["o_custkey", "o_orderpriority"], "o_orderkey").select("o_orderkey", "ordinal")
 
 
 @query("history_page", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
@@ -505,8 +507,23 @@ def line_window(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("budget_scan", "SELECT doc_id, CAST(sum(strlen(text)) OVER w AS BIGINT) AS used, sum(strlen(text)) OVER w <= 50000 AS within FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
 def budget_scan(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return lexical.running_budget(docs, F.octet_length("text"), ["doc_id"], 50000, group="source").select("doc_id", "used", "within")
+    docs = table(spark, folder, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("size"))
+    return lexical.running_budget(docs, F.col("size"), ["doc_id"], 50000, group="source").select("doc_id", "used", "within")
+
+
+@query(
+    "asof_revision",
+    """
+SELECT event_id, o_orderkey AS order_id, o_totalprice AS price FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error') e
+ASOF LEFT JOIN (SELECT o_custkey, o_orderdate + INTERVAL 26 YEAR AS placed, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY ALL) o
+ON e.user_id = o.o_custkey AND e.ts >= o.placed""",
+)
+def asof_revision(spark: SparkSession, folder: str) -> DataFrame:
+    """Each error with the newest order of its user before it, orders dated 26 years on: the revision that held then."""
+    events = table(spark, folder, "events").filter("event_type = 'error'").select("event_id", "user_id", "ts")
+    placed = F.expr("o_orderdate + INTERVAL 26 YEAR")
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("user_id"), placed.alias("placed"), F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("price"))
+    return prefix.asof_join(events, orders, ["user_id"], "ts", "placed", ["order_id", "price"], tie="order_id").select("event_id", "order_id", "price")
 
 
 @query("span_position", "WITH x AS (SELECT doc_id, text, strpos(text, 'the') - 1 AS p FROM documents WHERE contains(text, 'the')) SELECT doc_id, p + 1 - length(replace(substr(text, 1, p), chr(10), '')) AS line, strlen(regexp_replace(substr(text, 1, p), '^(.|\\n)*\\n', '')) + 1 AS col FROM x")

@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from codeloom.functions.text import language
+from codeloom.operators.prefix import scan
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders and kinds of files that hold no source code.
@@ -116,11 +117,11 @@ def read_tree(spark: SparkSession, root: str, ignore: list[str] | None = None) -
 def within_budget(files: DataFrame, file_bytes: int = FILE_BYTES, total_bytes: int = TOTAL_BYTES, count: int = FILES) -> tuple[DataFrame, DataFrame]:
     """Files in path order up to the limits of an interactive run, and the rest with reasons.
 
-    Scans of any size leave this out: the totals need one order over all files.
+    The totals are prefix sums over sizes, which are joined back to the files: texts are not sorted.
     """
-    w = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
     fits = F.col("content").isNotNull() & (F.col("bytes") <= file_bytes)
-    marked = files.withColumn("__n", F.sum(F.when(fits, 1).otherwise(0)).over(w)).withColumn("__b", F.sum(F.when(fits, F.col("bytes")).otherwise(0)).over(w))
+    sizes = files.select("path", fits.cast("long").alias("__one"), F.when(fits, F.col("bytes")).otherwise(0).alias("__size"))
+    marked = files.join(scan(sizes, [], [F.col("path")], {"__n": ("sum", F.col("__one")), "__b": ("sum", F.col("__size"))}).drop("__one", "__size"), "path")
     reason = F.when(F.col("content").isNull(), "not UTF-8").when(F.col("bytes") > file_bytes, "file too large").when(F.col("__n") > count, "too many files").when(F.col("__b") > total_bytes, "too many bytes")
     marked = marked.withColumn("reason", reason).drop("__n", "__b")
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null").select("path", "reason")
