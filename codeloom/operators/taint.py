@@ -9,16 +9,19 @@ Facts are hops within functions (see the Python frontend).  Rounds compose them:
   makes the value safe for its category.
 
 Every return goes back to the call it came from, so values of one caller do not
-leak to others.  Each round makes only what needs a fact of the round before, and
-writes only what is new.  Rounds end when no new fact appears; their number follows the
+leak to others.  Rounds are those of ``codeloom.operators.fixpoint``: joins have the facts of the round before on one
+side, and only new facts are written.  The number of rounds follows the
 depth of calls, and all state is in tables.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from codeloom.functions.classify import SINKS
 from codeloom.functions.identity import json_array, json_string, json_strings
 from codeloom.operators.code_index import call_uid, facts, resolve_calls
+from codeloom.operators.fixpoint import Facts, bounded_sets, fixpoint, meets
 from codeloom.storage import materialize, remove
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,53 +39,53 @@ def _bit(category: Column) -> Column:
     return out
 
 
-def _first_paths(rows: DataFrame) -> DataFrame:
-    """One shortest path per fact; a certain fact makes the same uncertain one needless."""
-    best = rows.groupBy(*_KEY).agg(F.min(F.struct("low", F.size("steps").alias("n"), "steps")).alias("best"))
-    return best.select(*_KEY, F.col("best.low").alias("low"), F.col("best.steps").alias("steps"))
+#: Where a value comes from: a parameter ``P``, the result ``R`` of a call, or outside input ``S``.
+ORIGIN = "struct<kind: string, call: string, slot: string, symbol: string, path: string, line: int, name: string>"
+#: Where it goes: an argument ``A`` of a call, the function's return ``RET``, or a dangerous call ``K``.
+TARGET = "struct<kind: string, call: string, slot: string, symbol: string, path: string, line: int, category: string, name: string, snippet: string>"
 
 
-def _unknown(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Facts of ``rows`` that ``known`` has neither as they are nor as certain ones."""
-    there = known.select(*[F.col(c).alias(f"__{c}") for c in (*_KEY, "low")])
-    on = F.col("low") | ~F.col("__low")
-    for c in _KEY:
-        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return rows.join(there, on, "left_anti")
+def _filled(schema: str, fields: dict[str, Column]) -> Column:
+    """A struct of ``schema`` with the given fields, the others null."""
+    kinds = dict(part.split(": ") for part in schema.removeprefix("struct<").removesuffix(">").split(", "))
+    return F.struct(*[fields.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()])
 
 
-def _composed(known: DataFrame, calls: DataFrame, last: int) -> DataFrame:
-    """What two or three facts make together, if one of them is of the round ``last``: others were made before."""
+def _composed(facts: Facts, calls: DataFrame) -> DataFrame:
+    """What facts of the last round make, together with all others."""
 
     def part(rows: DataFrame, n: int, **names: str) -> DataFrame:
         """Columns of a fact under the given names, the others numbered."""
-        return rows.select(*[F.col(old).alias(new) for old, new in names.items()], *[F.col(c).alias(f"{c}{n}") for c in ("mask", "low", "steps", "round")])
+        return rows.select(*[F.col(old).alias(new) for new, old in names.items()], *[F.col(c).alias(f"{c}{n}") for c in ("mask", "low", "steps")])
 
     def made(rows: DataFrame, parts: tuple[int, ...], target: str, owner: str = "owner", safe: Column | None = None, uncertain: Column | None = None) -> DataFrame:
         mask, low = safe if safe is not None else F.lit(0), uncertain if uncertain is not None else F.lit(False)
         for n in parts:
             mask, low = mask.bitwiseOR(F.col(f"mask{n}")), low | F.col(f"low{n}")
-        fresh = rows.filter(F.greatest(*[F.col(f"round{n}") for n in parts]) == last)
-        return fresh.select(F.col(owner).alias("owner"), "origin", F.col(target).alias("target"), mask.alias("mask"), low.alias("low"), F.concat(*[F.col(f"steps{n}") for n in parts]).alias("steps"))
+        steps = F.concat(*[F.col(f"steps{n}") for n in parts])
+        return rows.select(F.col(owner).alias("owner"), "origin", F.col(target).alias("target"), mask.alias("mask"), _way(low, steps))
 
-    given = F.split("target", r"\|")
-    passed = part(known.filter("target like 'A|%'").withColumn("uid", F.get(given, F.lit(1))).withColumn("slot", F.get(given, F.lit(2))), 1, owner="owner", origin="origin", uid="uid", slot="slot")
-    passed = passed.join(calls.drop("owner"), "uid")
-    after = part(known.filter("origin like 'R|%'").withColumn("uid", F.substring("origin", 3, 1 << 20)), 3, uid="uid", target="then")
+    flat = facts.map(lambda rows: rows.select("owner", "origin", "target", "mask", "way.low", "way.steps"))
+    passed = flat.only("target.kind = 'A'").map(lambda rows: part(rows, 1, owner="owner", origin="origin", uid="target.call", slot="target.slot").join(calls.drop("owner"), "uid"))
+    after = flat.only("origin.kind = 'R'").map(lambda rows: part(rows, 3, uid="origin.call", then="target"))
+    inner = flat.only("origin.kind = 'P' and target.kind in ('RET', 'K')").map(lambda rows: part(rows, 2, callee="owner", param="origin.slot", inner="target"))
+    brought = flat.only("origin.kind = 'S' and target.kind = 'RET'").map(lambda rows: part(rows, 1, callee="owner", origin="origin").join(calls.select("uid", "callee", F.col("owner").alias("caller")), "callee"))
 
-    through = passed.filter("callee is null").join(after, "uid")
     safe = F.when(F.col("sanitizer").isNotNull(), _bit(F.col("sanitizer"))).otherwise(0)
     uncertain = F.col("sanitizer").isNull() & F.col("sink").isNull()
-
     slot = F.when(F.col("slot").rlike(r"^\d+$"), F.col("slot").cast("int")).otherwise(F.array_position("parameters", F.col("slot")).cast("int") - 1)
-    bound = passed.filter("callee is not null").withColumn("param", F.concat(F.lit("P|"), slot.cast("string")))
-    entered = bound.join(part(known.filter("origin like 'P|%' and (target = 'RET' or target like 'K|%')"), 2, owner="callee", origin="param", target="inner"), ["callee", "param"])
+    bound = passed.only("callee is not null").map(lambda rows: rows.withColumn("param", slot.cast("string")))
+
+    out = [made(p.join(a, "uid"), (1, 3), "then", safe=safe, uncertain=uncertain) for p, a in meets(passed.only("callee is null"), after)]
+    out += [made(p.join(i, ["callee", "param"]).join(a, "uid"), (1, 2, 3), "then") for p, i, a in meets(bound, inner.only("inner.kind = 'RET'"), after)]
+    out += [made(p.join(i, ["callee", "param"]), (1, 2), "inner") for p, i in meets(bound, inner.only("inner.kind = 'K'"))]
+    out += [made(b.join(a, "uid"), (1, 3), "then", owner="caller") for b, a in meets(brought, after)]
+    return reduce(DataFrame.unionByName, out)
+
 
-    brought = part(known.filter("origin like 'S|%' and target = 'RET'"), 1, owner="callee", origin="origin").join(calls.select("uid", "callee", F.col("owner").alias("caller")), "callee").join(after, "uid")
-    out = made(through, (1, 3), "then", safe=safe, uncertain=uncertain)
-    out = out.unionByName(made(entered.filter("inner = 'RET'").join(after, "uid"), (1, 2, 3), "then"))
-    out = out.unionByName(made(entered.filter("inner like 'K|%'"), (1, 2), "inner"))
-    return out.unionByName(made(brought, (1, 3), "then", owner="caller"))
+def _way(low: Column, steps: Column) -> Column:
+    """The value of a fact: a certain one is better than an uncertain one, then a short one."""
+    return F.struct(low.alias("low"), F.size(steps).alias("n"), steps.alias("steps")).alias("way")
 
 
 def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
@@ -98,29 +101,21 @@ def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
     calls, calls_path = materialize(resolved.join(symbols, "callee", "left"), "calls")
     hops = facts(index, "hops")
     kind, rest = F.regexp_extract("origin", "^([a-z]+)", 1), F.regexp_replace("origin", "^[a-z]+:", "")
-    origin = F.when(kind == "result", F.concat(F.lit("R|"), call_uid(rest))).when(kind == "source", F.concat_ws("|", F.lit("S"), "owner", "path", F.replace(rest, F.lit(":"), F.lit("|")))).otherwise(F.concat(F.lit("P|"), rest))
-    call_no = F.regexp_extract("target", r"^arg:(\d+):", 1)
-    target = (
-        F.when(F.col("target") == "return", "RET")
-        .when(F.col("target").startswith("sink:"), F.concat_ws("|", F.lit("K"), "owner", "path", F.col("line").cast("string"), "category", "name", "snippet"))
-        .otherwise(F.concat_ws("|", F.lit("A"), call_uid(call_no), F.regexp_replace("target", r"^arg:\d+:", "")))
-    )
+    source = _filled(ORIGIN, {"kind": F.lit("S"), "symbol": F.col("owner"), "path": F.col("path"), "line": F.regexp_extract(rest, r"^(\d+):", 1), "name": F.regexp_replace(rest, r"^\d+:", "")})
+    origin = F.when(kind == "result", _filled(ORIGIN, {"kind": F.lit("R"), "call": call_uid(rest)})).when(kind == "source", source).otherwise(_filled(ORIGIN, {"kind": F.lit("P"), "slot": rest}))
+    argument = _filled(TARGET, {"kind": F.lit("A"), "call": call_uid(F.regexp_extract("target", r"^arg:(\d+):", 1)), "slot": F.regexp_replace("target", r"^arg:\d+:", "")})
+    sink = _filled(TARGET, {"kind": F.lit("K"), "symbol": F.col("owner")} | {c: F.col(c) for c in ("path", "line", "category", "name", "snippet")})
+    target = F.when(F.col("target") == "return", _filled(TARGET, {"kind": F.lit("RET")})).when(F.col("target").startswith("sink:"), sink).otherwise(argument)
     step = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"))
-    base = hops.select("owner", origin.alias("origin"), target.alias("target"), F.lit(0).alias("mask"), F.lit(False).alias("low"), F.array(step).alias("steps"))
-    first, path = materialize(_first_paths(base).withColumn("round", F.lit(0)), "flows")
-    paths, complete = [path], False
-    for last in range(max_rounds):
-        known = spark.read.schema(first.schema).parquet(*paths)
-        new, path = materialize(_unknown(_first_paths(_composed(known, calls, last)), known).withColumn("round", F.lit(last + 1)), "flows")
-        paths.append(path)
-        if new.isEmpty():
-            complete = True
-            break
+    base = hops.select("owner", origin.alias("origin"), target.alias("target"), F.lit(0).alias("mask"), _way(F.lit(False), F.array(step)))
+    known, complete = fixpoint(base, lambda found: _composed(found, calls), _KEY, "way", rank=lambda way: way["low"], max_rounds=max_rounds)
+    known, _ = materialize(known.filter("origin.kind = 'S' and target.kind = 'K'"), "flows")
     remove(spark, calls_path, index_path)
-    known = spark.read.schema(first.schema).parquet(*paths)
-    o, k = F.split("origin", r"\|", 5), F.split("target", r"\|", 7)
-    flows = known.filter("origin like 'S|%' and target like 'K|%'").withColumn("category", F.get(k, F.lit(4))).filter(F.col("mask").bitwiseAND(_bit(F.col("category"))) == 0)
-    flows = flows.select(F.get(o, F.lit(1)).alias("source_symbol"), F.get(o, F.lit(2)).alias("source_path"), F.get(o, F.lit(3)).cast("int").alias("source_line"), F.get(o, F.lit(4)).alias("source"), F.get(k, F.lit(1)).alias("sink_symbol"), F.get(k, F.lit(2)).alias("sink_path"), F.get(k, F.lit(3)).cast("int").alias("sink_line"), F.get(k, F.lit(5)).alias("sink"), F.get(k, F.lit(6)).alias("snippet"), "category", F.when(F.col("low"), "low").otherwise("medium").alias("confidence"), "steps")
+    flows = known.filter(F.col("mask").bitwiseAND(_bit(F.col("target.category"))) == 0)
+    flows = flows.select(
+        *[F.col(f"origin.{c}").alias(f"source_{c}") for c in ("symbol", "path", "line")], F.col("origin.name").alias("source"), *[F.col(f"target.{c}").alias(f"sink_{c}") for c in ("symbol", "path", "line")],
+        F.col("target.name").alias("sink"), "target.snippet", "target.category", F.when(F.col("way.low"), "low").otherwise("medium").alias("confidence"), "way.steps",
+    )
     # no line numbers in the identity: moving code does not make a new flow
     key = F.sha2(json_array(json_string(F.col("source_symbol")), json_string(F.col("source")), json_string(F.col("sink_symbol")), json_string(F.col("category")), json_string(F.col("snippet")), json_strings(F.array("sink"))), 256)
     rank = F.when(F.col("confidence") == "medium", 0).otherwise(1)
@@ -137,6 +132,11 @@ def flow_findings(flows: DataFrame) -> DataFrame:
     )
 
 
+def sink_sources(flows: DataFrame, most: int = 32) -> DataFrame:
+    """``sink_path, sink_line, category, sources, overflow``: per dangerous place the first names of its sources, and whether there are more."""
+    return bounded_sets(flows, ["sink_path", "sink_line", "category"], "source", most).withColumnRenamed("values", "sources")
+
+
 def of_target(flows: DataFrame, target: str, category: str | None = None) -> DataFrame:
     """Flows that start or end at a symbol or file, or read a source, of that name."""
     hit = (F.col("source_symbol") == target) | (F.col("sink_symbol") == target) | (F.col("source_path") == target) | (F.col("sink_path") == target) | F.contains("source", F.lit(target)) | F.exists("steps", lambda s: s.startswith(target + ":"))
