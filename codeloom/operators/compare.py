@@ -40,6 +40,11 @@ def only_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key).distinct(), key, "left_anti")
 
 
+def rows_only_in(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows of ``left`` that ``right`` lacks, by all columns."""
+    return left.join(right, left.columns, "left_anti").distinct()
+
+
 def verdict(severe: Column, incomplete: Column, any_new: Column, changed_path: Column | None = None, detector_changed: Column | None = None) -> Column:
     """FAIL, WARN or PASS of a state against another.
 

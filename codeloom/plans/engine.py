@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from codeloom.functions.identity import identity
 from codeloom.functions.rules import BUNDLED
 from codeloom.functions.text import line_window
-from codeloom.operators import code_index, compare, resolve, rule_scan, spans, taint
+from codeloom.operators import code_index, compare, fixpoint, resolve, rule_scan, spans, taint
 from codeloom.operators.jobs import Jobs
 from codeloom.operators.state import VersionedTable
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +50,7 @@ class Engine:
         self.indexes = VersionedTable(spark, f"{self.state}/index")
         self.baselines = VersionedTable(spark, f"{self.state}/baseline")
         self.memory = VersionedTable(spark, f"{self.state}/memory")
+        self.reached = VersionedTable(spark, f"{self.state}/reached")
         self.jobs = Jobs(spark, f"{self.state}/jobs")
 
     # index and graph
@@ -81,6 +82,23 @@ class Engine:
         calls = code_index.edges(self.snapshot()).filter("kind = 'CALLS'").select("src", "dst")
         return resolve.neighbours(calls, chosen, forward=not callers)
 
+    def reach(self) -> DataFrame:
+        """``src, dst``: what calls reach over any number of resolved calls; kept, and brought up to date by the calls that came and went."""
+        now = code_index.edges(self.snapshot()).filter("kind = 'CALLS' and resolved").select("src", "dst").distinct()
+        seen = self.reached.version()
+        if seen:
+            before = self.reached.read()
+            old, known = (before.filter(F.col("direct") == d).select("src", "dst") for d in (True, False))
+            found = fixpoint.maintained(known, old, compare.rows_only_in(old, now), compare.rows_only_in(now, old))
+        else:
+            found = fixpoint.closure(now)
+        self.reached.replace(now.withColumn("direct", F.lit(True)).unionByName(found.withColumn("direct", F.lit(False))), seen)
+        return self.reached.read().filter(~F.col("direct")).select("src", "dst")
+
+    def sinks(self, most: int = 32) -> DataFrame:
+        """Dangerous places that outside input reaches, with the first ``most`` sources of each and whether there are more."""
+        return taint.sink_sources(self.trace()[0], most)
+
     def trace(self, target: str | None = None, category: str | None = None, depth: int = 8) -> tuple[DataFrame, bool]:
         flows, complete = taint.trace(self.snapshot(), max_rounds=_limit(depth, 32) + 2)
         if target is not None:
@@ -166,7 +184,8 @@ class Engine:
         marked = found.withColumn("finding_status", status).drop("old")
         flags = marked.agg(F.bool_or(F.col("finding_status").isin("new", "regressed") & F.col("severity").isin("high", "critical") & (F.col("confidence") >= 0.5)).alias("severe"), F.bool_or(F.col("finding_status") != "unchanged").alias("added"), F.bool_or((F.col("finding_status") != "unchanged") & F.col("flow_id").isNotNull() & (F.col("confidence") > taint.CONFIDENCE["low"])).alias("path")).first()
         both = now.complete and before_complete
-        verdict = "FAIL" if flags.severe or both and flags.path else "WARN" if flags.added or not both or not same_detector else "PASS"
+        given = [F.lit(bool(x)) for x in (flags.severe, not both, flags.added, flags.path, not same_detector)]
+        verdict = self.spark.range(1).select(compare.verdict(*given)).first()[0]
         if now.complete and before_complete:
             kept = base.drop("status").join(marked.select("key").distinct(), "key", "left_anti").withColumn("status", F.lit("resolved"))
             active = marked.drop("finding_status").withColumn("status", F.lit("active")).withColumn("complete", F.lit(True)).withColumn("detector", F.lit(detector()))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from codeloom.functions import classify, severity, text
 from codeloom.functions.identity import finding_fingerprint, identity_sql, json_string
-from codeloom.operators import case_run, code_index, compare, ledger, lexical, prefix, resolve, rule_scan, score, spans, state, taint
-from codeloom.sources.samples import RULE_CASES, rule_tree, sample_cases, sample_tree
+from codeloom.operators import case_run, code_index, compare, fixpoint, ledger, lexical, prefix, resolve, rule_scan, score, spans, state, taint
+from codeloom.sources.samples import RULE_CASES, group_name, rule_tree, sample_cases, sample_tree
 from codeloom.sources.scanner_json import parse_props
 from codeloom.sources.tables import table
 from pyspark.sql import DataFrame, SparkSession
@@ -417,12 +417,22 @@ def insert_or_ignore(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "verdict",
     """
-SELECT user_id, CASE WHEN bool_or(event_type = 'error' AND value > 50) THEN 'FAIL' WHEN bool_or(event_type = 'error') OR count(*) < 5 THEN 'WARN' ELSE 'PASS' END AS verdict
-FROM events GROUP BY user_id""",
+WITH e AS (
+  SELECT user_id, coalesce(bool_or(event_type = 'error' AND value > 50), false) AS severe, bool_or(event_type = 'error') AS added, count(*) < 5 OR user_id % 3 = 0 AS incomplete,
+         coalesce(bool_or(event_type = 'purchase' AND value > 90), false) AS path, user_id % 7 = 0 AS detector
+  FROM events GROUP BY user_id
+)
+SELECT user_id, CASE WHEN severe OR (path AND NOT incomplete) THEN 'FAIL' WHEN incomplete OR detector OR added THEN 'WARN' ELSE 'PASS' END AS verdict FROM e""",
 )
 def verdict(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").groupBy("user_id").agg(F.bool_or((F.col("event_type") == "error") & F.coalesce(F.col("value") > 50, F.lit(False))).alias("severe"), F.bool_or(F.col("event_type") == "error").alias("new"), (F.count(F.lit(1)) < 5).alias("incomplete"))
-    return e.select("user_id", compare.verdict(F.col("severe"), F.col("incomplete"), F.col("new")).alias("verdict"))
+    """Users as states: severe and new findings are errors, new paths are large purchases; some states are incomplete, some detectors changed."""
+
+    def any_of(kind: str, least: int | None = None):
+        return F.coalesce(F.bool_or((F.col("event_type") == kind) & (F.col("value") > least if least is not None else F.lit(True))), F.lit(False))
+
+    e = table(spark, folder, "events").groupBy("user_id").agg(any_of("error", 50).alias("severe"), any_of("error").alias("added"), any_of("purchase", 90).alias("path"), F.count(F.lit(1)).alias("n"))
+    incomplete = (F.col("n") < 5) | (F.col("user_id") % 3 == 0)
+    return e.select("user_id", compare.verdict(F.col("severe"), incomplete, F.col("added"), F.col("path"), F.col("user_id") % 7 == 0).alias("verdict"))
 
 
 _WILSON = """
@@ -558,62 +568,75 @@ def text_filter(spark: SparkSession, folder: str) -> DataFrame:
     return state.text_filter(table(spark, folder, "customer"), ["c_name", "c_mktsegment"], "BUILD").select("c_custkey")
 
 
-# source trees: the supplied tables hold no code, so these run over generated trees, of which SQL can tell what is in them
+# source trees: the supplied tables hold no code, so these run over trees that are derived from the documents; SQL tells from the documents what is in them
 
 #: What else the files of some rules hold: a second rule fires on the same line of the bad or the good file.
 _ALSO = [("taint-process-env-to-spawn", "bad", "js-expose-process-env"), ("taint-process-env-to-spawn", "good", "js-expose-process-env"), ("taint-user-input-to-json-parse", "bad", "js-unsafe-json-parse"), ("js-unsafe-json-parse", "bad", "taint-user-input-to-json-parse")]
 _HIGH = ("python-debug-server", "python-unverified-ssl-context")
 _INFO = ("js-insecure-websocket-server", "rust-args", "rust-args-os", "rust-current-exe", "rust-temp-dir", "rust-unsafe-usage")
-_FIRES = ", ".join(f"('{rule}/{kind}.{RULE_CASES[rule][0].rsplit('.', 1)[1]}', '{fires}', '{'high' if fires in _HIGH else 'info' if fires in _INFO else 'medium'}')" for rule, kind, fires in [(r, "bad", r) for r in RULE_CASES] + _ALSO)
-_COPIES, _MODULES = 20, 120
+_FIRES = ", ".join(f"({list(RULE_CASES).index(rule)}, '{rule}/{kind}.{RULE_CASES[rule][0].rsplit('.', 1)[1]}', '{fires}', '{'high' if fires in _HIGH else 'info' if fires in _INFO else 'medium'}')" for rule, kind, fires in [(r, "bad", r) for r in RULE_CASES] + _ALSO)
+_DOCS = "docs AS (SELECT doc_id, min(coalesce(regexp_replace(source, '[^A-Za-z0-9_]', '_', 'g'), 'none')) AS g FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id), groups AS (SELECT DISTINCT g FROM docs), sizes AS (SELECT (SELECT count(*) FROM docs) AS n, (SELECT count(*) FROM groups) AS g)"
+
+
+def _mod(n: str, d: int) -> str:
+    return f"(({n} % {d} + {d}) % {d})"
+
+
+def _index(spark: SparkSession, folder: str) -> DataFrame:
+    return state.snapshot(code_index.index_files(sample_tree(table(spark, folder, "documents"))), "index")
+
 
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").filter("doc_id is not null").groupBy("doc_id").agg(F.min(group_name(F.col("source"))).alias("g")).select("g").distinct()
 
-@query("code_rule_scan", f"SELECT 'copy_' || i || '/' || name AS file, CAST(1 + i % 5 AS INTEGER) AS line, rule_id, severity FROM range({_COPIES}) AS c(i), (VALUES {_FIRES}) AS f(name, rule_id, severity)")
+
+@query("code_rule_scan", f"WITH {_DOCS} SELECT 'doc_' || doc_id || '/' || name AS file, CAST(1 + {_mod('doc_id', 5)} AS INTEGER) AS line, rule_id, severity FROM docs JOIN (VALUES {_FIRES}) AS f(number, name, rule_id, severity) ON number = {_mod('doc_id', len(RULE_CASES))}")
 def code_rule_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return rule_scan.scan(rule_tree(spark, _COPIES))[0].select("file", "line", "rule_id", "severity")
+    return rule_scan.scan(rule_tree(table(spark, folder, "documents")))[0].select("file", "line", "rule_id", "severity")
 
 
-@query("code_index_status", f"SELECT CAST(n + 2 AS BIGINT) AS files, CAST(5 * n + 5 AS BIGINT) AS symbols, CAST(4 * n + 7 AS BIGINT) AS calls, CAST(n + 4 AS BIGINT) AS imports, CAST(2 AS BIGINT) AS annotations, CAST(0 AS BIGINT) AS notes, CAST(1 AS BIGINT) AS sources, CAST(1 AS BIGINT) AS sinks, CAST(0 AS BIGINT) AS sanitizers, CAST(0 AS BIGINT) AS guards, true AS complete FROM (VALUES ({_MODULES})) AS m(n)")
+@query("code_index_status", f"WITH {_DOCS} SELECT n + 3 * g AS files, 5 * n + 7 * g AS symbols, 4 * n + 7 * g AS calls, n + 4 * g AS imports, 2 * g AS annotations, CAST(0 AS BIGINT) AS notes, g AS sources, g AS sinks, CAST(0 AS BIGINT) AS sanitizers, CAST(0 AS BIGINT) AS guards, true AS complete FROM sizes")
 def code_index_status(spark: SparkSession, folder: str) -> DataFrame:
-    return code_index.status(code_index.index_files(sample_tree(spark, _MODULES)))
+    return code_index.status(code_index.index_files(sample_tree(table(spark, folder, "documents"))))
 
 
-_CALLS = "('service.py', 7, 'cursor', false), ('service.py', 7, 'sqlite3.connect', false), ('service.py', 8, 'build', true), ('service.py', 8, 'cursor.execute', false), ('routes.py', 4, 'Flask', false), ('routes.py', 8, 'find', true), ('routes.py', 10, 'app.run', false)"
+_CALLS = "('service', 7, 'cursor', false), ('service', 7, 'sqlite3.connect', false), ('service', 8, 'build', true), ('service', 8, 'cursor.execute', false), ('routes', 4, 'Flask', false), ('routes', 8, 'find', true), ('routes', 10, 'app.run', false)"
 _MODULE_CALLS = "(4, 'second', true), (10, 'first', true), (13, 'third', true), (13, 'other', true)"
 
 
-@query("code_calls", f"SELECT 'mod_' || i || '.py' AS path, line, name, resolved FROM range({_MODULES}) AS m(i), (VALUES {_MODULE_CALLS}) AS c(line, name, resolved) UNION ALL FROM (VALUES {_CALLS}) AS c(path, line, name, resolved)")
+@query("code_calls", f"WITH {_DOCS} SELECT 'mod_' || doc_id || '.py' AS path, line, name, resolved FROM docs, (VALUES {_MODULE_CALLS}) AS c(line, name, resolved) UNION ALL SELECT kind || '_' || g || '.py', line, name, resolved FROM groups, (VALUES {_CALLS}) AS c(kind, line, name, resolved)")
 def code_calls(spark: SparkSession, folder: str) -> DataFrame:
-    index = state.snapshot(code_index.index_files(sample_tree(spark, _MODULES)), "index")
-    return code_index.edges(index).filter("kind = 'CALLS'").select("path", "line", "name", "resolved")
+    return code_index.edges(_index(spark, folder)).filter("kind = 'CALLS'").select("path", "line", "name", "resolved")
 
 
-@query("code_imports", f"SELECT 'mod_' || i || '.py' AS path, 1 AS line, 'other' AS name, true AS resolved FROM range({_MODULES}) AS m(i) UNION ALL FROM (VALUES ('routes.py', 1, 'Flask', false), ('routes.py', 1, 'request', false), ('routes.py', 2, 'find', true), ('service.py', 1, 'sqlite3', false)) AS c(path, line, name, resolved)")
+@query("code_imports", f"WITH {_DOCS} SELECT 'mod_' || doc_id || '.py' AS path, 1 AS line, 'other' AS name, true AS resolved FROM docs UNION ALL SELECT kind || '_' || g || '.py', line, name, resolved FROM groups, (VALUES ('routes', 1, 'Flask', false), ('routes', 1, 'request', false), ('routes', 2, 'find', true), ('service', 1, 'sqlite3', false)) AS c(kind, line, name, resolved)")
 def code_imports(spark: SparkSession, folder: str) -> DataFrame:
-    index = state.snapshot(code_index.index_files(sample_tree(spark, _MODULES)), "index")
-    return code_index.edges(index).filter("kind = 'IMPORTS'").select("path", "line", "name", "resolved")
+    return code_index.edges(_index(spark, folder)).filter("kind = 'IMPORTS'").select("path", "line", "name", "resolved")
 
 
-@query("code_call_status", f"SELECT CAST(4 * {_MODULES} + 7 AS BIGINT) AS calls, CAST(4 * {_MODULES} + 2 AS BIGINT) AS resolved_calls")
+@query("code_call_status", f"WITH {_DOCS} SELECT 4 * n + 7 * g AS calls, 4 * n + 2 * g AS resolved_calls FROM sizes")
 def code_call_status(spark: SparkSession, folder: str) -> DataFrame:
-    return code_index.call_status(state.snapshot(code_index.index_files(sample_tree(spark, _MODULES)), "index"))
+    return code_index.call_status(_index(spark, folder))
 
 
-@query("code_taint_trace", "SELECT 'routes.py' AS source_path, 8 AS source_line, 'request.args' AS source, 'service.py' AS sink_path, 8 AS sink_line, 'cursor.execute' AS sink, 'sql-injection' AS category, 'medium' AS confidence")
+@query("code_taint_trace", f"WITH {_DOCS} SELECT 'routes_' || g || '.py' AS source_path, 8 AS source_line, 'request.args' AS source, 'service_' || g || '.py' AS sink_path, 8 AS sink_line, 'cursor.execute' AS sink, 'sql-injection' AS category, 'medium' AS confidence FROM groups")
 def code_taint_trace(spark: SparkSession, folder: str) -> DataFrame:
-    flows, _ = taint.trace(code_index.index_files(sample_tree(spark, _MODULES)))
+    flows, _ = taint.trace(_index(spark, folder))
     return flows.select("source_path", "source_line", "source", "sink_path", "sink_line", "sink", "category", "confidence")
 
 
-@query("code_case_scores", f"SELECT engine, CAST(3 * n AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(3 * n AS BIGINT) AS tn FROM (VALUES (NULL, {len(RULE_CASES) + 1}), ('rules', {len(RULE_CASES)}), ('graph', 1)) AS c(engine, n)")
+_CASES = f"SELECT 'rules' AS engine, count(*) FILTER ({_mod('doc_id', len(RULE_CASES) + 1)} < {len(RULE_CASES)}) AS n FROM docs UNION ALL SELECT 'graph', count(*) FILTER ({_mod('doc_id', len(RULE_CASES) + 1)} = {len(RULE_CASES)}) FROM docs UNION ALL SELECT NULL, count(*) FROM docs"
+
+
+@query("code_case_scores", f"WITH {_DOCS} SELECT engine, n AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, n AS tn FROM ({_CASES})")
 def code_case_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return score.confusion(state.snapshot(case_run.detections(sample_cases(spark)), "cases"), "engine").select("engine", "tp", "fp", "fn", "tn")
+    return score.confusion(state.snapshot(case_run.detections(sample_cases(table(spark, folder, "documents"))), "cases"), "engine").select("engine", "tp", "fp", "fn", "tn")
 
 
-@query("code_flow_edges", "SELECT 'FLOWS_TO' AS kind, 'service.py' AS path, 8 AS line, true AS resolved, true AS annotated")
+@query("code_flow_edges", f"WITH {_DOCS} SELECT 'FLOWS_TO' AS kind, 'service_' || g || '.py' AS path, 8 AS line, true AS resolved, true AS annotated FROM groups")
 def code_flow_edges(spark: SparkSession, folder: str) -> DataFrame:
-    index = state.snapshot(code_index.index_files(sample_tree(spark, _MODULES)), "index")
-    flows, _ = taint.trace(index)
+    index = _index(spark, folder)
+    flows = state.snapshot(taint.trace(index)[0], "flows")
     symbols = [F.col(c) for c in ("source_symbol", "sink_symbol")]
     ends = flows.select(F.explode(F.array(*symbols)).alias("src")).distinct()
     found = taint.flow_edges(flows, index)
@@ -621,14 +644,70 @@ def code_flow_edges(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(named.withColumn("bare", F.lit(True)), "name", "left").select("kind", "path", "line", "resolved", F.col("bare").isNull().alias("annotated"))
 
 
-@query("code_affected_files", "SELECT 'mod_' || i || '.py' AS path FROM range(2, 5) AS m(i)")
+@query("code_affected_files", f"WITH {_DOCS} SELECT 'mod_' || doc_id || '.py' AS path FROM docs WHERE g = (SELECT min(g) FROM groups) UNION ALL SELECT 'group_' || min(g) || '.py' FROM groups HAVING count(*) > 0")
 def code_affected_files(spark: SparkSession, folder: str) -> DataFrame:
-    index = state.snapshot(code_index.index_files(sample_tree(spark, _MODULES)), "index")
-    return code_index.affected_files(spark.createDataFrame([("mod_3.py",)], "path string"), index)
+    """The module of the first source was changed: it and the modules that call it."""
+    first = _groups(spark, folder).agg(F.min("g").alias("g")).filter("g is not null")
+    return code_index.affected_files(first.select(F.concat(F.lit("group_"), "g", F.lit(".py")).alias("path")), _index(spark, folder))
 
 
-@query("code_flows_touching", "SELECT unnest(['routes.py', 'service.py']) AS path, CAST(1 AS BIGINT) AS flows UNION ALL SELECT 'mod_1.py', 0")
+@query("code_flows_touching", f"WITH {_DOCS} SELECT 'service_' || g || '.py' AS path, CAST(1 AS BIGINT) AS flows FROM groups WHERE g > (SELECT min(g) FROM groups)")
 def code_flows_touching(spark: SparkSession, folder: str) -> DataFrame:
-    flows = state.snapshot(taint.trace(code_index.index_files(sample_tree(spark, _MODULES)))[0], "flows")
-    counts = [taint.touching(flows, spark.createDataFrame([(p,)], "path string")).agg(F.lit(p).alias("path"), F.count(F.lit(1)).alias("flows")) for p in ("routes.py", "service.py", "mod_1.py")]
-    return counts[0].union(counts[1]).union(counts[2])
+    """Flows through the routes of all sources but the first, by where they end."""
+    flows = state.snapshot(taint.trace(_index(spark, folder))[0], "flows")
+    groups = _groups(spark, folder)
+    later = groups.join(F.broadcast(groups.agg(F.min("g").alias("first"))), F.col("g") > F.col("first"))
+    touched = taint.touching(flows, later.select(F.concat(F.lit("routes_"), "g", F.lit(".py")).alias("path")))
+    return touched.groupBy(F.col("sink_path").alias("path")).agg(F.count(F.lit(1)).alias("flows"))
+
+
+# rules over tables until nothing new follows
+
+_START = "p1"
+_TWO_WAY = "both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
+
+
+@query(
+    "shortest_steps",
+    f"""
+WITH RECURSIVE {_EDGES}, {_TWO_WAY},
+r AS (SELECT '{_START}' AS node, 0 AS steps UNION SELECT b.dst, r.steps + 1 FROM r JOIN both_ways b ON b.src = r.node WHERE r.steps < 12),
+near AS (SELECT node, min(steps) AS steps FROM r GROUP BY node)
+SELECT n.node, CAST(n.steps AS BIGINT) AS steps, min(p.node) AS via FROM near n LEFT JOIN both_ways b ON b.dst = n.node LEFT JOIN near p ON p.node = b.src AND p.steps = n.steps - 1 GROUP BY ALL""",
+)
+def shortest_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances from one part over orders, parts and suppliers, and the first node before each on a shortest way; cycles end by themselves."""
+    edges = _edges(spark, folder)
+    return fixpoint.shortest_steps(edges.union(edges.select("dst", "src")), _nodes(spark, _START))
+
+
+_BOUGHT = "SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem"
+
+
+@query(
+    "maintained_closure",
+    f"""
+WITH first AS ({_BOUGHT}),
+gone AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_orderkey % 20 = 0 OR l_partkey % 25 = 0),
+edges AS (SELECT * FROM first EXCEPT SELECT * FROM gone UNION SELECT 'p' || p_partkey, 'b' || p_brand FROM part WHERE p_partkey % 40 = 1),
+two AS (SELECT a.src, b.dst FROM edges a JOIN edges b ON b.src = a.dst),
+three AS (SELECT a.src, b.dst FROM two a JOIN edges b ON b.src = a.dst)
+SELECT * FROM edges UNION SELECT * FROM two UNION SELECT * FROM three""",
+)
+def maintained_closure(spark: SparkSession, folder: str) -> DataFrame:
+    """What customers reach over orders and parts, after some order lines were removed and some parts got edges to their brands: from the closure before."""
+    orders, lines, part = (table(spark, folder, n) for n in ("orders", "lineitem", "part"))
+
+    def edge(a: str, x: str, b: str, y: str) -> list:
+        return [F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst")]
+
+    edges = orders.select(*edge("c", "o_custkey", "o", "o_orderkey")).union(lines.select(*edge("o", "l_orderkey", "p", "l_partkey"))).distinct()
+    removed = lines.filter("l_orderkey % 20 = 0 or l_partkey % 25 = 0").select(*edge("o", "l_orderkey", "p", "l_partkey"))
+    added = part.filter("p_partkey % 40 = 1").select(*edge("p", "p_partkey", "b", "p_brand"))
+    return fixpoint.maintained(state.snapshot(fixpoint.closure(edges), "closure"), edges, removed, added)
+
+
+@query("origin_sets", "SELECT user_id, array_to_string(list_sort(list(DISTINCT CAST(floor(value) AS BIGINT)))[1:32], ',') AS origins, count(DISTINCT floor(value)) > 32 AS overflow FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def origin_sets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").select("user_id", F.floor("value").cast("long").alias("origin"))
+    return fixpoint.bounded_sets(rows, ["user_id"], "origin").select("user_id", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("origins"), "overflow")

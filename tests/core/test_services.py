@@ -253,3 +253,20 @@ def test_remembered_context(spark, tmp_path):
     e.save_context("g")
     kept = json.loads(e.recall(CONTEXT_KEY))
     assert e.recall("k") == "2" and kept["target"] == "g" and [x["qualified"] for x in kept["context"]][:2] == ["g", "f"]
+
+
+def test_kept_closure_of_calls(spark, tmp_path):
+    """After every change of the tree the kept closure is that of the calls there are."""
+    e = Engine(spark, "p", f"file://{tmp_path}/s")
+    chain = "def a():\n    return b()\n\ndef b():\n    return c()\n\ndef c():\n    return 1\n"
+    for code, want in (
+        (chain, {("a", "b"), ("a", "c"), ("b", "c")}),
+        (chain.replace("return c()", "return 2"), {("a", "b")}),
+        (chain.replace("return 1", "return a()"), {(x, y) for x in "abc" for y in "abc"}),
+    ):
+        e.index(spark.createDataFrame([("m.py", code)], "path string, content string"))
+        names = {r.id: r.name for r in e.find_symbols("m.py").collect()}
+        assert {(names[r.src], names[r.dst]) for r in e.reach().collect()} == want
+    web = "import os\n\ndef run(x):\n    os.system(x)\n\ndef main():\n    run(input())\n"
+    e.index(spark.createDataFrame([("w.py", web)], "path string, content string"))
+    assert [(r.sink_path, r.sources, r.overflow) for r in e.sinks().collect()] == [("w.py", ["input"], False)]
