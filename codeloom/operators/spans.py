@@ -64,7 +64,8 @@ def any_of(*spans: DataFrame) -> DataFrame:
 def narrowest_enclosing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], point: str, row_id: str, order: str) -> DataFrame:
     """Each point with the narrowest range that holds it, the first by ``order`` on ties; null without one.
 
-    ``ranges`` has ``keys``, integer ``start``, ``end`` (inclusive) and ``order``; its columns come prefixed with ``range_``.  ``row_id`` tells points apart.
+    ``ranges`` has ``keys``, integer ``start``, ``end`` (inclusive) and ``order``; its columns come prefixed with ``range_``.  ``row_id`` tells points apart, and is
+    the same whenever ``points`` is read.
     """
     rest = [c for c in ranges.columns if c != order]
     rank = F.struct((F.col("end") - F.col("start")).alias("width"), F.col(order).alias("order"), F.struct(*[F.col(c).alias(c) for c in rest]).alias("rest"))

@@ -14,7 +14,7 @@ from codeloom.functions.rules import BUNDLED
 from codeloom.functions.text import line_window
 from codeloom.operators import code_index, compare, fixpoint, resolve, rule_scan, spans, taint
 from codeloom.operators.jobs import Jobs
-from codeloom.operators.state import VersionedTable
+from codeloom.operators.state import VersionedTable, snapshot
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,6 +195,6 @@ class Engine:
     def explain(self, findings: DataFrame, files: DataFrame, around: int = 3) -> DataFrame:
         """Findings with the narrowest symbol round them and the lines near them."""
         symbols = code_index.facts(self.snapshot(), "symbols").filter("kind <> 'module'").select(F.col("path").alias("file"), F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.col("qualified").alias("name"))
-        numbered = findings.withColumn("row", F.monotonically_increasing_id())
+        numbered = snapshot(findings.withColumn("row", F.monotonically_increasing_id()), "findings")  # written, as the numbers are joined on
         placed = spans.narrowest_enclosing(numbered, symbols, ["file"], "line", "row", "name").withColumnRenamed("range_name", "symbol").drop("range_file", "range_start", "range_end", "row")
         return placed.join(files.select(F.col("path").alias("file"), "content"), "file", "left").withColumn("excerpt", line_window(F.col("content"), F.col("line"), around, around)).drop("content")
