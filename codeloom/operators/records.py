@@ -6,19 +6,14 @@ hides no other.
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterable, Iterator
 from typing import Any
 
-import pyarrow as pa
+from codeloom.functions.json_checks import text_errors
+from codeloom.functions.severity import LEVELS
 from codeloom.operators.ledger import failing, reference_violations, unsorted_rows
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Limits of a document.
-MAX_DEPTH, MAX_ITEMS, MAX_VALUES, MAX_ERRORS = 64, 1000, 500_000, 100
-_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 _PLACE = {"type": "object", "required": ["file", "line"], "additionalProperties": False, "properties": {"file": {"type": "string", "visibleContent": True}, "line": {"type": "integer", "minimum": 1}}}
 _STEP = {"type": "object", "required": ["kind", "location", "detail"], "additionalProperties": False, "properties": {"kind": {"enum": ["entrypoint", "propagation", "sink"]}, "location": _PLACE, "detail": {"type": "string", "visibleContent": True}}}
 #: The form of one finding of an audit, by its verdict.
@@ -30,105 +25,36 @@ FINDING_SCHEMA: dict[str, Any] = {
 }
 
 
-def is_type(value: Any, name: str) -> bool:
-    if name in ("integer", "number"):
-        return not isinstance(value, bool) and isinstance(value, int if name == "integer" else int | float)
-    return isinstance(value, _TYPES[name]) and not (name != "boolean" and isinstance(value, bool))
-
-
-def errors_of(value: Any, schema: dict[str, Any], at: str = "$") -> Iterator[str]:
-    """What a value breaks of a schema."""
-    if "type" in schema and not is_type(value, schema["type"]):
-        yield f"{at}: expected {schema['type']}"
-        return
-    if "const" in schema and value != schema["const"]:
-        yield f"{at}: expected {schema['const']!r}"
-    if "enum" in schema and value not in schema["enum"]:
-        yield f"{at}: not one of the allowed values"
-    if "oneOf" in schema:
-        fits = sum(next(errors_of(value, s, at), None) is None for s in schema["oneOf"])
-        if fits != 1:
-            yield f"{at}: fits {fits} of the alternatives"
-    if isinstance(value, str):
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            yield f"{at}: does not have the expected form"
-        if schema.get("visibleContent") and not any(c.isprintable() and not c.isspace() for c in value):
-            yield f"{at}: has no visible content"
-        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", 1 << 30):
-            yield f"{at}: wrong length"
-    if is_type(value, "number") and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
-        yield f"{at}: out of range"
-    if isinstance(value, list):
-        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", MAX_ITEMS):
-            yield f"{at}: wrong number of items"
-        if schema.get("uniqueItems") and len({json.dumps(v, sort_keys=True) for v in value}) < len(value):
-            yield f"{at}: items repeat"
-        for n, v in enumerate(value[:MAX_ITEMS]):
-            yield from errors_of(v, schema.get("items", {}), f"{at}[{n}]")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        for name in schema.get("required", ()):
-            if name not in value:
-                yield f"{at}.{name}: missing"
-        for name, v in value.items():
-            if name in known:
-                yield from errors_of(v, known[name], f"{at}.{name}")
-            elif schema.get("additionalProperties") is False:
-                yield f"{at}.{name}: not allowed"
-
-
-def limit_errors(value: Any) -> Iterator[str]:
-    """Whether a document is too deep or has too many values."""
-    stack, count = [(value, 1)], 0
-    while stack:
-        v, depth = stack.pop()
-        count += 1
-        if depth > MAX_DEPTH:
-            yield "$: nested too deep"
-            return
-        if count > MAX_VALUES:
-            yield "$: too many values"
-            return
-        stack.extend((x, depth + 1) for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ()))
-
-
-def finding_errors(finding: dict[str, Any]) -> Iterator[str]:
-    """What a finding breaks beyond its form."""
-    order = ["info", "low", "medium", "high", "critical"]
-    kinds = [s.get("kind") for s in finding.get("trace", []) if isinstance(s, dict)]
-    if finding.get("verdict") == "confirmed":
-        if not kinds or kinds[0] != "entrypoint" or kinds[-1] != "sink" or any(k != "propagation" for k in kinds[1:-1]):
-            yield "$.trace: goes from an entry point over propagations to a sink"
-        if finding.get("impact") in order and finding.get("severity") in order and order.index(finding["severity"]) > order.index(finding["impact"]):
-            yield "$.severity: above the impact"
-        if "reason" in finding:
-            yield "$.reason: not for a confirmed finding"
-    elif "impact" in finding:
-        yield "$.impact: only for a confirmed finding"
+def finding_errors(text: Column) -> Column:
+    """What a finding of the right form breaks beyond it, as an array of texts."""
+    value = F.try_parse_json(text)
+    level = F.array(*[F.lit(x) for x in LEVELS])
+
+    def text_of(name: str) -> Column:
+        return F.try_variant_get(value, f"$.{name}", "string")
+
+    kinds = F.coalesce(F.transform(F.try_variant_get(value, "$.trace", "array<variant>"), lambda s: F.try_variant_get(s, "$.kind", "string")), F.array().cast("array<string>"))
+    whole = (F.size(kinds) > 0) & (F.try_element_at(kinds, F.lit(1)) == "entrypoint") & (F.try_element_at(kinds, F.lit(-1)) == "sink")
+    inner = F.forall(F.slice(kinds, F.lit(2), F.greatest(F.size(kinds) - 2, F.lit(0))), lambda k: F.coalesce(k == "propagation", F.lit(False)))
+    confirmed = text_of("verdict") == "confirmed"
+    above = F.array_position(level, text_of("severity")) > F.array_position(level, text_of("impact"))
+
+    def there(name: str) -> Column:
+        return F.try_variant_get(value, f"$.{name}", "variant").isNotNull()
+
+    rules = {
+        "$.trace: goes from an entry point over propagations to a sink": confirmed & ~F.coalesce(whole & inner, F.lit(False)),
+        "$.severity: above the impact": confirmed & above,
+        "$.reason: not for a confirmed finding": confirmed & there("reason"),
+        "$.impact: only for a confirmed finding": ~confirmed & there("impact"),
+    }
+    return F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]), lambda e: e.isNotNull())
 
 
 def validate(documents: DataFrame, schema: dict[str, Any] | None = None) -> DataFrame:
-    """``doc, error`` for everything that is wrong with documents ``doc, json`` (at most 100 each)."""
-    form = FINDING_SCHEMA if schema is None else schema
-    semantic = schema is None
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, out = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    value = json.loads(text or "")
-                except (ValueError, RecursionError):
-                    found = ["$: no JSON"]
-                else:
-                    found = list(limit_errors(value)) or list(errors_of(value, form))
-                    if not found and semantic:
-                        found = list(finding_errors(value))
-                docs += [doc] * min(len(found), MAX_ERRORS)
-                out += found[:MAX_ERRORS]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(out, pa.string())], names=["doc", "error"])
-
-    return documents.select(F.col("doc").cast("string"), "json").mapInArrow(run, "doc string, error string")
+    """``doc, error`` for everything that is wrong with documents ``doc, json`` (at most 100 each); a null document is no JSON."""
+    found = text_errors(F.col("json"), FINDING_SCHEMA, finding_errors(F.col("json"))) if schema is None else text_errors(F.col("json"), schema)
+    return documents.select(F.col("doc").cast("string").alias("doc"), F.explode(found).alias("error"))
 
 
 def unit_id(kind: Column, path: Column, scope: Column) -> Column:

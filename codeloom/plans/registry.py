@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from codeloom.functions import classify, severity, text
 from codeloom.functions.identity import finding_fingerprint, identity_sql, json_string
-from codeloom.operators import case_run, code_index, compare, fixpoint, ledger, lexical, prefix, resolve, rule_scan, score, spans, state, taint
+from codeloom.operators import case_run, code_index, compare, fixpoint, ledger, lexical, prefix, records, resolve, rule_scan, score, spans, state, taint
 from codeloom.sources.samples import RULE_CASES, group_name, rule_tree, sample_cases, sample_tree
 from codeloom.sources.scanner_json import parse_props
 from codeloom.sources.tables import table
@@ -711,3 +711,51 @@ def maintained_closure(spark: SparkSession, folder: str) -> DataFrame:
 def origin_sets(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").select("user_id", F.floor("value").cast("long").alias("origin"))
     return fixpoint.bounded_sets(rows, ["user_id"], "origin").select("user_id", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("origins"), "overflow")
+
+
+# JSON texts against schemas
+
+_PROPS = {"type": "object", "required": ["k"], "additionalProperties": False, "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 90}, "t": {"type": "string", "maxLength": 6}}}
+_DEEP = "[" * 70 + "]" * 70
+_PROPS_SQL = f"""CASE event_id % 8 WHEN 1 THEN '{{"k": "x"}}' WHEN 2 THEN '{{' WHEN 3 THEN '{{"t": "' || event_type || '"}}' WHEN 4 THEN '{{"k": 1.5}}' WHEN 5 THEN '[1]' WHEN 6 THEN '{{"k": ' || event_id || ', "z": 1}}' WHEN 7 THEN '{_DEEP}' ELSE props END"""
+
+
+@query(
+    "json_schema_errors",
+    """
+WITH e AS (SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+wrong AS (
+  SELECT event_id, '$.k: out of range' AS error FROM e WHERE event_id % 8 = 0 AND (k < 0 OR k > 90)
+  UNION ALL SELECT event_id, '$.k: expected integer' FROM e WHERE event_id % 8 IN (1, 4)
+  UNION ALL SELECT event_id, '$: no JSON' FROM e WHERE event_id % 8 = 2
+  UNION ALL SELECT event_id, '$.k: missing' FROM e WHERE event_id % 8 = 3
+  UNION ALL SELECT event_id, '$.t: wrong length' FROM e WHERE event_id % 8 = 3 AND length(event_type) > 6
+  UNION ALL SELECT event_id, '$: expected object' FROM e WHERE event_id % 8 = 5
+  UNION ALL SELECT event_id, '$.k: out of range' FROM e WHERE event_id % 8 = 6 AND event_id > 90
+  UNION ALL SELECT event_id, '$.z: not allowed' FROM e WHERE event_id % 8 = 6
+  UNION ALL SELECT event_id, '$: nested too deep' FROM e WHERE event_id % 8 = 7
+)
+SELECT CAST(event_id AS VARCHAR) AS doc, error FROM wrong""",
+)
+def json_schema_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Properties of events, seven of eight spoilt in some way, against a schema."""
+    return records.validate(table(spark, folder, "events").select(F.col("event_id").alias("doc"), F.expr(_PROPS_SQL).alias("json")), _PROPS)
+
+
+_TURN = {"type": "object", "required": ["role", "text"], "properties": {"role": {"enum": ["user", "assistant"]}, "turn": {"type": "integer", "maximum": 5}, "text": {"type": "string", "visibleContent": True, "maxLength": 600}}}
+
+
+@query(
+    "conversation_records",
+    r"""
+SELECT conv_id || '/' || turn AS doc, unnest(list_filter([
+  CASE WHEN role IS NULL THEN '$.role: missing' WHEN role NOT IN ('user', 'assistant') THEN '$.role: not one of the allowed values' END,
+  CASE WHEN turn > 5 THEN '$.turn: out of range' END,
+  CASE WHEN text IS NULL THEN '$.text: missing' WHEN NOT regexp_matches(text, '[^\p{C}\p{Z}]') THEN '$.text: has no visible content' END,
+  CASE WHEN length(text) > 600 THEN '$.text: wrong length' END], x -> x IS NOT NULL)) AS error
+FROM conversations""",
+)
+def conversation_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as JSON records against a schema."""
+    turns = table(spark, folder, "conversations")
+    return records.validate(turns.select(F.concat_ws("/", "conv_id", "turn").alias("doc"), F.to_json(F.struct("role", "turn", "text")).alias("json")), _TURN)
