@@ -250,7 +250,7 @@ def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         labels = batch.column(1).to_pylist()
         buf, offs = text_buffers(batch.column(0))
-        for i, j in slices(offs, 8 << 20):
+        for i, j in slices(offs, 1 << 20):
             w = written_words(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
             raw = buf[offs[i] : offs[j]].tobytes()
@@ -268,6 +268,8 @@ def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield out()
     if counts:
         yield out()
+    del counts
+    release()
 
 
 def _feature_batches(model):
