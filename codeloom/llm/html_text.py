@@ -20,7 +20,9 @@ tags, and their children as children of what they stand in.
 Plain sentences of an advert or a footer are as dense as the article's.  So an element's name, role, class or
 id may *hint* that it is no article text; its characters and tags then count as noise, and the same densities decide.
 Hints that are ambiguous (a reply may be the article of a forum) are dropped where the densest
-subtree lies inside them.  Nothing but what is never displayed (scripts, styles, form controls, hidden elements) is removed by name alone.
+subtree lies inside them.  So is the hint of a mere class or id (a guide to a login, a menu of dishes) if hardly any prose is left outside it and
+it holds paragraphs of it; but never that of an element, a role, an advert, a consent, comments or what frames a page.  A paragraph of links with words between them, and a few long
+links in a list of the article, are references and stay.  A heading goes with its section.  Nothing but what is never displayed (scripts, styles, form controls, hidden elements) is removed by name alone.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>]|\Z)""", re.IGNORECASE)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")}
+_LETTERS = re.compile(r"[^\W\d_]{2}")
 _HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,8 +59,13 @@ _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": (
 _CERTAIN_TAGS = frozenset("nav aside footer menu dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _COMMENTS = frozenset("comment comments commenter commentlist commentform disqus replies respond".split())
-_CERTAIN = _COMMENTS | frozenset("ad ads adbox adslot adunit adsense advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored cookie cookies cookiebar cookiebanner consent gdpr notice notices alert banner masthead sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer header login signup subscribe newsletter".split())
+_FIRM = _COMMENTS | frozenset("ad ads adbox adslot adunit adsense advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored cookie cookies cookiebar cookiebanner consent gdpr sidebar sidebars nav navbar navigation breadcrumb breadcrumbs pagination pager footer".split())
+_CERTAIN = frozenset("notice notices alert banner masthead menu menus header login signup subscribe newsletter".split())
 _UNCERTAIN = frozenset("reply responses reactions discussion popup modal overlay promo promotion share sharing social related recommended widget widgets toolbar copyright disclaimer search".split())
+#: How many times the prose outside hinted elements one of them must have to be the article after all, in at least so many paragraphs of at least so many characters.
+_MORE_PROSE, _PARAGRAPHS, _PARAGRAPH_CHARS = 8, 2, 40
+#: References in a list: at most so many links, of at least so many words on average.
+_REFERENCES, _REFERENCE_WORDS = 5, 3
 #: Words beside which another word of a class names a layout.
 _LAYOUT = frozenset("has with no without wrap wrapper layout".split())
 
@@ -117,17 +125,17 @@ class _Tree:
             self.open[tag] += 1
 
     def _hints(self, tag: str, attrs: str) -> tuple[bool, int]:
-        """Whether an element is never displayed, and 2 or 1 for a certain or ambiguous hint."""
+        """Whether an element is never displayed, and 3, 2 or 1 for a firm, certain or ambiguous hint."""
         never = tag in _DROP
         inner = self.open["article"] or self.open["main"]
-        hint = 2 if tag in _CERTAIN_TAGS or tag == "form" or tag == "header" and not inner else 0
+        hint = 3 if tag in _CERTAIN_TAGS or tag == "form" or tag == "header" and not inner else 0
         if attrs and tag not in ("html", "body", "main"):
             for m in _ATTR.finditer(attrs):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                     never = True
                 elif name == "role":
-                    hint = 2 if value.lower() in _ROLES else hint
+                    hint = 3 if value.lower() in _ROLES else hint
                 elif name in ("class", "id"):
                     for token in value.split():
                         hint = max(hint, _token_hint(token, tag == "article", bool(inner)))
@@ -174,8 +182,8 @@ def _token_hint(token: str, article: bool, inner: bool) -> int:
         words &= _COMMENTS
     if inner:
         words.discard("header")  # the article's own
-    if words & _CERTAIN:
-        return 1 if words & _LAYOUT else 2
+    if words & (_FIRM | _CERTAIN):
+        return 1 if words & _LAYOUT else 3 if words & _FIRM else 2
     return 1 if words & _UNCERTAIN else 0
 
 
@@ -185,14 +193,19 @@ class _Counts:
     def __init__(self, tree: _Tree, gone: list[bool], texts: list[tuple[int, str]]) -> None:
         n = len(tree.tag)
         self.tree, self.gone = tree, gone
-        self.own = [0] * n
+        self.own, self.words, self.beside = [0] * n, [0] * n, [0] * n
         for node, text in texts:
             self.own[node] += len(text) - text.count(" ")
+            self.words[node] += text.count(" ") + 1
+            if _LETTERS.search(text):  # a link's text is counted at the link
+                self.beside[node] += tree.tag[node] != "a"
         self.chars, self.tags, self.links = self.own[:], [0] * n, [0] * n
         for i in range(n - 1, 0, -1):
             if not gone[i]:
                 p = tree.parent[i]
                 self.chars[p] += self.chars[i]
+                self.words[p] += self.words[i]
+                self.beside[p] += self.beside[i] if tree.tag[i] != "a" else 0
                 self.tags[p] += self.tags[i] + (tree.tag[i] not in _INLINE)
                 self.links[p] += self.links[i] + (tree.tag[i] == "a")
 
@@ -252,13 +265,57 @@ def _way_up(tree: _Tree, node: int) -> set[int]:
     return out
 
 
+def _hinted_article(counts: _Counts, got: _Densities, body: int, certain: list[int]) -> int | None:
+    """The element with a certain hint that holds the page's prose, if nearly all of it stands in one."""
+    if not certain:
+        return None
+    tree = counts.tree
+    left = counts.chars[body] - got.noise[body]
+    firm = _Densities(counts, {i for i in range(1, len(tree.tag)) if tree.hint[i] == 3 and not counts.gone[i]})
+    prose = {i: counts.chars[i] - firm.noise[i] for i in certain}
+    most = max(certain, key=lambda i: (prose[i], -i))
+    if prose[most] < _MORE_PROSE * max(left, 1):
+        return None
+    below = {most}
+    paragraphs = 0
+    for i in range(most + 1, len(tree.tag)):
+        if tree.parent[i] not in below:
+            if tree.parent[i] < most:
+                break
+            continue
+        if tree.hint[i] == 3 or counts.gone[i]:
+            continue
+        below.add(i)
+        paragraphs += tree.tag[i] == "p" and counts.chars[i] - firm.noise[i] >= _PARAGRAPH_CHARS
+    return most if paragraphs >= _PARAGRAPHS else None
+
+
+def _references(counts: _Counts, node: int) -> bool:
+    """Whether a node of mostly links is a sentence of references or a short list of long ones, within an article or main element."""
+    tree = counts.tree
+    way = node
+    while way > 0 and tree.tag[way] not in ("article", "main"):
+        if tree.tag[way] in ("nav", "aside", "footer"):
+            return False
+        way = tree.parent[way]
+    if way <= 0:
+        return False
+    if tree.tag[node] in ("p", "li"):
+        return counts.beside[node] > 0  # words beside the links
+    return tree.tag[node] in ("ul", "ol") and counts.links[node] <= _REFERENCES and counts.words[node] >= _REFERENCE_WORDS * counts.links[node]
+
+
 def _measure(counts: _Counts, body: int) -> tuple[_Densities, set[int]]:
     """Densities, and the hints that hold."""
     tree = counts.tree
     shown = [i for i in range(1, len(tree.tag)) if tree.hint[i] and not counts.gone[i] and counts.chars[i]]
-    hints = {i for i in shown if tree.hint[i] == 2}
+    hints = {i for i in shown if tree.hint[i] >= 2}
     got = _Densities(counts, hints)
-    if len(hints) < len(shown):
+    article = _hinted_article(counts, got, body, [i for i in shown if tree.hint[i] == 2])
+    if article is not None:
+        hints -= {i for i in _way_up(tree, article) if tree.hint[i] == 2}
+        got = _Densities(counts, hints)
+    if any(tree.hint[i] == 1 for i in shown):
         # an ambiguous hint does not hold where the densest subtree lies inside
         way = _way_up(tree, got.best[body])
         more = {i for i in shown if tree.hint[i] == 1 and i not in way}
@@ -277,6 +334,31 @@ def _measure(counts: _Counts, body: int) -> tuple[_Densities, set[int]]:
     return got, hints
 
 
+def _cut_headings(counts: _Counts, body: int, cut: list[bool]) -> None:
+    """Cut headings too, up to the next of their level, after which all is cut."""
+    tree = counts.tree
+    waiting: dict[int, list[int]] = {}  # by parent: headings whose section has only what is cut so far
+    empty: dict[int, bool] = {}
+    for i in range(body + 1, len(tree.tag)):
+        if counts.gone[i] or not counts.chars[i] or tree.tag[i] in _INLINE:
+            continue
+        open_ = waiting.setdefault(tree.parent[i], [])
+        if tree.tag[i] in _HEADINGS and not cut[i]:
+            for h in [h for h in open_ if tree.tag[h] >= tree.tag[i]]:
+                open_.remove(h)
+            open_.append(i)
+            empty[i] = False
+        elif cut[i]:
+            empty.update(dict.fromkeys(open_, True))
+        else:
+            for h in open_:
+                empty.pop(h)
+            open_.clear()
+    gone = {h for h, with_cut in empty.items() if with_cut}
+    for i in range(body + 1, len(tree.tag)):
+        cut[i] = cut[i] or i in gone or cut[tree.parent[i]]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: one line per block, white space within a block as one space."""
     if not html:
@@ -312,11 +394,12 @@ def main_text(html: str | None) -> str:
             marked[i] = marked[i] or i > 0 and marked[p]
             low = density[i] < threshold or not density[i]
             links = counts.links[i] > 1 and 2 * got.noise[i] > counts.chars[i] and tree.tag[i] not in _HEADINGS and tree.tag[i] not in _INLINE
-            cut[i] = i > body and (cut[p] or low and (i in hints or links))
+            cut[i] = i > body and (cut[p] or low and (i in hints or links and not _references(counts, i)))
     for i in range(n - 1, body, -1):
         above[tree.parent[i]] = above[tree.parent[i]] or above[i] or marked[i]
     for i in range(body + 1, n):  # headings of what is marked, wherever they stand round it
         marked[i] = marked[i] or inside[i] and (marked[tree.parent[i]] or tree.tag[i] in _HEADINGS and above[tree.parent[i]])
+    _cut_headings(counts, body, cut)
     show = [m and not c for m, c in zip(marked, cut, strict=True)]
     if not any(show[node] for node, _ in texts):  # no prose: what no hint names
         show = [False] * n

@@ -41,6 +41,24 @@ def page(body: str) -> str:
         (f"<div class=w><h1>A heading here</h1><div><p>{A}</p><p>{A}</p><p>Hi.</p></div></div>", ["A heading here", A, A, "Hi."]),
         (f"<article><section><p>{A}</p><p>{A}</p></section><section><p>Hi.</p></section></article>", [A, A, "Hi."]),
         ("<div>Menu</div><div>a b</div>", ["Menu", "a b"]),
+        # an article in an element whose class or id means something else
+        (f'<div class="login-guide">{P}</div>', TEXT),
+        (f'<nav>{LINKS}</nav><main><section class="notices">{P}</section></main><footer>foot text</footer>', TEXT),
+        (f'<div id="dinner-menu">{P}</div><div>Short block.</div>', TEXT),
+        (f'<div id="dinner-menu">{P}<div class="ad"><p>{A}</p><p>{A}</p></div></div>', TEXT),
+        # ... but not an advert, comments, or a notice beside some text
+        (f'<article></article><div class="ad">{P}</div>', []),
+        (f'<article></article><div class="cookie-notice">{P}</div><div class="comments">{P}</div>', []),
+        (f'<div class="notice"><p>{A}</p><p>{A}</p></div><div>{P}</div>', TEXT),
+        # references in the article
+        (f"<article>{P}<p><a href=a>First paper of them</a> and <a href=b>second paper of them</a></p></article>", [*TEXT, "First paper of them and second paper of them"]),
+        (f"<article>{P}<ul><li><a href=a>A long title of a paper</a></li><li><a href=b>Another one that is long</a></li></ul></article>", [*TEXT, "A long title of a paper", "Another one that is long"]),
+        (f"<article>{P}<ul><li><a href=a>Share</a></li><li><a href=b>Print</a></li></ul></article>", TEXT),
+        (f"<div>{P}</div><ul><li><a href=a>A long title of a page</a></li><li><a href=b>Another one that is long</a></li></ul>", TEXT),
+        # headings go with their sections
+        (f"<article><h1>T</h1>{P}<h2>Comments</h2><div class=comments><p>{A}</p></div></article>", ["T", *TEXT]),
+        (f"<article><h1>T</h1><div class=share><a href=a>x</a></div>{P}<h2>Said</h2><section class=comments><h3>Bob</h3><p>{A}</p></section><h2>More</h2><p>{A}</p></article>", ["T", *TEXT, "More", A]),
+        (f"<article><h1>T</h1><h2>Links</h2>{LINKS}<h2>Text</h2>{P}</article>", ["T", "Text", *TEXT]),
     ],
 )
 def test_density_decides(body, lines):
