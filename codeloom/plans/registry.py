@@ -752,7 +752,7 @@ SELECT conv_id || '/' || turn AS doc, unnest(list_filter([
   CASE WHEN role IS NULL THEN '$.role: missing' WHEN role NOT IN ('user', 'assistant') THEN '$.role: not one of the allowed values' END,
   CASE WHEN turn > 5 THEN '$.turn: out of range' END,
   CASE WHEN text IS NULL THEN '$.text: missing' WHEN NOT regexp_matches(text, '[^\p{C}\p{Z}]') THEN '$.text: has no visible content' END,
-  CASE WHEN length(text) > 600 THEN '$.text: wrong length' END], x -> x IS NOT NULL)) AS error
+  CASE WHEN length(text) > 600 THEN '$.text: wrong length' END], lambda x: x IS NOT NULL)) AS error
 FROM conversations""",
 )
 def conversation_records(spark: SparkSession, folder: str) -> DataFrame:
