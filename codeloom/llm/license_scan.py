@@ -1,8 +1,9 @@
 """License scans as an exact set-similarity join of text blocks with templates.
 
 A text block is a run of ``BLOCK`` words, and blocks begin every ``STRIDE`` words, so that
-any ``STRIDE`` consecutive words lie in one block.  A block matches a template if it contains
-at least the template's threshold of its distinct tokens.  The join is exact and uses
+any ``STRIDE`` consecutive words lie in one block; with a template of more words, it sets the stride, and blocks are twice as long.
+A block matches a template if it contains
+at least the template's threshold of its distinct tokens.  The join finds every such block, is exact and uses
 
 * one global order of the templates' tokens, the rarest over all documents first;
 * the prefix filter: of ``n`` tokens with ``need`` required, a match has one of the first ``n - need + 1``;
@@ -10,9 +11,9 @@ at least the template's threshold of its distinct tokens.  The join is exact and
 * the positional filter: tokens before the first common one are missing, those after it bound the overlap.
 
 The templates are few and fixed, so the vocabulary goes to the workers and no
-text is shuffled; only token counts are.  An exact check of places follows: each template names a
+text is shuffled; only token counts are.  All blocks that match are reported.  For the *labels* an exact check of places follows: each template names a
 key, the words that tell its license from others, which must stand in the block one after
-another.  A phrase is a template that needs all its tokens and is its own key.
+another, as licenses share most of their words.  A phrase is a template that needs all its tokens and is its own key.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ BLOCK, STRIDE = 64, 32
 THRESHOLD = 0.8
 #: Phrases whose consecutive places are counted, and their labels.
 PHRASES = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
-#: Labels and words of licenses in common use, at most ``STRIDE`` of them; the key; the threshold where it is not the common one.
+#: Labels and words of licenses in common use; the key; the threshold where it is not the common one.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
     ("mit", "released under the mit license", "mit license"),
@@ -42,6 +43,10 @@ TEMPLATES = (
     ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
     ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser general public license"),
+    ("lgpl", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license"),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0", 1.0),
     ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "cc by nc nd 4 0", 1.0),
@@ -66,6 +71,8 @@ class Plan:
     key: list[list[int]]  # the tokens that must stand as they do here
     prefix: dict[int, list[tuple[int, int]]]  # token -> (template, its place in the template)
     phrases: int  # so many of the templates are phrases
+    stride: int = STRIDE
+    block: int = BLOCK
 
     def number_of(self, h: np.ndarray) -> np.ndarray:
         """Token number of each word hash, -1 outside the vocabulary."""
@@ -84,10 +91,11 @@ def make_plan(templates: Sequence[tuple], phrases: Sequence[tuple[str, str]], th
     h = hash_words(terms, ALNUM)
     by_hash = np.argsort(h)
     plan = Plan(h[by_hash], np.array([order[terms[i]] for i in by_hash]), [], [], [], [], {}, len(phrases))
+    longest = max(len(text.split()) for _, text, *_ in every)
+    if longest > STRIDE:
+        plan.stride, plan.block = longest, 2 * longest
     for k, (label, text, *rest) in enumerate(every):
         key, *own = rest or [text, 1.0]
-        if len(text.split()) > STRIDE:
-            raise ValueError(f"a template has more than {STRIDE} words: {text}")
         tokens = sorted({order[t] for t in text.split()})
         need = math.ceil((own[0] if own else threshold) * len(tokens) - 1e-9)
         plan.labels.append(label)
@@ -102,9 +110,9 @@ def make_plan(templates: Sequence[tuple], phrases: Sequence[tuple[str, str]], th
 def matches(plan: Plan, number: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int, int, float]]:
     """Matches of the document with words ``lo .. hi``: template, block's first and last word + 1, containment."""
     probe = [p for p in np.flatnonzero(number[lo:hi] >= 0).tolist() if int(number[lo + p]) in plan.prefix]
-    starts = sorted({s for p in probe for s in range(max(0, (p - BLOCK) // STRIDE * STRIDE), p + 1, STRIDE) if s <= p < s + BLOCK and (s == 0 or s + STRIDE < hi - lo)})
+    starts = sorted({s for p in probe for s in range(max(0, (p - plan.block) // plan.stride * plan.stride), p + 1, plan.stride) if s <= p < s + plan.block and (s == 0 or s + plan.stride < hi - lo)})
     for s in starts:
-        block = number[lo + s : min(hi, lo + s + BLOCK)]
+        block = number[lo + s : min(hi, lo + s + plan.block)]
         have = sorted(set(block[block >= 0].tolist()))
         present = set(have)
         tried: set[int] = set()
@@ -167,12 +175,12 @@ def _scan_batches(shared):
                 number = plan.number_of(w.hash)
                 count = np.concatenate([[0], np.cumsum(np.isin(number, list(plan.prefix)))])
                 busy = set(np.flatnonzero(count[w.first[1:]] > count[w.first[:-1]]).tolist())
-                rows = [_summary(plan, number, int(w.first[d]), int(w.first[d + 1])) if d in busy else (0, None, None, "", "", 0.0, 0) for d in range(j - i)]
+                rows = [_summary(plan, number, int(w.first[d]), int(w.first[d + 1])) if d in busy else (0, None, None, "", "", 0.0, 0, 0, "", 0.0) for d in range(j - i)]
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(np.diff(w.first), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                    names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_blocks"],
+                    names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_blocks", "n_matched", "best_label", "best_share"],
                 )
 
     return run
@@ -183,8 +191,11 @@ def _summary(plan: Plan, number: np.ndarray, lo: int, hi: int) -> tuple:
     base: set[tuple[int, int]] = set()
     labels: set[str] = set()
     blocks: set[int] = set()
-    score = 0.0
+    matched: set[int] = set()
+    score, best = 0.0, (0.0, "")
     for k, a, b, share in matches(plan, number, lo, hi):
+        matched.add(a)
+        best = min(best, (-share, plan.labels[k]))
         found = places(plan.key[k], number, a, b)
         if not found:
             continue
@@ -195,7 +206,7 @@ def _summary(plan: Plan, number: np.ndarray, lo: int, hi: int) -> tuple:
         score = max(score, share)
     starts = [p for _, p in base]
     names = sorted({plan.labels[k] for k, _ in base})
-    return len(base), min(starts, default=None), max(starts, default=None), ",".join(names), ",".join(sorted(labels)), score, len(blocks)
+    return len(base), min(starts, default=None), max(starts, default=None), ",".join(names), ",".join(sorted(labels)), score, len(blocks), len(matched), best[1], -best[0]
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
@@ -204,16 +215,18 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple] = TEMPLATES, phras
     Returns per row of ``docs``: ``doc_id, n_words, n_base`` (places of phrases), ``first_word,
     last_word`` (their smallest and largest start, words from 0, null without any),
     ``base_labels, labels`` (of phrases; of phrases and templates; sorted, comma-joined),
-    ``score`` (the largest containment of a match, 0 without any) and ``n_blocks`` with a match.
+    ``score`` (the largest containment of a labelled match, 0 without any), ``n_blocks`` with a labelled match,
+    ``n_matched`` blocks that reach the threshold of a template, with its key or without, and ``best_label, best_share``
+    of the template that some block contains most of (the first label on ties; empty and 0 without a match).
 
     A null or empty text has no words and no match.  Repeated rows give their row each; a null
     id is passed on.  Other columns are not read.  An empty table gives no rows.
-    Templates have at most ``STRIDE`` words.
+    Templates may have any length.
     """
     small_batches(docs.sparkSession)
     terms = vocabulary([*templates, *phrases])
     plan = make_plan(templates, phrases, threshold, token_frequency(docs, terms))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long"
+    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long, n_matched long, best_label string, best_share double"
     return rows.mapInArrow(_scan_batches(docs.sparkSession.sparkContext.broadcast(plan)), schema)

@@ -122,16 +122,19 @@ blocks AS (
   FROM (SELECT doc_id, w, unnest(range(0, len(w), {STRIDE})) AS s FROM words) WHERE s = 0 OR s + {STRIDE} < len(w)
 ),
 shares AS (
-  SELECT doc_id, s, label, least, len(list_intersect(b, tokens)) / len(tokens) AS share
-  FROM blocks, templates WHERE contains(' ' || array_to_string(b, ' ') || ' ', ' ' || key || ' ')
+  SELECT doc_id, s, label, least, len(list_intersect(b, tokens)) / len(tokens) AS share, contains(' ' || array_to_string(b, ' ') || ' ', ' ' || key || ' ') AS named
+  FROM blocks, templates
 ),
+matched AS (SELECT * FROM shares WHERE share >= least - 1e-9),
 found AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score, count(DISTINCT s) AS n_blocks
-  FROM shares WHERE share >= least - 1e-9 GROUP BY doc_id
-)
+  FROM matched WHERE named GROUP BY doc_id
+),
+best AS (SELECT doc_id, count(DISTINCT s) AS n_matched, first(label ORDER BY share DESC, label) AS best_label, max(share) AS best_share FROM matched GROUP BY doc_id)
 SELECT w.doc_id, len(w.w) AS n_words, coalesce(b.n_base, 0) AS n_base, b.first_word, b.last_word, coalesce(b.base_labels, '') AS base_labels,
-       coalesce(f.labels, '') AS labels, coalesce(f.score, 0.0) AS score, coalesce(f.n_blocks, 0) AS n_blocks
-FROM words w LEFT JOIN base b ON b.doc_id = w.doc_id LEFT JOIN found f ON f.doc_id = w.doc_id
+       coalesce(f.labels, '') AS labels, coalesce(f.score, 0.0) AS score, coalesce(f.n_blocks, 0) AS n_blocks,
+       coalesce(m.n_matched, 0) AS n_matched, coalesce(m.best_label, '') AS best_label, coalesce(m.best_share, 0.0) AS best_share
+FROM words w LEFT JOIN base b ON b.doc_id = w.doc_id LEFT JOIN found f ON f.doc_id = w.doc_id LEFT JOIN best m ON m.doc_id = w.doc_id
 """,
     "op3_exact_dedup": f"""
 WITH folded AS (SELECT doc_id, {_FOLD} AS body FROM documents),

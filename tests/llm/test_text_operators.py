@@ -107,6 +107,37 @@ def test_licenses_are_told_apart(spark):
         assert label not in set(got.split(",")) - {x for x, p in license_scan.PHRASES if f" {p} " in f" {text} "}, text
 
 
+@pytest.mark.parametrize("longest", [0, 45])
+def test_every_block_that_matches_is_reported(spark, longest):
+    """With a key or without, and with templates longer than the stride."""
+    templates = list(license_scan.TEMPLATES) + ([("long", prose(1, longest), "no such key")] if longest else [])
+    stride = max(32, longest)
+    rng = random.Random(3)
+    parts = [t.rsplit(" ", 1)[0] for _, t, *_ in templates] + [t for _, t, *_ in templates]
+    rows = [(i, " ".join(rng.choice(parts) if rng.random() < 0.3 else prose(i * 90 + j, 5) for j in range(rng.randint(0, 30)))) for i in range(80)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    every = [(label, text, text, 1.0) for label, text in license_scan.PHRASES] + templates
+    for i, t in rows:
+        w = ALNUM.findall(fold(t))
+        blocks = [w[s : s + 2 * stride] for s in range(0, max(1, len(w)), stride) if s == 0 or s + stride < len(w)]
+        shares = [[(len(set(text.split()) & set(b)) / len(set(text.split())), label) for label, text, _, *own in every if len(set(text.split()) & set(b)) / len(set(text.split())) >= (own[0] if own else 0.8) - 1e-9] for b in blocks]
+        best = min(((-x, label) for found in shares for x, label in found), default=(0.0, ""))
+        assert (got[i].n_matched, got[i].best_label, round(got[i].best_share, 9)) == (sum(map(bool, shares)), best[1], round(-best[0], 9))
+        assert got[i].n_blocks <= got[i].n_matched
+    assert sum(r.n_blocks < r.n_matched for r in got.values()) >= 5
+    assert not longest or any(r.best_label == "long" for r in got.values())
+
+
+def test_named_relatives_of_the_gpl(spark):
+    probes = {
+        "Licensed under the GNU Lesser General Public License version 3": "gpl,lgpl",
+        "Licensed under the GNU Affero General Public License version 3": "agpl-3.0",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "made available under the terms of the Eclipse Public License 2.0": "epl-2.0",
+    }
+    assert [set(x.split(",")) - {"gpl"} for x in labels_of(spark, list(probes))] == [set(x.split(",")) - {"gpl"} for x in probes.values()]
+
+
 def test_fm_index():
     rng = np.random.default_rng(1)
     for trial in range(40):
