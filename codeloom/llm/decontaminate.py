@@ -285,6 +285,7 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Blocks:
     if total <= block_bytes:
         items = [(r.item_id, r.text) for r in rows.collect()]
         return Blocks(spark.sparkContext.broadcast(phrases(items, window)) if items else None, [])
+    rows = rows.distinct()  # a task holds its block's items, and copies of one item are one
     dealt = rows.repartition(-(-total // block_bytes), F.xxhash64("item_id", "text"))
     paths, _ = materialize(dealt.mapInArrow(_block_files(new_path(spark, "benchmark-blocks"), window), "path string"), "benchmark-paths")
     return Blocks(None, sorted(r.path for r in paths.collect()))

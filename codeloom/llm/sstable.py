@@ -262,7 +262,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     only count if the manifest names them.
 
     A null or empty text is its end id alone; a null id sorts first; repeated ids
-    are all kept.  Other columns are not read.  An empty table gives no shard.
+    are all kept, in the order of hashes of their texts.  Other columns are not read.  An empty table gives no shard.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -270,7 +270,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(MOST_RANGES, 1 + size // RANGE_BYTES)
-    dealt = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("text")]  # the text's hash deals rows of one id, or of none, over ranges
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     schema = "part int, seq int, path string, n_docs long, n_tokens long, first_id long, last_id long"
     manifest, _ = materialize(dealt.mapInArrow(_write_batches(folder, tokenizer, end_id, shard_bytes), schema), "manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)

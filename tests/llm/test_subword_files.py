@@ -52,6 +52,19 @@ def test_shards_round_trip(spark, odd_docs, odd_rows, no_docs):
     assert sstable.read_summaries(sstable.write_shards(no_docs, path, 2)).collect() == []
 
 
+def test_rows_of_one_id_are_dealt(spark, monkeypatch):
+    """An id with a third of all rows, and rows without an id, are in several shards, in order of ids."""
+    monkeypatch.setattr(sstable, "RANGE_BYTES", 4000)
+    rows = [(i if i % 3 else 700, f"text {i} {prose(i, 5)}") for i in range(900)] + [(None, f"none {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    manifest = sstable.write_shards(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    shards = manifest.orderBy("part", "seq").collect()
+    assert sum(r.first_id == r.last_id == 700 for r in shards) > 1 and sum(r.last_id is None for r in shards) > 1
+    got = sorted(map(tuple, sstable.read_summaries(manifest).collect()), key=lambda r: r[1])
+    assert [(r[0] is not None, r[0]) for r in got] == sorted(((i is not None, i) for i, _ in rows), key=lambda x: (x[0], x[1] or 0))
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
+
+
 def test_shard_file_lookup(tmp_path):
     ids = {k: np.arange(k % 50 + 1, dtype=np.uint32) + (70000 if k % 7 == 0 else 0) for k in range(-3000, 30000, 11)}
     w = sstable.ShardWriter((tmp_path / "s").open("wb"))
