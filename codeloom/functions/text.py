@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import quote
 
 from pyspark.sql import Column
@@ -97,3 +98,22 @@ def portable_path(path: Column) -> Column:
 
 def is_hex(text: Column, *sizes: int) -> Column:
     return text.rlike("^(?:" + "|".join(f"[0-9a-f]{{{n}}}" for n in sizes) + ")$")
+
+
+#: Fixed value: bytes of a target at most.
+MAX_TARGET_BYTES = 512
+
+
+def normalize_target(target: str, root: str = "") -> str:
+    """What a user names: a symbol, a path or ``path:line``, with ``/`` and relative to ``root``; an error if it cannot be one of the project."""
+    name = target.strip().replace("\\", "/")
+    if not name or len(name.encode()) > MAX_TARGET_BYTES or any(ord(c) < 32 for c in name):
+        raise ValueError(f"a target has 1 to {MAX_TARGET_BYTES} bytes and no control characters")
+    base = root.rstrip("/")
+    if base and (name == base or name.startswith(base + "/")):
+        name = name[len(base) :].lstrip("/") or "."
+    while name.startswith("./"):
+        name = name[2:].lstrip("/")
+    if name.startswith("/") or re.match(r"[A-Za-z]:/", name) or ".." in name.rsplit(":", 1)[0].split("/"):
+        raise ValueError(f"{target} is outside the project")
+    return name

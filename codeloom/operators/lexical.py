@@ -32,6 +32,32 @@ def best_line(text: Column, words: list[str]) -> Column:
     return F.array_max(scored)["line"]
 
 
+#: Lines before the anchor, lines and bytes of an excerpt at most.
+LINES_BEFORE, EXCERPT_LINES, EXCERPT_BYTES = 8, 40, 2500
+
+
+def excerpt(text: Column, words: list[str], anchor: Column | None = None) -> Column:
+    """``start_line, end_line, text`` (numbered lines) round the line with the most word hits, or round ``anchor``; null if not even a line fits.
+
+    Lines end at a line feed, a carriage return before it does not count, and there is no line after the last line feed.
+    """
+    all_lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    lines = F.transform(F.when(F.element_at(all_lines, -1) == "", F.slice(all_lines, F.lit(1), F.size(all_lines) - 1)).otherwise(all_lines), lambda x: F.regexp_replace(x, "\r$", ""))
+    hits = F.transform(lines, lambda line, n: F.struct(word_hits(line, words).alias("hits"), n.alias("at")))
+    best = F.array_max(hits)
+    at = F.when(best["hits"] > 0, best["at"]).otherwise(0) if anchor is None else F.least(anchor - 1, F.size(lines) - 1)
+    first = F.greatest(at - LINES_BEFORE, F.lit(0))
+    numbered = F.transform(F.slice(lines, first + 1, F.lit(EXCERPT_LINES)), lambda line, n: F.concat((first + n + 1).cast("string"), F.lit(": "), line, F.lit("\n")))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def add(acc: Column, line: Column) -> Column:
+        fits = acc["open"] & (F.octet_length(acc["text"]) + F.octet_length(line) <= EXCERPT_BYTES)
+        return F.struct(F.when(fits, F.concat(acc["text"], line)).otherwise(acc["text"]).alias("text"), (acc["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+    kept = F.aggregate(numbered, start, add)
+    return F.when(kept["n"] > 0, F.struct((first + 1).alias("start_line"), (first + kept["n"]).alias("end_line"), kept["text"].alias("text")))
+
+
 def running_budget(rows: DataFrame, size: Column, order: list[str], budget: int, group: str | None = None) -> DataFrame:
     """Rows in order with the sum of sizes up to each, and whether it is within the budget.
 

@@ -95,3 +95,9 @@ def select_tiered(symbols: DataFrame, target: str, exact: list[str], contains: s
     ranked = symbols.withColumn("__tier", tier).filter("__tier is not null")
     best = ranked.agg(F.min("__tier").alias("__best"))
     return ranked.join(F.broadcast(best), F.col("__tier") == F.col("__best"), "left_semi").drop("__tier")
+
+
+def listed(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows in a total ``order``, each with ``omitted``: how many there are beyond them."""
+    omitted = max(0, rows.count() - limit)
+    return rows.orderBy(*order).limit(limit).withColumn("omitted", F.lit(omitted).cast("long"))

@@ -11,8 +11,8 @@ from dataclasses import dataclass
 
 from codeloom.functions.identity import identity
 from codeloom.functions.rules import BUNDLED
-from codeloom.functions.text import line_window
-from codeloom.operators import code_index, compare, fixpoint, resolve, rule_scan, spans, taint
+from codeloom.functions.text import line_window, normalize_target, query_words
+from codeloom.operators import audit_run, code_index, compare, fixpoint, lexical, resolve, rule_scan, spans, taint
 from codeloom.operators.jobs import Jobs
 from codeloom.operators.state import VersionedTable, snapshot
 from pyspark.sql import DataFrame, SparkSession
@@ -43,13 +43,14 @@ class Assessment:
 
 
 class Engine:
-    """One project: its files come as ``path, content``; indexes and baselines are kept under ``state``."""
+    """One project: its files come as ``path, content``; indexes and baselines are kept under ``state``.  Targets may begin with ``root``."""
 
-    def __init__(self, spark: SparkSession, project: str, state: str) -> None:
-        self.spark, self.project, self.state = spark, project, state.rstrip("/")
+    def __init__(self, spark: SparkSession, project: str, state: str, root: str = "") -> None:
+        self.spark, self.project, self.state, self.root = spark, project, state.rstrip("/"), root
         self.indexes = VersionedTable(spark, f"{self.state}/index")
         self.baselines = VersionedTable(spark, f"{self.state}/baseline")
         self.memory = VersionedTable(spark, f"{self.state}/memory")
+        self.audits = VersionedTable(spark, f"{self.state}/audits")
         self.reached = VersionedTable(spark, f"{self.state}/reached")
         self.jobs = Jobs(spark, f"{self.state}/jobs")
 
@@ -72,15 +73,57 @@ class Engine:
     def status(self) -> DataFrame:
         return code_index.status(self.snapshot())
 
-    def find_symbols(self, target: str, limit: int = 50) -> DataFrame:
+    def _select(self, target: str) -> DataFrame:
+        """All symbols that a target selects: by id, name, qualified name, path or ``path:line``, else by a part of the name."""
         symbols = code_index.facts(self.snapshot(), "symbols").withColumn("at", F.concat_ws(":", "path", "start_line"))
-        return resolve.select_tiered(symbols, target.removeprefix("./"), ["id", "name", "qualified", "path", "at"], "name").orderBy("path", "start_line").limit(_limit(limit, 200))
+        return resolve.select_tiered(symbols, normalize_target(target, self.root), ["id", "name", "qualified", "path", "at"], "name")
+
+    def find_symbols(self, target: str, limit: int = 50) -> DataFrame:
+        """The first ``limit`` symbols that ``target`` selects, in the order of files, each with how many are ``omitted``."""
+        return resolve.listed(self._select(target), ["path", "start_line", "id"], _limit(limit, 200))
 
-    def relationships(self, target: str, callers: bool) -> DataFrame:
-        """Callers or callees of the symbols that ``target`` selects; unresolved calls count too."""
-        chosen = self.find_symbols(target, 200).select(F.col("id").alias("node"))
+    def relationships(self, target: str, callers: bool, limit: int = 200) -> DataFrame:
+        """The first ``limit`` callers or callees of the symbols that ``target`` selects, unresolved calls too, with how many are ``omitted``."""
+        chosen = self._select(target).select(F.col("id").alias("node"))
         calls = code_index.edges(self.snapshot()).filter("kind = 'CALLS'").select("src", "dst")
-        return resolve.neighbours(calls, chosen, forward=not callers)
+        return resolve.listed(resolve.neighbours(calls, chosen, forward=not callers), ["node", "other"], _limit(limit, 200))
+
+    def scan_file(self, files: DataFrame, path: str, depth: int = 8) -> tuple[DataFrame, bool]:
+        """Rule findings in one file, and flows that pass it, and whether both are complete."""
+        name = normalize_target(path, self.root)
+        own = files.filter(F.col("path") == name)
+        if own.isEmpty():
+            raise LookupError(f"{name} is no file of the project")
+        found, notes = rule_scan.scan(own)
+        flows, ended = self.trace(depth=depth)
+        passing = taint.flow_findings(taint.touching(flows, own.select("path"))).select("file", "line", "category", "title", "severity", "confidence")
+        return found.select("file", "line", "category", "title", "severity", "confidence").unionByName(passing), ended and notes.isEmpty()
+
+    def excerpts(self, files: DataFrame, question: str, limit: int = 20) -> DataFrame:
+        """The files that fit the words of a question best, each with numbered lines round its best one: ``path, score, start_line, end_line, text``."""
+        words = query_words(question)
+        scored = files.select("path", lexical.relevance(F.col("path"), F.col("content"), words).alias("score"), lexical.excerpt(F.col("content"), words).alias("e"))
+        return scored.filter("e is not null").orderBy(F.desc("score"), "path").limit(_limit(limit, 20)).select("path", "score", "e.*")
+
+    # audits
+
+    def check_audit(self, units: DataFrame, findings: DataFrame, reviews: DataFrame, places: DataFrame, files: DataFrame) -> DataFrame:
+        """``violation, id`` of an audit run of ``files``: states, links, and evidence ``places(id, file, line)`` and paths of units that are not in them."""
+        manifest = files.select("path", (F.size(F.split("content", "\n")) - F.col("content").endswith("\n").cast("int")).alias("lines"))
+        where = places.select(F.col("id").cast("string").alias("id"), "file", F.col("line").cast("long").alias("line")).unionByName(audit_run.paths_of(units))
+        found = audit_run.unit_errors(units).unionByName(audit_run.link_errors(units, findings, reviews))
+        return found.unionByName(audit_run.evidence_errors(where, manifest).select("violation", "id")).distinct()
+
+    def import_audits(self, runs: DataFrame) -> DataFrame:
+        """Keep the runs ``run, snapshot, status, json, arrived`` that are not kept yet, and point to the one that arrived last."""
+        seen = self.audits.version()
+        kept = self.audits.read() if seen else self.spark.createDataFrame([], audit_run.REVISIONS)
+        self.audits.replace(audit_run.import_runs(kept, runs.withColumn("project", F.lit(self.project))), seen)
+        return self.audits.read()
+
+    def audit_history(self, size: int = 20) -> DataFrame:
+        kept = self.audits.read()
+        return audit_run.history(self.spark.createDataFrame([], audit_run.REVISIONS) if kept is None else kept, self.project, size)
 
     def reach(self) -> DataFrame:
         """``src, dst``: what calls reach over any number of resolved calls; kept, and brought up to date by the calls that came and went."""
@@ -110,7 +153,7 @@ class Engine:
     def context(self, target: str, limit: int = 40) -> DataFrame:
         """What stands near a symbol, best first: itself, its file, direct and indirect neighbours."""
         symbols = code_index.facts(self.snapshot(), "symbols")
-        chosen = self.find_symbols(target, 200).select("id", F.col("path").alias("tpath"))
+        chosen = self._select(target).select("id", F.col("path").alias("tpath"))
         own = chosen.select(F.lit(target).alias("target"), F.col("id").alias("key"))
         same_file = symbols.join(chosen.select("tpath").distinct(), F.col("path") == F.col("tpath"), "left_semi").select(F.lit(target).alias("target"), F.col("id").alias("key"))
         calls = code_index.edges(self.snapshot()).filter("kind = 'CALLS' and resolved").select("src", "dst")

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from codeloom.functions import classify, severity, text
 from codeloom.functions.identity import finding_fingerprint, identity_sql, json_string
-from codeloom.operators import case_run, code_index, compare, fixpoint, ledger, lexical, prefix, records, resolve, rule_scan, score, spans, state, taint
+from codeloom.operators import audit_run, case_run, code_index, compare, fixpoint, ledger, lexical, prefix, records, resolve, rule_scan, score, spans, state, taint
 from codeloom.sources.samples import RULE_CASES, group_name, rule_tree, sample_cases, sample_tree
 from codeloom.sources.scanner_json import parse_props
+from codeloom.sinks import report
 from codeloom.sources.tables import table
+from codeloom.storage import new_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -508,6 +510,25 @@ def best_excerpt_line(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter("text is not null").select("doc_id", lexical.best_line(F.col("text"), WORDS).alias("line"))
 
 
+_LINES_OF = "list_transform(CASE WHEN text LIKE '%' || chr(10) OR coalesce(text, '') = '' THEN string_split(coalesce(text, ''), chr(10))[:-2] ELSE string_split(text, chr(10)) END, lambda x: regexp_replace(x, '\\r$', ''))"
+_HITS = " + ".join(f"CAST(contains(lower(t), '{w}') AS INTEGER)" for w in WORDS)
+
+
+@query(
+    "source_excerpts",
+    f"""
+WITH x AS (SELECT doc_id, {_LINES_OF} AS l FROM documents),
+y AS (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS line FROM x),
+best AS (SELECT doc_id, CASE WHEN max({_HITS}) > 0 THEN arg_max(line, ({_HITS}) * 1000000 + line) ELSE 1 END AS anchor FROM y GROUP BY doc_id),
+near AS (SELECT y.doc_id, line, greatest(anchor - 8, 1) AS first, line || ': ' || t || chr(10) AS row FROM y JOIN best USING (doc_id) WHERE line BETWEEN greatest(anchor - 8, 1) AND greatest(anchor - 8, 1) + 39),
+summed AS (SELECT *, sum(strlen(row)) OVER (PARTITION BY doc_id ORDER BY line) AS used FROM near)
+SELECT doc_id, CAST(min(first) AS INTEGER) AS start_line, CAST(max(line) AS INTEGER) AS end_line, string_agg(row, '' ORDER BY line) AS text FROM summed WHERE used <= 2500 GROUP BY doc_id""",
+)
+def source_excerpts(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", lexical.excerpt(F.col("text"), WORDS).alias("e"))
+    return found.filter("e is not null").select("doc_id", "e.*")
+
+
 @query("line_window", "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, string_split(text, chr(10))[2] AS second, array_to_string(list_transform(string_split(text, chr(10))[1:3], lambda x: x[1:240]), chr(10)) AS around FROM documents WHERE text IS NOT NULL")
 def line_window(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").filter("text is not null")
@@ -759,3 +780,132 @@ def conversation_records(spark: SparkSession, folder: str) -> DataFrame:
     """Turns as JSON records against a schema."""
     turns = table(spark, folder, "conversations")
     return records.validate(turns.select(F.concat_ws("/", "conv_id", "turn").alias("doc"), F.to_json(F.struct("role", "turn", "text")).alias("json")), _TURN)
+
+
+# audit runs: orders are units, their lines the checks of suppliers
+
+_UNIT_STATES = {"F": "covered", "O": "planned", "P": "blocked"}
+
+
+def _units(spark: SparkSession, folder: str) -> DataFrame:
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    check = F.struct(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("agent"), F.array(part).alias("paths"), F.lit(None).cast("string").alias("artifact"))
+    per = lines.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linenumber") <= 3, part)).alias("reviewed"), F.collect_list(F.when(F.col("l_linenumber") >= 2, check)).alias("checks"), F.collect_set(F.when(F.col("l_returnflag") == "R", part)).alias("results"))
+    status = F
+    for flag, name in _UNIT_STATES.items():
+        status = status.when(F.col("o_orderstatus") == flag, name)
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("why")))
+    owner = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    attempts = F.lit(None).cast("array<struct<wave: int, status: string, owner: string, reviewed: array<string>, checks: array<struct<agent: string, paths: array<string>, artifact: string>>, results: array<string>, unresolved: array<string>>>")
+    joined = orders.join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select(F.col("o_orderkey").alias("unit"), status.alias("status"), owner.alias("owner"), F.lit(1).alias("wave"), "reviewed", "checks", "results", urgent.alias("unresolved"), attempts.alias("attempts"), "o_custkey")
+
+
+@query(
+    "audit_unit_errors",
+    """
+WITH lines AS (SELECT l_orderkey AS id, 'p' || l_partkey AS path, l_linenumber <= 3 AS reviewed, l_linenumber >= 2 AS checked FROM lineitem),
+sizes AS (SELECT id, bool_or(reviewed) AS reviewed, bool_or(checked) AS checked FROM lines GROUP BY id),
+u AS (
+  SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'covered' WHEN 'O' THEN 'planned' WHEN 'P' THEN 'blocked' END AS status, o_custkey % 3 <> 0 AS owned,
+         coalesce(reviewed, false) AS reviewed, coalesce(checked, false) AS checked, coalesce(o_orderpriority = '1-URGENT', false) AS unresolved
+  FROM orders LEFT JOIN sizes ON id = o_orderkey
+),
+parts AS (SELECT DISTINCT id, path, bool_or(reviewed) OVER w AS reviewed, bool_or(checked) OVER w AS checked FROM lines WINDOW w AS (PARTITION BY id, path))
+SELECT 'unknown status' AS violation, id FROM u WHERE status IS NULL
+UNION ALL SELECT 'no owner', id FROM u WHERE status IN ('covered', 'blocked') AND NOT owned
+UNION ALL SELECT 'owner not allowed', id FROM u WHERE status = 'planned' AND owned
+UNION ALL SELECT 'no reviewed', id FROM u WHERE status IN ('covered', 'blocked') AND NOT reviewed
+UNION ALL SELECT 'reviewed not allowed', id FROM u WHERE status = 'planned' AND reviewed
+UNION ALL SELECT 'no checks', id FROM u WHERE status IN ('covered', 'blocked') AND NOT checked
+UNION ALL SELECT 'checks not allowed', id FROM u WHERE status = 'planned' AND checked
+UNION ALL SELECT 'no unresolved', id FROM u WHERE status = 'blocked' AND NOT unresolved
+UNION ALL SELECT 'unresolved not allowed', id FROM u WHERE status IN ('planned', 'covered') AND unresolved
+UNION ALL SELECT 'no check reads ' || path, id FROM parts WHERE reviewed AND NOT checked
+UNION ALL SELECT 'not counted as reviewed: ' || path, id FROM parts WHERE checked AND NOT reviewed""",
+)
+def audit_unit_errors(spark: SparkSession, folder: str) -> DataFrame:
+    units = _units(spark, folder).withColumn("owner", F.when(F.col("o_custkey") % 3 != 0, F.col("owner"))).withColumn("results", F.lit(None).cast("array<string>"))
+    return audit_run.unit_errors(units.drop("o_custkey"))
+
+
+@query(
+    "audit_evidence_errors",
+    """
+WITH m AS (SELECT 'd' || doc_id AS path, len(string_split(text, chr(10))) AS lines FROM documents),
+p AS (SELECT l_orderkey AS id, 'd' || (l_partkey % 1100) AS file, CAST(l_quantity AS BIGINT) AS line FROM lineitem)
+SELECT CASE WHEN lines IS NULL THEN 'file outside the snapshot' ELSE 'line outside the file' END AS violation, id, file, line
+FROM p LEFT JOIN m ON m.path = p.file WHERE lines IS NULL OR line < 1 OR line > lines""",
+)
+def audit_evidence_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as places in documents: some of files that are not there, many of lines beyond the end."""
+    docs = table(spark, folder, "documents")
+    manifest = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.size(F.split("text", "\n")).alias("lines")).filter("lines >= 0")
+    file = F.concat(F.lit("d"), (F.col("l_partkey") % 1100).cast("string"))
+    places = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("id"), file.alias("file"), F.col("l_quantity").cast("long").alias("line"))
+    return audit_run.evidence_errors(places, manifest)
+
+
+@query(
+    "audit_links",
+    """
+WITH linked AS (SELECT DISTINCT 'c' || o_custkey AS owner, 'p' || l_partkey AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'),
+findings AS (SELECT 'p' || p_partkey AS f, p_size % 3 = 0 AS confirmed FROM part WHERE p_partkey % 11 <> 0),
+reviews AS (
+  SELECT 'p' || p_partkey AS f, CASE WHEN p_partkey % 5 = 0 THEN 'nobody' ELSE (SELECT min(owner) FROM linked WHERE linked.f = 'p' || p_partkey) END AS d, 'c' || (p_partkey * 7 % 1500) AS v FROM part WHERE p_partkey % 4 <> 0
+  UNION ALL SELECT 'p' || p_partkey, 'nobody', 'nobody' FROM part WHERE p_partkey % 97 = 1
+),
+pairs AS (SELECT r.* FROM reviews r JOIN findings USING (f) WHERE confirmed)
+SELECT DISTINCT 'result without finding' AS violation, f AS id FROM linked WHERE f NOT IN (SELECT f FROM findings)
+UNION ALL SELECT 'finding without unit', f FROM findings WHERE f NOT IN (SELECT f FROM linked)
+UNION ALL SELECT DISTINCT 'review without finding', f FROM reviews WHERE f NOT IN (SELECT f FROM findings)
+UNION ALL SELECT 'reviewed twice', f FROM reviews GROUP BY f HAVING count(*) > 1
+UNION ALL SELECT 'not reviewed', f FROM findings WHERE confirmed AND f NOT IN (SELECT f FROM reviews)
+UNION ALL SELECT DISTINCT 'reviewed by its discoverer', f FROM pairs p WHERE v IS NOT DISTINCT FROM d OR EXISTS (SELECT 1 FROM linked l WHERE l.f = p.f AND l.owner = p.v)
+UNION ALL SELECT DISTINCT 'discovered by somebody without the unit', f FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.f = p.f AND l.owner = p.d)""",
+)
+def audit_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as findings, returned lines as results of units, and reviews of which some are missing, repeated or not independent."""
+    units, part = state.snapshot(_units(spark, folder), "units"), table(spark, folder, "part")
+    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    findings = part.filter("p_partkey % 11 <> 0").select(name.alias("fingerprint"), F.when(F.col("p_size") % 3 == 0, "confirmed").otherwise("rejected").alias("verdict"))
+    first = units.select("owner", F.explode("results").alias("fingerprint")).groupBy("fingerprint").agg(F.min("owner").alias("first"))
+    named = part.withColumn("fingerprint", name).join(first, "fingerprint", "left")
+    reviews = named.filter("p_partkey % 4 <> 0").select("fingerprint", F.when(F.col("p_partkey") % 5 == 0, "nobody").otherwise(F.col("first")).alias("discoverer"), F.concat(F.lit("c"), (F.col("p_partkey") * 7 % 1500).cast("string")).alias("verifier"))
+    reviews = reviews.unionByName(part.filter("p_partkey % 97 = 1").select(name.alias("fingerprint"), F.lit("nobody").alias("discoverer"), F.lit("nobody").alias("verifier")))
+    return audit_run.link_errors(units, findings, reviews)
+
+
+@query(
+    "audit_revisions",
+    """
+WITH runs AS (SELECT event_type AS project, sha256('v' || user_id) AS revision, CAST(event_id AS VARCHAR) AS run, event_id AS arrived FROM events),
+a AS (SELECT project, revision, arg_min(run, arrived) AS run, min(arrived) AS arrived FROM runs WHERE arrived % 2 = 0 GROUP BY ALL),
+b AS (SELECT project, revision, arg_min(run, arrived) AS run, min(arrived) AS arrived FROM runs r WHERE arrived % 2 = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.project = r.project AND a.revision = r.revision) GROUP BY ALL),
+n AS (
+  SELECT project, revision, run, row_number() OVER (PARTITION BY project ORDER BY arrived) AS number FROM a
+  UNION ALL SELECT project, revision, run, row_number() OVER (PARTITION BY project ORDER BY arrived) + (SELECT count(*) FROM a WHERE a.project = b.project) FROM b
+),
+newest AS (SELECT project, coalesce(arg_max(revision, arrived) FILTER (arrived % 2 = 1), arg_max(revision, arrived)) AS revision FROM runs GROUP BY project)
+SELECT n.project, n.revision, n.run, CAST(n.number AS BIGINT) AS number, n.revision = newest.revision AS latest FROM n JOIN newest ON newest.project = n.project""",
+)
+def audit_revisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs that arrive in two lots, many with a content that is kept already."""
+    events = table(spark, folder, "events")
+    runs = events.select(F.col("event_type").alias("project"), F.col("event_id").cast("string").alias("run"), F.lit("s").alias("snapshot"), F.lit("complete").alias("status"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("json"), F.col("event_id").alias("arrived"))
+    kept = audit_run.import_runs(spark.createDataFrame([], audit_run.REVISIONS), runs.filter("arrived % 2 = 0"))
+    return audit_run.import_runs(state.snapshot(kept, "revisions"), runs.filter("arrived % 2 = 1")).select("project", "revision", "run", "number", "latest")
+
+
+@query("sarif_shards", f"WITH {_FINDINGS} SELECT rule_id, CASE WHEN severity = 'high' THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, 'file:///' || file AS uri, line, fingerprint FROM findings")
+def sarif_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All findings written as SARIF documents of at most 100 results, and read back."""
+    path = new_path(spark, "sarif")
+    report.write_sarif(_findings(spark, folder).select("file", "line", F.col("rule_id").alias("title"), "severity", "fingerprint"), path, per_file=100)
+    place = "physicalLocation STRUCT<artifactLocation: STRUCT<uri: STRING>, region: STRUCT<startLine: BIGINT>>"
+    schema = f"runs ARRAY<STRUCT<results: ARRAY<STRUCT<ruleId: STRING, level: STRING, locations: ARRAY<STRUCT<{place.replace(' ', ': ', 1)}>>, partialFingerprints: STRUCT<primary: STRING>>>>>"
+    documents = spark.read.text(path).select(F.from_json("value", schema).alias("d"))
+    results = documents.select(F.explode("d.runs").alias("r")).select(F.explode("r.results").alias("r"))
+    where = F.col("r.locations")[0]["physicalLocation"]
+    return results.select(F.col("r.ruleId").alias("rule_id"), "r.level", where["artifactLocation"]["uri"].alias("uri"), where["region"]["startLine"].alias("line"), F.col("r.partialFingerprints.primary").alias("fingerprint"))

@@ -1,45 +1,41 @@
 """Findings that arrive as files: the lifecycle as a stream.
 
-Each trigger reads the reports that came since the last one and folds them into the
-state table.  The state's version goes up with the batch, and a batch that was
-applied before is skipped, so a restart neither loses nor repeats one.
+Each trigger reads the reports that came since the last one.  What is known of a finding is the state of the stream
+(``codeloom.streaming.sightings``), in Spark's state store at the checkpoint; a batch appends the findings that it changed to the
+folder of changes, under its number, and a batch that is repeated after a failure writes its folder anew.  The state as a
+whole is never rewritten, and reading it is a merge of what was appended.
 """
 
 from __future__ import annotations
 
-from codeloom.operators.state import VersionedTable
+from codeloom.streaming.sightings import lifecycle_of_blocks, sighting_blocks
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 REPORT = "scan long, file string, severity string, fingerprint string"
-STATE = "fingerprint string, file string, severity string, first_seen long, last_seen long, sightings long, batch long"
+CHANGES = "fingerprint string, block long, bits long, first long, last long, sightings long, newest struct<scan: long, file: string, severity: string>, batch long"
 
 
-def fold(state: DataFrame, batch: DataFrame, batch_id: int) -> DataFrame:
-    """State after a batch of sightings; partial aggregates keep a hot fingerprint small."""
-    new = batch.groupBy("fingerprint").agg(F.max_by("file", "scan").alias("n_file"), F.max_by("severity", "scan").alias("n_severity"), F.min("scan").alias("n_first"), F.max("scan").alias("n_last"), F.count_distinct("scan").alias("n_count"))
-    j = state.join(new, "fingerprint", "full_outer")
-    return j.select(
-        "fingerprint", F.coalesce("n_file", "file").alias("file"), F.coalesce("n_severity", "severity").alias("severity"),
-        F.least("first_seen", "n_first").alias("first_seen"), F.greatest("last_seen", "n_last").alias("last_seen"),
-        (F.coalesce("sightings", F.lit(0)) + F.coalesce("n_count", F.lit(0))).alias("sightings"), F.lit(batch_id).cast("long").alias("batch"),
-    )
-
-
-def run_available(spark: SparkSession, reports: str, state_path: str, checkpoint: str) -> StreamingQuery:
+def run_available(spark: SparkSession, reports: str, changes: str, checkpoint: str) -> StreamingQuery:
     """Apply all reports (JSON lines) that are there and not applied yet, then stop."""
-    table = VersionedTable(spark, state_path)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        seen = table.version()
-        state = table.read() if seen else spark.createDataFrame([], STATE)
-        last = state.agg(F.max("batch")).first()[0]
-        if last is None or last < batch_id:
-            table.replace(fold(state, batch, batch_id), seen)
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
     stream = spark.readStream.schema(REPORT).json(reports)
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    newest = F.max(F.struct("scan", "file", "severity")).alias("newest")
+    blocks = sighting_blocks(stream, ["fingerprint"], F.col("scan"), newest)
+    return blocks.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, changes: str) -> DataFrame:
+    """``fingerprint, file, severity, first_seen, last_seen, scans, reopened, sightings`` of all findings; file and severity are those of the last scan."""
+    logged = spark.read.schema(CHANGES).parquet(changes)
+    # a block only grows, so whatever batches it is in, its bits are united and its counts are the largest
+    merged = [F.bit_or("bits").alias("bits"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("sightings").alias("sightings"), F.max("newest").alias("newest")]
+    found = lifecycle_of_blocks(logged.groupBy("fingerprint", "block").agg(*merged), ["fingerprint"], F.max("newest").alias("newest"))
+    return found.select("fingerprint", "newest.file", "newest.severity", "first_seen", "last_seen", "scans", "reopened", "sightings")
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:

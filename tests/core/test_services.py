@@ -152,13 +152,17 @@ def test_stream_of_reports(spark, tmp_path):
 
     def run():
         lifecycle.run_available(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/state", f"file://{tmp_path}/cp").awaitTermination()
-        return {r.fingerprint: (r.first_seen, r.last_seen, r.sightings) for r in state.VersionedTable(spark, f"file://{tmp_path}/state").read().collect()}
+        return {r.fingerprint: (r.first_seen, r.last_seen, r.scans) for r in lifecycle.current(spark, f"file://{tmp_path}/state").collect()}
 
     add(1, (1, "a", "low", "x"), (1, "b", "low", "y"))
     assert run() == {"x": (1, 1, 1), "y": (1, 1, 1)}
     add(2, (2, "a", "high", "x"))
     assert run() == {"x": (1, 2, 2), "y": (1, 1, 1)}
     assert run() == {"x": (1, 2, 2), "y": (1, 1, 1)}
+    add(3, (9, "c", "low", "x"), (9, "c", "low", "x"), (1, "b", "low", "y"))
+    assert run() == {"x": (1, 9, 3), "y": (1, 1, 1)}
+    x = {r.fingerprint: r for r in lifecycle.current(spark, f"file://{tmp_path}/state").collect()}["x"]
+    assert (x.file, x.severity, x.reopened, x.sightings) == ("c", "low", 1, 4)
 
 
 def test_engine(spark, tmp_path):
