@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from codeloom.functions.identity import identity
 from codeloom.functions.rules import BUNDLED
 from codeloom.functions.text import line_window, normalize_target, query_words
-from codeloom.operators import audit_run, code_index, compare, fixpoint, lexical, resolve, rule_scan, spans, taint
+from codeloom.operators import audit_run, code_index, compare, fixpoint, lexical, literals, resolve, rule_scan, spans, taint
 from codeloom.operators.jobs import Jobs
 from codeloom.operators.state import VersionedTable, snapshot
 from pyspark.sql import DataFrame, SparkSession
@@ -99,6 +99,12 @@ class Engine:
         passing = taint.flow_findings(taint.touching(flows, own.select("path"))).select("file", "line", "category", "title", "severity", "confidence")
         return found.select("file", "line", "category", "title", "severity", "confidence").unionByName(passing), ended and notes.isEmpty()
 
+    def search(self, files: DataFrame, patterns: list[str]) -> DataFrame:
+        """All matches of regular expressions in whole files: ``pattern, path, line, match``, in order of files and lines."""
+        rules = [(p, p, "info") for p in dict.fromkeys(patterns)]
+        found = literals.text_matches(files, rules, "path", "content")
+        return found.select(F.col("rule_id").alias("pattern"), F.col("id").alias("path"), "line", "match").orderBy("path", "line", "pattern", "match")
+
     def excerpts(self, files: DataFrame, question: str, limit: int = 20) -> DataFrame:
         """The files that fit the words of a question best, each with numbered lines round its best one: ``path, score, start_line, end_line, text``."""
         words = query_words(question)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from codeloom.functions import classify, severity, text
 from codeloom.functions.identity import finding_fingerprint, identity_sql, json_string
-from codeloom.operators import audit_run, case_run, code_index, compare, fixpoint, ledger, lexical, prefix, records, resolve, rule_scan, score, spans, state, taint
+from codeloom.operators import audit_run, case_run, code_index, compare, fixpoint, ledger, lexical, literals, prefix, records, resolve, rule_scan, score, spans, state, taint
 from codeloom.sources.samples import RULE_CASES, group_name, rule_tree, sample_cases, sample_tree
 from codeloom.sources.scanner_json import parse_props
 from codeloom.sinks import report
@@ -909,3 +909,20 @@ def sarif_shards(spark: SparkSession, folder: str) -> DataFrame:
     results = documents.select(F.explode("d.runs").alias("r")).select(F.explode("r.results").alias("r"))
     where = F.col("r.locations")[0]["physicalLocation"]
     return results.select(F.col("r.ruleId").alias("rule_id"), "r.level", where["artifactLocation"]["uri"].alias("uri"), where["region"]["startLine"].alias("line"), F.col("r.partialFingerprints.primary").alias("fingerprint"))
+
+
+_TEXT_RULES = [("sentence-over-lines", r"and\.\n[A-Z][a-z]+", "low"), ("email", RULES[2][1], "high"), ("token", r"\b[0-9a-f]{40}\b|token", "critical"), ("license", r"[Ll]icen[sc]ed? under", "info"), ("short-lines", r"\n[A-Z][a-z]{1,3}\.\n", "low")]
+_TEXT_RULE_ROWS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _TEXT_RULES)
+
+
+@query(
+    "text_rule_matches",
+    f"""
+WITH found AS (
+  SELECT rule_id, severity, doc_id AS id, regexp_extract_all(text, pattern) AS m FROM documents, (VALUES {_TEXT_RULE_ROWS}) AS r(rule_id, pattern, severity) WHERE regexp_matches(text, pattern)
+)
+SELECT rule_id, severity, id, CAST(unnest(range(0, len(m))) AS BIGINT) AS ordinal, unnest(m) AS match FROM found""",
+)
+def text_rule_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Expressions over whole texts, of which some match over line ends."""
+    return literals.text_matches(table(spark, folder, "documents"), _TEXT_RULES, "doc_id", "text").select("rule_id", "severity", "id", "ordinal", "match")

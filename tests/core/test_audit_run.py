@@ -123,6 +123,7 @@ def test_engine_verbs(spark, tmp_path):
     assert [(r.name, r.omitted) for r in e.find_symbols("run", 1).collect()] == [("run", 0)]
     assert [(r.name, r.omitted) for r in e.find_symbols("UN", 1).collect()] == [("run", 1)]
     assert [r.omitted for r in e.relationships("run", True, 1).collect()] == [1]
+    assert [tuple(r) for r in e.search(files, [r"main\(\):\n +run", "md5", "md5", "no such"]).collect()] == [(r"main\(\):\n +run", "a.py", 6, "main():\n    run"), ("md5", "b.py", 1, "md5")]
     got = e.excerpts(files, "where is hashlib used?").first()
     assert (got.path, got.start_line, got.end_line, got.text) == ("b.py", 1, 1, "1: x = hashlib.md5(y)\n")
 
