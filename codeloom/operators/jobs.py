@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from codeloom.operators import merkle
 from codeloom.operators.compare import only_in
 from codeloom.operators.state import VersionedTable
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: States and where each may lead.
 MOVES = {
@@ -73,13 +73,8 @@ class Jobs:
 
 
 def manifest_identity(manifest: DataFrame) -> str:
-    """One hash of a manifest ``path, hash`` that does not depend on the order of rows.
-
-    The sum of row hashes merges partially, so no task gets all rows.
-    """
-    row = F.sha2(F.concat_ws("\n", "path", "hash"), 256)
-    parts = [F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)]
-    return manifest.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[F.coalesce(p, F.lit("0")) for p in parts]), 256)).first()[0]
+    """One hash of a manifest ``path, hash`` that does not depend on the order of rows: the root of its hash tree."""
+    return merkle.identity(manifest, "path", "hash")
 
 
 def pending(manifest: DataFrame, results: DataFrame, limit: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from codeloom.functions import classify, severity, text
 from codeloom.functions.identity import finding_fingerprint, identity_sql, json_string
-from codeloom.operators import audit_run, case_run, code_index, compare, fixpoint, ledger, lexical, literals, prefix, records, resolve, rule_scan, score, spans, state, taint
+from codeloom.operators import audit_run, case_run, code_index, compare, fixpoint, ledger, lexical, literals, merkle, postings, prefix, records, resolve, rule_scan, score, spans, state, taint
 from codeloom.sources.samples import RULE_CASES, group_name, rule_tree, sample_cases, sample_tree
 from codeloom.sources.scanner_json import parse_props
 from codeloom.sinks import report
@@ -926,3 +926,37 @@ SELECT rule_id, severity, id, CAST(unnest(range(0, len(m))) AS BIGINT) AS ordina
 def text_rule_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Expressions over whole texts, of which some match over line ends."""
     return literals.text_matches(table(spark, folder, "documents"), _TEXT_RULES, "doc_id", "text").select("rule_id", "severity", "id", "ordinal", "match")
+
+
+@query(
+    "merkle_changes",
+    """
+SELECT doc_id AS key, CASE WHEN doc_id % 101 = 1 THEN 'removed' WHEN doc_id % 103 = 2 THEN 'added' ELSE 'changed' END AS status
+FROM documents WHERE (doc_id % 101 = 1 AND doc_id % 103 <> 2) OR (doc_id % 103 = 2 AND doc_id % 101 <> 1) OR (doc_id % 97 = 3 AND doc_id % 101 <> 1 AND doc_id % 103 <> 2)""",
+)
+def merkle_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Two manifests of the documents that differ in a few: only nodes above these are opened."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    before, after = docs.filter("key % 103 <> 2"), docs.filter("key % 101 <> 1").withColumn("hash", F.when(F.col("key") % 97 == 3, F.concat("hash", F.lit("!"))).otherwise(F.col("hash")))
+    depth = merkle.depth_for(docs.count())
+    return merkle.differences(merkle.tree(before, "key", "hash", depth), merkle.tree(after, "key", "hash", depth))[0].select("key", "status")
+
+
+_TERMS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term, unnest(range(len(regexp_extract_all(lower(text), '[a-z]{3,}')))) AS at FROM documents"
+
+
+@query(
+    "ranked_search",
+    f"""
+WITH words AS ({_TERMS}), tf AS (SELECT doc_id, term, count(*) AS n FROM words GROUP BY ALL),
+firsts AS (SELECT doc_id AS query, term, min(at) AS at FROM words WHERE doc_id % 20 = 0 GROUP BY ALL),
+asked AS (SELECT query, term FROM firsts QUALIFY row_number() OVER (PARTITION BY query ORDER BY at) <= 4),
+scored AS (SELECT query, doc_id AS id, CAST(sum(n) AS BIGINT) AS score FROM asked JOIN tf USING (term) GROUP BY ALL)
+SELECT query, id, score, row_number() OVER w AS position FROM scored WINDOW w AS (PARTITION BY query ORDER BY score DESC, id) QUALIFY position <= 5""",
+)
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The first words of every twentieth document as queries against all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("words"))
+    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), F.explode(F.slice(F.array_distinct("words"), 1, 4)).alias("term"))
+    index = postings.build(docs.select(F.col("doc_id").alias("id"), F.explode("words").alias("term")), F.floor(F.col("id") / 64))
+    return postings.top(index, asked, 5)[0]
