@@ -942,15 +942,15 @@ def merkle_changes(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.differences(merkle.tree(before, "key", "hash", depth), merkle.tree(after, "key", "hash", depth))[0].select("key", "status")
 
 
-_TERMS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term, unnest(range(len(regexp_extract_all(lower(text), '[a-z]{3,}')))) AS at FROM documents"
+_TERMS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term, unnest(range(len(regexp_extract_all(lower(text), '[a-z]{3,}')))) AS pos FROM documents"
 
 
 @query(
     "ranked_search",
     f"""
 WITH words AS ({_TERMS}), tf AS (SELECT doc_id, term, count(*) AS n FROM words GROUP BY ALL),
-firsts AS (SELECT doc_id AS query, term, min(at) AS at FROM words WHERE doc_id % 20 = 0 GROUP BY ALL),
-asked AS (SELECT query, term FROM firsts QUALIFY row_number() OVER (PARTITION BY query ORDER BY at) <= 4),
+firsts AS (SELECT doc_id AS query, term, min(pos) AS pos FROM words WHERE doc_id % 20 = 0 GROUP BY ALL),
+asked AS (SELECT query, term FROM firsts QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) <= 4),
 scored AS (SELECT query, doc_id AS id, CAST(sum(n) AS BIGINT) AS score FROM asked JOIN tf USING (term) GROUP BY ALL)
 SELECT query, id, score, row_number() OVER w AS position FROM scored WINDOW w AS (PARTITION BY query ORDER BY score DESC, id) QUALIFY position <= 5""",
 )
