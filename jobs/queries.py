@@ -21,11 +21,12 @@ def _twice(spark: SparkSession, folder: str, job, name: str) -> str:
 
 
 def job1_scan_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings and summary as one table; what one of them lacks is 0 or empty."""
+    """Findings, summary and sources as one table; what one of them lacks is 0 or empty, and a source's verdict is its status."""
     out = _twice(spark, folder, scan_report, "scan_report")
     found = scan_report.read_findings(spark, out).withColumn("part", F.lit("finding"))
     counts = scan_report.read_summary(spark, out).withColumn("part", F.lit("summary"))
-    return found.unionByName(counts, allowMissingColumns=True).na.fill(0).na.fill("")
+    sources = scan_report.read_sources(spark, out).select("source", F.col("verdict").alias("status"), "rows", F.col("findings").alias("occurrences"), "resolved").withColumn("part", F.lit("source"))
+    return found.unionByName(counts, allowMissingColumns=True).unionByName(sources, allowMissingColumns=True).na.fill(0).na.fill("")
 
 
 def job2_track_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,6 +42,7 @@ _LINES = " UNION ALL ".join(
     f"SELECT '{s['table']}' AS source, concat_ws('/', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in s["id"]) + f") AS row_id, unnest(string_split(coalesce({s['text']}, ''), chr(10))) AS t, unnest(range(1, len(string_split(coalesce({s['text']}, ''), chr(10))) + 1)) AS line FROM {s['table']}"
     for s in _REPORT["sources"]
 )
+_SIZES = " UNION ALL ".join(f"SELECT '{s['table']}' AS source, count(*) AS n FROM {s['table']}" for s in _REPORT["sources"])
 _SHOWN = _REPORT["shown_characters"]
 
 ORACLE_SQL: dict[str, str] = {
@@ -60,6 +62,9 @@ FROM findings
 UNION ALL
 SELECT 'summary', source, severity, rule_id, '', 0, '', CAST(sum(occurrences) AS BIGINT), '', '', count(*), 0, 0, count(DISTINCT row_id), CAST(severity = '{_REPORT["threshold"]}' AS BIGINT)
 FROM findings GROUP BY ALL
+UNION ALL
+SELECT 'source', s.source, '', '', '', 0, '', coalesce(f.n, 0), '', coalesce(f.verdict, 'PASS'), 0, 0, 0, s.n, 0
+FROM ({_SIZES}) s LEFT JOIN (SELECT source, count(*) AS n, CASE WHEN bool_or(severity = '{_REPORT["threshold"]}') THEN 'FAIL' ELSE 'WARN' END AS verdict FROM findings GROUP BY source) f ON f.source = s.source
 """,
     "job2_track_events": f"""
 WITH seen AS (

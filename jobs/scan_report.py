@@ -4,6 +4,9 @@
 ``status`` against the findings of an earlier report, if one is given: new, unchanged or resolved.
 ``summary/source=...`` (JSON lines): per rule the findings of each status, the rows they are in, and ``exit_code``: 1 if one
 that is not resolved reaches the threshold.
+``sources/source=...`` (JSON lines): how many rows were read and findings stand, and the verdict: FAIL with a new finding that reaches the threshold, WARN with another
+new one, else PASS.
+``sarif/source=...``: the findings that stand as SARIF documents of bounded size, if the config asks for them.
 
 Every source has a folder of its own, which a run replaces as a whole: a rerun gives the same files' content, and a run that was
 stopped is mended by the next.  Texts are read once; only findings are shuffled.
@@ -18,6 +21,7 @@ from codeloom.functions import severity
 from codeloom.functions.identity import finding_fingerprint
 from codeloom.operators import compare
 from codeloom.operators.spans import line_matches
+from codeloom.sinks import report
 from codeloom.sources.tables import table
 from jobs.common import Config, main
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 
 LOG = logging.getLogger("scan_report")
 FINDINGS = "severity string, rule_id string, row_id string, line long, preview string, occurrences long, fingerprint string, status string"
+SOURCES = "rows long, findings long, resolved long, verdict string"
 SUMMARY = "rule_id string, severity string, new long, unchanged long, resolved long, rows long, occurrences long, exit_code long"
 
 
@@ -68,6 +73,16 @@ def summary(found: DataFrame, threshold: str) -> DataFrame:
     return per_rule.withColumn("exit_code", reached.cast("long"))
 
 
+def verdict(found: DataFrame, rows: int, threshold: str) -> DataFrame:
+    """One row about a source: its written findings against the report before."""
+    new = F.col("status") == "new"
+    reached = severity.rank(F.col("severity")) >= severity.LEVELS.index(severity.parse(threshold))
+    none = F.lit(False)
+    judged = compare.verdict(F.coalesce(F.bool_or(new & reached), none), none, F.coalesce(F.bool_or(new), none))
+    gone = F.col("status") == "resolved"
+    return found.agg(F.count_if(~gone).alias("findings"), F.count_if(gone).alias("resolved"), judged.alias("verdict")).withColumn("rows", F.lit(rows).cast("long"))
+
+
 def read_findings(spark: SparkSession, out: str) -> DataFrame:
     """All findings of a report, with ``source`` and ``severity`` from their folders."""
     return spark.read.schema(f"{FINDINGS}, source string").parquet(f"{out}/findings")
@@ -77,6 +92,10 @@ def read_summary(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(f"{SUMMARY}, source string").json(f"{out}/summary")
 
 
+def read_sources(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(f"{SOURCES}, source string").json(f"{out}/sources")
+
+
 def run(spark: SparkSession, tables: str, out: str, config: Config, baseline: str | None = None) -> int:
     """Scan the configured text tables and write findings and a summary; 1 if a finding reaches the threshold, else 0."""
     if baseline and baseline.rstrip("/") == out.rstrip("/"):
@@ -89,7 +108,12 @@ def run(spark: SparkSession, tables: str, out: str, config: Config, baseline: st
         against(findings(spark, rows, source, config), before).write.mode("overwrite").partitionBy("severity").parquet(f"{out}/findings/source={name}")
         own = spark.read.schema(FINDINGS).parquet(f"{out}/findings/source={name}")
         summary(own, config["threshold"]).coalesce(1).write.mode("overwrite").json(f"{out}/summary/source={name}")
-        LOG.info("%s: read %d rows of %s/%s.parquet, wrote %d findings to %s", name, rows.count(), tables, name, own.count(), out)
+        verdict(own, rows.count(), config["threshold"]).coalesce(1).write.mode("overwrite").json(f"{out}/sources/source={name}")
+        if config.get("sarif"):
+            named = own.filter("status <> 'resolved'").select(F.concat(F.lit(f"{name}/"), "row_id").alias("file"), "line", F.col("rule_id").alias("title"), "severity", "fingerprint")
+            report.write_sarif(named, f"{out}/sarif/source={name}", tool="scan_report")
+        r = spark.read.schema(SOURCES).json(f"{out}/sources/source={name}").first()
+        LOG.info("%s: read %d rows of %s/%s.parquet, wrote %d findings and %d resolved ones to %s: %s", name, r.rows, tables, name, r.findings, r.resolved, out, r.verdict)
     code = read_summary(spark, out).agg(F.max("exit_code")).first()[0] or 0
     LOG.info("exit code %d at threshold %s", code, config["threshold"])
     return code

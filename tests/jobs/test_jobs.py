@@ -55,6 +55,7 @@ def test_report(spark, tmp_path, caplog):
     r = rows["documents", "card-number"]
     assert (r.new, r.unchanged, r.resolved, r.rows, r.occurrences, r.exit_code) == (4, 0, 0, 3, 5, 0)
     assert rows["documents", "hex-token"].exit_code == 1
+    assert {r.source: (r.rows, r.findings, r.resolved, r.verdict) for r in scan_report.read_sources(spark, f"{tmp_path}/out").collect()} == {"documents": (7, 6, 0, "FAIL"), "pages": (2, 2, 0, "WARN"), "conversations": (2, 1, 0, "WARN")}
     assert "read 7 rows" in caplog.text and "wrote 6 findings" in caplog.text and TOKEN not in caplog.text
 
 
@@ -71,6 +72,7 @@ def test_report_again_and_against_baseline(spark, tmp_path):
     assert scan_report.run(spark, f"{tmp_path}/t2", f"{tmp_path}/two", REPORT, baseline=f"{tmp_path}/one") == 0
     status = {(r[2], r[3], r[4]): r[7] for r in report(spark, f"{tmp_path}/two") if r[0] == "documents"}
     assert status == {("card-number", "1", 1): "unchanged", ("card-number", "1", 2): "unchanged", ("email-address", "1", 2): "unchanged", ("card-number", "9", 1): "new", ("card-number", "", 1): "resolved", ("card-number", "5", 1): "resolved", ("hex-token", "2", 1): "resolved"}
+    assert {r.source: (r.rows, r.findings, r.resolved, r.verdict) for r in scan_report.read_sources(spark, f"{tmp_path}/two").collect()} == {"documents": (2, 4, 3, "WARN"), "pages": (2, 2, 0, "PASS"), "conversations": (2, 1, 0, "PASS")}
     # what was resolved is not resolved again, and is new if it comes back
     scan_report.run(spark, f"{tmp_path}/t", f"{tmp_path}/three", REPORT, baseline=f"{tmp_path}/two")
     assert {r[7] for r in report(spark, f"{tmp_path}/three") if r[2] == "hex-token"} == {"new"}
@@ -78,6 +80,15 @@ def test_report_again_and_against_baseline(spark, tmp_path):
         scan_report.run(spark, f"{tmp_path}/t", f"{tmp_path}/one", REPORT, baseline=f"{tmp_path}/one/")
 
 
+def test_report_as_sarif(spark, tmp_path):
+    text_tables(spark, f"{tmp_path}/t", DOCS)
+    scan_report.run(spark, f"{tmp_path}/t", f"{tmp_path}/out", REPORT | {"sarif": True})
+    found = [r for p in tmp_path.glob("out/sarif/source=*/shard=*/*.txt") for d in [json.loads(p.read_text())] for r in d["runs"][0]["results"]]
+    assert len(found) == 9 and {r["partialFingerprints"]["primary"] for r in found} == {r.fingerprint for r in scan_report.read_findings(spark, f"{tmp_path}/out").collect()}
+    assert "file:///conversations/1/0" in {r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in found}
+    assert TOKEN not in json.dumps(found)
+
+
 def test_report_of_empty_tables(spark, tmp_path):
     text_tables(spark, f"{tmp_path}/t", DOCS)
     scan_report.run(spark, f"{tmp_path}/t", f"{tmp_path}/out", REPORT)
