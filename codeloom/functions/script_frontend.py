@@ -238,26 +238,31 @@ class _Frontend:
                 break
         return out
 
-    def _function_at(self, lo: int, hi: int, steps: int = 8) -> tuple[int, int, str] | None:
-        """Body and first parameter of the function that an expression is, or names, over at most ``steps`` aliases."""
-        while lo < hi and self.plain[lo].isspace():
-            lo += 1
-        if m := _ARROW.match(self.plain, lo, hi):
-            params, body = m[1] if m[1] is not None else m[2], m.end()
-            end = self.ends.get(body, hi)
-        elif m := _FUNCTION.match(self.plain, lo, hi):
-            params, body = m[1], m.end()
-            end = self.ends.get(body, hi)
-        elif (m := re.compile(rf"({_NAME})\s*\Z").match(self.plain[lo:hi])) and steps:
-            if m[1] in self.bound:
-                at = self.bound[m[1]]
-                return self._function_at(at, self._stop(at), steps - 1)
-            named = re.search(rf"(?:async\s+)?function\s*\*?\s*{re.escape(m[1])}\s*\(", self.plain)
-            return self._function_at(named.start(), len(self.plain), 0) if named else None
-        else:
-            return None
-        first = re.match(rf"\s*({_NAME})", params)
-        return (body, end, first[1]) if first else None
+    def _function_at(self, lo: int, hi: int) -> tuple[int, int, str] | None:
+        """Body and first parameter of the function that an expression is, or names, over any number of aliases; none if they go round."""
+        seen: set[str] = set()
+        while True:
+            while lo < hi and self.plain[lo].isspace():
+                lo += 1
+            if m := _ARROW.match(self.plain, lo, hi):
+                params, body = m[1] if m[1] is not None else m[2], m.end()
+            elif m := _FUNCTION.match(self.plain, lo, hi):
+                params, body = m[1], m.end()
+            elif (m := re.compile(rf"({_NAME})\s*\Z").match(self.plain[lo:hi])) and m[1] not in seen:
+                seen.add(m[1])
+                if m[1] in self.bound:
+                    lo = self.bound[m[1]]
+                    hi = self._stop(lo)
+                    continue
+                named = re.search(rf"(?:async\s+)?function\s*\*?\s*{re.escape(m[1])}\s*\(", self.plain)
+                if not named:
+                    return None
+                lo, hi = named.start(), len(self.plain)
+                continue
+            else:
+                return None
+            first = re.match(rf"\s*({_NAME})", params)
+            return (body, self.ends.get(body, hi), first[1]) if first else None
 
     def _enter(self, at: int) -> None:
         top, named = self.stack[-1], self._name_of(at)

@@ -183,6 +183,8 @@ ROUTES = {
     "outside": ("import make from 'express'; const app = make(); app.get('/x', asked => 1); function f(asked) { db.query(asked.query.q); }", False),
     "second parameter": ("import make from 'express'; const app = make(); app.get('/x', (a, asked) => db.query(asked.query.q));", False),
     "shadowed": ("import make from 'express'; const app = make(); app.get('/x', asked => { { const asked = {query: {q: 'a'}}; db.query(asked.query.q); } });", False),
+    "many aliases": ("const express = require('express'); const app = express(); const h0 = (asked, res) => { db.query(asked.query.q); }; " + "".join(f"const h{i + 1} = h{i}; " for i in range(40)) + "app.get('/x', h40);", True),
+    "aliases that go round": ("const express = require('express'); const app = express(); let a = b; let b = a; app.get('/x', a);", False),
     "other field": ("function f(req) { const box = {raw: req.query.q, safe: 'a'}; db.query(box.safe); }", False),
     "field": ("function f(req) { const box = {raw: req.query.q, safe: 'a'}; db.query(box.raw); }", True),
 }
