@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
         with open(args.path, encoding="utf-8") as f:
             _show(confusion(detections(load(spark, f.read())).cache(), "class").orderBy(F.col("class").asc_nulls_first()))
         return 0
-    engine = Engine(spark, os.path.abspath(args.path), _uri(args.state))
+    engine = Engine(spark, os.path.abspath(args.path), _uri(args.state), root=os.path.abspath(args.path))
     if args.verb == "changes":
         _show(git.changes(spark, args.path, args.base))
         return 0

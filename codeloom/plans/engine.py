@@ -7,14 +7,16 @@ its parameters.
 from __future__ import annotations
 
 import json
+import time
 from dataclasses import dataclass
 
+from codeloom.functions import severity
 from codeloom.functions.identity import identity
 from codeloom.functions.rules import BUNDLED
 from codeloom.functions.text import line_window, normalize_target, query_words
 from codeloom.operators import audit_run, code_index, compare, fixpoint, lexical, literals, resolve, rule_scan, spans, taint
 from codeloom.operators.jobs import Jobs
-from codeloom.operators.state import VersionedTable, snapshot
+from codeloom.operators.state import VersionedTable, latest_values, snapshot, text_filter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,6 @@ class Engine:
         self.spark, self.project, self.state, self.root = spark, project, state.rstrip("/"), root
         self.indexes = VersionedTable(spark, f"{self.state}/index")
         self.baselines = VersionedTable(spark, f"{self.state}/baseline")
-        self.memory = VersionedTable(spark, f"{self.state}/memory")
         self.audits = VersionedTable(spark, f"{self.state}/audits")
         self.reached = VersionedTable(spark, f"{self.state}/reached")
         self.jobs = Jobs(spark, f"{self.state}/jobs")
@@ -169,17 +170,40 @@ class Engine:
         ranked = resolve.ranked_context([(own, 100, "target"), (one, 80, "direct neighbour"), (same_file, 70, "same file"), (two, 25, "indirect neighbour")], _limit(limit, 200))
         return ranked.join(symbols.select(F.col("id").alias("key"), "qualified", "path", "start_line"), "key", "left")
 
+    def _memory(self) -> DataFrame:
+        """The log of what was remembered, oldest values too."""
+        path, schema = f"{self.state}/memory", "key string, value string, at long"
+        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
     def remember(self, key: str, value: str) -> None:
-        """Keep ``value`` as the newest of ``key``."""
-        seen = self.memory.version()
-        row = self.spark.createDataFrame([(key, value)], "key string, value string")
-        self.memory.replace(self.memory.read().filter(F.col("key") != key).unionByName(row) if seen else row, seen)
+        """Keep ``value`` as the newest of ``key``: a row is appended, nothing is rewritten."""
+        known = self._memory()
+        self.spark.createDataFrame([(key, value, time.time_ns())], known.schema).write.mode("append").parquet(f"{self.state}/memory")
 
     def recall(self, key: str) -> str | None:
-        known = self.memory.read()
-        row = known.filter(F.col("key") == key).first() if known is not None else None
+        row = latest_values(self._memory().filter(F.col("key") == key), "key", "value", "at").first()
         return row.value if row else None
 
+    def findings(self, text: str = "", severity_from: str = "info", status: str = "active", limit: int = 50) -> DataFrame:
+        """Findings of the baseline that contain ``text`` in their file, title or category, worst first, with how many are ``omitted``."""
+        base = self.baselines.read()
+        if base is None:
+            raise LookupError("the project has no baseline yet")
+        level = severity.rank(F.col("severity"))
+        found = text_filter(base.filter((F.col("status") == status) & (level >= severity.LEVELS.index(severity.parse(severity_from)))), ["file", "title", "category"], text)
+        return resolve.listed(found.withColumn("below", -level), ["below", "file", "line", "title", "key"], _limit(limit, 200)).drop("below")
+
+    def reach_of_rules(self, files: DataFrame) -> DataFrame:
+        """Per rule the files it has findings in, and the findings."""
+        return rule_scan.rule_reach(rule_scan.scan(files)[0])
+
+    def tidy(self, keep: int = 2) -> int:
+        """Delete all but the newest ``keep`` versions of every stored table; how many.  Results that still read them fail, so end these first."""
+        if keep < 1:
+            raise ValueError("the newest version stays")
+        return sum(t.forget_before(t.version() - keep + 1) for t in (self.indexes, self.baselines, self.audits, self.reached))
+
     def save_context(self, target: str, limit: int = 40) -> DataFrame:
         """``context`` of a symbol, kept under ``CONTEXT_KEY`` as JSON."""
         near = self.context(target, limit)

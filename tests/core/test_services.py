@@ -185,8 +185,14 @@ def test_engine(spark, tmp_path):
     verdict, found = e.verify(files(bad))
     assert verdict == "FAIL" and {r.finding_status for r in found.collect()} == {"regressed"}
     assert e.verify(files("def ("))[0] == "WARN"
+    e.create_baseline(files(bad + "\nimport hashlib\nx = hashlib.md5(run)\n"))
+    assert [(r.title, r.severity, r.omitted) for r in e.findings(limit=1).collect()] == [("flow to command-injection", "high", 1)]
+    assert [(r.title, r.omitted) for r in e.findings("HASH").collect()] == [("python-insecure-hash-function", 0)]
+    assert e.findings("hash", severity_from="high").count() == 0 == e.findings(status="resolved").count()
+    assert [tuple(r) for r in e.reach_of_rules(files("x = hashlib.md5(y)\nz = hashlib.md5(x)\n")).collect()] == [("python-insecure-hash-function", 1, 2)]
     shown = e.explain(found, files(bad)).first()
     assert shown.symbol == "run" and "    os.system(x)" in shown.excerpt
+    assert e.tidy() > 0 and e.tidy() == 0 and e.findings().count() == 2
 
 
 def test_command_line(tmp_path, capsys):
