@@ -27,13 +27,16 @@ def scope_ladder(scope: Column, separator: str = ".") -> Column:
 def nearest_scope(refs: DataFrame, defs: DataFrame, ref_id: str, scope: str, def_scope: str, target: str, separator: str = ".") -> DataFrame:
     """References with the definition in the nearest enclosing scope: ``target, depth, resolved``.
 
-    Resolved if one definition stands in the deepest scope that has any.
+    Resolved if one definition stands in the deepest scope that has any.  Definitions become one row a scope before they meet
+    anything, and each scope is looked up once, so rows follow the scopes and their depths, however many definitions share one.
     """
-    steps = refs.select("*", F.explode(scope_ladder(F.col(scope), separator)).alias("__step"))
-    hits = steps.join(defs.select(F.col(def_scope).alias("__scope"), F.col(target).alias("__target")), F.col("__step.prefix") == F.col("__scope"))
-    best = hits.groupBy(ref_id).agg(F.max("__step.depth").alias("depth"))
-    at = hits.join(best, ref_id).filter(F.col("__step.depth") == F.col("depth")).groupBy(ref_id, "depth").agg(F.count_distinct("__target").alias("__n"), F.min("__target").alias("target"))
-    return refs.join(at, ref_id, "left").withColumn("resolved", F.coalesce(F.col("__n") == 1, F.lit(False))).drop("__n")
+    there = defs.filter(F.col(def_scope).isNotNull()).groupBy(F.col(def_scope).alias("__scope")).agg(F.min(target).alias("__least"), F.max(target).alias("__most"))
+    steps = refs.select(F.col(scope).alias("__from")).filter("__from is not null").distinct().select("__from", F.explode(scope_ladder(F.col("__from"), separator)).alias("__step"))
+    hits = steps.join(there, F.col("__step.prefix") == F.col("__scope"))
+    best = hits.groupBy("__from").agg(F.max(F.struct(F.col("__step.depth").alias("depth"), "__least", "__most")).alias("__best"))
+    found = refs.join(best, F.col(scope) == F.col("__from"), "left")
+    least, most = F.col("__best.__least"), F.col("__best.__most")
+    return found.select(*refs.columns, F.col("__best.depth").alias("depth"), least.alias("target"), F.coalesce(least == most, F.lit(False)).alias("resolved"))
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, forward: bool) -> DataFrame:
