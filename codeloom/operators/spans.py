@@ -75,7 +75,7 @@ def narrowest_enclosing(points: DataFrame, ranges: DataFrame, keys: Sequence[str
 
 
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """The first row of every key: insert-or-ignore."""
+    """The first row of every key: insert-or-ignore.  Which of rows that tie is open, so give a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 

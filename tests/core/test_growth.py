@@ -30,3 +30,15 @@ def test_definitions_of_one_scope_meet_references_once(spark):
     found = resolve.nearest_scope(refs.union(more), defs, "id", "scope", "def_scope", "target")
     got = found.groupBy("scope", "depth", "target", "resolved").count().collect()
     assert sorted(map(tuple, got), key=str) == sorted([("com.example", 2, 0, False, 100000), ("org.a", 1, 8, True, 1), ("net.b", None, None, False, 1), (None, None, None, False, 1), ("com.other.x", 1, 7, True, 1)], key=str)
+
+
+def test_first_inserted_row_stays(spark, tmp_path):
+    """Rows tie in order and number, within a file and over files that are read by several tasks, the larger one first."""
+    lines = tmp_path / "lineitem.parquet"
+    for n, size in enumerate((3000, 30000)):
+        rows = spark.range(size).select((F.col("id") % 700).alias("l_orderkey"), (F.col("id") % 3).cast("int").alias("l_linenumber"), (F.col("id") * 7919 % 30011 + n * 100000).alias("l_partkey"))
+        written = tmp_path / f"w{n}"
+        rows.coalesce(1).write.parquet(str(written))
+        lines.mkdir(exist_ok=True)
+        next(written.glob("*.parquet")).rename(lines / f"part-{n}.parquet")
+    assert rows_of("insert_or_ignore", spark, tmp_path) == oracle("insert_or_ignore", tmp_path)
