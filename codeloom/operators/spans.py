@@ -61,14 +61,15 @@ def any_of(*spans: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def narrowest_enclosing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], point: str, row_id: str, order: str) -> DataFrame:
-    """Each point with the narrowest range that holds it, the first by ``order`` on ties; null without one.
+def narrowest_enclosing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], point: str, row_id: str, order: str, width: Column | None = None) -> DataFrame:
+    """Each point with the narrowest range that holds it, the first by ``order`` on ties, a null one last; null without one.
 
     ``ranges`` has ``keys``, integer ``start``, ``end`` (inclusive) and ``order``; its columns come prefixed with ``range_``.  ``row_id`` tells points apart, and is
-    the same whenever ``points`` is read.
+    the same whenever ``points`` is read.  ``width`` of a range is ``end - start``, if its bounds were not rounded.
     """
     rest = [c for c in ranges.columns if c != order]
-    rank = F.struct((F.col("end") - F.col("start")).alias("width"), F.col(order).alias("order"), F.struct(*[F.col(c).alias(c) for c in rest]).alias("rest"))
+    width = F.col("end") - F.col("start") if width is None else width
+    rank = F.struct(width.alias("width"), F.col(order).isNull().alias("unordered"), F.col(order).alias("order"), F.struct(*[F.col(c).alias(c) for c in rest]).alias("rest"))
     best = best_holding(points, ranges, keys, point, row_id, rank)
     columns = [(F.col("best.order") if c == order else F.col(f"best.rest.{c}")).alias(f"range_{c}") for c in ranges.columns]
     return points.join(best.select(F.col(row_id), *columns), row_id, "left").select(*points.columns, *[f"range_{c}" for c in ranges.columns])

@@ -42,3 +42,11 @@ def test_first_inserted_row_stays(spark, tmp_path):
         lines.mkdir(exist_ok=True)
         next(written.glob("*.parquet")).rename(lines / f"part-{n}.parquet")
     assert rows_of("insert_or_ignore", spark, tmp_path) == oracle("insert_or_ignore", tmp_path)
+
+
+def test_narrowest_band_of_prices(spark, tmp_path):
+    """Bands that are equally wide in cents differ in the last bits of their prices' difference; a size is null."""
+    rows = [(0, "a", 7, 900.0), (1, "a", 7, 950.2), (2, "a", 5, 900.1), (3, "a", 5, 950.3), (4, "b", None, 10.0), (5, "b", None, 20.0), (6, "b", 2, 10.0), (7, "b", 2, 20.0)]
+    rows += [(10 + n, f"c{n % 3}", n % 13, 900 + n * 37 % 1000 / 10) for n in range(90)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert rows_of("narrowest_enclosing", spark, tmp_path) == oracle("narrowest_enclosing", tmp_path)
