@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.operators import resolve
+from codeloom.operators import postings, resolve
 from codeloom.plans.registry import ORACLE_SQL, QUERIES
+from codeloom.storage import materialize
 from pyspark.sql import functions as F
 
 
@@ -50,3 +51,16 @@ def test_narrowest_band_of_prices(spark, tmp_path):
     rows += [(10 + n, f"c{n % 3}", n % 13, 900 + n * 37 % 1000 / 10) for n in range(90)]
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     assert rows_of("narrowest_enclosing", spark, tmp_path) == oracle("narrowest_enclosing", tmp_path)
+
+
+def test_search_makes_no_row_per_found_document(spark, monkeypatch):
+    """Each of 300 queries finds each of 3,000 documents: only the best of a block are written, also where a block's queries are dealt over tasks."""
+    written = []
+    monkeypatch.setattr(postings, "materialize", lambda df, label: written.append(materialize(df, label)) or written[-1])
+    monkeypatch.setattr(postings, "TASK_QUERIES", 100)
+    words = spark.range(3000).select("id", F.explode(F.array(F.lit("a"), F.lit("a"), F.lit("b"), F.when(F.col("id") % 1000 == 999, F.lit("a")))).alias("term"))
+    index = postings.build(words, F.floor(F.col("id") / 1000))
+    queries = spark.range(300).select(F.col("id").alias("query"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("term"))
+    found, _ = postings.top(index, queries, 2)
+    assert {tuple(r)[1:] for r in found.collect()} == {(999, 4, 1), (1999, 4, 2)} and found.count() == 600
+    assert max(df.count() for df, _ in written) <= 300 * 3 * 2 + 3 * 4
