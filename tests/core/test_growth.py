@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.operators import postings, resolve
+from codeloom.operators import lexical, postings, resolve
 from codeloom.plans.registry import ORACLE_SQL, QUERIES
 from codeloom.storage import materialize
 from pyspark.sql import functions as F
@@ -64,3 +64,10 @@ def test_search_makes_no_row_per_found_document(spark, monkeypatch):
     found, _ = postings.top(index, queries, 2)
     assert {tuple(r)[1:] for r in found.collect()} == {(999, 4, 1), (1999, 4, 2)} and found.count() == 600
     assert max(df.count() for df, _ in written) <= 300 * 3 * 2 + 3 * 4
+
+
+def test_excerpt_reads_a_text_twice(spark):
+    """Its lines are split once as they are and once in lower case, not for every line that is shown."""
+    texts = spark.createDataFrame([("a\nb word\n",)], "t string").select(lexical.excerpt(F.col("t"), ["word"]).alias("e"))
+    assert texts._jdf.queryExecution().analyzed().toString().count("split(") == 2
+    assert tuple(texts.first().e) == (1, 2, "1: a\n2: b word\n")
