@@ -77,16 +77,29 @@ def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> Dat
 
 def ranked_context(tiers: list[tuple[DataFrame, int, str]], k: int) -> DataFrame:
     """Candidates of scored tiers (target, key): best score, distinct reasons best first, top ``k`` and how many were left out."""
+    # tiers are bits of a number, so that a candidate is one row of fixed size, and scores and reasons are told from it at the end
     parts = None
-    for df, score, reason in tiers:
-        t = df.select("target", "key", F.lit(score).alias("score"), F.lit(reason).alias("reason"))
+    for n, (df, _, _) in enumerate(tiers):
+        t = df.select("target", "key", F.lit(1 << n).alias("__tiers"))
         parts = t if parts is None else parts.unionByName(t)
-    by_reason = parts.groupBy("target", "key", "reason").agg(F.max("score").alias("score"))
-    merged = by_reason.groupBy("target", "key").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "reason"))).alias("r"))
-    merged = merged.select("target", "key", "score", F.col("r.reason").alias("reasons"))
-    w = Window.partitionBy("target")
-    ranked = merged.withColumn("position", F.row_number().over(w.orderBy(F.desc("score"), "key"))).withColumn("omitted", F.greatest(F.count(F.lit(1)).over(w) - k, F.lit(0)))
-    return ranked.filter(F.col("position") <= k)
+    has = [F.col("__tiers").bitwiseAND(F.lit(1 << n)) != 0 for n in range(len(tiers))]
+    score = F.greatest(*[F.when(h, t[1]) for h, t in zip(has, tiers, strict=True)], F.lit(None).cast("int"))
+    order: dict[str, list[int]] = {}  # a reason may stand for several tiers; its best score counts
+    for n, (_, _, reason) in enumerate(tiers):
+        order.setdefault(reason, []).append(n)
+
+    def reason_of(reason: str) -> Column:
+        return F.greatest(*[F.when(has[n], F.struct(F.lit(tiers[n][1]).alias("score"), F.lit(reason).alias("reason"))) for n in order[reason]], F.lit(None).cast("struct<score: int, reason: string>"))
+
+    found = F.filter(F.array(*map(reason_of, order)), lambda r: r.isNotNull())
+    reasons = F.transform(F.array_sort(F.transform(found, lambda r: F.struct((-r["score"]).alias("o"), r["reason"].alias("reason")))), lambda r: r["reason"])
+    merged = parts.groupBy("target", "key").agg(F.bit_or("__tiers").alias("__tiers")).withColumn("score", score)
+    # the filter on the number is applied before the shuffle, too, so that a task sends k rows of a target; a count in the same window would hinder it
+    w = Window.partitionBy("target").orderBy(F.desc("score"), "key")
+    best = merged.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+    counts = merged.groupBy("target").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("target", "__target")
+    ranked = best.join(counts, F.col("target").eqNullSafe(F.col("__target")))
+    return ranked.select("target", "key", "score", reasons.alias("reasons"), "position", F.greatest(F.col("__n") - k, F.lit(0).cast("long")).alias("omitted"))
 
 
 def select_tiered(symbols: DataFrame, target: str, exact: list[str], contains: str) -> DataFrame:

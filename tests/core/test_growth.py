@@ -71,3 +71,13 @@ def test_excerpt_reads_a_text_twice(spark):
     texts = spark.createDataFrame([("a\nb word\n",)], "t string").select(lexical.excerpt(F.col("t"), ["word"]).alias("e"))
     assert texts._jdf.queryExecution().analyzed().toString().count("split(") == 2
     assert tuple(texts.first().e) == (1, 2, "1: a\n2: b word\n")
+
+
+def test_ranked_context_sends_few_rows_of_a_target(spark):
+    """A target with very many candidates is limited before its window; tiers that share a reason or a candidate count once."""
+    many = spark.range(20000).select(F.lit("t").alias("target"), F.format_string("k%05d", "id").alias("key"))
+    some = spark.createDataFrame([("t", "k00007"), ("t", "k00007"), ("u", "x"), (None, "y")], "target string, key string")
+    ranked = resolve.ranked_context([(many, 80, "b"), (some, 100, "a"), (some, 25, "c"), (some, 10, "b")], 2)
+    got = sorted(map(tuple, ranked.collect()), key=str)
+    assert got == sorted([("t", "k00007", 100, ["a", "b", "c"], 1, 19998), ("t", "k00000", 80, ["b"], 2, 19998), ("u", "x", 100, ["a", "c", "b"], 1, 0), (None, "y", 100, ["a", "c", "b"], 1, 0)], key=str)
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().optimizedPlan().toString()
