@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from codeloom.storage import materialize, remove
+from codeloom.storage import bucketed, materialize, remove
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,19 +77,28 @@ def fixpoint(base: DataFrame, rule: Callable[[Facts], DataFrame], keys: Sequence
 
 
 def shortest_steps(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``node, steps, via`` of what ``edges(src, dst)`` reach from ``start(node)``: the least number of steps, and the smallest node before it on such a way."""
-    edges, path = materialize(edges.select("src", "dst").distinct(), "edges")
+    """``node, steps, via`` of what ``edges(src, dst)`` reach from ``start(node)``: the least number of steps, and the smallest node before it on such a way.
 
-    def value(steps: Column, via: Column) -> Column:
-        return F.struct(steps.cast("long").alias("steps"), via.alias("via")).alias("proof")
-
-    base = start.select("node", value(F.lit(0), F.lit(None).cast(start.schema["node"].dataType)))
-    found, complete = fixpoint(base, lambda facts: facts.delta.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), value(F.col("proof.steps") + 1, F.col("src"))), ["node"], "proof", max_rounds=max_rounds)
-    if not complete:
-        raise RuntimeError(f"some node is further than {max_rounds} steps")
-    found, _ = materialize(found.select("node", "proof.steps", "proof.via"), "steps")
-    remove(edges.sparkSession, path)
-    return found
+    Edges are dealt by ``src`` once, where they also lose their copies; rounds shuffle what they reach, never the edges.
+    """
+    spark = edges.sparkSession
+    edges, forget = bucketed(edges.select("src", "dst").filter("src is not null"), "edges", "src")
+
+    def written(rows: DataFrame, steps: int) -> tuple[DataFrame, str]:
+        return materialize(rows.select("node", F.lit(steps).cast("long").alias("steps"), "via"), "steps")
+
+    last, path = written(start.select("node", F.lit(None).cast(start.schema["node"].dataType).alias("via")).distinct(), 0)
+    schema, paths = last.schema, [path]
+    for steps in range(1, max_rounds + 1):
+        found = edges.join(last.select("node"), F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via"))
+        known = spark.read.schema(schema).parquet(*paths).select(F.col("node").alias("__node"))
+        last, path = written(found.join(known, _same(["node"], "__"), "left_anti"), steps)
+        if last.isEmpty():
+            remove(spark, path)
+            forget()
+            return spark.read.schema(schema).parquet(*paths)
+        paths.append(path)
+    raise RuntimeError(f"some node is further than {max_rounds} steps")
 
 
 _PAIR = ["src", "dst"]

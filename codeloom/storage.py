@@ -56,6 +56,23 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, label: str, *keys: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Write the distinct rows of ``df`` in sorted buckets of ``keys``, as a table at a path in the shared folder; the table, and what deletes it.
+
+    A join on the keys reads the buckets as they lie and shuffles only its other side, however often it is made.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    path, n = new_path(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, *keys).distinct()  # copies share their keys, so they go without another shuffle
+    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name, format="parquet")
+
+    def forget() -> None:
+        spark.sql(f"DROP TABLE {name}")
+        remove(spark, path)
+
+    return spark.table(name), forget
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that no later plan reads."""
     jvm = spark._jvm

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.operators import lexical, postings, resolve
+from codeloom.operators import fixpoint, lexical, postings, resolve
 from codeloom.plans.registry import ORACLE_SQL, QUERIES
 from codeloom.storage import materialize
 from pyspark.sql import functions as F
@@ -81,3 +81,18 @@ def test_ranked_context_sends_few_rows_of_a_target(spark):
     got = sorted(map(tuple, ranked.collect()), key=str)
     assert got == sorted([("t", "k00007", 100, ["a", "b", "c"], 1, 19998), ("t", "k00000", 80, ["b"], 2, 19998), ("u", "x", 100, ["a", "c", "b"], 1, 0), (None, "y", 100, ["a", "c", "b"], 1, 0)], key=str)
     assert "WindowGroupLimit" in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_of_steps_shuffle_no_edges(spark, monkeypatch):
+    """Edges are dealt once; where nothing is small enough for a broadcast, a round shuffles its frontier, what it finds and what is known."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans = []
+    monkeypatch.setattr(fixpoint, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df, label))
+    try:
+        edges = spark.range(5).select("id", F.col("id") + 1).union(spark.createDataFrame([(0, 1), (0, 9), (9, 2), (3, None), (None, 7)], "a long, b long")).toDF("src", "dst")
+        got = sorted(map(tuple, fixpoint.shortest_steps(edges, spark.createDataFrame([(0,), (0,)], "node long")).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted([(0, 0, None), (1, 1, 0), (9, 1, 0), (2, 2, 1), (3, 3, 2), (4, 4, 3), (None, 4, 3), (5, 5, 4)], key=str)
+    assert len(plans) == 7 and not any("hashpartitioning(src" in p for p in plans[1:])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
