@@ -19,7 +19,7 @@ def detections(cases: DataFrame) -> DataFrame:
     """
     files = files_of(cases.filter("engine = 'graph'")).select(F.col("id").alias("project"), "path", "content")
     index = snapshot(code_index.index_files(files), "case-index")
-    flows, ended = taint.trace(index)
+    flows, ended = taint.trace(index, stored=True)
     owners = code_index.facts(index, "symbols").select(F.col("id").alias("sink_symbol"), F.col("project").alias("id")).distinct()
     traced = flows.select("sink_symbol", "category").join(owners, "sink_symbol").select("id", F.concat(F.lit(FLOW_RULE), "category").alias("rule"))
     # a rule scan knows paths only, so the case's number goes in front

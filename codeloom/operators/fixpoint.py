@@ -76,6 +76,10 @@ def fixpoint(base: DataFrame, rule: Callable[[Facts], DataFrame], keys: Sequence
     return best(spark.read.schema(first.schema).parquet(*paths)), complete
 
 
+class FurtherError(RuntimeError):
+    """Something is further than the given number of steps."""
+
+
 def shortest_steps(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``node, steps, via`` of what ``edges(src, dst)`` reach from ``start(node)``: the least number of steps, and the smallest node before it on such a way.
 
@@ -98,7 +102,8 @@ def shortest_steps(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -
             forget()
             return spark.read.schema(schema).parquet(*paths)
         paths.append(path)
-    raise RuntimeError(f"some node is further than {max_rounds} steps")
+    forget()
+    raise FurtherError(f"some node is further than {max_rounds} steps")
 
 
 _PAIR = ["src", "dst"]

@@ -21,7 +21,7 @@ from functools import reduce
 from codeloom.functions.classify import SINKS
 from codeloom.functions.identity import json_array, json_string, json_strings
 from codeloom.operators.code_index import call_uid, facts, resolve_calls
-from codeloom.operators.fixpoint import Facts, bounded_sets, fixpoint, meets
+from codeloom.operators.fixpoint import Facts, FurtherError, bounded_sets, fixpoint, meets, shortest_steps
 from codeloom.storage import materialize, remove
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,14 +88,36 @@ def _way(low: Column, steps: Column) -> Column:
     return F.struct(low.alias("low"), F.size(steps).alias("n"), steps.alias("steps")).alias("way")
 
 
-def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
-    """All flows, and whether the rounds ended by themselves.
+#: Steps over calls, from functions that read outside input, after which all functions count as near; deeper trees are traced as a whole.
+NEAR_STEPS = 40
+
+
+def _near_sources(base: DataFrame, calls: DataFrame) -> DataFrame | None:
+    """``node``: hashes of the functions that resolved calls link with one that reads outside input; None if links go further than ``NEAR_STEPS``.
+
+    A flow passes only such links, in either direction, so facts of other functions are part of no flow.  Hashes that meet keep a function too many.
+    """
+    ends = calls.filter("callee is not null").select(F.xxhash64("owner").alias("src"), F.xxhash64("callee").alias("dst"))
+    start = base.filter("origin.kind = 'S'").select(F.xxhash64("owner").alias("node")).distinct()
+    try:
+        return shortest_steps(ends.union(ends.select("dst", "src")), start, NEAR_STEPS).select("node")
+    except FurtherError:
+        return None
+
+
+def trace(index: DataFrame, max_rounds: int = 12, stored: bool = False) -> tuple[DataFrame, bool]:
+    """All flows, and whether the rounds ended by themselves.  An index that is ``stored`` is read where it is.
+
+    Only functions that calls link with outside input are traced.
 
     ``id, source_symbol, source_path, source_line, source, sink_symbol, sink_path, sink_line, sink, category, confidence, steps``
     """
     spark = index.sparkSession
     # rounds read these again and again, so files are extracted once
-    index, index_path = materialize(index.select("project", "path", "symbols", "imports", "calls", "hops"), "index")
+    made = []
+    if not stored:
+        index, path = materialize(index.select("project", "path", "symbols", "imports", "calls", "hops"), "index")
+        made.append(path)
     symbols = facts(index, "symbols").select(F.col("id").alias("callee"), "parameters").dropDuplicates(["callee"])
     resolved = resolve_calls(index).select("uid", "owner", "callee", "sanitizer", "sink")
     calls, calls_path = materialize(resolved.join(symbols, "callee", "left"), "calls")
@@ -108,9 +130,14 @@ def trace(index: DataFrame, max_rounds: int = 12) -> tuple[DataFrame, bool]:
     target = F.when(F.col("target") == "return", _filled(TARGET, {"kind": F.lit("RET")})).when(F.col("target").startswith("sink:"), sink).otherwise(argument)
     step = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"))
     base = hops.select("owner", origin.alias("origin"), target.alias("target"), F.lit(0).alias("mask"), _way(F.lit(False), F.array(step)))
+    near = _near_sources(base, calls)
+    if near is not None:
+        base, path = materialize(base.join(near, F.xxhash64("owner") == F.col("node"), "left_semi"), "hops")
+        calls, calls_near = materialize(calls.join(near, F.xxhash64("owner") == F.col("node"), "left_semi"), "calls")
+        made += [path, calls_near]
     known, complete = fixpoint(base, lambda found: _composed(found, calls), _KEY, "way", rank=lambda way: way["low"], max_rounds=max_rounds)
     known, _ = materialize(known.filter("origin.kind = 'S' and target.kind = 'K'"), "flows")
-    remove(spark, calls_path, index_path)
+    remove(spark, calls_path, *made)
     flows = known.filter(F.col("mask").bitwiseAND(_bit(F.col("target.category"))) == 0)
     flows = flows.select(
         *[F.col(f"origin.{c}").alias(f"source_{c}") for c in ("symbol", "path", "line")], F.col("origin.name").alias("source"), *[F.col(f"target.{c}").alias(f"sink_{c}") for c in ("symbol", "path", "line")],

@@ -150,7 +150,7 @@ class Engine:
         return taint.sink_sources(self.trace()[0], most)
 
     def trace(self, target: str | None = None, category: str | None = None, depth: int = 8) -> tuple[DataFrame, bool]:
-        flows, complete = taint.trace(self.snapshot(), max_rounds=_limit(depth, 32) + 2)
+        flows, complete = taint.trace(self.snapshot(), max_rounds=_limit(depth, 32) + 2, stored=True)
         if target is not None:
             flows = taint.of_target(flows, target, category)
         elif category is not None:

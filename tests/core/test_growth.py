@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.operators import fixpoint, lexical, postings, resolve
+from codeloom.operators import code_index, fixpoint, lexical, postings, resolve, taint
 from codeloom.plans.registry import ORACLE_SQL, QUERIES
 from codeloom.storage import materialize
 from pyspark.sql import functions as F
@@ -96,3 +96,17 @@ def test_rounds_of_steps_shuffle_no_edges(spark, monkeypatch):
     assert got == sorted([(0, 0, None), (1, 1, 0), (9, 1, 0), (2, 2, 1), (3, 3, 2), (4, 4, 3), (None, 4, 3), (5, 5, 4)], key=str)
     assert len(plans) == 7 and not any("hashpartitioning(src" in p for p in plans[1:])
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def test_trace_leaves_out_functions_without_outside_input(spark, monkeypatch):
+    """Of 40 modules that pass values round, none enters the rounds: only what calls link with the one that reads input; a deep tree is traced as a whole."""
+    files = {f"m{n}.py": f"def a{n}(x):\n    return x\n\ndef b{n}(x):\n    return a{n}(a{n}(x))\n" for n in range(40)}
+    files |= {"web.py": "from store import find\n\ndef view():\n    return find(input('a'))\n", "store.py": "import sqlite3\n\ndef find(x):\n    return sqlite3.connect('x').cursor().execute('|' + x)\n"}
+    index = code_index.index_files(spark.createDataFrame([("p", p, c) for p, c in files.items()], "project string, path string, content string"))
+    given = []
+    monkeypatch.setattr(taint, "fixpoint", lambda base, *a, **k: given.append(base.count()) or fixpoint.fixpoint(base, *a, **k))
+    for steps in (40, 1):
+        monkeypatch.setattr(taint, "NEAR_STEPS", steps)
+        flows, complete = taint.trace(index)
+        assert complete and [(r.source_path, r.source_line, r.sink_path, r.sink_line) for r in flows.collect()] == [("web.py", 4, "store.py", 4)]
+    assert given[0] <= 12 and given[1] >= 120
