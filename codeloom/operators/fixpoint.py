@@ -6,15 +6,17 @@ that a round joins nothing that it joined before.  Rounds end by the facts: a fa
 fact, so cycles end by themselves.  Facts are written round by round, which cuts the lineage.
 
 ``maintained`` keeps a transitive closure up to date: of removed edges it deletes what may have followed and derives again what still does, of
-added ones it derives what is new; pairs that no changed edge touches are only read.
+added ones it derives what is new; pairs that no changed edge touches are only read. Pairs lie in buckets of their
+end and edges in buckets of their start, so a round shuffles the pairs it finds and nothing else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from codeloom.storage import bucketed, materialize, remove
+from codeloom.storage import Buckets, bucketed, joins_by_one_key, materialize, remove
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,12 +111,11 @@ def shortest_steps(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -
 _PAIR = ["src", "dst"]
 
 
-def _derived(base: DataFrame, rule: Callable[[Facts], DataFrame], max_rounds: int) -> DataFrame:
-    marked = base.select(*_PAIR).withColumn("one", F.lit(True))
-    found, complete = fixpoint(marked, lambda facts: rule(facts).select(*_PAIR).withColumn("one", F.lit(True)), _PAIR, "one", max_rounds=max_rounds)
-    if not complete:
-        raise RuntimeError(f"the closure is deeper than {max_rounds} steps")
-    return found.select(*_PAIR)
+def dealt(edges: DataFrame, label: str = "edges") -> DataFrame:
+    """``edges(src, dst)`` without nulls and copies, in buckets of ``src`` in the shared folder."""
+    buckets = Buckets(edges.sparkSession, label, "src")
+    buckets.append(edges.select(*_PAIR).dropna().repartition(buckets.count, "src").distinct())
+    return buckets.settle()
 
 
 def _after(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,43 +123,84 @@ def _after(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.withColumnRenamed("dst", "mid").join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select(*_PAIR)
 
 
-def _before(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with an edge before."""
-    return _after(edges.select(*_PAIR), pairs)
+def _ways(start: DataFrame, edges: Sequence[DataFrame], max_rounds: int, known: DataFrame | None = None) -> Buckets:
+    """Pairs of ``start`` and what they become with edges behind, as far as the pairs are not ``known``.
 
+    Pairs lie in buckets of ``dst`` and edges in buckets of ``src``, so they meet where they lie, and a round shuffles only what it finds, once.
+    """
+    found = Buckets(start.sparkSession, "pairs", "dst")
+    for _ in range(max_rounds + 1):
+        fresh = start.repartition(found.count, "dst").distinct()
+        for there in ([found.all()] if found.rounds else []) + ([] if known is None else [known]):
+            fresh = fresh.join(there, ["dst", "src"], "left_anti")
+        last = found.append(fresh.select(*_PAIR))
+        if last.isEmpty():
+            return found
+        start = reduce(DataFrame.union, [_after(last, e) for e in edges])
+    found.settle()
+    raise FurtherError(f"the closure is deeper than {max_rounds} steps")
 
-def closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``src, dst`` of all ways of one edge or more; nulls are no nodes."""
-    edges = materialize(edges.select(*_PAIR).dropna().distinct(), "edges")[0]
-    return _derived(edges, lambda facts: _after(facts.delta, edges), max_rounds)
 
+def closure(edges: DataFrame, max_rounds: int = 1000, in_buckets: bool = False) -> DataFrame:
+    """``src, dst`` of all ways of one edge or more; nulls are no nodes.  Edges ``in_buckets`` are those that ``dealt`` gave."""
+    edges = edges if in_buckets else dealt(edges)
+    with joins_by_one_key(edges.sparkSession):
+        return _ways(edges.select(*_PAIR), [edges], max_rounds).settle()
 
-def maintained(known: DataFrame, edges: DataFrame, removed: DataFrame, added: DataFrame, max_rounds: int = 1000) -> DataFrame:
+
+def maintained(known: DataFrame, edges: DataFrame, removed: DataFrame, added: DataFrame, max_rounds: int = 1000, in_buckets: bool = False) -> DataFrame:
     """The closure after a change of edges, from the ``known`` one of ``edges``: without ``removed``, then with ``added``.
 
     Removed edges that are not there and added ones that are there change nothing; an edge that is both stays.
+    A known closure that ``closure`` or this gave lies in buckets and is not shuffled, nor are edges ``in_buckets``, which ``dealt`` gave.
     """
-    every = edges.select(*_PAIR).dropna().distinct()
-    added = added.select(*_PAIR).dropna().distinct()
-    gone = materialize(removed.select(*_PAIR).distinct().join(every, _PAIR, "left_semi").join(added, _PAIR, "left_anti"), "gone-edges")[0]
-    kept = materialize(every.join(gone, _PAIR, "left_anti"), "kept-edges")[0]
-    after = kept.union(added)
-    # all pairs with a way over a removed edge
-    into = gone.union(_after(known, gone))
-    doubtful = materialize(into.union(_after(into, known)).distinct(), "doubtful")[0]
-    sure = materialize(known.select(*_PAIR).join(doubtful, _PAIR, "left_anti"), "sure")[0]
-    # ... that have a way left: an edge, or an edge to where a sure pair or one that is proven again begins
-    steps = doubtful.withColumnRenamed("dst", "end").join(kept.withColumnRenamed("dst", "mid"), "src")
-    steps = materialize(steps.select("src", "mid", "end"), "steps")[0]
-    direct = doubtful.join(kept, _PAIR, "left_semi")
-    over = steps.join(sure.select(F.col("src").alias("mid"), F.col("dst").alias("end")), ["mid", "end"], "left_semi").select("src", F.col("end").alias("dst"))
-    again = _derived(direct.union(over), lambda facts: steps.join(facts.delta.select(F.col("src").alias("mid"), F.col("dst").alias("end")), ["mid", "end"], "left_semi").select("src", F.col("end").alias("dst")), max_rounds)
-    present = materialize(sure.union(again), "present")[0]
-
-    def grown(facts: Facts) -> DataFrame:
-        return _after(facts.delta, after).union(_before(after, facts.delta)).join(present, _PAIR, "left_anti")
-
-    return present.union(_derived(added.join(present, _PAIR, "left_anti"), grown, max_rounds))
+    spark, known = edges.sparkSession, known.select(*_PAIR)
+    every = edges if in_buckets else dealt(edges)
+    added = dealt(added, "added-edges")
+    with joins_by_one_key(spark):
+        buckets = Buckets(spark, "gone-edges", "src")
+        asked = removed.select(*_PAIR).dropna().repartition(buckets.count, "src").distinct()
+        buckets.append(asked.join(every, _PAIR, "left_semi").join(added, _PAIR, "left_anti").select(*_PAIR))
+        gone = buckets.settle()
+        kept = every.join(gone, _PAIR, "left_anti").select(*_PAIR)
+        # all pairs with a way over a removed edge
+        doubtful = _ways(gone.union(_after(known, gone)), [every], max_rounds).settle()
+        sure = known.join(doubtful, ["dst", "src"], "left_anti").select(*_PAIR)
+        again = _proven(doubtful, known, kept, max_rounds)
+        buckets = Buckets(spark, "present", "dst")
+        buckets.append(sure)
+        buckets.append(again)
+        present = buckets.settle()
+        fresh = _ways(added.union(_after(present, added)), [kept, added], max_rounds, present).settle()
+    return present.union(fresh)
+
+
+def _proven(doubtful: DataFrame, known: DataFrame, kept: DataFrame, max_rounds: int) -> DataFrame:
+    """The ``doubtful`` pairs that have a way left: a kept edge, or one to where a sure pair or one that is proven again begins."""
+    steps = Buckets(doubtful.sparkSession, "steps", "end")
+
+    def marked(pairs: DataFrame, name: str) -> DataFrame:
+        return pairs.select(F.col("src").alias("mid"), F.col("dst").alias("end"), F.lit(True).alias(name))
+
+    ways = doubtful.withColumnRenamed("dst", "end").join(kept.withColumnRenamed("dst", "mid"), "src").repartition(steps.count, "end")
+    open_, there = F.col("open").isNotNull(), F.col("there").isNotNull()
+    ways = ways.join(marked(doubtful, "open"), ["end", "mid"], "left").join(marked(known, "there"), ["end", "mid"], "left")
+    edge = F.col("mid") == F.col("end")
+    steps.append(ways.filter(edge | open_ | there).select("src", "mid", "end", (edge | ~open_).alias("sure")))
+    ways = steps.settle()
+    waiting = ways.filter("not sure")
+    proven = Buckets(doubtful.sparkSession, "proven", "dst")
+    found = ways.filter("sure").select("src", F.col("end").alias("dst"))
+    for _ in range(max_rounds + 1):
+        fresh = found.distinct()
+        if proven.rounds:
+            fresh = fresh.join(proven.all(), ["dst", "src"], "left_anti")
+        last = proven.append(fresh.select(*_PAIR))
+        if last.isEmpty():
+            return proven.settle()
+        found = waiting.join(marked(last, "now"), ["end", "mid"], "left_semi").select("src", F.col("end").alias("dst"))
+    proven.settle()
+    raise FurtherError(f"the closure is deeper than {max_rounds} steps")
 
 
 def bounded_sets(rows: DataFrame, keys: Sequence[str], value: str, most: int = 32) -> DataFrame:

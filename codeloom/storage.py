@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
 _MADE: list[str] = []
@@ -73,6 +74,46 @@ def bucketed(df: DataFrame, label: str, *keys: str) -> tuple[DataFrame, Callable
     return spark.table(name), forget
 
 
+class Buckets:
+    """Rows in buckets of one key, as a table at a path in the shared folder that grows by rounds.
+
+    What is appended should be dealt by the key into ``count`` partitions already, so that every task writes one bucket.  ``settle`` gives the rows
+    and takes the table out of the catalog: the files stay, and joins on the key still read the buckets as they lie.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, key: str) -> None:
+        self.spark, self.key, self.rounds = spark, key, 0
+        self.count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.path = f"bucketed_{uuid.uuid4().hex}", new_path(spark, label)
+
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Write ``rows`` as the next round; they are returned as they lie."""
+        numbered = rows.withColumn("__round", F.lit(self.rounds))
+        numbered.write.mode("append").bucketBy(self.count, self.key).sortBy(self.key).option("path", self.path).saveAsTable(self.name, format="parquet")
+        self.rounds += 1
+        return self.spark.table(self.name).filter(F.col("__round") == self.rounds - 1).drop("__round")
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.name).drop("__round")
+
+    def settle(self) -> DataFrame:
+        rows = self.all()
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return rows
+
+
+@contextmanager
+def joins_by_one_key(spark: SparkSession) -> Iterator[None]:
+    """Inside the block a join on several keys takes sides that are dealt by one of them as they lie; rows are to be written there, not returned lazily."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that no later plan reads."""
     jvm = spark._jvm
