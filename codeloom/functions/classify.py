@@ -33,6 +33,7 @@ SOURCES = (
     "request.query_params", "request.headers", "request.cookies",
     "location.hash", "location.search", "window.location.hash", "window.location.search",
 )
+_SOURCE_STARTS = tuple(s + end for s in SOURCES for end in ".[")
 #: Calls that bring in outside input.
 SOURCE_CALLS = ("input", "request.get_json", "sys.stdin.read")
 
@@ -60,7 +61,7 @@ def guard_type(name: str) -> str | None:
 
 def is_source(expression: str) -> bool:
     expression = "".join(expression.split())
-    return any(expression == s or expression.startswith((s + ".", s + "[")) for s in SOURCES)
+    return expression in SOURCES or expression.startswith(_SOURCE_STARTS)
 
 
 def is_source_call(name: str) -> bool:

@@ -17,9 +17,12 @@ _SHORT = (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\
 _CONTROL = [c for c in range(32) if chr(c) not in "\b\f\n\r\t"]
 
 
+_ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
 def identity(value: Any) -> str:
     """Identity of a JSON value; tuples are arrays, and maps are sorted by key."""
-    return hashlib.sha256(json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+    return hashlib.sha256(_ENCODER.encode(value).encode()).hexdigest()
 
 
 def json_string(text: Column) -> Column:

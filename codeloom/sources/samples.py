@@ -22,8 +22,13 @@ def group_name(source: Column) -> Column:
 
 
 def _ids(docs: DataFrame) -> DataFrame:
-    """Each id once, nulls left out, with the source and size of one of its rows."""
-    return docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(group_name(F.col("source"))).alias("group"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    """Each id once, nulls left out, with the source and size of one of its rows.
+
+    They are dealt over all tasks: what is made of a row costs far more than its few bytes, by which Spark would put them together
+    (a deal by the id alone would fall to the grouping, whose partitions are merged).
+    """
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(group_name(F.col("source"))).alias("group"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    return ids.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("doc_id"))
 
 
 def sample_tree(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ast
+
+from codeloom.functions import python_frontend
 from codeloom.operators import code_index, fixpoint, lexical, postings, resolve, taint
 from codeloom.plans.registry import ORACLE_SQL, QUERIES
+from codeloom.sources.samples import sample_tree
 from codeloom.storage import materialize
 from pyspark.sql import functions as F
 
@@ -133,6 +137,27 @@ def test_closures_shuffle_a_pair_when_it_is_found(spark):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+def test_files_of_a_tree_are_dealt_over_tasks(spark):
+    """Rows of few bytes are made into files that take long to read, so they stay in all partitions."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("web").alias("source"), F.lit("x").alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        index = materialize(code_index.index_files(sample_tree(docs)), "index")[0].filter("path like 'mod%'")
+        files = index.groupBy(F.input_file_name()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(files) == 12 and sum(r["count"] for r in files) == 400
+
+
+def test_calls_of_a_file_do_not_split_it_again(monkeypatch):
+    """A file of many calls is split into lines once; calls over several lines, with other signs than ASCII, keep their text."""
+    code = "x = 'é'; f('ü', y)\r\ng(h(\f1),\r\n  'ö', [\n 2])\n" + "f(1)\n" * 300
+    want = {(c.lineno, ast.get_source_segment(code, c)) for c in ast.walk(ast.parse(code)) if isinstance(c, ast.Call)}
+    monkeypatch.setattr(python_frontend.ast, "get_source_segment", None)
+    found = python_frontend.extract("p", "a.py", code)
+    assert not found.notes and {(c["line"], c["snippet"]) for c in found.calls} == {(n, python_frontend.clip(t)) for n, t in want}
+
+
 def test_trace_leaves_out_functions_without_outside_input(spark, monkeypatch):
     """Of 40 modules that pass values round, none enters the rounds: only what calls link with the one that reads input; a deep tree is traced as a whole."""
     files = {f"m{n}.py": f"def a{n}(x):\n    return x\n\ndef b{n}(x):\n    return a{n}(a{n}(x))\n" for n in range(40)}
