@@ -138,7 +138,7 @@ def resolve_imports(index: DataFrame) -> DataFrame:
 
 
 def resolve_calls(index: DataFrame) -> DataFrame:
-    """Every call with its callee: ``callee, resolved``; several or no candidates leave it unresolved."""
+    """Every call with its callee: ``callee, callee_path, resolved``; several or no candidates leave it unresolved."""
     calls = facts(index, "calls").withColumn("uid", call_uid(F.col("call")))
     symbols = facts(index, "symbols").filter("kind in ('function', 'method', 'class')").select(F.col("project").alias("sp"), F.col("path").alias("spath"), F.col("qualified").alias("sq"), F.col("id").alias("callee"), F.col("kind").alias("skind"))
     first = F.regexp_extract("name", r"^([^.]+)", 1)
@@ -151,18 +151,18 @@ def resolve_calls(index: DataFrame) -> DataFrame:
         .when(F.col("imported").isNotNull() | F.col("whole"), F.col("rest"))
         .otherwise(F.when(F.col("name").startswith(F.concat(F.col("module"), F.lit("."))), F.expr("substring(name, length(module) + 2)")))
     )
-    imported = via.withColumn("wanted", inner).join(symbols, (F.col("sp") == F.col("project")) & (F.col("spath") == F.col("target_path")) & (F.col("sq") == F.col("wanted"))).select("uid", "callee")
+    imported = via.withColumn("wanted", inner).join(symbols, (F.col("sp") == F.col("project")) & (F.col("spath") == F.col("target_path")) & (F.col("sq") == F.col("wanted"))).select("uid", "callee", "spath")
     # nearest enclosing scope of the same file
     own = F.regexp_extract("name", r"^(?:self|cls)\.([^.]+)$", 1)
     steps = calls.filter(own == "").select("uid", "project", "path", "name", F.explode(scope_ladder(F.col("scope"))).alias("s"))
     wanted = F.when(F.col("s.prefix") == "", F.col("name")).otherwise(F.concat_ws(".", "s.prefix", "name"))
     local = steps.withColumn("wanted", wanted).join(symbols.filter("skind <> 'method'"), (F.col("sp") == F.col("project")) & (F.col("spath") == F.col("path")) & (F.col("sq") == F.col("wanted")))
     deepest = Window.partitionBy("uid")
-    local = local.withColumn("d", F.max("s.depth").over(deepest)).filter(F.col("s.depth") == F.col("d")).select("uid", "callee")
-    sibling = calls.withColumn("own", own).filter("own <> ''").withColumn("wanted", F.concat_ws(".", F.regexp_replace("scope", r"\.?[^.]*$", ""), "own")).join(symbols, (F.col("sp") == F.col("project")) & (F.col("spath") == F.col("path")) & (F.col("sq") == F.col("wanted"))).select("uid", "callee")
-    found = imported.union(local).union(sibling).groupBy("uid").agg(F.count_distinct("callee").alias("n"), F.min("callee").alias("callee"))
+    local = local.withColumn("d", F.max("s.depth").over(deepest)).filter(F.col("s.depth") == F.col("d")).select("uid", "callee", "spath")
+    sibling = calls.withColumn("own", own).filter("own <> ''").withColumn("wanted", F.concat_ws(".", F.regexp_replace("scope", r"\.?[^.]*$", ""), "own")).join(symbols, (F.col("sp") == F.col("project")) & (F.col("spath") == F.col("path")) & (F.col("sq") == F.col("wanted"))).select("uid", "callee", "spath")
+    found = imported.union(local).union(sibling).groupBy("uid").agg(F.count_distinct("callee").alias("n"), F.min("callee").alias("callee"), F.min("spath").alias("callee_path"))
     joined = calls.join(found, "uid", "left").withColumn("resolved", F.coalesce(F.col("n") == 1, F.lit(False)))
-    return joined.withColumn("callee", F.when(F.col("resolved"), F.col("callee"))).drop("n")
+    return joined.withColumns({c: F.when(F.col("resolved"), F.col(c)) for c in ("callee", "callee_path")}).drop("n")
 
 
 def edges(index: DataFrame) -> DataFrame:
@@ -202,9 +202,8 @@ def affected_files(changed: DataFrame, *indexes: DataFrame) -> DataFrame:
     """
     out = changed.select("path")
     for index in indexes:
-        home = facts(index, "symbols").select("id", F.col("path").alias("home"))
-        calls = resolve_calls(index).filter("resolved").select("owner", "callee")
-        files = calls.join(home.withColumnRenamed("id", "owner"), "owner").withColumnRenamed("home", "a").join(home.withColumnRenamed("id", "callee"), "callee").select("a", F.col("home").alias("b")).filter("a <> b").distinct()
-        both = files.union(files.select("b", "a"))
+        # an owner is a symbol of the file its call is in, and a callee comes with its file, so no symbol is looked up
+        files = resolve_calls(index).filter("resolved").select(F.col("path").alias("a"), F.col("callee_path").alias("b")).filter("a <> b").distinct()
+        both = files.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("f")).select("f.*")
         out = out.union(both.join(changed.select(F.col("path").alias("a")).distinct(), "a", "left_semi").select("b"))
     return out.distinct()

@@ -158,6 +158,15 @@ def test_calls_of_a_file_do_not_split_it_again(monkeypatch):
     assert not found.notes and {(c["line"], c["snippet"]) for c in found.calls} == {(n, python_frontend.clip(t)) for n, t in want}
 
 
+def test_affected_files_look_up_no_owner(spark):
+    """Callees come with their files: symbols are read for resolving calls only; a call within the changed file brings no other file."""
+    files = {"a.py": "from b import f\ndef g():\n    return f()\n", "b.py": "from c import h\ndef f():\n    return h() or i()\ndef i():\n    return 1\n", "c.py": "def h():\n    return 2\n", "d.py": "from a import g\ng()\n"}
+    index = code_index.index_files(spark.createDataFrame([("p", p, c) for p, c in files.items()], "project string, path string, content string"))
+    found = code_index.affected_files(spark.createDataFrame([("b.py",)], "path string"), index)
+    assert found._jdf.queryExecution().analyzed().toString().count("explode(symbols") <= 3
+    assert sorted(r.path for r in found.collect()) == ["a.py", "b.py", "c.py"]
+
+
 def test_trace_leaves_out_functions_without_outside_input(spark, monkeypatch):
     """Of 40 modules that pass values round, none enters the rounds: only what calls link with the one that reads input; a deep tree is traced as a whole."""
     files = {f"m{n}.py": f"def a{n}(x):\n    return x\n\ndef b{n}(x):\n    return a{n}(a{n}(x))\n" for n in range(40)}
