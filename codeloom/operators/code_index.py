@@ -15,7 +15,7 @@ from codeloom.functions.python_frontend import extract
 from codeloom.functions.script_frontend import extract_script
 from codeloom.functions.text import language
 from codeloom.operators.resolve import scope_ladder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,9 +48,12 @@ def _extract_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         rows = []
         for project, path, content, lang in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            row = {"project": project, "path": path, "language": lang, "content_hash": identity(content or ""), "revision": REVISION}
+            if content is None:
+                rows.append({"project": project, "path": path, "language": lang, "notes": [f"{path}: too large or unreadable"]})
+                continue
+            row = {"project": project, "path": path, "language": lang, "content_hash": identity(content), "revision": REVISION}
             if lang in ("python", "javascript", "typescript", "rust"):
-                facts = extract(project, path, content or "") if lang == "python" else extract_script(project, path, content or "", lang)
+                facts = extract(project, path, content) if lang == "python" else extract_script(project, path, content, lang)
                 row |= {k: getattr(facts, k) for k in ("symbols", "imports", "calls", "annotations", "hops", "notes")}
             else:
                 row |= {"symbols": [], "imports": [], "calls": [], "annotations": [], "hops": [], "notes": [f"{path}: no extraction for {lang or 'this kind of file'}"]}
@@ -61,9 +64,7 @@ def _extract_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def index_files(files: DataFrame) -> DataFrame:
     """One row of facts per file.  Files over 1 MiB give a note in place of facts."""
     rows = files.select("project", "path", F.when(F.octet_length("content") <= MAX_FILE_BYTES, F.col("content")).alias("content"), language(F.col("path")).alias("language"))
-    small = rows.filter("content is not null").mapInArrow(_extract_batches, SCHEMA)
-    large = rows.filter("content is null").select("project", "path", "language", F.array(F.concat("path", F.lit(": too large or unreadable"))).alias("notes"))
-    return small.unionByName(large, allowMissingColumns=True)
+    return rows.mapInArrow(_extract_batches, SCHEMA)
 
 
 def refresh(previous: DataFrame, files: DataFrame) -> DataFrame:
@@ -123,46 +124,55 @@ def as_module_type() -> str:
 
 def resolve_imports(index: DataFrame) -> DataFrame:
     """Every import with its file: ``target_path, symbol, resolved`` if exactly one candidate exists."""
-    imports = facts(index, "imports").withColumn("import", F.monotonically_increasing_id())
+    imports = facts(index, "imports")
     there = index.select(F.col("project").alias("p"), F.col("path").alias("candidate")).distinct()
     hits = import_candidates(imports).join(there, "candidate").filter("p = project")
-    one = hits.groupBy("project", "path", "module", "imported", "local", "line", "whole").agg(F.count_distinct("candidate").alias("n"), F.min("candidate").alias("target_path"), F.min_by("symbol", "candidate").alias("symbol"))
     keys = ["project", "path", "module", "imported", "local", "line", "whole"]
+    one = hits.groupBy(*keys).agg(F.min("candidate").alias("target_path"), F.max("candidate").alias("last"), F.min_by("symbol", "candidate").alias("symbol"))
     on = None
-    right = one.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "target_path", "symbol")
+    right = one.select(*[F.col(k).alias(f"_{k}") for k in keys], "target_path", "last", "symbol")
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_{k}"))
         on = c if on is None else on & c
-    joined = imports.join(right, on, "left").withColumn("resolved", F.coalesce(F.col("n") == 1, F.lit(False)))
+    joined = imports.join(right, on, "left").withColumn("resolved", F.coalesce(F.col("target_path") == F.col("last"), F.lit(False)))
     return joined.select(*keys, F.when(F.col("resolved"), F.col("target_path")).alias("target_path"), F.when(F.col("resolved"), F.col("symbol")).alias("symbol"), "resolved")
 
 
 def resolve_calls(index: DataFrame) -> DataFrame:
-    """Every call with its callee: ``callee, callee_path, resolved``; several or no candidates leave it unresolved."""
+    """Every call with its callee: ``callee, callee_path, callee_parameters, resolved``; several or no candidates leave it unresolved."""
     calls = facts(index, "calls").withColumn("uid", call_uid(F.col("call")))
-    symbols = facts(index, "symbols").filter("kind in ('function', 'method', 'class')").select(F.col("project").alias("sp"), F.col("path").alias("spath"), F.col("qualified").alias("sq"), F.col("id").alias("callee"), F.col("kind").alias("skind"))
+    # a callee comes with its file and parameters, so no symbol is looked up again
+    callee = F.struct(F.col("id").alias("callee"), F.col("path").alias("callee_path"), F.col("parameters").alias("callee_parameters"))
+    symbols = facts(index, "symbols").filter("kind in ('function', 'method', 'class')").select(F.col("project").alias("sp"), F.col("path").alias("spath"), F.col("qualified").alias("sq"), callee.alias("to"), F.col("kind").alias("skind"))
     first = F.regexp_extract("name", r"^([^.]+)", 1)
     rest = F.regexp_replace("name", r"^[^.]+\.?", "")
     imports = resolve_imports(index).filter("resolved").select(F.col("project").alias("ip"), F.col("path").alias("ipath"), "local", "module", "whole", "imported", "target_path", "symbol")
-    via = calls.withColumn("first", first).withColumn("rest", rest).join(imports, (F.col("ip") == F.col("project")) & (F.col("ipath") == F.col("path")) & (F.col("local") == F.col("first")))
+    via = calls.select("uid", "project", "path", "name", first.alias("first"), rest.alias("rest")).join(imports, (F.col("ip") == F.col("project")) & (F.col("ipath") == F.col("path")) & (F.col("local") == F.col("first")))
     # what the name means in the imported file
     inner = (
         F.when(F.col("symbol").isNotNull(), F.concat_ws(".", "symbol", F.when(F.col("rest") != "", F.col("rest"))))
         .when(F.col("imported").isNotNull() | F.col("whole"), F.col("rest"))
         .otherwise(F.when(F.col("name").startswith(F.concat(F.col("module"), F.lit("."))), F.expr("substring(name, length(module) + 2)")))
     )
-    imported = via.withColumn("wanted", inner).join(symbols, (F.col("sp") == F.col("project")) & (F.col("spath") == F.col("target_path")) & (F.col("sq") == F.col("wanted"))).select("uid", "callee", "spath")
-    # nearest enclosing scope of the same file
+    depth = F.lit(None).cast("int").alias("depth")
+    imported = via.select("uid", "project", "target_path", inner.alias("wanted")).join(symbols, (F.col("sp") == F.col("project")) & (F.col("spath") == F.col("target_path")) & (F.col("sq") == F.col("wanted"))).select("uid", depth, "to")
+    # in the same file: the nearest enclosing scope, and for a member of the own class that one's
     own = F.regexp_extract("name", r"^(?:self|cls)\.([^.]+)$", 1)
-    steps = calls.filter(own == "").select("uid", "project", "path", "name", F.explode(scope_ladder(F.col("scope"))).alias("s"))
-    wanted = F.when(F.col("s.prefix") == "", F.col("name")).otherwise(F.concat_ws(".", "s.prefix", "name"))
-    local = steps.withColumn("wanted", wanted).join(symbols.filter("skind <> 'method'"), (F.col("sp") == F.col("project")) & (F.col("spath") == F.col("path")) & (F.col("sq") == F.col("wanted")))
-    deepest = Window.partitionBy("uid")
-    local = local.withColumn("d", F.max("s.depth").over(deepest)).filter(F.col("s.depth") == F.col("d")).select("uid", "callee", "spath")
-    sibling = calls.withColumn("own", own).filter("own <> ''").withColumn("wanted", F.concat_ws(".", F.regexp_replace("scope", r"\.?[^.]*$", ""), "own")).join(symbols, (F.col("sp") == F.col("project")) & (F.col("spath") == F.col("path")) & (F.col("sq") == F.col("wanted"))).select("uid", "callee", "spath")
-    found = imported.union(local).union(sibling).groupBy("uid").agg(F.count_distinct("callee").alias("n"), F.min("callee").alias("callee"), F.min("spath").alias("callee_path"))
-    joined = calls.join(found, "uid", "left").withColumn("resolved", F.coalesce(F.col("n") == 1, F.lit(False)))
-    return joined.withColumns({c: F.when(F.col("resolved"), F.col(c)) for c in ("callee", "callee_path")}).drop("n")
+    ladder = F.transform(scope_ladder(F.col("scope")), lambda s: F.struct(F.when(s["prefix"] == "", F.col("name")).otherwise(F.concat_ws(".", s["prefix"], F.col("name"))).alias("wanted"), s["depth"].alias("depth")))
+    sibling = F.array(F.struct(F.concat_ws(".", F.regexp_replace("scope", r"\.?[^.]*$", ""), own).alias("wanted"), F.lit(None).cast("int").alias("depth")))
+    steps = calls.select("uid", "project", "path", F.explode(F.when(own == "", ladder).when(own != "", sibling)).alias("s")).select("uid", "project", "path", "s.*")
+    fits = F.col("depth").isNull() | (F.col("skind") != "method")
+    near = steps.join(symbols, (F.col("sp") == F.col("project")) & (F.col("spath") == F.col("path")) & (F.col("sq") == F.col("wanted"))).filter(fits).select("uid", "depth", "to")
+    # the first and last of what the deepest scope has, or another way leads to
+    deep = F.struct((-F.col("depth")).alias("up"), "to")
+    found = imported.union(near).groupBy("uid").agg(
+        F.min(F.when(F.col("depth").isNull(), F.col("to"))).alias("low"), F.max(F.when(F.col("depth").isNull(), F.col("to"))).alias("high"),
+        F.min(F.when(F.col("depth").isNotNull(), deep))["to"].alias("near"), F.max(F.when(F.col("depth").isNotNull(), F.struct("depth", "to")))["to"].alias("near_high"),
+    )
+    low, high = F.least("low", "near"), F.greatest("high", "near_high")
+    found = found.select("uid", low.alias("to"), (low["callee"] == high["callee"]).alias("one"))
+    joined = calls.join(found, "uid", "left").withColumn("resolved", F.coalesce("one", F.lit(False)))
+    return joined.withColumns({c: F.when(F.col("resolved"), F.col(f"to.{c}")) for c in ("callee", "callee_path", "callee_parameters")}).drop("one", "to")
 
 
 def edges(index: DataFrame) -> DataFrame:

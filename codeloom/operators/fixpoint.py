@@ -62,7 +62,7 @@ def fixpoint(base: DataFrame, rule: Callable[[Facts], DataFrame], keys: Sequence
     first, path = materialize(best(base.select(*keys, value)), "facts")
     paths, complete = [path], first.isEmpty()
     for _ in range(0 if complete else max_rounds):
-        facts = Facts(*[spark.read.schema(first.schema).parquet(*p) if p else spark.createDataFrame([], first.schema) for p in (paths[-1:], paths[:-1], paths)])
+        facts = Facts(*[spark.read.schema(first.schema).parquet(*p) if p else first.limit(0) for p in (paths[-1:], paths[:-1], paths)])
         found, made = materialize(best(rule(facts).select(*keys, value)), "candidates")
         # known facts are read, but only those that a candidate may replace are shuffled
         asked = found.select(*[F.col(k).alias(f"__{k}") for k in keys])

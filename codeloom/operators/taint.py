@@ -118,9 +118,7 @@ def trace(index: DataFrame, max_rounds: int = 12, stored: bool = False) -> tuple
     if not stored:
         index, path = materialize(index.select("project", "path", "symbols", "imports", "calls", "hops"), "index")
         made.append(path)
-    symbols = facts(index, "symbols").select(F.col("id").alias("callee"), "parameters").dropDuplicates(["callee"])
-    resolved = resolve_calls(index).select("uid", "owner", "callee", "sanitizer", "sink")
-    calls, calls_path = materialize(resolved.join(symbols, "callee", "left"), "calls")
+    calls, calls_path = materialize(resolve_calls(index).select("uid", "owner", "callee", "sanitizer", "sink", F.col("callee_parameters").alias("parameters")), "calls")
     hops = facts(index, "hops")
     kind, rest = F.regexp_extract("origin", "^([a-z]+)", 1), F.regexp_replace("origin", "^[a-z]+:", "")
     source = _filled(ORIGIN, {"kind": F.lit("S"), "symbol": F.col("owner"), "path": F.col("path"), "line": F.regexp_extract(rest, r"^(\d+):", 1), "name": F.regexp_replace(rest, r"^\d+:", "")})

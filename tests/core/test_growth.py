@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import ast
 
-from codeloom.functions import python_frontend
-from codeloom.operators import code_index, fixpoint, lexical, postings, resolve, taint
+from codeloom.functions import python_frontend, rules, syntax
+from codeloom.operators import case_run, code_index, fixpoint, lexical, postings, resolve, rule_scan, taint
 from codeloom.plans.registry import ORACLE_SQL, QUERIES
-from codeloom.sources.samples import sample_tree
+from codeloom.sources.samples import RULE_CASES, sample_cases, sample_tree
 from codeloom.storage import materialize
 from pyspark.sql import functions as F
 
@@ -179,3 +179,67 @@ def test_trace_leaves_out_functions_without_outside_input(spark, monkeypatch):
         flows, complete = taint.trace(index)
         assert complete and [(r.source_path, r.source_line, r.sink_path, r.sink_line) for r in flows.collect()] == [("web.py", 4, "store.py", 4)]
     assert given[0] <= 12 and given[1] >= 120
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cases_send_their_rules_only(spark, monkeypatch):
+    """Which rules match is all that counts: no match of a case gets a fingerprint."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("web").alias("source"), F.lit("x").alias("text"))
+    monkeypatch.setattr(rule_scan, "finding_fingerprint", None)
+    judged = case_run.detections(sample_cases(docs))
+    assert sorted((r.engine, r.positive, r.n) for r in judged.filter("positive = detected and not failed").groupBy("engine", "positive").agg(F.count("*").alias("n")).collect()) == [
+        ("graph", False, 2), ("graph", True, 2), ("rules", False, 58), ("rules", True, 58),
+    ]
+
+
+def test_files_are_extracted_in_one_pass(spark):
+    """Files that can't be read are notes of the same pass, so what a tree is made of is made once."""
+    rows = [("p", "a.py", "def f():\n    return 1\n"), ("p", "b.py", None), ("p", "c.py", "#" * (code_index.MAX_FILE_BYTES + 1)), ("p", "d.py", "")]
+    index = code_index.index_files(spark.createDataFrame(rows, "project string, path string, content string"))
+    assert "Union" not in plan_of(index)
+    found = {r.path: r for r in index.collect()}
+    assert [found[p].notes for p in ("b.py", "c.py")] == [["b.py: too large or unreadable"], ["c.py: too large or unreadable"]] and found["b.py"].symbols is found["c.py"].revision is None
+    assert [s.name for s in found["a.py"].symbols] == ["<module>", "f"] and found["d.py"].notes == [] and len(found["d.py"].symbols) == 1
+
+
+def test_texts_without_a_sink_are_not_followed(monkeypatch):
+    """A rule of mode taint walks a file only if a name of its sinks is in the code, and one of its sources; comments and strings are none."""
+    loaded = [(r, n) for r, n in rules.load(rules.BUNDLED) if n is None]
+    assert [f["rule_id"] for f in rules.scan_text("a.js", RULE_CASES["taint-process-env-to-spawn"][1], "javascript", loaded)[0]] == ["taint-process-env-to-spawn"]
+    monkeypatch.setattr(rules, "_EVENT", None)
+    for text in ("const a = process.env.A; f(a);", "// spawn(process.env.A)\nconst a = 'spawn(';", "JSON.parse(x); const y = f(x);"):
+        assert rules.scan_text("a.js", text, "javascript", loaded) == ([], [])
+
+
+def test_scanner_goes_from_mark_to_mark():
+    """Comments, strings, templates and expressions are found between other signs as they were sign by sign."""
+    text = "a = b / c; // d\nx = /[/]'/g.test(y) ? `t${'u'}` : \"v\\\"\"; /* ' */ z(1)"
+    assert [text[a:b] for a, b in syntax.parse(text, "javascript").literals] == ["// d", "/[/]'/g", '"v\\""', "/* ' */"]
+    text = "fn f<'a>(x: &'a str) { let bar = br#\"q\"#; let c = 'r'; /* /* n */ */ g(r\"s\"); }"
+    assert [text[a:b] for a, b in syntax.parse(text, "rust").literals] == ['br#"q"#', "'r'", "/* /* n */ */", 'r"s"']
+
+
+def test_copies_of_a_file_are_matched_once(spark, monkeypatch):
+    """A task remembers the matches of small texts; paths and notes are each file's own, and a language is not another's."""
+    seen = []
+    monkeypatch.setattr(rule_scan, "scan_text", lambda path, text, lang, loaded: seen.append((text, lang)) or rules.scan_text(path, text, lang, loaded))
+    text, broken = RULE_CASES["js-expose-process-env"][1], "f("
+    files = [(f"{n}/a.js", text, "javascript") for n in range(50)] + [("a.rs", text, "rust"), ("b/c.js", broken, "javascript"), ("d.js", broken, "javascript"), ("e.js", None, "javascript")]
+    batch = spark.createDataFrame(files, "path string, content string, language string").toArrow().to_batches()
+    out = [r for b in rule_scan._scan_batches(rules.BUNDLED)(batch) for r in b.to_pylist()]
+    assert sorted(seen) == sorted([(text, "javascript"), (text, "rust"), (broken, "javascript")])
+    assert {r["file"] for r in out if r["note"] is None} == {f"{n}/a.js" for n in range(50)}
+    assert sorted(r["note"].split(":")[0] for r in out if r["note"]) == ["b/c.js", "d.js", "e.js"]
+
+
+def test_calls_bring_what_their_callee_takes(spark):
+    """Callees come with their parameters, and calls meet no window: the nearest scope is told by the least and the greatest of one grouping."""
+    code = "def f(a):\n    def f(b):\n        return f(b)\n    return f(a)\n\nclass K:\n    def m(self, c):\n        return self.n(c)\n    def n(self, d):\n        return m(d)\n"
+    index = code_index.index_files(spark.createDataFrame([("p", "a.py", code), ("p", "b.py", "from a import f\nfrom a import K as f\nf(1)\n"), ("p", "c.py", "import a\na.f(1)\n")], "project string, path string, content string"))
+    calls = code_index.resolve_calls(index)
+    assert "Window" not in plan_of(calls)
+    found = {(r.path, r.line): (r.resolved, r.callee_path, r.callee_parameters) for r in calls.collect()}
+    assert found == {("a.py", 3): (True, "a.py", ["b"]), ("a.py", 4): (True, "a.py", ["b"]), ("a.py", 8): (True, "a.py", ["d"]), ("a.py", 10): (False, None, None), ("b.py", 3): (False, None, None), ("c.py", 2): (True, "a.py", ["a"])}
