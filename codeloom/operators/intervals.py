@@ -59,4 +59,5 @@ def best_holding(points: DataFrame, ranges: DataFrame, keys: Sequence[str], poin
     on = (F.col("__a.level") == F.col("__level")) & (F.col("__a.number") == F.col("__number")) & (F.col("__a.salt") == F.col("__salt"))
     for i, k in enumerate(keys):
         on = on & (F.col(k) == F.col(f"__k{i}"))
-    return asked.join(dealt, on).groupBy(row_id).agg(F.min("__rank").alias("best"))
+    # either side has many times the rows that Spark's estimates give it, as they leave out explode(): neither may be broadcast
+    return asked.hint("merge").join(dealt, on).groupBy(row_id).agg(F.min("__rank").alias("best"))

@@ -137,6 +137,16 @@ def test_many_ranges_of_one_key(spark):
     assert got.filter("range_name <> line").count() == 0 and got.count() == 10000
 
 
+def test_pieces_are_not_broadcast(spark, tmp_path):
+    """Points and index are small tables in a file, but have a row a level or segment when they meet: neither goes through the driver."""
+    spark.range(2000).select("id", F.lit("f").alias("file"), (F.col("id") * 7).alias("line"), F.col("id").alias("start"), (F.col("id") + 5000).alias("end")).write.parquet(str(tmp_path / "t"))
+    both = spark.read.parquet(str(tmp_path / "t"))
+    few = both.filter("id < 3")
+    for points, ranges in ((both, both), (both, few), (few, both)):
+        best = intervals.best_holding(points.select("id", "file", "line"), ranges.select("file", "start", "end"), ["file"], "line", "id", F.struct("start"))
+        assert best.collect() and "Broadcast" not in best._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_asof(spark, seed):
     rng = random.Random(seed)
